@@ -22,3 +22,9 @@ def words_of(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD + "+")).cast("long")
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """`df` with a column that is computed once: a filter on it isn't pushed
+    below it, where the optimiser would write its definition into every use."""
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -1 +1 @@
-
+"""Column functions: exact arithmetic, spans, labels, comments."""

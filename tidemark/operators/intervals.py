@@ -41,3 +41,107 @@ def island_stats(df: DataFrame, keys: list[str], start: str, end: str) -> DataFr
         .groupBy(*keys)
         .agg(F.sum(F.col(end) - F.col(start)).alias("covered"), F.count("*").alias("islands"), F.coalesce(F.max("_gap"), F.lit(0)).cast("long").alias("largest_gap"))
     )
+
+
+def subtract(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Parts of the union of `left` that the union of `right` doesn't cover."""
+    seg = coverage(left, right, keys, start, end)
+    return islands(seg.where("in_left and not in_right"), keys, start, end).drop("n")
+
+
+def intersect(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Parts that the unions of both cover."""
+    seg = coverage(left, right, keys, start, end)
+    return islands(seg.where("in_left and in_right"), keys, start, end).drop("n")
+
+
+def coverage(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Elementary segments of both sides with `in_left` and `in_right`.
+
+    One sweep over boundary events, sorted once per key: no side is joined with
+    the other, so long groups stay linear."""
+
+    def marks(df: DataFrame, a: int, b: int) -> DataFrame:
+        df = spans(df, start, end)
+        return df.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(a).alias("l"), F.lit(b).alias("r")), F.struct(F.col(end).alias("t"), F.lit(-a).alias("l"), F.lit(-b).alias("r")))).alias("m")).select(*keys, "m.*")
+
+    at = marks(left, 1, 0).unionByName(marks(right, 0, 1)).groupBy(*keys, "t").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    w = Window.partitionBy(*keys).orderBy("t")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    seg = at.select(*keys, F.col("t").alias(start), F.lead("t").over(w).alias(end), (F.sum("l").over(run) > 0).alias("in_left"), (F.sum("r").over(run) > 0).alias("in_right"))
+    return seg.where(F.col(end).isNotNull() & (F.col("in_left") | F.col("in_right")))
+
+
+def elementary_segments(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """`(keys, start, end, multiplicity)` between adjacent boundaries, where at
+    least one span lies."""
+    d = spans(df, start, end)
+    ev = d.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))).alias("m")).groupBy(*keys, F.col("m.t").alias("t")).agg(F.sum("m.d").alias("d"))
+    w = Window.partitionBy(*keys).orderBy("t")
+    out = ev.select(*keys, F.col("t").alias(start), F.lead("t").over(w).alias(end), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("multiplicity"))
+    return out.where((F.col("multiplicity") > 0) & F.col(end).isNotNull())
+
+
+def targets(df: DataFrame, keys: list[str], start: str, end: str, lo: Column, hi: Column, bridge: int, pad: int, least: int) -> DataFrame:
+    """What the union leaves open of [lo, hi): covered pieces that are at most
+    `bridge` apart join first, open pieces grow by `pad` on both sides (within
+    the range), meet, and stay if at least `least` long."""
+    i = islands(df, keys, start, end, gap=bridge)
+    w = Window.partitionBy(*keys).orderBy(start)
+    i = i.withColumns({"_lo": lo, "_hi": hi, "_next": F.lead(start).over(w), "_first": F.lag(end).over(w).isNull()})
+    after = i.select(*keys, "_lo", "_hi", F.greatest(end, "_lo").alias("a"), F.least(F.coalesce("_next", "_hi"), F.col("_hi")).alias("b"))
+    head = i.where("_first").select(*keys, "_lo", "_hi", F.col("_lo").alias("a"), F.least(start, "_hi").alias("b"))
+    open_ = after.unionByName(head).where("b > a")
+    grown = open_.select(*keys, F.greatest(F.col("a") - pad, "_lo").alias(start), F.least(F.col("b") + pad, "_hi").alias(end))
+    return islands(grown, keys, start, end).drop("n").where(F.col(end) - F.col(start) >= least)
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], ls: str, le: str, rs: str, re: str, width: int) -> DataFrame:
+    """Pairs whose spans overlap strictly, as an equi-join on time buckets of
+    `width`: each span goes to all buckets that it touches and a pair is made in
+    the bucket where its overlap begins, so once."""
+    bucket = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor((F.col(b) - 1) / width)))
+    a = spans(left, ls, le).withColumn("_b", bucket(ls, le))
+    b = spans(right, rs, re).withColumn("_b", bucket(rs, re))
+    pairs = a.join(b, [*keys, "_b"]).where((F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)))
+    return pairs.where(F.col("_b") == F.floor(F.greatest(ls, rs) / width)).drop("_b")
+
+
+def points_in_spans(points: DataFrame, sp: DataFrame, keys: list[str], at: str, start: str, end: str, width: int) -> DataFrame:
+    """Points with the spans [start, end) that hold them."""
+    b = spans(sp, start, end).withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
+    p = points.withColumn("_b", F.floor(F.col(at) / width))
+    return p.join(b, [*keys, "_b"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_b")
+
+
+def asof(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str, value: str, forward: bool = False, out: str = "asof") -> DataFrame:
+    """`left` with the `value` of the last right row at or before its time (or
+    the first at or after), least value of equal times; null if there is none.
+    One sort of both sides together instead of a join."""
+    l_ = left.withColumns({"_t": F.col(lt), "_side": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType)})
+    r_ = right.groupBy(*keys, F.col(rt).alias("_t")).agg(F.min(value).alias("_v")).withColumn("_side", F.lit(0))
+    both = l_.unionByName(r_, allowMissingColumns=True)
+    if forward:
+        w = Window.partitionBy(*keys).orderBy(F.col("_t").desc(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    else:
+        w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.last(F.when(F.col("_side") == 0, F.struct("_t", "_v")), ignorenulls=True).over(w)
+    found = both.withColumn("_s", seen).where("_side = 1")
+    return found.withColumns({out: F.col("_s._v"), f"{out}_t": F.col("_s._t")}).drop("_t", "_side", "_v", "_s")
+
+
+def runs_with_core(df: DataFrame, keys: list[str], start: str, end: str, gap: int, core: int) -> DataFrame:
+    """Runs of spans less than `gap` apart (strictly) that are `core` long."""
+    marked = spans(df, start, end).withColumn("_new", _island_id(keys, start, end, gap, strict=True))
+    order = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)
+    runs = marked.withColumn("_run", F.sum("_new").over(order)).groupBy(*keys, "_run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"))
+    return runs.where(F.col(end) - F.col(start) >= core).drop("_run")
+
+
+def offset_mode(df: DataFrame, keys: list[str], value: str, width: int) -> DataFrame:
+    """The offset at which the largest group within `width` begins, ties to the
+    lowest; only if it holds at least half of the rows."""
+    w = Window.partitionBy(*keys)
+    d = df.withColumns({"_in": F.count("*").over(w.orderBy(value).rangeBetween(0, width)), "_all": F.count("*").over(w)})
+    best = d.groupBy(*keys).agg(F.max(F.struct(F.col("_in"), -F.col(value))).alias("b"), F.max("_all").alias("total"))
+    return best.select(*keys, (-F.col("b.col2")).alias("offset"), F.col("b._in").alias("support"), "total").where("2 * support >= total")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.plans import intervals
+from tidemark.plans import evidence, intervals
 
-MODULES = [intervals]
+MODULES = [intervals, evidence]
 
 
 def queries() -> dict[str, Callable]:

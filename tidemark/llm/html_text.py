@@ -2,7 +2,7 @@
 
 Markup is stripped into lines, one a block. Sums of text outside links over
 sliding windows of lines rise where the article begins and fall where it ends;
-the lines between the first rise and the last fall are kept. Elements that by
+the lines between the first rise and the last fall to nothing are kept. Elements that by
 their name, role or class are menus, adverts and the like give no lines, and an
 article element bounds the search where there is one.
 """
@@ -150,6 +150,8 @@ def main_text(page: str) -> str:
     dive = min(dive + WINDOW - 1, len(lines) - 1)
     while not weight[dive]:
         dive -= 1
+    while dive + 1 < len(lines) and weight[dive + 1]:
+        dive += 1
     while surge and lines[surge - 1][3]:
         surge -= 1
     return "\n".join(t for t, _, _, _ in lines[surge : dive + 1])

@@ -163,12 +163,13 @@ def estimates(vec: DataFrame, lang: str = "lang", source: str = "source") -> Dat
     levels = F.array(key(2, F.col("jl"), F.col("js")), key(1, F.col("jl"), none), key(0, none, none))
     x = ok.select(*FEATURES, F.explode(levels).alias("k")).select(*FEATURES, "k.*")
     enough = x.groupBy(*_KEY).count().where(F.col("count") >= LEAST).select(*_KEY)
-    x = table(x.join(enough, _KEY), "vectors")
-    est = cut(_start(x))
+    # written tables have known sizes: small ones are broadcast, others aren't
+    x = table(x.join(table(enough, "groups"), _KEY), "vectors")
+    est = table(_start(x), "start")
     for _ in range(STEPS):
         d = x.join(est, _KEY).withColumn("d2", _distance()).select(*_KEY, *FEATURES, "d2")
-        near = d.join(_quantile(d, HALF), _KEY).where(_bin(F.col("d2")) <= F.col("edge"))
-        est = cut(_moments(near))
+        near = d.join(table(_quantile(d, HALF), "edges"), _KEY).where(_bin(F.col("d2")) <= F.col("edge"))
+        est = table(_moments(near), "step")
     # the half's spread is too small; scale it so that medians agree
     d = x.join(est, _KEY).withColumn("d2", _distance()).select(*_KEY, "d2")
     half = _quantile(d, 0.5).select(*_KEY, F.greatest(F.expm1((F.col("edge") + 1) / 64) / CHI_MEDIAN, F.lit(1.0)).alias("scale"))

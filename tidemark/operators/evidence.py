@@ -101,8 +101,10 @@ def ledger_fold(df: DataFrame, attempt: str, event: str, outcome: str, unit: str
 
 
 def latest_action(df: DataFrame, keys: list[str], ordinal: str, state: str, actions: dict[str, str], otherwise: str = "fresh") -> DataFrame:
-    """What to do next by the state of each group's latest row."""
-    last = df.groupBy(*keys).agg(F.max_by(state, ordinal).alias("state"), F.max(ordinal).alias("ordinal"))
+    """What to do next by the state of each group's latest row (of equal
+    ordinals the largest state)."""
+    last = df.groupBy(*keys).agg(F.max(F.struct(F.col(ordinal).alias("o"), F.col(state).alias("s"))).alias("l"))
+    last = last.select(*keys, F.col("l.s").alias("state"), F.col("l.o").alias("ordinal"))
     act = reduce(lambda c, kv: c.when(F.col("state") == kv[0], kv[1]), actions.items(), F.when(F.lit(False), ""))
     return last.withColumn("action", act.otherwise(otherwise))
 

@@ -248,8 +248,9 @@ ORACLE_SQL = {
     "ledger_fold": """WITH x AS (SELECT DISTINCT l_orderkey AS attempt, CASE WHEN l_linestatus = 'O' THEN 'prepared' ELSE 'resolved' END AS event, CASE WHEN l_returnflag = 'R' THEN 'billed' ELSE 'free' END AS outcome, CAST(round(l_extendedprice * 100) AS BIGINT) AS unit, l_shipdate FROM lineitem),
  p AS (SELECT attempt, event, count(*) AS n, max(outcome) AS outcome, max(unit) AS unit FROM x GROUP BY 1, 2)
  SELECT attempt, bool_or(event <> 'prepared') AS dispatched, max(CASE WHEN event = 'resolved' THEN outcome END) AS outcome, max(CASE WHEN event = 'resolved' AND outcome = 'billed' THEN unit ELSE 0 END) AS spent, max(n) > 1 AS conflict FROM p GROUP BY attempt""",
-    "resume_action": """SELECT l_orderkey, arg_max(l_returnflag, l_linenumber * 1000000000 + l_partkey) AS state, max(l_linenumber * 1000000000 + l_partkey) AS ordinal,
- CASE arg_max(l_returnflag, l_linenumber * 1000000000 + l_partkey) WHEN 'R' THEN 'retry' WHEN 'A' THEN 'settled' WHEN 'N' THEN 'reuse' ELSE 'fresh' END AS action FROM (SELECT l_orderkey, l_returnflag, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey FROM lineitem) GROUP BY l_orderkey""",
+    "resume_action": """WITH x AS (SELECT l_orderkey, l_returnflag AS state, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS ordinal FROM lineitem)
+ SELECT l_orderkey, state, ordinal, CASE state WHEN 'R' THEN 'retry' WHEN 'A' THEN 'settled' WHEN 'N' THEN 'reuse' ELSE 'fresh' END AS action
+ FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY ordinal DESC, state DESC) AS r FROM x) WHERE r = 1""",
     "provider_usage": "SELECT l_suppkey, strftime(l_shipdate, '%Y-%m') AS month, count(*) AS requests, CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS billed FROM lineitem GROUP BY 1, 2",
     "queue_depth_zero_filled": """SELECT p AS o_orderpriority, s AS state, count(o_orderkey) AS depth FROM (SELECT DISTINCT o_orderpriority AS p FROM orders) CROSS JOIN (SELECT unnest(['F', 'O', 'P', 'X']) AS s) LEFT JOIN orders ON o_orderpriority = p AND o_orderstatus = s GROUP BY 1, 2""",
     "monotonic_settlement": "SELECT l_orderkey, max(c) AS settled, count(*) AS updates, CAST(sum(c) AS BIGINT) AS total FROM (SELECT l_orderkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS c FROM lineitem) GROUP BY 1",

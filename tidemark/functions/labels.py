@@ -9,19 +9,20 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Labels that name nothing (fixed values).
 PLACEHOLDERS = ["", "id", "tbc", "tba", "unknown", "unreleased", "untitled", "track"]
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def display_fold(s: pd.Series) -> pd.Series:
     """Compatibility form, case folded, trimmed, inner white space as one space.
     Python because the engine has no Unicode normalisation; null stays null."""
     return s.map(lambda t: None if t is None else re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t).casefold()).strip())
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def score_fold(s: pd.Series) -> pd.Series:
     """Decomposed, marks dropped, lower case, runs of other than word characters as a space."""
 

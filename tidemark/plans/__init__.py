@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.plans import evidence, intervals
+from tidemark.plans import evidence, intervals, timeline
 
-MODULES = [intervals, evidence]
+MODULES = [intervals, evidence, timeline]
 
 
 def queries() -> dict[str, Callable]:

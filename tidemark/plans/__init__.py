@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.plans import evidence, intervals, timeline
+from tidemark.plans import evidence, intervals, rules, timeline
 
-MODULES = [intervals, evidence, timeline]
+MODULES = [intervals, evidence, timeline, rules]
 
 
 def queries() -> dict[str, Callable]:

@@ -39,7 +39,7 @@ def test_index_against_brute_force():
     strings = list({base[i : i + rng.randint(50, 110)] for i in (rng.randrange(280) for _ in range(80))} | {b"a" * 60, b"a" * 99, bytes(50)})
     values = np.array([rng.randrange(1000) for _ in strings], np.int64)
     ix = RunLengthIndex(strings, values)
-    for s, got in zip(strings, ix.least(strings), strict=True):
+    for s, got in zip(strings, ix.least(), strict=True):
         want = [min(v for t, v in zip(strings, values.tolist()) if s[i : i + 50] in t) for i in range(len(s) - 49)]
         assert got.tolist() == want
     assert len(ix.run_ends) < ix.n
@@ -54,6 +54,7 @@ def test_rows_against_brute_force(spark, monkeypatch):
     rows += [(500, "a" * 400), (501, "a" * 300), (501, "a" * 300), (None, passage[0]), (502, None), (503, ""), (504, "ab" * 200), (505, "ab" * 70), (506, passage[1][:49]), (3, passage[2])]
     rng.shuffle(rows)
     monkeypatch.setattr(suffix_dedup, "CHUNK", 3000)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = suffix_dedup.repeated_spans(d).collect()
     have = sorted((-1 if r.id is None else r.id, r.n_bytes, sum(s.end - s.first for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got)

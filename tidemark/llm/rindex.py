@@ -16,7 +16,7 @@ def _refine(order: np.ndarray, rank: np.ndarray, at: np.ndarray, k: int) -> np.n
     s = order[at]
     nxt = s + k
     key = rank[s] * (n + 1) + np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
-    perm = np.argsort(key, kind="stable")
+    perm = np.argsort(key)
     s, key = s[perm], key[perm]
     order[at] = s
     new = np.r_[True, key[1:] != key[:-1]]
@@ -42,7 +42,7 @@ class RunLengthIndex:
         for j in range(_FIRST):
             key = key * 258
             key[: n - j] += text[j:]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.r_[True, np.diff(key[order]) != 0]
         rank = np.empty(n, np.int64)
         rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -62,8 +62,9 @@ class RunLengthIndex:
         self.run_ends, self.samples = first + length - 1, order[first + length - 1]
         count = np.bincount(bwt, minlength=258)
         self.below = np.cumsum(count) - count
-        by = np.lexsort((first, head))
-        self.keys, self.run_start, self.run_len, self.head = head[by] * (n + 1) + first[by], first[by], length[by], head[by]
+        self.keys = head * (n + 1) + first
+        by = np.argsort(self.keys)
+        self.keys, self.run_start, self.run_len, self.head = self.keys[by], first[by], length[by], head[by]
         seen = np.cumsum(self.run_len) - self.run_len
         self.before = seen - seen[np.searchsorted(self.head, self.head)]
         # places whose suffixes agree on LENGTH symbols, and their least value
@@ -72,6 +73,8 @@ class RunLengthIndex:
         self.groups = np.flatnonzero(np.r_[True, (half[order][1:] != half[order][:-1]) | (later[1:] != later[:-1])])
         owner = np.maximum(np.searchsorted(self.start, order, side="right") - 1, 0)
         self.group_least = np.minimum.reduceat(values[owner], self.groups)
+        #: each string, its length, and the place of its last window
+        self.text, self.size, self.last = text, size, rank[self.start + size - LENGTH]
 
     def step(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Backward step: where suffixes symbol + (those from `place` on) begin."""
@@ -92,28 +95,25 @@ class RunLengthIndex:
             at = int(self.step(self.head[by : by + 1], np.array([at]))[0])
             steps += 1
 
-    def least(self, strings: list[bytes]) -> list[np.ndarray]:
-        """For each member string the least value at each of its windows.
+    def least(self) -> list[np.ndarray]:
+        """For each string the least value at each of its windows.
 
-        Strings are streamed from their last byte on, all together. The place
-        held is the first of the suffixes that match the last min(t, LENGTH)
-        bytes read: past LENGTH the oldest byte is let go by moving to the first
-        suffix that agrees on LENGTH symbols."""
-        size = np.fromiter(map(len, strings), np.int64, len(strings))
-        out = np.empty(int((size - LENGTH + 1).sum()), np.int64)
-        end = np.cumsum(size - LENGTH + 1)
-        flat = np.frombuffer(b"".join(strings), np.uint8)
-        last = np.cumsum(size) - 1
-        by = np.argsort(-size, kind="stable")
-        size, end, last = size[by], end[by], last[by]
-        place = np.zeros(len(size), np.int64)
-        for t in range(1, int(size.max(initial=0)) + 1):
-            m = int(np.searchsorted(-size, -t, side="right"))
-            c = flat[last[:m] - (t - 1)].astype(np.int64) + 2
-            p = self.step(c, place[:m])
-            if t >= LENGTH:
-                g = np.searchsorted(self.groups, p, side="right") - 1
-                out[end[:m] - 1 - (t - LENGTH)] = self.group_least[g]
-                p = self.groups[g]
-            place[:m] = p
-        return np.split(out, np.cumsum(np.fromiter(map(len, strings), np.int64) - LENGTH + 1)[:-1])
+        Strings are streamed backwards, all together, from their last windows,
+        whose places are sampled. The place held is the first of the suffixes
+        that match the LENGTH bytes read last; the byte that a step adds pushes
+        out the oldest one by moving to the first suffix that agrees on LENGTH."""
+        windows = self.size - LENGTH + 1
+        end = np.cumsum(windows)
+        out = np.empty(int(windows.sum()), np.int64)
+        by = np.argsort(-windows, kind="stable")
+        count, put, read = windows[by], end[by] - 1, (self.start + self.size - LENGTH)[by]
+        place = self.last[by]
+        for t in range(int(count[0]) if len(count) else 0):
+            m = int(np.searchsorted(-count, -(t + 1), side="right"))
+            place, put, read = place[:m], put[:m], read[:m]
+            if t:
+                place = self.step(self.text[read - t], place)
+            g = np.searchsorted(self.groups, place, side="right") - 1
+            out[put - t] = self.group_least[g]
+            place = self.groups[g]
+        return np.split(out, end[:-1])

@@ -28,7 +28,7 @@ from tidemark.runtime import table
 
 GRAM = 24
 #: Bytes of text in a chunk, windows of a text hashed at a time, bytes a block.
-CHUNK, SEGMENT, BLOCK = 4_000_000, 500_000, 8_000_000
+CHUNK, SEGMENT, BLOCK = 4_000_000, 64_000, 2_000_000
 #: Windows in one string of an anchor at most (longer runs are cut, none lost).
 RUN = 64
 _NONE = (1 << 63) - 1
@@ -52,16 +52,17 @@ _DOCS = ("<i8", "<i8", "u1")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xC2B2AE3D27D4EB4F)
-    return x ^ (x >> np.uint64(29))
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def _least_hashes(b: np.ndarray) -> np.ndarray:
     """For each LENGTH-byte window the least hash of its GRAM-byte substrings."""
     w = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(b, 8)).view("<u8").ravel()
-    h = _mixed(w[: len(b) - 23] + _mixed(w[8 : len(b) - 15] + _mixed(w[16:])))
+    a, m, z = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+    h = _mixed(w[: len(b) - 23] * a + w[8 : len(b) - 15] * m + w[16:] * z)
     span, width = 1, LENGTH - GRAM + 1
     while 2 * span <= width:
         h = np.minimum(h[:-span], h[span:])
@@ -74,26 +75,40 @@ def runs(size: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
     """(hash, document number, first window, windows) of each run of windows of
     one document that share an anchor; windows are numbered in the whole text."""
     ends = np.cumsum(size)
+    starts = ends - size
+    # windows that a document's end cuts off, and the first one of each document
+    edge = np.zeros(len(text) + 1, np.int8)
+    np.add.at(edge, np.maximum(ends - LENGTH + 1, starts), 1)
+    np.add.at(edge, ends, -1)
+    whole = np.cumsum(edge[:-1], dtype=np.int8) == 0
+    fresh = np.zeros(len(text), bool)
+    fresh[starts[size >= LENGTH]] = True
     out: list[tuple[np.ndarray, ...]] = []
     for a in range(0, len(text), SEGMENT):
         b = text[a : a + SEGMENT + LENGTH - 1]
         if len(b) < LENGTH:
             break
         h = _least_hashes(b)
-        at = np.arange(a, a + len(h))
-        doc = np.searchsorted(ends, at, side="right")
-        ok = at + LENGTH <= ends[doc]
-        h, at, doc = h[ok], at[ok], doc[ok]
-        if not len(h):
+        ok = whole[a : a + len(h)]
+        new = fresh[a : a + len(h)].copy()
+        new[0] = True
+        new[1:] |= (h[1:] != h[:-1]) | ~ok[:-1]
+        stop = np.flatnonzero(new | ~ok)
+        n = np.diff(np.r_[stop, len(h)])
+        good = ok[stop]
+        new, n = stop[good], n[good]
+        if not len(new):
             continue
-        new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
-        n = np.diff(np.r_[new, len(h)])
+        at = np.arange(a, a + len(h))
+        doc = np.zeros(len(h), np.int64)
+        doc[new] = np.searchsorted(ends, new + a, side="right")
         cuts = -(-n // RUN)
         first = np.repeat(new, cuts)
         k = np.arange(len(first)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        where = doc[first]
         first += k * RUN
         n = np.minimum(np.repeat(n, cuts) - k * RUN, RUN)
-        out.append((h[first], doc[first], at[first], n))
+        out.append((h[first], where, at[first], n))
     if not out:
         z = np.zeros(0, np.int64)
         return z.astype(np.uint64), z, z, z
@@ -102,7 +117,7 @@ def runs(size: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _several(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes in order, and whether more than one document has each."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h, doc = h[order], doc[order]
     new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
     if not len(new):
@@ -225,7 +240,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
                     least[s] = o
             lists.append(strings)
         strings = list(least)
-        found = dict(zip(strings, RunLengthIndex(strings, np.array(list(least.values()), np.int64)).least(strings), strict=True))
+        found = dict(zip(strings, RunLengthIndex(strings, np.array(list(least.values()), np.int64)).least(), strict=True))
         back = [pack(np.concatenate([found[s] for s in strings]).astype("<i8")) for strings in lists]
         return pa.table({"chunk": t.column("chunk"), "block": t.column("block"), "blob": pa.array(back, pa.binary())})
 

@@ -53,4 +53,31 @@ QUERIES = {
     "op6_html": op6_html,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _templates_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quote(k)}, {quote(v)})" for k, v in license_scan.TEMPLATES.items())
+
+
+_SPLIT = "list_filter(regexp_split_to_array({0}, '[^a-z0-9]+'), lambda w: w <> '')"
+_PAIRS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+_BLANK = "[\\x20\\x09-\\x0D]"
+
+ORACLE_SQL = {
+    "op4_license": f"""WITH u AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '\\n\\s*\\n'), [t])) AS u FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+ w AS (SELECT doc_id, u, {_SPLIT.format("lower(u)")} AS w FROM u), b AS (SELECT doc_id, u, {_PAIRS.format("w")} AS b FROM w WHERE len(w) > 1),
+ t AS (SELECT name, {_SPLIT.format("lower(v)")} AS w FROM (VALUES {_templates_sql()}) AS x(name, v)), tb AS (SELECT name, {_PAIRS.format("w")} AS tb FROM t),
+ d AS (SELECT doc_id, u, name, 2 * len(list_intersect(b, tb)) / (len(b) + len(tb)) AS dice FROM b JOIN tb ON 2 * least(len(b), len(tb)) >= 0.79 * (len(b) + len(tb))),
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, u ORDER BY dice DESC, name DESC) AS r FROM d)
+ SELECT doc_id, name AS license, round(max(dice), 6) AS dice, count(*) AS n_units FROM r WHERE r = 1 AND dice >= 0.8 - 1e-12 GROUP BY doc_id, name""",
+    "op10_line_dedup": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+ k AS (SELECT *, list_filter(regexp_split_to_array(regexp_replace(line, '{_BLANK.replace("[", "[^")}*[0-9]{_BLANK.replace("[", "[^")}*', '<*>', 'g'), '{_BLANK}+'), lambda w: w <> '') AS w FROM l),
+ n AS (SELECT *, len(w) AS n, CAST(ceil((len(w) - 2) / 3) AS BIGINT) AS m FROM k),
+ p AS (SELECT *, n || ' ' || array_to_string(w[1:2], ' ') || ' | ' AS h, array_to_string(w[3:2 + m], ' ') AS a, array_to_string(w[3 + m:2 + 2 * m], ' ') AS b, array_to_string(w[3 + 2 * m:], ' ') AS c FROM n WHERE n >= 4),
+ t AS (SELECT doc_id, pos, unnest(CASE WHEN n < 8 THEN ['0 ' || array_to_string(w, ' ')] ELSE ['1 ' || h || b || ' | ' || c, '2 ' || h || a || ' | ' || c, '3 ' || h || a || ' | ' || b] END) AS key FROM p),
+ c AS (SELECT key, min(doc_id) AS first FROM t GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+ g AS (SELECT DISTINCT doc_id, pos FROM t JOIN c USING (key) WHERE doc_id <> first),
+ x AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped, coalesce(string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY l.pos), '') AS text FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+ SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, x.text FROM documents LEFT JOIN x ON documents.doc_id = x.doc_id""",
+}

@@ -49,7 +49,7 @@ def q_hosts(spark, d):
 def q_redacted(spark, d):
     t = read_table(spark, d, "documents").select("doc_id", "text")
     r = rl.redact(F.col("text"))
-    return t.where(r != F.col("text")).select("doc_id", F.sha2(r, 256).alias("digest"))
+    return t.select("doc_id", (r != F.col("text")).alias("changed"), F.sha2(r, 256).alias("digest"))
 
 
 def q_region_keys(spark, d):
@@ -106,6 +106,8 @@ ORACLE_SQL = {
     "separate_playing": f"""WITH x AS ({_sp(600_000_000)}), g AS (SELECT *, max(e) OVER (PARTITION BY user_id, event_type ORDER BY s, e, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM x)
  SELECT user_id, event_type, event_id FROM g WHERE pe < s AND EXISTS (SELECT 1 FROM x WHERE x.user_id = g.user_id AND x.event_type <> g.event_type AND x.s >= g.pe AND x.e <= g.s)""",
     "url_hosts": "SELECT regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]+)', 1)), '^www\\.', '') AS host, count(*) AS pages FROM pages GROUP BY 1",
+    "redacted_documents": r"""WITH r AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?i)\b(api[_-]?key|token|secret|password)\b(\s*[:=]\s*)\S+', '\1\2[redacted]', 'g'), '(?i)(https?://)[^/\s:@]+:[^/\s@]+@', '\1[redacted]@', 'g') AS t FROM documents)
+ SELECT doc_id, t <> text AS changed, sha256(t) AS digest FROM r""",
     "region_keys": f"""SELECT DISTINCT user_id, event_type, slot, substr(sha256(concat_ws('|', user_id, event_type, slot)), 1, 16) AS key FROM (SELECT user_id, event_type, s // {6 * HOUR} AS slot FROM ({_sp(HOUR)}))""",
     "capacity_reservation": """SELECT user_id, CAST(ceil((max(epoch_us(ts)) - min(epoch_us(ts))) // 1000 * 2 / 60000) AS BIGINT) AS clips, CAST(ceil(count(*) * 5000 * 105 / 100) AS BIGINT) AS reserve_e6 FROM events GROUP BY 1""",
     "macro_recall": f"""WITH r AS (SELECT lang, least(10000, (sum(guess * quality) * 20000 + sum(quality)) // (2 * sum(quality))) AS r FROM {_SC} GROUP BY lang) SELECT CAST((2 * sum(r) + count(*)) // (2 * count(*)) AS BIGINT) AS macro_e4 FROM r""",

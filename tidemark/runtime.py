@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -27,8 +28,19 @@ def spark_session(name: str = "tidemark", master: str | None = None, **conf: str
     return b.getOrCreate()
 
 
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers of this session import the package from where the
+    driver did, whatever their working folder; on a cluster it is shipped with
+    the job as usual."""
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a dataset folder, time-zone-free timestamps as UTC instants."""
+    reachable(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     ntz = [c for c, t in df.dtypes if t == "timestamp_ntz"]
     if ntz:
@@ -40,6 +52,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`, or a
     temporary one only where that is unset (local runs and tests)."""
+    reachable(spark)
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:

@@ -149,9 +149,7 @@ def _contexts(docs: bytes, wanted: list[bytes], blocks: int):
     doc, size, text = unpack(docs, *_DOCS)
     h, d, at, n = runs(size, text)
     known, several = _several(h, doc[d])
-    dup = known[several]
-    for w in wanted:
-        dup = np.union1d(dup, unpack(w, "<u8")[0])
+    dup = np.concatenate([known[several], *(unpack(w, "<u8")[0] for w in wanted)])
     keep = np.isin(h, dup)
     h, d, at, n = h[keep], d[keep], at[keep], n[keep]
     block = (h % np.uint64(blocks)).astype(np.int64)

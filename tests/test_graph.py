@@ -1,5 +1,8 @@
+from tidemark import plans
 from tidemark.operators.graph import connected_components
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_components(spark):
     links = [(5, 4), (4, 3), (3, 2), (9, 8), (8, 9), (7, 7), (2, 1), (None, 1), (20, 30), (30, 25)]
@@ -11,3 +14,47 @@ def test_empty_and_long_chain(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
     got = dict(connected_components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")).collect())
     assert set(got.values()) == {0} and len(got) == 61
+
+
+def union_find(links):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    return {n: root(n) for n in list(up)}
+
+
+def test_queries_link_every_row(spark):
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()
+    want = union_find((p, s + 1_000_000_000) for p, s in rows)
+    queries = plans.queries()
+    assert dict(queries["connected_components_all"](spark, SF).collect()) == want
+    groups = {}
+    for n, c in want.items():
+        groups.setdefault(c, []).append(n)
+    got = {r.component: (r.members, r.last) for r in queries["provenance_groups_all"](spark, SF).collect()}
+    assert got == {c: (len(m), max(m)) for c, m in groups.items()}
+
+
+def test_veto_query_takes_every_row(spark):
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag").collect()
+    links = sorted((o, p, s + 1_000_000_000) for o, p, s, _ in rows)
+    foes = {}
+    for _, p, s, r in rows:
+        if r == "R":
+            foes.setdefault(p, set()).add(s + 1_000_000_000)
+            foes.setdefault(s + 1_000_000_000, set()).add(p)
+    group = {}
+    for _, a, b in links:
+        x, y = group.setdefault(a, {a}), group.setdefault(b, {b})
+        if x is not y and not any(foes.get(m, set()) & y for m in x):
+            x |= y
+            group.update(dict.fromkeys(y, x))
+    got = dict(plans.queries()["recording_merge_veto"](spark, SF).collect())
+    assert got == {n: min(m) for n, m in group.items()}

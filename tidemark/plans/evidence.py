@@ -25,18 +25,33 @@ def q_discounted(spark, d):
     return ev.discounted(n, ["user_id"], "event_type", "votes")
 
 
-def _edges(spark, d):
-    li = read_table(spark, d, "lineitem").where("l_linenumber = 7 and l_quantity >= 48")
+def _edges(spark, d, rows="l_linenumber = 7 and l_quantity >= 48"):
+    li = read_table(spark, d, "lineitem").where(rows)
     return li.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b"))
 
 
 def q_components(spark, d):
+    """The components of the few links that the recursive SQL can follow."""
     return connected_components(_edges(spark, d))
 
 
+def _sizes(components):
+    return components.groupBy("component").agg(F.count("*").alias("members"), F.max("node").alias("last"))
+
+
 def q_provenance(spark, d):
     """Size and smallest member of each component of copy edges."""
-    return connected_components(_edges(spark, d)).groupBy("component").agg(F.count("*").alias("members"), F.max("node").alias("last"))
+    return _sizes(connected_components(_edges(spark, d)))
+
+
+def q_components_all(spark, d):
+    """The components of the links of every row."""
+    return connected_components(_edges(spark, d, "true"))
+
+
+def q_provenance_all(spark, d):
+    """Size and smallest member of each component of all rows' copy edges."""
+    return _sizes(connected_components(_edges(spark, d, "true")))
 
 
 def q_answered(spark, d):
@@ -183,6 +198,8 @@ QUERIES = {
     "second_engine_discount": q_discounted,
     "connected_components": q_components,
     "provenance_groups": q_provenance,
+    "connected_components_all": q_components_all,
+    "provenance_groups_all": q_provenance_all,
     "answered_windows": q_answered,
     "unpicked_windows": q_unpicked,
     "precision_recall": q_prf,

@@ -44,6 +44,18 @@ def test_license_odd_rows(spark):
     assert license_scan.scan(d, templates={}).count() == 0
 
 
+def test_license_within_longer_text(spark):
+    split = lambda name, *at: "\n\n".join(re.split("(?=" + "|".join(at) + ")", license_scan.TEMPLATES[name]))
+    mit = split("MIT", "The above copyright", "THE SOFTWARE IS")
+    gpl = re.sub("(.{50,70}) ", r"\1\n", split("GPL-3.0 header", "This program is distributed", "You should have"))
+    prose = "\n".join(f"Line {i} of the prose around it has own words about nothing at all." for i in range(200))
+    rows = [(1, f"{prose}\n\n{mit}\n\n{prose}"), (2, f"{prose}\n{gpl}\n{prose}"), (3, prose + " Released under the MIT License. More prose. " + prose)]
+    rows += [(4, f"{mit}\n\n{prose}\n\n{gpl}\n{prose}\n{mit}"), (5, prose), (6, "of software released in the Apache project under a license " * 50)]
+    assert not any(licenses(t) for _, t in rows)
+    got = sorted((r.doc_id, r.license, r.dice, r.n_units) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, "MIT", 1.0, 1), (2, "GPL-3.0 header", 1.0, 1), (3, "MIT notice", 1.0, 1), (4, "GPL-3.0 header", 1.0, 1), (4, "MIT", 1.0, 2)]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="with-sidebar">
 <header><h2>Site name</h2></header><nav><ul><li><a href=/>Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><div id=sidebar><p>Side</p></div>

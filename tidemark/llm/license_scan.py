@@ -1,7 +1,8 @@
 """License scans: normalised text against license templates, by word bigrams.
 
 A unit (a line, a paragraph, or the whole text) holds a template if the Dice
-coefficient of their bigram sets reaches the threshold. As 2m / (a + b) can't
+coefficient of their bigram sets reaches the threshold; a license that no unit
+holds is looked for in windows of words, wherever lines begin and end. As 2m / (a + b) can't
 reach s unless the smaller set has s / (2 - s) of the larger one's size, sizes
 prune the templates that a unit is compared with. Only DataFrame code.
 """
@@ -42,11 +43,15 @@ TEMPLATES = {
 }
 
 
+def _list(text: str) -> list[str]:
+    w = re.findall("[a-z0-9]+", text.lower())
+    return [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+
+
 def bigrams(text: str) -> list[str]:
     """The distinct word bigrams of a text, as the scan normalises it: lower
     case, words of ASCII letters and digits."""
-    w = re.findall("[a-z0-9]+", text.lower())
-    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
+    return list(dict.fromkeys(_list(text)))
 
 
 def anchors(templates: dict[str, str], dice: float) -> list[str]:
@@ -84,7 +89,8 @@ def _hash(bigram: str) -> int:
 
 def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, dice: float = DICE) -> DataFrame:
     """`(id, license, dice, n_units)`: each license that a unit is most like, with the
-    best coefficient, rounded to 6 places, and the number of units that hold it.
+    best coefficient, rounded to 6 places, and the number of units that hold it;
+    of a license that no unit holds, but a window, the number of windows.
 
     A null or empty text and one of a single word hold none; equal units of a
     text count once; of two rows with one id, the units add up. No row for texts
@@ -97,7 +103,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", templates: d
         return df.select(F.col(id_col), F.lit("").alias("license"), F.lit(0.0).alias("dice"), F.lit(0).cast("long").alias("n_units")).where("false")
     sure = F.array(*(F.lit(_hash(a)).cast("long") for a in anchors({k: templates[k] for k in sets}, dice)))
     d = once(df.select(F.col(id_col), text_of(df, text).alias("_t")), "_w", _words(F.col("_t")))
-    d = d.where(F.arrays_overlap(_pairs(F.col("_w"), lambda a, b: F.xxhash64(a, b)), sure)).drop("_w")
+    d = d.where(F.arrays_overlap(_pairs(F.col("_w"), lambda a, b: F.xxhash64(a, b)), sure))
+    windows = _windows(d.select(id_col, "_w"), sets, {k: len(_list(templates[k])) for k in sets}, dice)
+    d = d.drop("_w")
     units = F.array_distinct(F.concat(F.split("_t", "\n"), F.split("_t", r"\n\s*\n"), F.array("_t")))
     d = once(d.select(id_col, F.explode(units).alias("_u")), "_b", _bigrams(_words(F.col("_u"))))
     d = d.withColumn("_n", F.size("_b")).where("_n > 0")
@@ -107,4 +115,60 @@ def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", templates: d
     # a unit holds the template that it is most like, of equals the last by name
     alike = F.transform(fits, lambda t: F.struct((2 * F.size(F.array_intersect("_b", t["b"])) / (F.col("_n") + t["n"])).alias("dice"), t["license"].alias("license")))
     d = once(d, "_best", F.array_max(alike)).where(F.col("_best.dice") >= dice - 1e-12)
-    return d.groupBy(id_col, F.col("_best.license").alias("license")).agg(F.round(F.max("_best.dice"), 6).alias("dice"), F.count("*").alias("n_units"))
+    found = d.select(id_col, F.col("_best.license").alias("license"), F.col("_best.dice").alias("_d"), F.lit(True).alias("_unit")).unionByName(windows)
+    of = lambda f, x: F.coalesce(f(F.when(F.col("_unit"), x)), f(x))
+    n = F.count_if("_unit")
+    return found.groupBy(id_col, "license").agg(F.round(of(F.max, F.col("_d")), 6).alias("dice"), F.when(n > 0, n).otherwise(F.count("*")).alias("n_units"))
+
+
+def _windows(d: DataFrame, sets: dict[str, list[str]], lengths: dict[str, int], dice: float) -> DataFrame:
+    """`(id, license, _d, _unit)`: a row for each window of words that holds a
+    template, of those that overlap the one that shares most bigrams.
+
+    A window begins and ends with bigrams of the template, as any best one does,
+    and has at most (2 - dice) / dice as many bigrams as the template in words.
+    Bigrams are met in order from every beginning; one that occurred since the
+    beginning isn't counted again. Texts with too few of a template's bigrams
+    are left out, which loses nothing.
+    """
+    id_col = d.columns[0]
+    least = dice / (2 - dice) - 1e-9
+    d = once(d, "_h", _pairs(F.col("_w"), lambda a, b: F.xxhash64(a, b))).drop("_w")
+    hashes = lambda b: F.array(*(F.lit(_hash(x)).cast("long") for x in b))
+    rows = F.array(
+        *(
+            F.struct(F.lit(k).alias("license"), F.lit(len(b)).alias("n"), F.lit(math.ceil(len(b) * least)).alias("need"), F.lit(math.floor(lengths[k] / least)).alias("span"), hashes(b).alias("b"))
+            for k, b in sets.items()
+        )
+    )
+    near = F.filter(rows, lambda t: F.size(F.array_intersect("_h", t["b"])) >= t["need"])
+    d = once(d, "_near", near).where(F.size("_near") > 0).withColumn("_row", F.monotonically_increasing_id())
+    # where each bigram stood before, -1 if nowhere
+    at = F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    d = once(d, "_at", at)
+    before = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(-1).alias("i"))), F.slice("_at", 1, F.size("_at") - 1))
+    prev = F.array_sort(F.zip_with("_at", before, lambda x, y: F.struct(x["i"].alias("i"), F.when(x["h"] == y["h"], y["i"]).otherwise(-1).alias("p"))))
+    d = once(d, "_prev", prev).drop("_at")
+    d = d.select(id_col, "_h", "_prev", "_row", F.explode("_near").alias("_t"))
+    marks = F.zip_with("_h", "_prev", lambda h, x: F.struct(x["i"].alias("i"), x["p"].alias("p"), F.array_contains("_t.b", h).alias("hit")))
+    d = once(d, "_z", marks).drop("_h", "_prev")
+    zero = F.struct(F.lit(0).alias("b"), F.lit(0).alias("m"), F.lit(0.0).alias("d"), F.lit(0).alias("best"), F.lit(-1).alias("end"))
+
+    def window(z: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            new = x["p"] < z["i"]
+            b, m = s["b"] + F.when(new, 1).otherwise(0), s["m"] + F.when(new & x["hit"], 1).otherwise(0)
+            value = 2 * m / (b + F.col("_t.n"))
+            up = x["hit"] & (value > s["d"])
+            pick = lambda a, c: F.when(up, a).otherwise(c)
+            return F.struct(b.alias("b"), m.alias("m"), pick(value, s["d"]).alias("d"), pick(m, s["best"]).alias("best"), pick(x["i"], s["end"]).alias("end"))
+
+        done = lambda s: F.struct(s["best"].alias("m"), s["d"].alias("d"), F.col("_t.license").alias("license"), z["i"].alias("start"), s["end"].alias("end"))
+        return F.aggregate(F.slice("_z", z["i"] + 1, F.col("_t.span")), zero, step, done)
+
+    d = once(d, "_c", F.filter(F.transform(F.filter("_z", lambda z: z["hit"]), window), lambda c: c["d"] >= dice - 1e-12))
+    d = d.where(F.size("_c") > 0).groupBy("_row", id_col).agg(F.array_sort(F.flatten(F.collect_list("_c"))).alias("_c"))
+    none = F.filter("_c", lambda c: F.lit(False))
+    free = lambda got, c: ~F.exists(got, lambda g: (g["start"] <= c["end"]) & (c["start"] <= g["end"]))
+    held = F.aggregate(F.reverse("_c"), none, lambda got, c: F.when(free(got, c), F.concat(got, F.array(c))).otherwise(got))
+    return d.select(id_col, F.explode(held).alias("_c")).select(id_col, F.col("_c.license").alias("license"), F.col("_c.d").alias("_d"), F.lit(False).alias("_unit"))

@@ -78,6 +78,23 @@ def test_main_text():
     assert html_text.main_text("<article><p>kept</p><div class=ad>never closed <p>kept too</p></article>".replace("</div>", "")).startswith("kept")
 
 
+def test_main_text_searches_everywhere():
+    long = "Words of the article itself. " * 9
+    links = "<div><a href=/a>A link to something else</a></div>" * 4
+    paras = [f"Short line {i}." for i in range(6)]
+    body = "<h1>Head</h1>" + "".join(f"<p>{p}</p>" for p in paras) + f"<p>{long}</p><p>End.</p>"
+    want = "\n".join(["Head", *paras, long.strip(), "End."])
+    # without article or main: the surge goes up over plain lines
+    assert html_text.main_text(f"<body>{links}{body}{links}</body>") == want
+    # links before and after the text of an article or main aren't its text
+    for tag in ("article", "main"):
+        assert html_text.main_text(f"<{tag}>{links}{body}{links}</{tag}><p>Other</p>") == want
+    # every part is kept, and none of what is only links
+    parts = f"<article>{body}</article><p>Between</p><article>{links}</article><article><p>Second part.</p></article>"
+    assert html_text.main_text(parts) == want + "\nSecond part."
+    assert html_text.main_text(f"<article>{links}</article><main>{body}</main>") == want
+
+
 def test_html_query(spark):
     import html
 

@@ -3,8 +3,8 @@
 Markup is stripped into lines, one a block. Sums of text outside links over
 sliding windows of lines rise where the article begins and fall where it ends;
 the lines between the first rise and the last fall to nothing are kept. Elements that by
-their name, role or class are menus, adverts and the like give no lines, and an
-article element bounds the search where there is one.
+their name, role or class are menus, adverts and the like give no lines. Where
+there are article elements, or else a main element, each one is searched by itself.
 """
 
 from __future__ import annotations
@@ -130,20 +130,22 @@ def _lines(page: str, by_class: bool = True) -> list[tuple[str, int, int, bool]]
 def main_text(page: str) -> str:
     """The article of a page, its blocks joined by newlines; empty if none."""
     lines = _lines(page) or _lines(page, by_class=False)
-    if not lines:
-        return ""
-    for group in ({k for _, _, k, _ in lines if k > 0}, {k for _, _, k, _ in lines if k < 0}):
-        if group:
-            best = max(sorted(group), key=lambda g: sum(w for _, w, k, _ in lines if k == g))
-            own = [x for x in lines if x[2] == best]
-            if sum(w for _, w, _, _ in own):
-                return "\n".join(t for t, _, _, _ in own)
+    for bound in (lambda k: k > 0, lambda k: k < 0):
+        parts = dict.fromkeys(k for _, _, k, _ in lines if bound(k))
+        if found := [t for p in parts for t in _search([x for x in lines if x[2] == p])]:
+            return "\n".join(found)
+    return "\n".join(_search(lines))
+
+
+def _search(lines: list[tuple[str, int, int, bool]]) -> list[str]:
+    """The texts from the surge to the dive, with the plain lines and headings
+    that adjoin them; none if all text is in links."""
     weight = [w for _, w, _, _ in lines]
     sums = [sum(weight[i : i + WINDOW]) for i in range(len(lines))]
-    rise = min(RISE, max(sums))
+    rise = min(RISE, max(sums, default=0))
     high = [i for i, s in enumerate(sums) if s >= rise and s]
     if not high:
-        return ""
+        return []
     surge, dive = high[0], high[-1]
     while not weight[surge]:
         surge += 1
@@ -152,9 +154,9 @@ def main_text(page: str) -> str:
         dive -= 1
     while dive + 1 < len(lines) and weight[dive + 1]:
         dive += 1
-    while surge and lines[surge - 1][3]:
+    while surge and (weight[surge - 1] or lines[surge - 1][3]):
         surge -= 1
-    return "\n".join(t for t, _, _, _ in lines[surge : dive + 1])
+    return [t for t, _, _, _ in lines[surge : dive + 1]]
 
 
 def extract(df: DataFrame, page: str = "html", out: str = "text") -> DataFrame:

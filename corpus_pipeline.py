@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines of recurring templates; none is lost."""
-    out = line_dedup.drop_recurring_lines(docs)
+    out = line_dedup.drop_recurring_lines(docs, every=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -2,7 +2,7 @@ import re
 from collections import defaultdict
 
 from tidemark.llm import html_text, license_scan, line_dedup
-from tidemark.llm.q_text import op4_license, op6_html, op10_line_dedup
+from tidemark.llm.q_text import op4_license, op6_html, op10_line_dedup, op10_line_dedup_all
 
 SF = "/root/testdata/sf0.01"
 
@@ -127,7 +127,14 @@ def templates(line):
     return [(j, n, *w[:2], *x) for j, x in ((1, (*b, "/", *c)), (2, (*a, "/", *c)), (3, (*a, "/", *b)))]
 
 
-def deduped(rows, least=5):
+def every_template(line):
+    w = ["<*>" if re.search("[0-9]", x) else x for x in re.findall("[^\x20\x09-\x0d]+", line)]
+    if 4 <= len(w) < 8:
+        return [(4, len(w), i, *w[:i], "/", *w[i + 1 :]) for i in range(len(w))]
+    return [(0, tuple(w))] if 1 <= len(w) < 4 else templates(line)
+
+
+def deduped(rows, least=5, templates=templates):
     held = defaultdict(set)
     for i, t in rows:
         for x in (t or "").split("\n"):
@@ -162,3 +169,17 @@ def test_line_odd_rows(spark):
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out), key=key) == sorted(deduped(rows), key=key)
     assert {r.doc_id: r.text for r in out}[54] == ""
     assert line_dedup.drop_recurring_lines(d.where("false")).count() == 0
+
+
+def test_every_line_against_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in op10_line_dedup_all(spark, SF).collect())
+    assert got == sorted(deduped(docs, templates=every_template))
+    assert sum(r[3] for r in got) > sum(r[3] for r in deduped(docs))
+
+
+def test_lines_of_few_tokens(spark):
+    names = "Alice Bob Carol Dan Eve Frank".split()
+    rows = [(i, f"Les.\n\nPosted by {n} in Sports\nown {'pqrstu'[i]}\nAll rights reserved.") for i, n in enumerate(names)]
+    out = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), every=True).collect()}
+    assert out == {i: t if i == 0 else f"\nown {'pqrstu'[i]}" for i, t in rows}

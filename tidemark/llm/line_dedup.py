@@ -27,25 +27,33 @@ def _tokens(line: Column) -> Column:
     return F.filter(F.split(masked, SPACE + "+"), lambda w: w != "")
 
 
-def _templates(tok: Column) -> Column:
-    """The keys of a line's templates: one a span, or one for a short line."""
+def _templates(tok: Column, every: bool) -> Column:
+    """The keys of a line's templates: one a span, or one for a short line; with
+    `every`, one for each token that may vary in a line of LEAST to SPANS_FROM
+    - 1 tokens (what recurs as it stands recurs in each of these)."""
     n = F.size(tok)
     lead, third = F.xxhash64(n, F.slice(tok, 1, LEADING)), F.ceil((n - LEADING) / 3).cast("int")
     span = lambda k: F.xxhash64(F.slice(tok, LEADING + 1 + k * third, third))
     a, b, c = span(0), span(1), F.xxhash64(F.slice(tok, LEADING + 1 + 2 * third, third))
-    return F.when(n < SPANS_FROM, F.array(F.xxhash64(F.lit(0), tok))).otherwise(
+    whole = F.array(F.xxhash64(F.lit(0), tok))
+    if every:
+        vary = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.lit(4), n, i, F.slice(tok, F.lit(1), i - 1), F.slice(tok, i + 1, n - i)))
+        whole = F.when(n < LEAST, whole).otherwise(vary)
+    return F.when(n < SPANS_FROM, whole).otherwise(
         F.array(F.xxhash64(F.lit(1), lead, b, c), F.xxhash64(F.lit(2), lead, a, c), F.xxhash64(F.lit(3), lead, a, b))
     )
 
 
-def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, every: bool = False) -> DataFrame:
     """`df` with recurring lines taken out of `text`, and `n_lines`, `n_dropped`.
 
     The document of smallest id (then smallest hash; no id last) keeps a
     template's lines. A document is a row's id and text: rows that are equal in
     both count as one. Null texts stay null with no lines; an empty text is one
     empty line; a text that loses all its lines becomes empty; no row is lost.
-    Columns of the new names are replaced.
+    Columns of the new names are replaced. With `every`, lines of 1 to LEAST - 1
+    tokens count too, as they stand, and any one token of a line of LEAST to
+    SPANS_FROM - 1 is a variable field; only blank lines stay out.
 
     Lines are counted by (template, document), then by template, with partial
     aggregation, and flagged by a join that adaptive execution can split, so a
@@ -53,8 +61,8 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text: str = "tex
     """
     d = df.drop("n_lines", "n_dropped").withColumn("_dk", F.xxhash64(F.col(id_col), text_of(df, text)))
     lines = d.select("_dk", F.col(id_col).alias("_id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    lines = lines.withColumn("tok", _tokens(F.col("line"))).where(F.size("tok") >= LEAST)
-    keyed = table(lines.select("_dk", F.coalesce(F.col("_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"), "pos", F.explode(_templates(F.col("tok"))).alias("key")), "templates")
+    lines = lines.withColumn("tok", _tokens(F.col("line"))).where(F.size("tok") >= (1 if every else LEAST))
+    keyed = table(lines.select("_dk", F.coalesce(F.col("_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"), "pos", F.explode(_templates(F.col("tok"), every)).alias("key")), "templates")
     docs = keyed.groupBy("key", "_dk").agg(F.min("_id").alias("_id"))
     common = docs.groupBy("key").agg(F.count("*").alias("docs"), F.min(F.struct("_id", "_dk"))["_dk"].alias("first")).where(F.col("docs") >= min_docs)
     flagged = keyed.join(common, "key").where("_dk <> first").groupBy("_dk").agg(F.collect_set("pos").alias("_drop"))

@@ -46,12 +46,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op10_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its recurring lines, those of few tokens too."""
+    out = line_dedup.drop_recurring_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), every=True)
+    return out.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_quality_rules": op3_quality_rules,
     "op4_license": op4_license,
     "op6_html": op6_html,
     "op10_line_dedup": op10_line_dedup,
+    "op10_line_dedup_all": op10_line_dedup_all,
 }
 
 

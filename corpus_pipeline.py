@@ -25,11 +25,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate group; of rows that
-    share an id one stays, rows without an id stay."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each near-duplicate group, that of smallest id, then of smallest
+    hash, so unlike texts that share an id stay; rows without an id stay."""
+    keyed = docs.where("doc_id is not null").withColumn("_key", F.xxhash64(*docs.columns))
+    fps = table(simhash.fingerprints(keyed, "_key").distinct(), "fingerprints")
+    ids = keyed.select(F.col("_key").alias("id"), "doc_id").distinct()
+    groups = ids.join(fps, "id").join(simhash.components(fps), "fp")
+    first = groups.groupBy("component").agg(F.min(F.struct("doc_id", "id"))["id"].alias("_key")).select("_key")
+    kept = keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
     return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 

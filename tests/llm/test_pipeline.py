@@ -55,3 +55,12 @@ def test_every_stage_on_its_own_input(spark):
     text = {r.doc_id: r.text for r in mixed.collect()}
     for r in out[:100]:
         assert np.frombuffer(r.ids_le, "<u4").tolist() == lib.encode(text[r.doc_id], add_special_tokens=False).ids
+
+
+def test_near_dedup_keeps_unlike_texts_of_one_id(spark):
+    words = lambda k: " ".join(f"{chr(97 + (i * k) % 26)}{(i * i * k) % 97}" for i in range(200))
+    rows = [(1, words(3)), (5, words(3)), (5, words(7)), (5, words(7)), (5, words(11)), (2, words(11)), (5, words(13)), (6, None), (None, words(3)), (None, words(3))]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, SF)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert got == sorted([(1, words(3)), (5, words(7)), (5, words(13)), (2, words(11)), (6, None), (None, words(3)), (None, words(3))], key=repr)

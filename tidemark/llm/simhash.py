@@ -196,6 +196,14 @@ def close_links(points: DataFrame, k: int = BITS, block: int = BLOCK, groups: in
     return units.mapInArrow(run, "a long, b long").distinct()
 
 
+def components(fps: DataFrame, k: int = BITS) -> DataFrame:
+    """`(fp, component)` for each distinct fingerprint of `fps`: the smallest one
+    that links of at most k differing bits reach. Rows of one id don't link."""
+    points = cut(fps.select(F.col("fp").alias("id"), "fp").distinct())
+    found = connected_components(close_links(points, k))
+    return points.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """`(id, fp, component_id)` for every row with an id: the fingerprint and
     the smallest id that links of at most k differing bits reach.

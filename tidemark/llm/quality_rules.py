@@ -1,38 +1,41 @@
 """Quality rules: base statistics of a text, and robust multivariate outliers.
 
 Statistic vectors are compared within their language and source. A
-minimum-covariance-determinant estimate of place and spread is found by
-concentration steps from coordinate-wise medians; a vector far from its group
+minimum-covariance-determinant estimate of place and spread is found for every
+group by concentration steps from several starts; small groups lean on their
+language's estimate, and languages on that of all; a vector far from its group
 by Mahalanobis distance is rejected. All of it is DataFrame code.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from math import sqrt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACE, WORD, once, text_of
-from tidemark.runtime import cut, table
+from tidemark.runtime import table
 
 FEATURES = ("f_len", "f_symbol", "f_dup", "f_repeat", "f_upper")
 P = len(FEATURES)
-#: Features are kept as whole thousandths, so sums don't depend on their order.
-UNIT = 1000
-#: Median of the chi-square distribution with P = 5 degrees of freedom.
-CHI_MEDIAN = 4.351
-#: Least standard deviations (in features): what a clean text may differ by.
-FLOOR = (0.05, 0.08, 0.12, 0.10, 0.06)
-#: Squared distance above which a vector is rejected.
-CUTOFF = 60.0
-#: Share of a group that a concentration step keeps.
-HALF = 0.5
-STEPS = 3
-#: A group of fewer vectors uses its language's estimate, then that of all.
-LEAST = 100
-
-_KEY = ["level", "g_lang", "g_source"]
+#: Features are kept as whole thousandths; estimates are made on counts of
+#: vectors rounded to hundredths (STEP thousandths), so sums don't depend on order.
+UNIT, STEP = 1000, 10
+#: Words of the shortest text that passes the base rules, with its lines at 12
+#: words and its letters at 5 a word: what its vector may differ by by chance
+#: (half over root of the count, for square roots of shares; repeated words come
+#: in threes; the log of a mean length by 0.55 over root) is added to any spread.
+WORDS = 50
+NOISE = (0.55 / sqrt(WORDS), 0.5 / sqrt(WORDS), 0.5 / sqrt(WORDS / 12), 0.5 * sqrt(3 / WORDS), 0.5 / sqrt(5 * WORDS))
+#: For P = 5: what the spread of the inner half of normal vectors is scaled by,
+#: and the chi-square value that one in ten thousand of them exceeds.
+CONSISTENT, CUTOFF = 1.9122080587911052, 25.744832
+#: Vectors that a wider group's estimate counts as in a narrower one's.
+PRIOR = 50
+#: Concentration steps at most; they end when no group's determinant falls.
+STEPS = 30
 
 
 def base_stats(df: DataFrame, text: str = "text") -> DataFrame:
@@ -81,70 +84,65 @@ def vectors(stats: DataFrame) -> DataFrame:
     return stats.withColumns({name: F.round(x * UNIT).cast("long") for name, x in zip(FEATURES, f, strict=True)})
 
 
-def _cholesky(d: DataFrame, cov) -> DataFrame:
-    """`d` with l_i_j, the Cholesky factor of cov(i, j)."""
-    for i in range(P):
-        for j in range(i + 1):
-            rest = reduce(lambda a, b: a + b, (F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))
-            x = cov(i, j) - rest
-            d = d.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(x, F.lit(1e-9))) if i == j else x / F.col(f"l_{j}_{j}"))
-    return d
+_PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+_KEY = ["level", "g_lang", "g_source"]
+_PLACE = [f"m_{i}" for i in range(P)]
+_SPREAD = [f"s_{i}_{j}" for i, j in _PAIRS]
+_FACTOR = [f"l_{i}_{j}" for i, j in _PAIRS]
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance by forward substitution."""
-    z: list[Column] = []
-    for i, f in enumerate(FEATURES):
-        x = F.col(f) / UNIT - F.col(f"m_{i}")
-        z.append(reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * z[k], range(i), x) / F.col(f"l_{i}_{i}"))  # noqa: B023
-    return reduce(lambda a, b: a + b, (x * x for x in z))
+def _sum(xs) -> Column:
+    return reduce(lambda a, b: a + b, xs)
 
 
-_EST = [f"m_{i}" for i in range(P)] + [f"l_{i}_{j}" for i in range(P) for j in range(i + 1)]
+def _cholesky(d: DataFrame, scale: float = CONSISTENT) -> DataFrame:
+    """`d` with l_i_j, the Cholesky factor of the scaled spread and the noise."""
+    for i, j in _PAIRS:
+        x = scale * F.col(f"s_{i}_{j}") + (NOISE[i] ** 2 if i == j else 0.0)
+        x = _sum([x, *(-F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j))])
+        d = d.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(x, F.lit(1e-12))) if i == j else x / F.col(f"l_{j}_{j}"))
+    return d
 
 
-def _median(cells: DataFrame, value: str) -> DataFrame:
-    """Lower median of `value` per key and dimension, from counts of values."""
-    by = Window.partitionBy(*_KEY, "dim").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    c = cells.groupBy(*_KEY, "dim", value).agg(F.sum("n").alias("n"))
-    c = c.withColumn("upto", F.sum("n").over(by)).withColumn("total", F.sum("n").over(Window.partitionBy(*_KEY, "dim")))
-    return c.where("2 * upto >= total").groupBy(*_KEY, "dim").agg(F.min(value).alias("med"))
+def _distance(vector: list[Column], prefix: str = "") -> Column:
+    """Squared Mahalanobis distance by forward substitution."""
+    z: list[Column] = []
+    for i, v in enumerate(vector):
+        x = _sum([v - F.col(f"{prefix}m_{i}"), *(-F.col(f"{prefix}l_{i}_{k}") * z[k] for k in range(i))])
+        z.append(x / F.col(f"{prefix}l_{i}_{i}"))
+    return _sum(x * x for x in z)
 
 
-def _start(x: DataFrame) -> DataFrame:
-    """Estimates from medians and median absolute deviations."""
-    values = F.explode(F.array(*(F.struct(F.lit(i).alias("dim"), F.col(f).alias("v")) for i, f in enumerate(FEATURES))))
-    cells = cut(x.select(*_KEY, values.alias("c")).groupBy(*_KEY, "c.dim", "c.v").agg(F.count("*").alias("n")))
-    med = _median(cells, "v")
-    off = cells.join(med, [*_KEY, "dim"]).select(*_KEY, "dim", "n", F.abs(F.col("v") - F.col("med")).alias("off"))
-    mad = _median(off, "off").withColumnRenamed("med", "mad")
-    both = med.join(mad, [*_KEY, "dim"]).groupBy(*_KEY)
-    pick = lambda c, i: F.max(F.when(F.col("dim") == i, F.col(c))) / UNIT
-    e = both.agg(*(pick("med", i).alias(f"m_{i}") for i in range(P)), *(pick("mad", i).alias(f"d_{i}") for i in range(P)))
-    zero = {f"l_{i}_{j}": F.lit(0.0) for i in range(P) for j in range(i)}
-    return e.withColumns(zero | {f"l_{i}_{i}": F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(FLOOR[i])) for i in range(P)}).select(*_KEY, *_EST)
+_VECTOR = [f"v_{i}" for i in range(P)]
 
 
-def _moments(x: DataFrame) -> DataFrame:
-    """Place and spread of the vectors per key, with the floors on the diagonal."""
-    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
-    sums = [F.count("*").cast("double").alias("n"), *(F.sum(f).alias(f"s_{i}") for i, f in enumerate(FEATURES))]
-    e = x.groupBy(*_KEY).agg(*sums, *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q_{i}_{j}") for i, j in pairs))
-    e = e.withColumns({f"m_{i}": F.col(f"s_{i}") / F.col("n") / UNIT for i in range(P)})
-    cov = lambda i, j: F.col(f"q_{i}_{j}") / F.col("n") / UNIT**2 - F.col(f"m_{i}") * F.col(f"m_{j}")
-    return _cholesky(e, lambda i, j: cov(i, j) + (FLOOR[i] ** 2 if i == j else 0.0)).select(*_KEY, *_EST)
+def _moments(x: DataFrame, by: list[str]) -> DataFrame:
+    """Number, place and spread of the vectors of each group, from whole sums."""
+    sums = [F.sum("n").alias("n"), *(F.sum(F.col("n") * F.col(v)).alias(f"a_{i}") for i, v in enumerate(_VECTOR))]
+    sums += [F.sum(F.col("n") * F.col(f"v_{i}") * F.col(f"v_{j}")).alias(f"q_{i}_{j}") for i, j in _PAIRS]
+    e, unit = x.groupBy(*by).agg(*sums), STEP / UNIT
+    e = e.withColumns({f"m_{i}": F.col(f"a_{i}") / F.col("n") * unit for i in range(P)})
+    return e.select(*by, "n", *_PLACE, *((F.col(f"q_{i}_{j}") / F.col("n") * unit**2 - F.col(f"m_{i}") * F.col(f"m_{j}")).alias(f"s_{i}_{j}") for i, j in _PAIRS))
 
 
-def _bin(d2: Column) -> Column:
-    return F.least(F.floor(F.log1p(d2) * 64), F.lit(4000))
+def _starts(x: DataFrame) -> DataFrame:
+    """Three starts a group: medians with median absolute deviations, mean with
+    covariance, and medians with the noise alone. Medians are of counted values,
+    of which a feature has some hundreds, merged before they are shuffled."""
+    med = x.groupBy(*_KEY).agg(*(F.percentile(v, 0.5, F.col("n")).alias(f"c_{i}") for i, v in enumerate(_VECTOR)))
+    med = table(med, "medians")
+    off = [F.percentile(F.abs(F.col(v) - F.col(f"c_{i}")), 0.5, F.col("n")).alias(f"d_{i}") for i, v in enumerate(_VECTOR)]
+    both = x.join(med, _KEY).groupBy(*_KEY).agg(*(F.first(f"c_{i}").alias(f"c_{i}") for i in range(P)), *off)
+    place = [(F.col(f"c_{i}") * STEP / UNIT).alias(f"m_{i}") for i in range(P)]
+    diagonal = lambda f: [(f(i) if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i, j in _PAIRS]
+    mads = both.select(*_KEY, F.lit(0).alias("start"), *place, *diagonal(lambda i: (1.4826 * F.col(f"d_{i}") * STEP / UNIT) ** 2))
+    noise = both.select(*_KEY, F.lit(2).alias("start"), *place, *diagonal(lambda i: F.lit(0.0)))
+    mean = _moments(x, _KEY).select(*_KEY, F.lit(1).alias("start"), *_PLACE, *_SPREAD)
+    return _cholesky(mads.unionByName(mean).unionByName(noise), 1.0).select(*_KEY, "start", *_PLACE, *_FACTOR)
 
 
-def _quantile(x: DataFrame, q: float) -> DataFrame:
-    """Per key the bin of squared distances up to which share q of it lies."""
-    c = x.groupBy(*_KEY, _bin(F.col("d2")).alias("bin")).agg(F.count("*").alias("n"))
-    by = Window.partitionBy(*_KEY)
-    c = c.withColumn("upto", F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(by))
-    return c.where(F.col("upto") >= q * F.col("total")).groupBy(*_KEY).agg(F.min("bin").alias("edge"))
+def _bin(d2: Column) -> Column:
+    return F.least(F.floor(F.log1p(d2) * 64), F.lit(4000)).cast("int")
 
 
 def _name(col: str) -> Column:
@@ -152,39 +150,63 @@ def _name(col: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(col).cast("string")), F.lit("null"))
 
 
+def _least(x: DataFrame) -> DataFrame:
+    """The estimate of least determinant of each group, over its starts."""
+    starts = table(_starts(x), "starts")
+    states, key, before = starts, [*_KEY, "start"], None
+    for _ in range(STEPS):
+        d = x.join(states.select(*key, *_PLACE, *_FACTOR), _KEY).withColumn("bin", _bin(_distance([F.col(v) * STEP / UNIT for v in _VECTOR])))
+        edge = table(d.groupBy(*key).agg(F.floor(F.percentile("bin", 0.5, F.col("n"))).cast("int").alias("edge")), "edges")
+        half = _cholesky(_moments(d.join(edge, key).where("bin <= edge"), key))
+        states = table(half.withColumn("logdet", _sum(2 * F.log(f"l_{i}_{i}") for i in range(P))), "step")
+        now = states.agg(F.round(F.sum("logdet"), 6)).first()[0]
+        if now is None or now == before:
+            break
+        before = now
+    best = states.groupBy(*_KEY).agg(F.min(F.struct(F.round("logdet", 9).alias("logdet"), "start", "n", *_PLACE, *_SPREAD)).alias("b"))
+    return table(best.select(*_KEY, "b.n", *(f"b.{c}" for c in (*_PLACE, *_SPREAD))), "least")
+
+
+def _leaning(narrow: DataFrame, wide: DataFrame, on: list[str]) -> DataFrame:
+    """Narrow groups' estimates, each with PRIOR vectors of its wide group's."""
+    cols = [*_PLACE, *_SPREAD]
+    wide = wide.select(*on, *(F.col(c).alias(f"w_{c}") for c in cols))
+    own = F.col("n") / (F.col("n") + PRIOR)
+    both = narrow.join(wide, on) if on else narrow.join(F.broadcast(wide.limit(1)))
+    return both.select(*_KEY, "n", *((own * F.col(c) + (1 - own) * F.col(f"w_{c}")).alias(c) for c in cols))
+
+
 def estimates(vec: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Place and Cholesky factor per (level, g_lang, g_source): level 2 is a
-    language and source, 1 a language, 0 everything; only groups of LEAST
-    vectors that didn't fail the base rules have one. Nulls are values of their
-    own. Groups are only ever met as sums and counts of bounded bins."""
-    ok = vec.where("not base_failed").select(*FEATURES, _name(lang).alias("jl"), _name(source).alias("js"))
+    """Place and Cholesky factor per (g_lang, g_source), of the vectors that
+    passed the base rules; nulls are values of their own.
+
+    Vectors meet as counts of rounded vectors, by group, by language and over
+    all. Each of these takes, over three starts and steps until no determinant
+    falls, the inner half (up to the bin of the median distance) of least
+    determinant. A group's estimate is pooled with PRIOR vectors of its
+    language's, and that with PRIOR vectors of all, so one without many vectors
+    of its own is judged as its language is, without a limit in between."""
+    ok = vec.where("not base_failed")
+    rounded = [F.round(F.col(f) / STEP).cast("long").alias(f"v_{i}") for i, f in enumerate(FEATURES)]
+    cells = ok.select(_name(lang).alias("jl"), _name(source).alias("js"), *rounded)
+    cells = table(cells.groupBy("jl", "js", *_VECTOR).agg(F.count("*").alias("n")), "cells")
     none = F.lit("")
-    key = lambda level, a, b: F.struct(F.lit(level).alias("level"), a.alias("g_lang"), b.alias("g_source"))
-    levels = F.array(key(2, F.col("jl"), F.col("js")), key(1, F.col("jl"), none), key(0, none, none))
-    x = ok.select(*FEATURES, F.explode(levels).alias("k")).select(*FEATURES, "k.*")
-    enough = x.groupBy(*_KEY).count().where(F.col("count") >= LEAST).select(*_KEY)
-    # written tables have known sizes: small ones are broadcast, others aren't
-    x = table(x.join(table(enough, "groups"), _KEY), "vectors")
-    est = table(_start(x), "start")
-    for _ in range(STEPS):
-        d = x.join(est, _KEY).withColumn("d2", _distance()).select(*_KEY, *FEATURES, "d2")
-        near = d.join(table(_quantile(d, HALF), "edges"), _KEY).where(_bin(F.col("d2")) <= F.col("edge"))
-        est = table(_moments(near), "step")
-    # the half's spread is too small; scale it so that medians agree
-    d = x.join(est, _KEY).withColumn("d2", _distance()).select(*_KEY, "d2")
-    half = _quantile(d, 0.5).select(*_KEY, F.greatest(F.expm1((F.col("edge") + 1) / 64) / CHI_MEDIAN, F.lit(1.0)).alias("scale"))
-    scaled = {f"l_{i}_{j}": F.col(f"l_{i}_{j}") * F.sqrt("scale") for i in range(P) for j in range(i + 1)}
-    return table(est.join(half, _KEY).withColumns(scaled).select(*_KEY, *_EST), "estimates")
+    at = lambda level, a, b: cells.select(F.lit(level).alias("level"), a.alias("g_lang"), b.alias("g_source"), *_VECTOR, "n")
+    wide = at(1, F.col("jl"), none).unionByName(at(0, none, none)).groupBy(*_KEY, *_VECTOR).agg(F.sum("n").alias("n"))
+    least = _least(table(at(2, F.col("jl"), F.col("js")).unionByName(wide), "groups"))
+    level = lambda k: least.where(F.col("level") == k)
+    langs = _leaning(level(1), level(0), [])
+    own = _leaning(level(2), langs, ["g_lang"])
+    return table(_cholesky(own).select("g_lang", "g_source", *_PLACE, *_FACTOR), "estimates")
 
 
 def judge(vec: DataFrame, est: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """`vec` with `distance` (squared, by the narrowest group that has an
-    estimate, null if none has) and `kept`: false where the base rules failed
-    or the distance is over CUTOFF. Rows aren't lost or repeated."""
-    d = vec.withColumns({"_jl": _name(lang), "_js": _name(source)})
-    for level, on in ((2, [("_jl", "g_lang"), ("_js", "g_source")]), (1, [("_jl", "g_lang")]), (0, [])):
-        e = est.where(F.col("level") == level).select(*(F.col(b).alias(f"_e{b}") for _, b in on), *_EST)
-        cond = reduce(lambda a, b: a & b, (F.col(a) == F.col(f"_e{b}") for a, b in on)) if on else F.lit(True)
-        d = d.join(F.broadcast(e) if level == 0 else e, cond, "left").withColumn(f"_d{level}", _distance()).drop(*_EST, "_eg_lang", "_eg_source")
-    d = d.withColumn("distance", F.coalesce("_d2", "_d1", "_d0"))
-    return d.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).drop("_d2", "_d1", "_d0", "_jl", "_js")
+    """`vec` with `distance` (squared, from its group; null where no vector of
+    the group passed the base rules) and `kept`: false where the base rules
+    failed or the distance is over CUTOFF. Rows aren't lost or repeated; columns
+    of these two names are replaced."""
+    e = est.select(F.col("g_lang").alias("_jl"), F.col("g_source").alias("_js"), *(F.col(c).alias(f"_e_{c}") for c in (*_PLACE, *_FACTOR)))
+    d = vec.withColumns({"_jl": _name(lang), "_js": _name(source)}).join(e, ["_jl", "_js"], "left")
+    d = d.withColumn("distance", _distance([F.col(f) / UNIT for f in FEATURES], "_e_"))
+    d = d.drop("_jl", "_js", *(f"_e_{c}" for c in (*_PLACE, *_FACTOR)))
+    return d.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF))

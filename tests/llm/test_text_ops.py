@@ -1,5 +1,11 @@
+import html as html_lib
+import random
 import re
+import time
 from collections import defaultdict
+from html.parser import HTMLParser
+
+import pytest
 
 from tidemark.llm import html_text, license_scan, line_dedup
 from tidemark.llm.q_text import op4_license, op6_html, op10_line_dedup, op10_line_dedup_all
@@ -95,17 +101,135 @@ def test_main_text_searches_everywhere():
     assert html_text.main_text(f"<article>{links}</article><main>{body}</main>") == want
 
 
-def test_html_query(spark):
-    import html
+class Tree(HTMLParser):
+    """Lines of a well-formed page: (text, characters outside links, in an article, in a main element, boilerplate)."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=False)
+        self.path, self.out, self.raw = [], [], []
+        self.feed(page)
+        self.end()
+
+    def end(self):
+        names = [n for n, _ in self.path]
+        text = " ".join(html_lib.unescape("".join(t for t, _ in self.raw)).split())
+        if text:
+            never = any(n in ("nav", "footer", "aside", "form", "head") or re.search("ad|comments|notice", c) for n, c in self.path)
+            self.out.append((text, sum(len(t) for t, link in self.raw if not link and t.strip()), "article" in names, "main" in names, never))
+        self.raw = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.raw.append((" ", True))
+        elif tag in ("a", "b"):
+            self.path.append((tag, ""))
+        elif tag != "meta":
+            self.end()
+            self.path.append((tag, dict(attrs).get("class") or ""))
+
+    def handle_endtag(self, tag):
+        if tag not in ("a", "b"):
+            self.end()
+        while self.path.pop()[0] != tag:
+            pass
+
+    def handle_data(self, t):
+        if self.path and self.path[-1][0] not in ("script", "style", "title"):
+            self.raw.append((t, any(n == "a" for n, _ in self.path)))
+
+    def handle_entityref(self, t):
+        self.handle_data(f"&{t};")
+
+    def handle_charref(self, t):
+        self.handle_data(f"&#{t};")
+
+
+def by_hand(page):
+    """Lines that weigh something belong together unless three lines that weigh
+    nothing lie between; a group with 120 in three lines is text."""
+    rows = Tree(page).out
+    total = sum(r[1] for r in rows if not r[4])
+    known = next((k for k in (2, 3) if 0 < sum(r[1] for r in rows if r[k] and not r[4]) >= total / 4), None)
+    ls = []
+    for text, plain, art, main, never in rows:
+        if never:
+            if not (ls and ls[-1] == (None, 0)):
+                ls.append((None, 0))
+        elif known and not (art, main)[known - 2]:
+            ls.append(("", 0))
+        else:
+            ls.append((text, plain * (120 if known else 1)))
+    ls = [(None if t == "" else t, w) for t, w in ls]
+    heavy = [i for i, (_, w) in enumerate(ls) if w]
+    groups = []
+    for i in heavy:
+        if groups and i - groups[-1][-1] <= 3:
+            groups[-1].append(i)
+        else:
+            groups.append([i])
+    peak = lambda lo, hi: max(sum(w for _, w in ls[k : k + 3]) for k in range(max(0, lo - 2), hi + 1))
+    rise = min(120, max((peak(g[0], g[-1]) for g in groups), default=0))
+    return "\n".join(t for g in groups if peak(g[0], g[-1]) >= rise for t, _ in ls[g[0] : g[-1] + 1] if t is not None)
+
+
+def random_page(rng):
+    word = lambda: "".join(rng.choice("abcdefgé") for _ in range(rng.randint(1, 8)))
+    text = lambda n: " ".join(word() for _ in range(n)) + rng.choice(["", "&amp;", "&eacute;", "<br>x", " <b>y</b> "])
+    para = lambda: f"<p>{text(rng.choice([2, 5, 30, 80]))}</p>"
+    link = lambda: f'<div><a href="/{word()}">{text(4)}</a></div>'
+    extra = [lambda: f'<div class="ad">{text(6)}</div>', lambda: f"<aside>{para()}{para()}</aside>", lambda: f"<form><p>{text(3)}</p></form>", lambda: f'<section class="comments">{para()}</section>', link]
+    part = lambda: "".join(rng.choice([para, para, para, rng.choice(extra), lambda: link() * rng.randint(1, 5)])() for _ in range(rng.randint(0, 9)))
+    box = rng.choice(["div", "article", "article", "main"])
+    body = "".join(f"<{box}>{'<h1>' + text(5) + '</h1>' if k == 0 else ''}{part()}</{box}>{rng.choice(['', part()])}" for k in range(rng.choice([1, 1, 2, 3])))
+    return f"<html><head><title>t</title></head><body><nav>{link() * 4}</nav>{rng.choice(['', part()])}{body}<footer><p>{text(9)}</p></footer></body></html>"
+
+
+def test_main_text_against_brute_force():
+    rng = random.Random(5)
+    pages = [random_page(rng) for _ in range(600)]
+    assert sum("<article>" in p for p in pages) > 200
+    for p in pages:
+        assert html_text.main_text(p) == by_hand(p), p
 
+
+def test_html_query(spark):
     got = {r.page_id: r for r in op6_html(spark, SF).collect()}
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
     assert len(got) == len(pages)
     for r in pages:
         body = re.sub("<br>", " ", re.search("<article>(.*?)</article>", r.html, re.S)[1])
-        blocks = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]+>", "", b))).strip() for b in re.split("</?(?:p|h1)>", body)]
+        blocks = [re.sub(r"\s+", " ", html_lib.unescape(re.sub("<[^>]+>", "", b))).strip() for b in re.split("</?(?:p|h1)>", body)]
         assert got[r.page_id].text == "\n".join(b for b in blocks if b)
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
+        # the distribution finds the same text without the elements
+        assert html_text.main_text(re.sub("<(/?)article>", r"<\1div>", r.html)) == got[r.page_id].text
+
+
+def test_structure_only_weighs():
+    long = "Words of the article itself. " * 9
+    teaser = f'<article><p class="teaser">Lead.</p><p>{long}</p></article>'
+    assert html_text.main_text(teaser) == "Lead.\n" + long.strip()
+    assert html_text.main_text(f"<article><p>One.</p></article><div>{'<p><a>x</a></p>' * 5}</div><article><p>{long}</p></article>") == "One.\n" + long.strip()
+    # articles that hold next to nothing don't decide
+    assert html_text.main_text(f"<article><a>Other story</a> new</article><div><p>{long}</p><p>{long}</p></div>").count("Words") == 18
+    assert html_text.main_text(f'<div class="widget"><h1>Head</h1><p>{long}</p></div>') == "Head\n" + long.strip()
+    assert html_text.main_text(f"<article><p>{long} <span class=ad>Buy</span> end</p></article>") == long.strip() + " end"
+    assert html_text.main_text(f"<article><p>{long}</p><p class=ad>Buy<p>End</article>") == long.strip() + "\nEnd"
+    assert html_text.main_text("<p>a <b and c's > d</p> <p>it's</p>") == "a d\nit's"
+
+
+@pytest.mark.parametrize("piece", ["<div class=ad>", "<p class='", '<a href="', "<", "<!--", "<textarea>", "<p>x</p>", "</div>", "<b x=y", "<![CDATA[", "&amp", "<div class=ad><p>", "id " * 9, "<a " + " " * 50])
+def test_hostile_pages_take_linear_time(piece):
+    def took(n):
+        page = piece * (n // len(piece))
+        best = 9.0
+        for _ in range(3):
+            start = time.perf_counter()
+            html_text.main_text(page)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    assert took(1_000_000) < 12 * took(125_000) + 0.1
 
 
 def test_html_odd_rows(spark):

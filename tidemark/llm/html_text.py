@@ -1,10 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one a block. Sums of text outside links over
-sliding windows of lines rise where the article begins and fall where it ends;
-the lines between the first rise and the last fall to nothing are kept. Elements that by
-their name, role or class are menus, adverts and the like give no lines. Where
-there are article elements, or else a main element, each one is searched by itself.
+Markup is stripped into lines, one a block. A line weighs its characters outside
+links. Where the sum of weights over a sliding window of lines has fallen to
+nothing a stretch of text ends (its dive point), and where it rises from nothing
+the next one begins (its surge point); a stretch whose window sums reach a rise
+is kept, from its first line that weighs something to its last.
+
+Elements only set weights. Lines of menus, adverts, forms and the like, known by
+name, role or class, weigh nothing and are never text; those in a row count as
+one. Where article elements (or else main elements) hold a fair share of the
+weight, lines outside them weigh nothing too, and any of theirs makes a rise.
+A page is read in linear time, whatever it leaves unclosed.
 """
 
 from __future__ import annotations
@@ -12,151 +18,283 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines in a window, and the text in a window (outside links) that is a rise.
+#: Lines in a window, and the weight of a window that is a rise.
 WINDOW, RISE = 3, 120
+#: Share of a page's weight that article elements must hold to set weights.
+FAIR = 0.25
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select", "xmp", "noembed", "noframes"}
-_NEVER = {"head", "nav", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "datalist"}
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"""(>)|=\s*(["'])""")
+_ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_SPACE = re.compile(r"\s+")
+_VOID = {*"area base br col embed hr img input link meta param source track wbr".split()}
+_RAW = {*"script style noscript template textarea title iframe svg math object canvas audio video select xmp noembed noframes".split()}
+_NEVER = {*"head nav footer aside form button menu dialog fieldset datalist".split()}
 _BLOCKS = {
     *"address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split()
 }
-_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
+#: Elements that the end of what they stand in closes, and those that the next
+#: one of a kind does (any block closes a p).
+_OPTIONAL = {*"p li dt dd tr td th option optgroup".split()}
+_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option", "optgroup"}}
+_ROLES = {*"navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()}
 _WORDS = {
-    *"ad ads adbox adslot advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations widget pagination pager search skip alert paywall teaser".split()
+    *"ad ads adbox adslot advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations widget pagination pager search skip alert paywall".split()
 }
+#: Class words that tell of a layout, not of what an element holds.
 _LAYOUT = {"has", "with", "no", "without", "is", "js", "hide", "show"}
-_SPACE = re.compile(r"\s+")
+#: What a part of a page doesn't hold: a class on an element around one of these
+#: names a wrapper.
+_CORE = {"article", "main", "h1"}
+
+
+class _Tag(NamedTuple):
+    start: int
+    end: int
+    name: str
+    close: bool
+    attrs: str
+
+
+class _Line(NamedTuple):
+    text: str
+    #: characters outside links
+    plain: int
+    #: "": anywhere, "a": in an article, "m": in a main element, "x": never text
+    place: str
+    heading: bool
+
+
+def _tags(page: str) -> Iterator[_Tag]:
+    """The tags of a page in order; comments, declarations and elements whose
+    text is no prose come as nameless tags. No part is searched twice: what was
+    once not found further on isn't looked for again."""
+    gone: set[str] = set()
+
+    def find(what: str, at: int) -> int:
+        if what in gone:
+            return -1
+        k = page.find(what, at)
+        if k < 0:
+            gone.add(what)
+        return k
+
+    def tag_end(at: int) -> int:
+        """After the > that closes a tag, quoted ones apart; -1 if none does."""
+        first = at
+        while "tag" not in gone:
+            m = _STOP.search(page, at)
+            if not m:
+                gone.add("tag")
+            elif m[1]:
+                return m.end()
+            else:
+                k = find(m[2], m.end())
+                if k < 0:
+                    gone.add("tag")  # an open quote: from here on any > closes
+                at = k + 1
+        return find(">", first) + 1 or -1
+
+    at = 0
+    while (at := page.find("<", at)) >= 0:
+        nxt = page[at + 1 : at + 2]
+        if nxt in ("!", "?"):
+            if page.startswith("<!--", at):
+                end = find("-->", at + 4)
+                end = len(page) if end < 0 else end + 3
+            elif page.startswith("<![CDATA[", at) and (k := find("]]>", at)) >= 0:
+                end = k + 3
+            else:
+                end = find(">", at) + 1 or at + 1
+            yield _Tag(at, end, "", False, "")
+            at = end
+            continue
+        close = nxt == "/"
+        m = _NAME.match(page, at + 1 + close)
+        end = tag_end(m.end()) if m else -1
+        if end < 0:
+            at += 1
+            continue
+        name = m[0].lower()
+        if not close and name in _RAW and not (name in ("svg", "math") and page[end - 2] == "/"):
+            mark = f"</{name}"
+            back = _closing(name).search(page, end) if mark not in gone else None
+            if back:
+                yield _Tag(at, back.end(), "", False, "")
+                at = back.end()
+                continue
+            gone.add(mark)
+            if name in ("script", "style"):
+                yield _Tag(at, len(page), "", False, "")
+                return
+        yield _Tag(at, end, name, close, page[m.end() : end - 1])
+        at = end
+
+
+_CLOSING: dict[str, re.Pattern] = {}
 
 
-def _boilerplate(name: str, attrs: str, inside: bool) -> bool:
-    """Whether an element holds something else than the article."""
-    if name in _NEVER or (name == "header" and not inside):
-        return True
-    if not attrs or name in ("html", "body", "main", "a"):
-        return False
-    for m in _ATTR.finditer(attrs):
+def _closing(name: str) -> re.Pattern:
+    if name not in _CLOSING:
+        _CLOSING[name] = re.compile(rf"</{name}\s*>", re.I)
+    return _CLOSING[name]
+
+
+def _named(tag: _Tag, inside: bool) -> str:
+    """"name" or "class" if that tells that an element isn't text, else empty."""
+    if tag.name in _NEVER or (tag.name == "header" and not inside):
+        return "name"
+    if not tag.attrs.strip() or tag.name in ("html", "body", "main", "a"):
+        return ""
+    for m in _ATTR.finditer(tag.attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" and not value.startswith("until") or key == "aria-hidden" and value == "true":
-            return True
+            return "name"
         if key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return "name"
         if key == "role" and value in _ROLES:
-            return True
+            return "class"
         if key in ("class", "id"):
             for c in value.split():
                 parts = re.split(r"[-_:]+", c)
-                if parts[0] not in _LAYOUT and (parts[0] in _WORDS or parts[-1] in _WORDS):
-                    return True
-    return False
+                if not _LAYOUT.intersection(parts) and (parts[0] in _WORDS or parts[-1] in _WORDS):
+                    return "class"
+    return ""
+
+
+def _excluded(tags: list[_Tag]) -> list[tuple[int, int]]:
+    """Numbers of the tags where an element without text begins and ends. Only
+    closed elements count: the name of one that isn't closed before what it
+    stands in says nothing about what follows."""
+    out: list[tuple[int, int]] = []
+    stack: list[tuple[str, int, str, int]] = []  # name, number, why not text, cores before
+    depth: dict[str, int] = {}
+    articles = cores = 0
+
+    def pop(at: int, closed: bool) -> None:
+        nonlocal articles
+        name, first, why, before = stack.pop()
+        depth[name] -= 1
+        articles -= name == "article"
+        if closed and (why == "name" or why == "class" and cores == before):
+            out.append((first, at))
+
+    for i, t in enumerate(tags):
+        if not t.name or t.name in _VOID:
+            continue
+        if t.close:
+            if depth.get(t.name):
+                while stack[-1][0] != t.name:
+                    pop(i, stack[-1][0] in _OPTIONAL)
+                pop(i, True)
+            continue
+        if stack and (stack[-1][0] in _SELF.get(t.name, ()) or (stack[-1][0] == "p" and t.name in _BLOCKS)):
+            pop(i, True)
+        why = _named(t, articles > 0)
+        if t.name in _BLOCKS or why:
+            stack.append((t.name, i, why, cores + (t.name in _CORE)))
+            depth[t.name] = depth.get(t.name, 0) + 1
+            articles += t.name == "article"
+        cores += t.name in _CORE
+    return out
 
 
-def _lines(page: str, by_class: bool = True) -> list[tuple[str, int, int, bool]]:
-    """(text, characters outside links, article number or 0, heading) a block."""
-    out: list[tuple[str, int, int, bool]] = []
+def lines(page: str) -> list[_Line]:
+    """A page's lines; those that are never text in a row as one empty line."""
+    tags = list(_tags(page))
+    opens, ends = [0] * (len(tags) + 1), [0] * (len(tags) + 1)
+    for a, b in _excluded(tags):
+        opens[a] += 1
+        ends[b] += 1
+    out: list[_Line] = []
     parts: list[str] = []
-    plain = links = article = articles = main = 0
+    plain = links = articles = mains = never = at = 0
     heading = False
-    open_articles = 0
 
     def flush() -> None:
         nonlocal parts, plain
         if parts:
             t = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if t:
-                out.append((t, plain, article or (-1 if main else 0), heading))
+                out.append(_Line(t, plain, "a" if articles else "m" if mains else "", heading))
         parts, plain = [], 0
 
-    at, n, ignore = 0, len(page), set()
-    while True:
-        m = _TAG.search(page, at)
-        text = page[at : m.start() if m else n]
-        if text:
+    for i, t in enumerate([*tags, _Tag(len(page), len(page), "", False, "")]):
+        text = page[at : t.start]
+        if text and not never:
             parts.append(text)
-            if not links:
-                plain += len(text) if not text.isspace() else 0
-        if not m:
-            break
-        at, name = m.end(), (m[2] or "").lower()
-        if not name:
-            continue
-        close = m[1] == "/"
-        if not close and name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            if end:
-                at = end.end()
-            elif name in ("script", "style"):
-                at = n
-            continue
-        if not close and m.start() not in ignore and (_boilerplate(name, m[3] if by_class else "", bool(article))):
-            depth, k = 1, at
-            same = re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])(?:[^'\">]|\"[^\"]*\"|'[^']*')*>", re.I)
-            while depth:
-                e = same.search(page, k)
-                if not e:
-                    break
-                depth += -1 if e[1] else 1
-                k = e.end()
-            if not depth:
-                flush()
-                at = k
-                continue
-            ignore.add(m.start())  # never closed: its name says nothing about what follows
-        if name == "a":
-            links = max(0, links + (-1 if close else 1))
-        elif name in _BLOCKS:
+            if not links and not text.isspace():
+                plain += len(text)
+        at = t.end
+        never += opens[i] - ends[i]
+        if opens[i] and t.name in _BLOCKS:
+            flush()
+            if not (out and out[-1].place == "x"):
+                out.append(_Line("", 0, "x", False))
+        if t.name == "a":
+            links = max(0, links + (-1 if t.close else 1))
+        elif t.name in _BLOCKS:
             flush()
             links = 0
-            if name == "article":
-                open_articles = max(0, open_articles + (-1 if close else 1))
-                if not close and open_articles == 1:
-                    articles += 1
-                article = articles if open_articles else 0
-            elif name == "main":
-                main = 0 if close else 1
-            heading = not close and name in ("h1", "h2", "h3")
-        elif name in ("br", "td", "th"):
+            if t.name == "article":
+                articles = max(0, articles + (-1 if t.close else 1))
+            elif t.name == "main":
+                mains = 0 if t.close else 1
+            heading = not t.close and t.name in ("h1", "h2", "h3")
+        elif t.name in ("br", "td", "th"):
             parts.append(" ")
     flush()
     return out
 
 
+def weights(page_lines: list[_Line]) -> list[int]:
+    """What each line weighs; -1 for one that is never text."""
+    total = sum(x.plain for x in page_lines)
+    for place in "am":
+        held = sum(x.plain for x in page_lines if x.place == place)
+        if held and held >= FAIR * total:
+            return [x.plain * RISE if x.place == place else -1 for x in page_lines]
+    return [-1 if x.place == "x" else x.plain for x in page_lines]
+
+
 def main_text(page: str) -> str:
-    """The article of a page, its blocks joined by newlines; empty if none."""
-    lines = _lines(page) or _lines(page, by_class=False)
-    for bound in (lambda k: k > 0, lambda k: k < 0):
-        parts = dict.fromkeys(k for _, _, k, _ in lines if bound(k))
-        if found := [t for p in parts for t in _search([x for x in lines if x[2] == p])]:
-            return "\n".join(found)
-    return "\n".join(_search(lines))
-
-
-def _search(lines: list[tuple[str, int, int, bool]]) -> list[str]:
-    """The texts from the surge to the dive, with the plain lines and headings
-    that adjoin them; none if all text is in links."""
-    weight = [w for _, w, _, _ in lines]
-    sums = [sum(weight[i : i + WINDOW]) for i in range(len(lines))]
-    rise = min(RISE, max(sums, default=0))
-    high = [i for i, s in enumerate(sums) if s >= rise and s]
-    if not high:
-        return []
-    surge, dive = high[0], high[-1]
-    while not weight[surge]:
-        surge += 1
-    dive = min(dive + WINDOW - 1, len(lines) - 1)
-    while not weight[dive]:
-        dive -= 1
-    while dive + 1 < len(lines) and weight[dive + 1]:
-        dive += 1
-    while surge and (weight[surge - 1] or lines[surge - 1][3]):
-        surge -= 1
-    return [t for t, _, _, _ in lines[surge : dive + 1]]
+    """The main text of a page, its blocks joined by newlines; empty if none."""
+    ls = lines(page)
+    weigh = weights(ls)
+    n = len(ls)
+    # sums over the window that begins with a line
+    upto = [0]
+    for w in weigh:
+        upto.append(upto[-1] + max(w, 0))
+    sums = [upto[min(i + WINDOW, n)] - upto[i] for i in range(n)]
+    rise = max(1, min(RISE, max(sums, default=0)))
+    kept: list[str] = []
+    i = 0
+    while i < n:
+        if not sums[i]:
+            i += 1
+            continue
+        surge = dive = i
+        while dive < n and sums[dive]:
+            dive += 1
+        i = dive
+        if max(sums[surge:dive]) < rise:
+            continue
+        # trim what weighs nothing, but not a heading right before the text
+        while weigh[surge] <= 0:
+            surge += 1
+        while surge and weigh[surge - 1] == 0 and ls[surge - 1].heading:
+            surge -= 1
+        while weigh[dive - 1] <= 0:
+            dive -= 1
+        kept += [ls[k].text for k in range(surge, dive) if weigh[k] >= 0]
+    return "\n".join(kept)
 
 
 def extract(df: DataFrame, page: str = "html", out: str = "text") -> DataFrame:

@@ -47,7 +47,8 @@ def least(x):
         c, last = c + NOISE, None
         while True:
             d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-            near = np.floor(np.log1p(d2) * 64) <= np.floor(np.percentile(np.floor(np.log1p(d2) * 64), 50))
+            bins = np.floor(np.log1p(d2) * 64)
+            near = bins <= np.sort(bins)[(len(bins) + 1) // 2 - 1]
             m = x[near].mean(0)
             s = np.cov(x[near].T, bias=True).reshape(5, 5)
             c = 1.9122080587911052 * s + NOISE

@@ -1,10 +1,10 @@
 """Line dedup by a log-template tree of fixed depth.
 
-A line's path in the tree is its number of tokens and its first tokens, tokens
-with digits being variable fields already. In a leaf the other tokens form three
-spans; lines that agree on all but one span are lines of one template, whose
-differing span is a variable field. A template that recurs in enough documents
-is dropped from all of them but the first. Only DataFrame code.
+A line's path in the tree is its number of tokens and its leading tokens, those
+with digits being variable fields. In a leaf, a token that enough lines have at
+its position is constant and any other one is a variable field; lines that agree
+on all constants are lines of one template. A template with few enough variable
+fields that recurs in enough documents is dropped. Only DataFrame code.
 """
 
 from __future__ import annotations
@@ -12,60 +12,83 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, WORD, text_of
+from tidemark.llm.common import SPACE, once, text_of
 from tidemark.runtime import table
 
-#: Leading tokens on a path; a line of fewer tokens than LEAST is no template;
-#: one of fewer than SPANS_FROM is a template only as it stands.
-LEADING, LEAST, SPANS_FROM = 2, 4, 8
-#: Documents that a template must be in to be dropped.
+#: Leading tokens on a path, or a third of the tokens where that is fewer; lines
+#: of fewer tokens than FIELDS have no variable fields but those with digits.
+LEADING, FIELDS = 2, 4
+#: Documents that a template must be in to be dropped, and lines of a leaf that
+#: a constant token must be in.
 MIN_DOCS = 5
+#: Most of a line's tokens, in tenths, that may be variable fields: of those
+#: without digits, and in all.
+WORDS_VARY, ALL_VARY = 3, 5
+_ANY = "<*>"
 
 
-def _tokens(line: Column) -> Column:
-    masked = F.regexp_replace(line, f"{WORD}*[0-9]{WORD}*", "<*>")
-    return F.filter(F.split(masked, SPACE + "+"), lambda w: w != "")
+def _masked(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), _ANY).otherwise(t))
 
 
-def _templates(tok: Column, every: bool) -> Column:
-    """The keys of a line's templates: one a span, or one for a short line; with
-    `every`, one for each token that may vary in a line of LEAST to SPANS_FROM
-    - 1 tokens (what recurs as it stands recurs in each of these)."""
-    n = F.size(tok)
-    lead, third = F.xxhash64(n, F.slice(tok, 1, LEADING)), F.ceil((n - LEADING) / 3).cast("int")
-    span = lambda k: F.xxhash64(F.slice(tok, LEADING + 1 + k * third, third))
-    a, b, c = span(0), span(1), F.xxhash64(F.slice(tok, LEADING + 1 + 2 * third, third))
-    whole = F.array(F.xxhash64(F.lit(0), tok))
-    if every:
-        vary = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.lit(4), n, i, F.slice(tok, F.lit(1), i - 1), F.slice(tok, i + 1, n - i)))
-        whole = F.when(n < LEAST, whole).otherwise(vary)
-    return F.when(n < SPANS_FROM, whole).otherwise(
-        F.array(F.xxhash64(F.lit(1), lead, b, c), F.xxhash64(F.lit(2), lead, a, c), F.xxhash64(F.lit(3), lead, a, b))
-    )
+def _leading(n: Column) -> Column:
+    """Tokens of a line on its path: all of a short one."""
+    return F.when(n < FIELDS, n).otherwise(F.least(F.lit(LEADING), F.floor(n / 3))).cast("int")
 
 
-def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, every: bool = False) -> DataFrame:
+def _lines(d: DataFrame, id_col: str, text: str) -> DataFrame:
+    """`(_dk, _id, pos, line, n, leaf)` for every line with a token."""
+    lines = d.select("_dk", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    lines = once(lines, "_tok", F.filter(F.split("line", SPACE + "+"), lambda w: w != "")).where(F.size("_tok") > 0)
+    n = F.size("_tok")
+    return lines.select("_dk", "_id", "pos", "line", n.alias("n"), F.xxhash64(n, _masked(F.slice("_tok", F.lit(1), _leading(n)))).alias("leaf"))
+
+
+def _templates(lines: DataFrame, least: int) -> DataFrame:
+    """`(_dk, _id, pos, key)` for the lines whose leaf has at least `least`
+    lines, with a key for each template."""
+    full = lines.groupBy("leaf").count().where(F.col("count") >= least).select("leaf")
+    some = lines.join(full, "leaf")
+    tok = _masked(F.filter(F.split("line", SPACE + "+"), lambda w: w != ""))
+    some = table(some.select("_dk", "_id", "pos", "n", "leaf", tok.alias("tok"), F.monotonically_increasing_id().alias("no")), "candidates")
+    short = some.where((F.col("n") < FIELDS) & F.exists("tok", lambda t: t != _ANY)).select("_dk", "_id", "pos", F.col("leaf").alias("key"))
+    rest = some.where(F.col("n") >= FIELDS)
+    at = rest.select("no", "leaf", F.posexplode("tok").alias("at", "t")).where(F.col("t") != _ANY).select("no", "at", F.xxhash64("leaf", "at", "t").alias("h"))
+    constant = at.groupBy("h").count().where(F.col("count") >= least).select("h")
+    known = at.join(constant, "h", "left_semi").groupBy("no").agg(F.collect_set("at").alias("_at"))
+    rest = rest.join(known, "no")
+    digits = F.size(F.filter("tok", lambda t: t == _ANY))
+    words = F.col("n") - F.size("_at") - digits
+    fit = (10 * words <= WORDS_VARY * F.col("n")) & (10 * (words + digits) <= ALL_VARY * F.col("n"))
+    template = F.transform("tok", lambda t, i: F.when(F.array_contains("_at", i), t).otherwise(_ANY))
+    return short.unionByName(rest.where(fit).select("_dk", "_id", "pos", F.xxhash64("leaf", template).alias("key")))
+
+
+def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, keep_first: bool = True) -> DataFrame:
     """`df` with recurring lines taken out of `text`, and `n_lines`, `n_dropped`.
 
-    The document of smallest id (then smallest hash; no id last) keeps a
-    template's lines. A document is a row's id and text: rows that are equal in
+    A line is a template's if its leaf and its constant tokens are. With
+    `keep_first` the document of smallest id (then smallest hash; no id last)
+    keeps a template's lines, so that what many copies share stays once; without,
+    they go from all. A document is a row's id and text: rows that are equal in
     both count as one. Null texts stay null with no lines; an empty text is one
-    empty line; a text that loses all its lines becomes empty; no row is lost.
-    Columns of the new names are replaced. With `every`, lines of 1 to LEAST - 1
-    tokens count too, as they stand, and any one token of a line of LEAST to
-    SPANS_FROM - 1 is a variable field; only blank lines stay out.
-
-    Lines are counted by (template, document), then by template, with partial
-    aggregation, and flagged by a join that adaptive execution can split, so a
-    template in a third of all rows loads no single task.
+    empty line; lines without a token, and those of fewer than FIELDS tokens that
+    all have digits, stay; a text that loses all its lines becomes empty; no row
+    is lost. Columns of the new names are replaced.
+
+    Leaves, tokens of a leaf, and templates are counted with partial aggregation
+    and joined back by joins that adaptive execution can split, so a template in
+    a third of all rows loads no single task. Tokens are only spread out for
+    lines whose leaf is full enough.
     """
     d = df.drop("n_lines", "n_dropped").withColumn("_dk", F.xxhash64(F.col(id_col), text_of(df, text)))
-    lines = d.select("_dk", F.col(id_col).alias("_id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    lines = lines.withColumn("tok", _tokens(F.col("line"))).where(F.size("tok") >= (1 if every else LEAST))
-    keyed = table(lines.select("_dk", F.coalesce(F.col("_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"), "pos", F.explode(_templates(F.col("tok"), every)).alias("key")), "templates")
+    keyed = table(_templates(table(_lines(d, id_col, text), "lines"), min_docs), "templates")
     docs = keyed.groupBy("key", "_dk").agg(F.min("_id").alias("_id"))
     common = docs.groupBy("key").agg(F.count("*").alias("docs"), F.min(F.struct("_id", "_dk"))["_dk"].alias("first")).where(F.col("docs") >= min_docs)
-    flagged = keyed.join(common, "key").where("_dk <> first").groupBy("_dk").agg(F.collect_set("pos").alias("_drop"))
+    goes = keyed.join(common, "key")
+    if keep_first:
+        goes = goes.where("_dk <> first")
+    flagged = goes.groupBy("_dk").agg(F.collect_set("pos").alias("_drop"))
     out = d.join(flagged, "_dk", "left").withColumn("_all", F.split(text, "\n"))
     n, gone = F.coalesce(F.size("_all"), F.lit(0)), F.coalesce(F.size("_drop"), F.lit(0))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), "_drop"), lambda i: F.get("_all", i))

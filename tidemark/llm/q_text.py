@@ -46,19 +46,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", "text")
 
 
-def op10_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without its recurring lines, those of few tokens too."""
-    out = line_dedup.drop_recurring_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), every=True)
-    return out.select("doc_id", "n_lines", "n_dropped", "text")
-
-
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_quality_rules": op3_quality_rules,
     "op4_license": op4_license,
     "op6_html": op6_html,
     "op10_line_dedup": op10_line_dedup,
-    "op10_line_dedup_all": op10_line_dedup_all,
 }
 
 
@@ -79,12 +72,16 @@ ORACLE_SQL = {
  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, u ORDER BY dice DESC, name DESC) AS r FROM d)
  SELECT doc_id, name AS license, round(max(dice), 6) AS dice, count(*) AS n_units FROM r WHERE r = 1 AND dice >= 0.8 - 1e-12 GROUP BY doc_id, name""",
     "op10_line_dedup": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
- k AS (SELECT *, list_filter(regexp_split_to_array(regexp_replace(line, '{_BLANK.replace("[", "[^")}*[0-9]{_BLANK.replace("[", "[^")}*', '<*>', 'g'), '{_BLANK}+'), lambda w: w <> '') AS w FROM l),
- n AS (SELECT *, len(w) AS n, CAST(ceil((len(w) - 2) / 3) AS BIGINT) AS m FROM k),
- p AS (SELECT *, n || ' ' || array_to_string(w[1:2], ' ') || ' | ' AS h, array_to_string(w[3:2 + m], ' ') AS a, array_to_string(w[3 + m:2 + 2 * m], ' ') AS b, array_to_string(w[3 + 2 * m:], ' ') AS c FROM n WHERE n >= 4),
- t AS (SELECT doc_id, pos, unnest(CASE WHEN n < 8 THEN ['0 ' || array_to_string(w, ' ')] ELSE ['1 ' || h || b || ' | ' || c, '2 ' || h || a || ' | ' || c, '3 ' || h || a || ' | ' || b] END) AS key FROM p),
- c AS (SELECT key, min(doc_id) AS first FROM t GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
- g AS (SELECT DISTINCT doc_id, pos FROM t JOIN c USING (key) WHERE doc_id <> first),
+ k AS (SELECT doc_id, pos, line, list_transform(list_filter(regexp_split_to_array(line, '{_BLANK}+'), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS w FROM l),
+ n AS (SELECT *, len(w) AS n, w[1:CASE WHEN len(w) < 4 THEN len(w) ELSE least(2, len(w) // 3) END] AS lead FROM k WHERE len(w) > 0),
+ f AS (SELECT *, row_number() OVER () AS no FROM n SEMI JOIN (SELECT n, lead FROM n GROUP BY ALL HAVING count(*) >= 5) AS g USING (n, lead)),
+ a AS (SELECT no, n, lead, unnest(w) AS t, generate_subscripts(w, 1) AS at FROM f WHERE n >= 4),
+ c AS (SELECT n, lead, at, t FROM a WHERE t <> '<*>' GROUP BY ALL HAVING count(*) >= 5),
+ v AS (SELECT no, max(n) AS n, list(CASE WHEN c.t IS NULL THEN '<*>' ELSE a.t END ORDER BY a.at) AS template, count(*) FILTER (a.t = '<*>') AS digits, count(*) FILTER (a.t <> '<*>' AND c.t IS NULL) AS words FROM a LEFT JOIN c USING (n, lead, at, t) GROUP BY no),
+ t AS (SELECT doc_id, pos, n, lead, w AS template FROM f WHERE n < 4 AND len(list_filter(w, lambda x: x <> '<*>')) > 0
+  UNION ALL SELECT doc_id, pos, f.n, lead, template FROM f JOIN v USING (no) WHERE 10 * words <= 3 * f.n AND 10 * (words + digits) <= 5 * f.n),
+ r AS (SELECT n, lead, template, min(doc_id) AS first FROM t GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5),
+ g AS (SELECT DISTINCT doc_id, pos FROM t JOIN r USING (n, lead, template) WHERE doc_id <> first),
  x AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped, coalesce(string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY l.pos), '') AS text FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
  SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, x.text FROM documents LEFT JOIN x ON documents.doc_id = x.doc_id""",
 }

@@ -9,10 +9,9 @@ by Mahalanobis distance is rejected. All of it is DataFrame code.
 
 from __future__ import annotations
 
-from functools import reduce
 from math import sqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACE, WORD, once, text_of
@@ -91,76 +90,87 @@ _SPREAD = [f"s_{i}_{j}" for i, j in _PAIRS]
 _FACTOR = [f"l_{i}_{j}" for i, j in _PAIRS]
 
 
-def _sum(xs) -> Column:
-    return reduce(lambda a, b: a + b, xs)
+# Long formulas are written as SQL text, which is parsed once; Column by Column
+# they would take the driver longer than the steps take the cluster.
 
 
 def _cholesky(d: DataFrame, scale: float = CONSISTENT) -> DataFrame:
     """`d` with l_i_j, the Cholesky factor of the scaled spread and the noise."""
-    for i, j in _PAIRS:
-        x = scale * F.col(f"s_{i}_{j}") + (NOISE[i] ** 2 if i == j else 0.0)
-        x = _sum([x, *(-F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j))])
-        d = d.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(x, F.lit(1e-12))) if i == j else x / F.col(f"l_{j}_{j}"))
+    rest = lambda i, j: " ".join([f"{scale} * s_{i}_{j}", *(f"- l_{i}_{k} * l_{j}_{k}" for k in range(j))])
+    for j in range(P):
+        d = d.withColumn(f"l_{j}_{j}", F.expr(f"sqrt(greatest({rest(j, j)} + {NOISE[j] ** 2}D, 1e-12D))"))
+        if j + 1 < P:
+            d = d.withColumns({f"l_{i}_{j}": F.expr(f"({rest(i, j)}) / l_{j}_{j}") for i in range(j + 1, P)})
     return d
 
 
-def _distance(vector: list[Column], prefix: str = "") -> Column:
+def _distance(vector: list[str], prefix: str = "") -> str:
     """Squared Mahalanobis distance by forward substitution."""
-    z: list[Column] = []
+    z: list[str] = []
     for i, v in enumerate(vector):
-        x = _sum([v - F.col(f"{prefix}m_{i}"), *(-F.col(f"{prefix}l_{i}_{k}") * z[k] for k in range(i))])
-        z.append(x / F.col(f"{prefix}l_{i}_{i}"))
-    return _sum(x * x for x in z)
+        part = " ".join([f"{v} - {prefix}m_{i}", *(f"- {prefix}l_{i}_{k} * {z[k]}" for k in range(i))])
+        z.append(f"(({part}) / {prefix}l_{i}_{i})")
+    return " + ".join(f"{x} * {x}" for x in z)
 
 
 _VECTOR = [f"v_{i}" for i in range(P)]
 
 
-def _moments(x: DataFrame, by: list[str]) -> DataFrame:
-    """Number, place and spread of the vectors of each group, from whole sums."""
-    sums = [F.sum("n").alias("n"), *(F.sum(F.col("n") * F.col(v)).alias(f"a_{i}") for i, v in enumerate(_VECTOR))]
-    sums += [F.sum(F.col("n") * F.col(f"v_{i}") * F.col(f"v_{j}")).alias(f"q_{i}_{j}") for i, j in _PAIRS]
-    e, unit = x.groupBy(*by).agg(*sums), STEP / UNIT
-    e = e.withColumns({f"m_{i}": F.col(f"a_{i}") / F.col("n") * unit for i in range(P)})
-    return e.select(*by, "n", *_PLACE, *((F.col(f"q_{i}_{j}") / F.col("n") * unit**2 - F.col(f"m_{i}") * F.col(f"m_{j}")).alias(f"s_{i}_{j}") for i, j in _PAIRS))
+_TOTALS = ["n", *(f"a_{i}" for i in range(P)), *(f"q_{i}_{j}" for i, j in _PAIRS)]
+
+
+def _sums() -> list[Column]:
+    """Whole sums of counted vectors: number, sums, sums of products."""
+    first = [f"sum(n * {v}) AS a_{i}" for i, v in enumerate(_VECTOR)]
+    return [*map(F.expr, ["sum(n) AS n", *first, *(f"sum(n * v_{i} * v_{j}) AS q_{i}_{j}" for i, j in _PAIRS)])]
+
+
+def _moments(e: DataFrame) -> DataFrame:
+    """`e` with place and spread from its sums in their stead."""
+    unit = f"{STEP / UNIT}D"
+    e = e.withColumns({f"m_{i}": F.expr(f"a_{i} / n * {unit}") for i in range(P)})
+    spread = {f"s_{i}_{j}": F.expr(f"q_{i}_{j} / n * {unit} * {unit} - m_{i} * m_{j}") for i, j in _PAIRS}
+    return e.withColumns(spread).drop(*_TOTALS[1:])
 
 
 def _starts(x: DataFrame) -> DataFrame:
     """Three starts a group: medians with median absolute deviations, mean with
     covariance, and medians with the noise alone. Medians are of counted values,
     of which a feature has some hundreds, merged before they are shuffled."""
-    med = x.groupBy(*_KEY).agg(*(F.percentile(v, 0.5, F.col("n")).alias(f"c_{i}") for i, v in enumerate(_VECTOR)))
-    med = table(med, "medians")
-    off = [F.percentile(F.abs(F.col(v) - F.col(f"c_{i}")), 0.5, F.col("n")).alias(f"d_{i}") for i, v in enumerate(_VECTOR)]
-    both = x.join(med, _KEY).groupBy(*_KEY).agg(*(F.first(f"c_{i}").alias(f"c_{i}") for i in range(P)), *off)
-    place = [(F.col(f"c_{i}") * STEP / UNIT).alias(f"m_{i}") for i in range(P)]
-    diagonal = lambda f: [(f(i) if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i, j in _PAIRS]
-    mads = both.select(*_KEY, F.lit(0).alias("start"), *place, *diagonal(lambda i: (1.4826 * F.col(f"d_{i}") * STEP / UNIT) ** 2))
-    noise = both.select(*_KEY, F.lit(2).alias("start"), *place, *diagonal(lambda i: F.lit(0.0)))
-    mean = _moments(x, _KEY).select(*_KEY, F.lit(1).alias("start"), *_PLACE, *_SPREAD)
+    med = table(x.groupBy(*_KEY).agg(*(F.expr(f"percentile({v}, 0.5D, n) AS c_{i}") for i, v in enumerate(_VECTOR))), "medians")
+    off = [F.expr(f"percentile(abs({v} - c_{i}), 0.5D, n) AS d_{i}") for i, v in enumerate(_VECTOR)]
+    both = x.join(med, _KEY).groupBy(*_KEY).agg(*(F.expr(f"first(c_{i}) AS c_{i}") for i in range(P)), *off)
+    place = [f"c_{i} * {STEP / UNIT}D AS m_{i}" for i in range(P)]
+    spread = lambda f: [f"{f.format(i) if i == j else '0.0D'} AS s_{i}_{j}" for i, j in _PAIRS]
+    mads = both.selectExpr(*_KEY, "0 AS start", *place, *spread(f"power(1.4826D * d_{{}} * {STEP / UNIT}D, 2)"))
+    noise = both.selectExpr(*_KEY, "2 AS start", *place, *spread("0.0D"))
+    mean = _moments(x.groupBy(*_KEY).agg(*_sums())).select(*_KEY, F.lit(1).alias("start"), *_PLACE, *_SPREAD)
     return _cholesky(mads.unionByName(mean).unionByName(noise), 1.0).select(*_KEY, "start", *_PLACE, *_FACTOR)
 
 
-def _bin(d2: Column) -> Column:
-    return F.least(F.floor(F.log1p(d2) * 64), F.lit(4000)).cast("int")
-
-
 def _name(col: str) -> Column:
     """A group's name, never null and never that of no group."""
     return F.coalesce(F.concat(F.lit("="), F.col(col).cast("string")), F.lit("null"))
 
 
 def _least(x: DataFrame) -> DataFrame:
-    """The estimate of least determinant of each group, over its starts."""
+    """The estimate of least determinant of each group, over its starts.
+
+    A step sums vectors by bins of their distance; the inner half is the bins up
+    to the one with the median, so it is found from a row a bin."""
     starts = table(_starts(x), "starts")
     states, key, before = starts, [*_KEY, "start"], None
+    of = Window.partitionBy(*key)
+    inside = F.sum("n").over(of.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     for _ in range(STEPS):
-        d = x.join(states.select(*key, *_PLACE, *_FACTOR), _KEY).withColumn("bin", _bin(_distance([F.col(v) * STEP / UNIT for v in _VECTOR])))
-        edge = table(d.groupBy(*key).agg(F.floor(F.percentile("bin", 0.5, F.col("n"))).cast("int").alias("edge")), "edges")
-        half = _cholesky(_moments(d.join(edge, key).where("bin <= edge"), key))
-        states = table(half.withColumn("logdet", _sum(2 * F.log(f"l_{i}_{i}") for i in range(P))), "step")
-        now = states.agg(F.round(F.sum("logdet"), 6)).first()[0]
-        if now is None or now == before:
+        d = x.join(states.select(*key, *_PLACE, *_FACTOR), _KEY)
+        d2 = _distance([f"{v} * {STEP / UNIT}D" for v in _VECTOR])
+        bins = d.withColumn("bin", F.expr(f"least(floor(log1p({d2}) * 64), 4000)")).groupBy(*key, "bin").agg(*_sums())
+        half = bins.withColumns({"_in": inside, "_all": F.sum("n").over(of)}).where("2 * _in < _all")
+        half = _moments(half.groupBy(*key).agg(*(F.sum(c).alias(c) for c in _TOTALS)))
+        states = table(_cholesky(half).withColumn("logdet", F.expr(" + ".join(f"2 * ln(l_{i}_{i})" for i in range(P)))), "step")
+        now = states.agg(F.sum("logdet")).first()[0]
+        if now is None or (before is not None and now >= before - 1e-7):
             break
         before = now
     best = states.groupBy(*_KEY).agg(F.min(F.struct(F.round("logdet", 9).alias("logdet"), "start", "n", *_PLACE, *_SPREAD)).alias("b"))
@@ -170,10 +180,9 @@ def _least(x: DataFrame) -> DataFrame:
 def _leaning(narrow: DataFrame, wide: DataFrame, on: list[str]) -> DataFrame:
     """Narrow groups' estimates, each with PRIOR vectors of its wide group's."""
     cols = [*_PLACE, *_SPREAD]
-    wide = wide.select(*on, *(F.col(c).alias(f"w_{c}") for c in cols))
-    own = F.col("n") / (F.col("n") + PRIOR)
+    wide = wide.selectExpr(*on, *(f"{c} AS w_{c}" for c in cols))
     both = narrow.join(wide, on) if on else narrow.join(F.broadcast(wide.limit(1)))
-    return both.select(*_KEY, "n", *((own * F.col(c) + (1 - own) * F.col(f"w_{c}")).alias(c) for c in cols))
+    return both.select(*_KEY, "n", *(F.expr(f"(n * {c} + {PRIOR} * w_{c}) / (n + {PRIOR}) AS {c}") for c in cols))
 
 
 def estimates(vec: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -205,8 +214,8 @@ def judge(vec: DataFrame, est: DataFrame, lang: str = "lang", source: str = "sou
     the group passed the base rules) and `kept`: false where the base rules
     failed or the distance is over CUTOFF. Rows aren't lost or repeated; columns
     of these two names are replaced."""
-    e = est.select(F.col("g_lang").alias("_jl"), F.col("g_source").alias("_js"), *(F.col(c).alias(f"_e_{c}") for c in (*_PLACE, *_FACTOR)))
+    e = est.select(F.col("g_lang").alias("_jl"), F.col("g_source").alias("_js"), *(F.expr(f"{c} AS _e_{c}") for c in (*_PLACE, *_FACTOR)))
     d = vec.withColumns({"_jl": _name(lang), "_js": _name(source)}).join(e, ["_jl", "_js"], "left")
-    d = d.withColumn("distance", _distance([F.col(f) / UNIT for f in FEATURES], "_e_"))
+    d = d.withColumn("distance", F.expr(_distance([f"{f} / {UNIT}D" for f in FEATURES], "_e_")))
     d = d.drop("_jl", "_js", *(f"_e_{c}" for c in (*_PLACE, *_FACTOR)))
     return d.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF))

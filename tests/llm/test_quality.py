@@ -128,8 +128,29 @@ def test_classifier_on_held_out(spark):
 
 @pytest.mark.parametrize("labels", [[], [(1, 1)], [(1, 1), (2, 0)], [(1, None), (None, 0)]])
 def test_classifier_with_few_labels(spark, labels):
+    """Too little text for a dictionary: every score is the share of label 1."""
     d = spark.createDataFrame([(1, "good text here"), (2, "### bad"), (2, "### bad"), (3, None), (None, ""), (5, "z" * 300_000)], "doc_id long, text string")
     m = quality_classifier.fit(d, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert not m.good and not m.bad
     got = quality_classifier.score(d.selectExpr("doc_id", "text", "'x' as score"), m).collect()
-    assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
+    want = {0: 0.5, 1: 0.75, 2: 0.5}[sum(y is not None and i is not None for i, y in labels)]
+    assert len(got) == 6 and all(abs(r.score - want) < 1e-12 for r in got)
     assert quality_classifier.score(d.where("false"), m).count() == 0
+
+
+def test_classifier_takes_one_text_an_id(spark, monkeypatch):
+    rng = random.Random(2)
+    word = lambda s: "".join(rng.choice(s) for _ in range(rng.randint(3, 7)))
+    rows = [(i, " ".join(word("abcde" if i % 2 else "vwxyz") for _ in range(200))) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    m = quality_classifier.fit(d, labels)
+    # repeats of a labelled row, and a longer text of its id, change nothing
+    more = d.unionByName(spark.createDataFrame([rows[4]] * 50 + [(4, "~" + rows[4][1] * 9)], d.schema))
+    assert quality_classifier.fit(more, labels) == m and m.good and m.bad
+    got = {r.doc_id: r.score for r in quality_classifier.score(d, m).collect()}
+    assert all((got[i] >= 0.5) == (i % 2 == 1) for i in got)
+    # bounded samples
+    monkeypatch.setattr(quality_classifier, "DICT_PIECES", 60)
+    few = quality_classifier.fit(d, labels)
+    assert len(few.good) <= 60 * 1024 and few.slope > 0

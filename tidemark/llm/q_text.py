@@ -10,7 +10,8 @@ from tidemark.runtime import read_table, table
 
 
 def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
+    """Whether a row is kept from learning; one without an id isn't held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

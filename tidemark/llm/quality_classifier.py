@@ -14,29 +14,30 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled texts of each class that build its dictionary, and labelled texts
-#: that fit the curve: bounds of what reaches the driver.
-DICT_DOCS, CURVE_DOCS = 1500, 12_000
-#: Texts above this many characters are left out of dictionaries (not of scores).
-DICT_CHARS = 50_000
+from tidemark.llm.common import text_of
+from tidemark.runtime import table
+
+#: Labelled texts of each class that build its dictionary, the pieces taken from
+#: them, and labelled texts that fit the curve: bounds of what reaches the driver.
+DICT_DOCS, DICT_PIECES, CURVE_DOCS = 1500, 8000, 12_000
 DICT_BYTES = 112_640
-#: Pieces of a text are compressed apart, so long texts lean on the dictionary too.
+#: Pieces of a text (bytes; characters in samples) are compressed apart, so long
+#: texts lean on the dictionary too.
 PIECE = 1024
 LEVEL = 3
 
 
-def build_dictionary(texts: list[bytes]) -> bytes:
-    """A dictionary of at most DICT_BYTES from texts; few texts are taken as they are."""
-    if len(texts) >= 64:
-        pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
-        try:
-            return zstandard.train_dictionary(DICT_BYTES, pieces, level=LEVEL).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return b"\n".join(texts)[-DICT_BYTES:]
+def build_dictionary(pieces: list[bytes]) -> bytes:
+    """A dictionary trained on pieces of text, of DICT_BYTES or of their size if
+    that is less; empty if there is too little to train one on."""
+    size = min(DICT_BYTES, sum(map(len, pieces)))
+    try:
+        return zstandard.train_dictionary(size, pieces, k=64, d=8, level=LEVEL).as_bytes() if size >= 1024 else b""
+    except zstandard.ZstdError:
+        return b""
 
 
 @dataclass(frozen=True)
@@ -100,27 +101,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
     A hash of its id puts a labelled text on the dictionaries' or the curve's
     side; of either, those of smallest hash are drawn: DICT_DOCS of each class,
-    CURVE_DOCS in all. So reruns agree and the sample is bounded. With one class
-    only, scores are the share of label 1; without labels they are one half."""
+    CURVE_DOCS in all. A dictionary is trained on at most DICT_PIECES pieces, one
+    of each text before a second of any. So reruns agree and the sample is
+    bounded. An id counts with its largest label and its least text, however many
+    rows have it. Where a class has too little text for a dictionary, there is
+    none and every score is the share of label 1 (one half without labels)."""
     named = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("_y"))
     named = named.withColumn("_h", F.xxhash64(F.col(id_col), F.lit("sample"))).withColumn("_dict", F.pmod("_h", F.lit(2)) == 0)
     draw = lambda which, n: named.where(which).orderBy("_h", id_col).limit(n)
     sides = [draw(F.col("_dict") & (F.col("_y") == y), DICT_DOCS) for y in (0, 1)]
     # at most 2 * DICT_DOCS + CURVE_DOCS small rows
     ids = F.broadcast(sides[0].unionByName(sides[1]).unionByName(draw(~F.col("_dict"), CURVE_DOCS)))
-    some = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(ids, id_col)
-    rows = some.where(F.col("_dict") & (F.length("_t") <= DICT_CHARS)).select("_h", "_y", "_t").collect()
-    rows.sort(key=lambda r: (r["_h"], r["_t"]))
-    by = {y: [r["_t"].encode() for r in rows if r["_y"] == y] for y in (0, 1)}
-    if not by[0] or not by[1]:
-        n = len(by[0]) + len(by[1])
-        share = (len(by[1]) + 0.5) / (n + 1) if n else 0.5
+    some = docs.select(F.col(id_col), text_of(docs, text).alias("_t")).join(ids, id_col)
+    some = table(some.groupBy("_h", "_y", "_dict").agg(F.min("_t").alias("_t")), "labelled")
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.length("_t") - 1) / PIECE).cast("int")))
+    pieces = some.where("_dict and _t <> ''").select("_h", "_y", "_t", at.alias("i")).withColumn("h", F.xxhash64("_h", "i"))
+    pieces = pieces.withColumn("r", F.row_number().over(Window.partitionBy("_h").orderBy("h")))
+    pieces = pieces.withColumn("_t", F.substring("_t", F.col("i") * PIECE + 1, F.lit(PIECE)))
+    drawn = [pieces.where(F.col("_y") == y).orderBy("r", "h").limit(DICT_PIECES).select("_t").collect() for y in (0, 1)]
+    bad, good = (build_dictionary([r["_t"].encode() for r in rows]) for rows in drawn)
+    if not good or not bad:
+        n, ones = some.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
+        share = (ones + 0.5) / (n + 1)
         return Model(b"", b"", 0.0, float(np.log(share / (1 - share))))
-    model = Model(build_dictionary(by[1]), build_dictionary(by[0]))
-    unseen = some.where(~F.col("_dict")).select("_y", "_h", "_t")
-    got = _differences(unseen, model, "_t", "_d").select("_d", "_y", "_h").collect()
+    model = Model(good, bad)
+    of = lambda rows: _differences(rows.select("_y", "_h", "_t"), model, "_t", "_d").select("_d", "_y", "_h").collect()
+    got = of(some.where(~F.col("_dict")))
     if len({r["_y"] for r in got}) < 2:
-        got = _differences(some.select("_y", "_h", "_t"), model, "_t", "_d").select("_d", "_y", "_h").collect()
+        got = of(some)
     got.sort(key=lambda r: (r["_h"], r["_d"]))
     slope, offset = _logistic(np.array([r["_d"] for r in got]), np.array([float(r["_y"]) for r in got]))
     return Model(model.good, model.bad, slope, offset)

@@ -3,7 +3,7 @@ near-dedup, mixing to target weights, byte-pair encoding."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, line_dedup, mixing, quality_rules, simhash
@@ -11,39 +11,66 @@ from tidemark.llm.q_bpe import vocabulary
 from tidemark.runtime import read_table, table
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """What operators read, and the rest of each row as a struct, so that no
+    column of any name clashes with those that operators make."""
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    return docs.select("doc_id", "text", "lang", "source", rest.alias("_row"))
+
+
+def _restored(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of `docs` from what `_carried` made of them."""
+    of = lambda c: F.col("text") if c == "text" else changed.get(c, F.col(f"_row.`{c}`"))
+    return rows.select(*(of(c).alias(c) for c in docs.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the outlier rule reject."""
-    vec = table(quality_rules.vectors(quality_rules.base_stats(docs)), "statistics")
-    kept = quality_rules.judge(vec, quality_rules.estimates(vec)).where("kept")
-    return kept.select(docs.columns)
+    """Documents that neither the base rules nor the outlier rule reject.
+
+    A null or empty text fails the base rules; null languages and sources are
+    groups of their own; repeated rows are judged each; an empty table gives none."""
+    vec = table(quality_rules.vectors(quality_rules.base_stats(_carried(docs))), "statistics")
+    return _restored(quality_rules.judge(vec, quality_rules.estimates(vec)).where("kept"), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines of recurring templates; none is lost."""
-    out = line_dedup.drop_recurring_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Documents without the lines of recurring templates; none is lost.
+
+    Null texts stay null (of no characters); rows equal in id and text count as
+    one document and lose the same lines; an empty table gives none."""
+    out = line_dedup.drop_recurring_lines(_carried(docs).drop("lang", "source"))
+    return _restored(out, docs, n_chars=F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group, that of smallest id, then of smallest
-    hash, so unlike texts that share an id stay; rows without an id stay."""
-    keyed = docs.where("doc_id is not null").withColumn("_key", F.xxhash64(*docs.columns))
+    """One row of each near-duplicate group: that of smallest id (no id last),
+    then of smallest hash of its columns.
+
+    Unlike texts that share an id stay. Equal rows are one; null and empty texts
+    are near-duplicates of one another; an empty table gives none."""
+    keyed = _carried(docs).withColumn("_key", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
     fps = table(simhash.fingerprints(keyed, "_key").distinct(), "fingerprints")
     ids = keyed.select(F.col("_key").alias("id"), "doc_id").distinct()
     groups = ids.join(fps, "id").join(simhash.components(fps), "fp")
-    first = groups.groupBy("component").agg(F.min(F.struct("doc_id", "id"))["id"].alias("_key")).select("_key")
-    kept = keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("id").alias("id"))
+    first = groups.groupBy("component").agg(F.min(order)["id"].alias("_key")).select("_key")
+    return _restored(keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    out = mixing.mix(docs).where("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """Each document as often as the mix takes it.
+
+    Texts without words are taken once; a null source is one of its own; repeated
+    rows are taken each; an empty table gives none."""
+    out = mixing.mix(_carried(docs).drop("lang")).where("copies > 0")
+    return _restored(out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, and whether they decode to its text."""
+    """Token ids of every row, and whether they decode to its text.
+
+    A null text counts as empty; repeated rows are encoded each; other columns
+    than doc_id, lang and source aren't returned."""
     out = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), vocabulary())
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return out.select("doc_id", "lang", "source", "n_tokens", "ids_le", same.alias("round_trip"))

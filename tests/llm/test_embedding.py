@@ -43,6 +43,13 @@ def test_planted(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(d.where("vec_id in (1000, 1001)")).count() == 2
 
 
+def test_rows_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (None, [1.0, 0.0]), (4, [-1.0, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as no", "2 as n", "3 as component")
+    got = sorted(((r.id or 0, r.n_links, r.component_id or 0) for r in embedding_dedup.near_duplicates(d).collect()))
+    assert got == [(0, 0, 0), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+
+
 def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.1"
     x = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas().sort_values("vec_id")

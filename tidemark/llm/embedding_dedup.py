@@ -25,9 +25,9 @@ from tidemark.runtime import cut, table
 
 THRESHOLD = 0.95
 MARGIN = 4.0
-#: Vectors and numbers that centroids are fitted on, at most.
-SAMPLE, SAMPLE_NUMBERS = 20_000, 8_000_000
-MOST_CELLS = 4096
+#: Vectors and numbers that centroids are fitted on, at most, and how many of
+#: these a centroid needs at least.
+SAMPLE, SAMPLE_NUMBERS, EACH = 40_000, 8_000_000, 4
 #: Vectors on either side of a block of cosine products.
 BLOCK = 1024
 
@@ -66,9 +66,11 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 7) ->
     return c
 
 
-def _visits(points: DataFrame, centroids: np.ndarray, reach: float) -> DataFrame:
+def _visits(points: DataFrame, centroids: np.ndarray, threshold: float, margin: float | str) -> DataFrame:
     """`(cell, home, id, n, v)`: each vector in its own cell and in those of
-    smaller number whose boundary is within `reach`."""
+    smaller number whose boundary is within reach, which is by its own length
+    whatever the longest vector's is."""
+    r = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     apart = np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T))
     dim = centroids.shape[1]
 
@@ -76,10 +78,11 @@ def _visits(points: DataFrame, centroids: np.ndarray, reach: float) -> DataFrame
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
                 b = whole.slice(i, 1024)
-                x, _ = units(b.column(2), dim)
+                x, size = units(b.column(2), dim)
+                reach = np.full(len(x), r) if margin == "sure" else np.minimum(r, margin * r / np.sqrt(size))
                 dots = x @ centroids.T
                 own = dots.argmax(axis=1)
-                near = dots >= dots[np.arange(len(own)), own][:, None] - reach * apart[own]
+                near = dots >= dots[np.arange(len(own)), own][:, None] - reach[:, None] * apart[own]
                 near &= np.arange(len(centroids)) < own[:, None]
                 row, cell = np.nonzero(near)
                 row, cell = np.r_[np.arange(len(own)), row], np.r_[own, cell]
@@ -129,9 +132,7 @@ def links(points: DataFrame, dim: int, centroids: np.ndarray, threshold: float =
     a point links to in a unit, and a point that it is connected with."""
     from tidemark.llm.simhash import _settle
 
-    r = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    reach = r if margin == "sure" else min(r, margin * r / np.sqrt(dim))
-    rows = table(_visits(points, centroids, reach), "visits")
+    rows = table(_visits(points, centroids, threshold, margin), "visits")
     parts = _blocks(rows).repartition("unit").sortWithinPartitions("unit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +166,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     Vectors that are null, empty, zero or hold a null or non-finite component
     link with nothing, nor do vectors of unlike lengths. Equal vectors, which
     always link, are compared as one and counted with their number; rows that
-    share an id count each, and a row without an id is its own component (null).
+    share an id count each, by their own vectors, and a row without an id is its own component (null).
     An empty table gives no rows. One row per component is kept: its smallest id.
 
     Centroids are fitted on a bounded sample (SAMPLE vectors of smallest hash);
@@ -173,19 +174,21 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).withColumn("ok", usable(F.col("v")))
     found = rows.where("ok and id is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    points = table(found, "points")
+    points = table(found.withColumn("no", F.monotonically_increasing_id()), "points")
     n, dim = points.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     most = max(1, min(SAMPLE, SAMPLE_NUMBERS // dim))
     sample = points.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(most).toArrow()
     x, _ = units(sample.column(0), dim)
-    k = cells or int(min(MOST_CELLS, max(1, np.sqrt(n) / 2)))
-    parts = cut(links(points, dim, fit_centroids(x, k), threshold, margin))
-    count = parts.groupBy("id").agg(F.sum("links").alias("links"))
-    comp = connected_components(parts.where("id <> other"), "id", "other").withColumnRenamed("node", "id")
-    known = points.select(F.col("v").alias("_v"), "id", "n").join(count, "id", "left").join(comp, "id", "left")
-    known = known.select("_v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    k = cells or int(max(1, min(np.sqrt(n) / 2, len(x) / EACH)))
+    parts = cut(links(points.select(F.col("no").alias("id"), "n", "v"), dim, fit_centroids(x, k), threshold, margin))
+    count = parts.groupBy(F.col("id").alias("no")).agg(F.sum("links").alias("links"))
+    comp = cut(connected_components(parts.where("id <> other"), "id", "other").withColumnRenamed("node", "no"))
+    least = comp.join(points.select("no", "id"), "no").groupBy("component").agg(F.min("id").alias("least"))
+    comp = comp.join(least, "component").select("no", "least")
+    known = points.select(F.col("v").alias("_v"), "id", "no", "n").join(count, "no", "left").join(comp, "no", "left")
+    known = known.select("_v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "id").alias("component_id"))
     fine = rows.where("ok and id is not null").join(known, F.col("v") == F.col("_v")).select("id", "n_links", "component_id")
     rest = rows.where("not ok or id is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return fine.unionByName(rest).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

@@ -6,15 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def whole(n: Column, d: Column) -> Column:
+    """n div d in whole numbers, toward zero; null if d is 0."""
+    return F.call_function("div", n.cast("long"), d.cast("long"))
+
+
 def ratio_e4(n: Column, d: Column) -> Column:
     """n / d in ten-thousandths, rounded half up, at most 10000; 0 if d <= 0."""
-    half_up = F.floor((n * 20000 + d) / (2 * d))
-    return F.when(d > 0, F.least(F.lit(10000).cast("long"), half_up.cast("long"))).otherwise(F.lit(0).cast("long"))
+    return F.when(d > 0, F.least(F.lit(10000).cast("long"), whole(n.cast("long") * 20000 + d, 2 * d))).otherwise(F.lit(0).cast("long"))
 
 
 def half_up(n: Column, d: Column) -> Column:
     """n / d (d > 0) to the nearest whole, halves away from zero."""
-    return (F.signum(n) * F.floor((2 * F.abs(n) + d) / (2 * d))).cast("long")
+    away = whole(2 * F.abs(n) + d, 2 * d)
+    return F.when(n < 0, -away).otherwise(away)
+
+
+def ceiling(n: Column, d: Column) -> Column:
+    """n / d (n >= 0, d > 0), up to the next whole."""
+    return whole(n + d - 1, d)
 
 
 def overlap_length(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:

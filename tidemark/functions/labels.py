@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-#: Labels that name nothing (fixed values).
-PLACEHOLDERS = ["", "id", "tbc", "tba", "unknown", "unreleased", "untitled", "track"]
+#: Words of which a label that names nothing consists (fixed values).
+PLACEHOLDERS = ["id", "ids", "tbc", "tba", "unknown", "unreleased", "ur", "forthcoming", "dubplate"]
+#: Limits of a label that a comment may give (fixed values).
+MOST_WORDS, MOST_CHARS = 12, 120
 
 
 @pandas_udf(StringType())
@@ -41,23 +43,40 @@ def ascii_fold(c: Column) -> Column:
 
 
 def is_placeholder(c: Column) -> Column:
-    return F.coalesce(ascii_fold(c).isin(PLACEHOLDERS), F.lit(True))
+    """Whether a field names nothing: null, empty, or no other words than
+    placeholders outside brackets."""
+    words = F.filter(F.split(ascii_fold(F.regexp_replace(c, r"[(\[][^()\[\]]*[)\]]", " ")), " "), lambda w: w != "")
+    return F.coalesce(F.size(F.array_except(words, F.array(*map(F.lit, PLACEHOLDERS)))) == 0, F.lit(True))
 
 
 def near_spelling(a: Column, b: Column) -> Column:
-    """Unlike words, both of four letters or more, one edit apart."""
-    return (a != b) & (F.length(a) >= 4) & (F.length(b) >= 4) & (F.levenshtein(a, b) <= 1)
+    """Unlike words that are one word spelled two ways: both of four letters or
+    more and one edit apart, or one is the other (of two or more letters, no
+    digits) with a letter more at its end."""
+    edit = (F.length(a) >= 4) & (F.length(b) >= 4) & (F.levenshtein(a, b) <= 1)
+    letters = a.rlike(r"^\p{L}+$") & b.rlike(r"^\p{L}+$")
+    longer = lambda x, y: (F.length(x) >= 2) & (F.length(y) == F.length(x) + 1) & y.startswith(x)
+    return (a != b) & (edit | (letters & (longer(a, b) | longer(b, a))))
 
 
-def plausible_label(artist: Column, title: Column) -> Column:
-    """Both parts filled, short, no question, link, handle or line break, no
-    trailing colon."""
+def words_corroborate(a: Column, b: Column) -> Column:
+    """Whether two word sets (arrays of distinct words) name one work: one holds
+    the other, or they share a word and differ in one word each, spelled nearly
+    alike; sets of fewer than two words never do."""
+    only_a, only_b = F.array_except(a, b), F.array_except(b, a)
+    one = (F.size(only_a) == 1) & (F.size(only_b) == 1) & F.arrays_overlap(a, b)
+    near = near_spelling(F.get(only_a, F.lit(0)), F.get(only_b, F.lit(0)))
+    return (F.least(F.size(a), F.size(b)) >= 2) & ((F.size(only_a) == 0) | (F.size(only_b) == 0) | (one & F.coalesce(near, F.lit(False))))
 
-    def part(c: Column) -> Column:
-        t = F.trim(c)
-        return (F.length(t) > 0) & (F.length(t) <= 120) & (F.size(F.split(t, r"\s+")) <= 12) & ~t.rlike(r"[?\n@]|https?://") & ~t.endswith(":")
 
-    return F.coalesce(part(artist) & part(title), F.lit(False))
+def plausible_label(artist: Column, title: Column) -> Column:
+    """Whether both parts are filled, neither ends in a colon, and the two
+    together are short and hold no question mark, line break, link or handle."""
+    both = F.concat(artist, F.lit(" "), title)
+    filled = (F.trim(artist) != "") & (F.trim(title) != "") & ~F.trim(artist).endswith(":") & ~F.trim(title).endswith(":")
+    clean = ~both.rlike(r"(?i)[?\n]|https?://|www\.|(^|[^\p{L}\p{N}_])@[\p{L}\p{N}_]")
+    brief = (F.length(both) <= MOST_CHARS) & (F.regexp_count(both, F.lit(r"[\p{L}\p{N}_]+")) <= MOST_WORDS)
+    return F.coalesce(filled & clean & brief, F.lit(False))
 
 
 def comment_kind(text: Column) -> Column:

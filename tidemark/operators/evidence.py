@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.exact import ratio_e4
+from tidemark.functions.exact import ratio_e4, whole
 
 
 def majority(df: DataFrame, keys: list[str], candidate: str) -> DataFrame:
@@ -26,10 +25,11 @@ def trial_hulls(df: DataFrame, keys: list[str], trial: str, provider: str, start
     return df.groupBy(*keys, trial).agg(F.min(start).alias(start), F.max(end).alias(end), F.sort_array(F.collect_set(provider)).alias("providers"))
 
 
-def discounted(df: DataFrame, keys: list[str], name: str, votes: str) -> DataFrame:
-    """All but the engine of most votes (ties by name) of each group."""
+def discounted(df: DataFrame, keys: list[str], name: str, votes: str, commercial: list[str]) -> DataFrame:
+    """Of the commercial engines of each group, all but the one of most votes
+    (ties by name)."""
     w = Window.partitionBy(*keys).orderBy(F.col(votes).desc(), name)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r > 1").drop("_r")
+    return df.where(F.col(name).isin(commercial)).withColumn("_r", F.row_number().over(w)).where("_r > 1").drop("_r")
 
 
 def prf(df: DataFrame, keys: list[str], predicted: Column, truth: Column) -> DataFrame:
@@ -71,17 +71,31 @@ def tier_ladder(df: DataFrame, keys: list[str], tier: str, correct: Column, tier
     return out.select(*keys, names.alias(tier), "correct", "total", ratio_e4(F.col("correct"), F.col("total")).alias("precision_e4"))
 
 
-def isotonic(bins: DataFrame, x: str, good: str, total: str) -> DataFrame:
-    """Non-decreasing fit of good / total over bins in the order of `x`, by the
-    max-min form, in ten-thousandths. For tables of bins."""
-    w = Window.orderBy(x)
-    b = bins.withColumns({"_g": F.sum(good).over(w), "_t": F.sum(total).over(w), "_i": F.row_number().over(w)})
-    lo = b.select(F.col("_i").alias("lo"), (F.col("_g") - F.col(good)).alias("g0"), (F.col("_t") - F.col(total)).alias("t0"))
-    hi = b.select(F.col("_i").alias("hi"), F.col("_g").alias("g1"), F.col("_t").alias("t1"))
-    span = lo.join(hi, F.col("lo") <= F.col("hi")).withColumn("m", (F.col("g1") - F.col("g0")) / (F.col("t1") - F.col("t0")))
-    # value of bin i: the largest over lo <= i of the least over hi >= i of the mean
-    each = b.select("_i", x).join(span, (F.col("lo") <= F.col("_i")) & (F.col("hi") >= F.col("_i"))).groupBy("_i", x, "lo").agg(F.min("m").alias("m"))
-    return each.groupBy("_i", x).agg(F.max("m").alias("m")).select(x, F.floor(F.col("m") * 10000 + 1e-9).cast("long").alias("fit_e4"))
+def isotonic(bins: DataFrame, keys: list[str], x: str, good: str, total: str) -> DataFrame:
+    """`(keys, x, fit_e4)`: the non-decreasing fit of good / total over bins in
+    the order of `x`, in ten-thousandths, rounded down. Adjacent bins that fall
+    are pooled in one pass over a stack of (good, total, bins), compared by cross
+    multiplication, in the engine; a group is a table of bins."""
+    block = lambda g, t, n: F.struct(g.alias("g"), t.alias("t"), n.alias("n"))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(good).cast("long").alias("g"), F.col(total).cast("long").alias("t"))))
+    one = F.lit(1).cast("long")
+    empty = F.array().cast("array<struct<g:bigint,t:bigint,n:bigint>>")
+
+    def add(stack: Column, r: Column) -> Column:
+        # how many blocks from the top have a mean above what is pooled above them
+        pooled = F.aggregate(
+            F.reverse(stack),
+            F.struct(r["g"].alias("g"), r["t"].alias("t"), one.alias("n"), F.lit(0).alias("k"), F.lit(False).alias("done")),
+            lambda s, b: F.when(s["done"] | (b["g"] * s["t"] <= s["g"] * b["t"]), F.struct(s["g"].alias("g"), s["t"].alias("t"), s["n"].alias("n"), s["k"].alias("k"), F.lit(True).alias("done"))).otherwise(
+                F.struct((s["g"] + b["g"]).alias("g"), (s["t"] + b["t"]).alias("t"), (s["n"] + b["n"]).alias("n"), (s["k"] + 1).alias("k"), F.lit(False).alias("done"))
+            ),
+        )
+        return F.transform(F.array(pooled), lambda q: F.concat(F.slice(stack, F.lit(1), F.size(stack) - q["k"]), F.array(block(q["g"], q["t"], q["n"]))))[0]
+
+    d = bins.groupBy(*keys).agg(rows.alias("_r")).withColumn("_b", F.aggregate("_r", empty, add))
+    fits = F.flatten(F.transform("_b", lambda b: F.array_repeat(F.when(b["t"] > 0, whole(b["g"] * 10_000, b["t"])).otherwise(F.lit(0).cast("long")), b["n"].cast("int"))))
+    z = F.explode(F.arrays_zip(F.transform("_r", lambda r: r["x"]).alias("x"), fits.alias("fit_e4")))
+    return d.select(*keys, z.alias("_z")).select(*keys, F.col("_z.x").alias(x), F.col("_z.fit_e4").alias("fit_e4"))
 
 
 def ledger_fold(df: DataFrame, attempt: str, event: str, outcome: str, unit: str, at: str) -> DataFrame:
@@ -100,13 +114,21 @@ def ledger_fold(df: DataFrame, attempt: str, event: str, outcome: str, unit: str
     )
 
 
-def latest_action(df: DataFrame, keys: list[str], ordinal: str, state: str, actions: dict[str, str], otherwise: str = "fresh") -> DataFrame:
-    """What to do next by the state of each group's latest row (of equal
-    ordinals the largest state)."""
-    last = df.groupBy(*keys).agg(F.max(F.struct(F.col(ordinal).alias("o"), F.col(state).alias("s"))).alias("l"))
-    last = last.select(*keys, F.col("l.s").alias("state"), F.col("l.o").alias("ordinal"))
-    act = reduce(lambda c, kv: c.when(F.col("state") == kv[0], kv[1]), actions.items(), F.when(F.lit(False), ""))
-    return last.withColumn("action", act.otherwise(otherwise))
+def resume(df: DataFrame, keys: list[str], ordinal: str, dispatched: str, outcome: str, reusable: str, good: list[str]) -> DataFrame:
+    """`(keys, action)` by the attempt of largest ordinal: `reissue` if it was
+    never dispatched, `ambiguous` if it was but has no outcome, `retry` after an
+    outcome that isn't good, `reuse` of a good one whose answer still counts, else
+    `settled`. A query without attempts is `fresh`, which is the caller's join."""
+    last = F.max_by(F.struct(F.col(dispatched).alias("d"), F.col(outcome).alias("o"), F.col(reusable).alias("r")), F.struct(F.col(ordinal), ~F.col(dispatched), F.coalesce(F.col(outcome), F.lit("")), ~F.col(reusable)))
+    act = F.when(~F.col("l.d"), "reissue").when(F.col("l.o").isNull(), "ambiguous").when(~F.col("l.o").isin(good), "retry").when(F.col("l.r"), "reuse").otherwise("settled")
+    return df.groupBy(*keys).agg(last.alias("l")).select(*keys, act.alias("action"))
+
+
+def settled(df: DataFrame, keys: list[str], seq: str, money: list[str], rest: list[str]) -> DataFrame:
+    """One row a key of its updates: money columns never fall (the largest seen,
+    at least 0), the others are of the update of largest `seq`, with their number."""
+    last = F.max(F.struct(seq, *rest))
+    return df.groupBy(*keys).agg(*(F.greatest(F.max(m), F.lit(0).cast("long")).alias(m) for m in money), last.alias("_l"), F.count("*").alias("updates")).select("*", *(F.col(f"_l.{c}") for c in rest)).drop("_l")
 
 
 def zero_filled(df: DataFrame, keys: Sequence[str], state: str, states: Sequence[str]) -> DataFrame:

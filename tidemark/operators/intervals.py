@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.exact import half_up
+
 
 def spans(df: DataFrame, start: str, end: str) -> DataFrame:
     """`df` without null, empty and reversed spans."""
@@ -138,10 +140,42 @@ def runs_with_core(df: DataFrame, keys: list[str], start: str, end: str, gap: in
     return runs.where(F.col(end) - F.col(start) >= core).drop("_run")
 
 
-def offset_mode(df: DataFrame, keys: list[str], value: str, width: int) -> DataFrame:
-    """The offset at which the largest group within `width` begins, ties to the
-    lowest; only if it holds at least half of the rows."""
-    w = Window.partitionBy(*keys)
-    d = df.withColumns({"_in": F.count("*").over(w.orderBy(value).rangeBetween(0, width)), "_all": F.count("*").over(w)})
-    best = d.groupBy(*keys).agg(F.max(F.struct(F.col("_in"), -F.col(value))).alias("b"), F.max("_all").alias("total"))
-    return best.select(*keys, (-F.col("b.col2")).alias("offset"), F.col("b._in").alias("support"), "total").where("2 * support >= total")
+def offset_cluster(df: DataFrame, keys: list[str], value: str, width: int, bias: int = 0, least: int = 0) -> DataFrame:
+    """`(keys, anchor, uncertainty, support, total)` of the largest group of
+    offsets within `width` of its first, of equal ones the lowest; only if it
+    holds at least half of all. The anchor is the group's median (half up) less
+    the adapter's `bias`, the uncertainty the largest distance from the median,
+    `least` at least. A group of keys is what one answer lists."""
+    d = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(value).cast("long"))).alias("_v"))
+    near = lambda lo: F.filter("_v", lambda x: (x >= lo) & (x <= lo + width))
+    ranked = F.transform(F.array_distinct("_v"), lambda lo: F.struct((-F.size(near(lo))).alias("n"), lo.alias("lo")))
+    d = d.withColumn("_lo", F.array_min(ranked)["lo"]).withColumn("_c", near(F.col("_lo")))
+    n = F.size("_c")
+    at = lambda i: F.get("_c", i.cast("int"))
+    low, high = at(F.floor((n - 1) / 2)), at(F.floor(n / 2))
+    d = d.where(2 * n >= F.size("_v")).withColumn("_m", half_up(low + high, F.lit(2)))
+    off = F.array_max(F.transform("_c", lambda x: F.abs(x - F.col("_m"))))
+    return d.select(*keys, (F.col("_m") - bias).alias("anchor"), F.greatest(off, F.lit(least).cast("long")).alias("uncertainty"), n.cast("long").alias("support"), F.size("_v").cast("long").alias("total"))
+
+
+def agreements(left: DataFrame, right: DataFrame, keys: list[str], ls: str, le: str, rs: str, re: str, floor: int, apart: int, width: int) -> DataFrame:
+    """`(keys, agreements, separated)`: the distinct overlaps of at least `floor`
+    between spans of two families, and whether two of them begin `apart`."""
+    j = overlap_join(left, right, keys, ls, le, rs, re, width)
+    o = j.select(*keys, F.greatest(ls, rs).alias("_s"), F.least(le, re).alias("_e")).where(F.col("_e") - F.col("_s") >= floor).distinct()
+    return o.groupBy(*keys).agg(F.count("*").alias("agreements"), ((F.count("*") >= 2) & (F.max("_s") - F.min("_s") >= apart)).alias("separated"))
+
+
+def competing(i: DataFrame, keys: list[str], candidate: str, start: str, end: str, width: int) -> DataFrame:
+    """`(keys, candidate, own, competing)`: the covered time of each candidate,
+    and the number of others of the same keys that cover at least half of it.
+    `i` are islands; an overlap can't reach half of one that is more than twice
+    as long as the other is in all, so such pairs aren't joined."""
+    own = i.groupBy(*keys, candidate).agg(F.sum(F.col(end) - F.col(start)).cast("long").alias("own"))
+    j = i.join(own, [*keys, candidate])
+    a = j.select(*keys, F.col(candidate).alias("_a"), F.col("own").alias("_oa"), F.col(start).alias("_as"), F.col(end).alias("_ae"))
+    b = j.select(*keys, F.col(candidate).alias("_b2"), F.col("own").alias("_ob"), F.col(start).alias("_bs"), F.col(end).alias("_be"))
+    o = overlap_join(a, b, keys, "_as", "_ae", "_bs", "_be", width).where("_a <> _b2 and 2 * _ob >= _oa")
+    o = o.groupBy(*keys, F.col("_a").alias(candidate), "_b2").agg(F.sum(F.least("_ae", "_be") - F.greatest("_as", "_bs")).alias("_n"), F.first("_oa").alias("_oa"))
+    n = o.where("2 * _n >= _oa").groupBy(*keys, candidate).agg(F.count("*").alias("competing"))
+    return own.join(n, [*keys, candidate], "left").select(*keys, candidate, "own", F.coalesce("competing", F.lit(0)).alias("competing"))

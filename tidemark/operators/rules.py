@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.intervals import points_in_spans
-
 
 def badge(work: Column, version: Column) -> Column:
     """A row's tier: that of its work, but no better than likely while the
@@ -15,7 +15,8 @@ def badge(work: Column, version: Column) -> Column:
 
 
 def tier_score(tier: Column) -> Column:
-    return F.when(tier == "verified", 3).when(tier == "likely", 2).when(tier == "possible", 1).otherwise(0)
+    """The score of a tier (fixed values); null for one that has none."""
+    return F.when(tier == "likely", 8000).when(tier == "possible", 6000).when(tier == "unclear", 2500)
 
 
 def achieved(resolved: Column, planned: Column, percent: int) -> Column:
@@ -46,15 +47,40 @@ def parent_share(df: DataFrame, keys: list[str], parent: str, child_weight: str)
     return b.select(*keys, F.col("b.p").alias(parent), (-F.col("b.w")).alias("weight"), "total")
 
 
-def separate_playing(spans: DataFrame, keys: list[str], work: str, id_col: str, start: str, end: str, width: int) -> DataFrame:
-    """Spans that a span of another work separates from what came before of
-    their own work: it lies wholly between the two. `width` is the time bucket
-    of the join."""
-    w = Window.partitionBy(*keys, work).orderBy(start, end, id_col).rowsBetween(Window.unboundedPreceding, -1)
-    gaps = spans.select(*keys, F.col(work).alias("_w"), F.col(id_col).alias("_id"), F.max(end).over(w).alias("_from"), F.col(start).alias("_to"))
-    inner = spans.select(*keys, work, F.col(start).alias("_s"), F.col(end).alias("_e"))
-    hit = points_in_spans(inner, gaps.where("_from < _to"), keys, "_s", "_from", "_to", width).where((F.col(work) != F.col("_w")) & (F.col("_e") <= F.col("_to")))
-    return hit.select(*keys, F.col("_w").alias(work), F.col("_id").alias(id_col)).distinct()
+def separate_playing(spans: DataFrame, separators: DataFrame, keys: list[str], work: str, id_col: str, start: str, end: str) -> DataFrame:
+    """Spans that are playings of their own: a separator (a span of another
+    work) lies wholly between each and every earlier and later span of its work;
+    overlapping spans of one work are one playing.
+
+    Whether one lies between a span and the nearest earlier end of its work
+    decides for all earlier ones, so a span looks both ways once: at the latest
+    start of a separator that ends before it, and the other way round. Those
+    of its own work don't count, so they are looked up work by work (a recording
+    names few) and the best of the others' is taken."""
+    w = Window.partitionBy(*keys, work).orderBy(start, end, id_col)
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    mine = spans.select(*keys, work, id_col, start, end, F.max(end).over(before).alias("_prior"), F.min(start).over(after).alias("_next"))
+    sep = separators.select(*keys, F.col(work).alias("_w"), F.col(start).alias("_s"), F.col(end).alias("_e"))
+
+    def found(order: str, value: str, latest: bool) -> DataFrame:
+        """The best value of each work up to each of its boundaries."""
+        pick, o = (F.max, F.col("_o")) if latest else (F.min, F.col("_o").desc())
+        run = Window.partitionBy(*keys, "_w").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
+        each = sep.groupBy(*keys, "_w", F.col(order).alias("_o")).agg(pick(value).alias("_v"))
+        return each.withColumn("_v", pick("_v").over(run))
+
+    from tidemark.operators.intervals import asof
+
+    works = sep.select(*keys, "_w").distinct()
+    pairs = mine.join(works, keys).where(F.col(work) != F.col("_w"))
+    p = asof(pairs, found("_e", "_s", True), [*keys, "_w"], start, "_o", "_v", out="_b")
+    p = asof(p, found("_s", "_e", False), [*keys, "_w"], end, "_o", "_v", forward=True, out="_a")
+    own = [*keys, work, id_col, start, end, "_prior", "_next"]
+    g = p.groupBy(*own).agg(F.max("_b").alias("_b"), F.min("_a").alias("_a"))
+    left = F.col("_prior").isNull() | ((F.col("_prior") <= F.col(start)) & (F.col("_b") >= F.col("_prior")))
+    right = F.col("_next").isNull() | ((F.col("_next") >= F.col(end)) & (F.col("_a") <= F.col("_next")))
+    lone = mine.where("_prior is null and _next is null").select(*keys, work, id_col)
+    return g.where(F.coalesce(left & right, F.lit(False))).select(*keys, work, id_col).unionByName(lone).distinct()
 
 
 def region_key(*parts: Column) -> Column:
@@ -62,11 +88,43 @@ def region_key(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256), 1, 16)
 
 
+#: Names of fields whose values are secret, and endings of such names in the
+#: query of an address (fixed values).
+SECRETS = ["client_id", "oauth_token", "api_key", "api_token", "access_key", "access_secret", "client_secret", "authorization", "cookie", "access_token", "password", "secret", "token"]
+QUERY_SECRETS = ["apikey", "auth", "signature", "sig"]
+QUERY_ENDINGS = ["access_token", "api_key", "credential", "secret", "signature"]
+HIDDEN = "[REDACTED]"
+
+
+def redaction_patterns() -> list[tuple[str, str]]:
+    """(pattern, what stays of it) in order: credentials of addresses, secret
+    parameters of their queries, quoted secrets, plain ones. They hold nothing
+    that Java's and RE2's syntax read differently."""
+    flex = lambda names: "|".join(n.replace("_", "[^a-z0-9=&]+") for n in names)
+    names = "|".join(SECRETS)
+    return [
+        (r"(?i)(https?://)[^\s<>\"'/?#@]*@", "1"),
+        (rf"(?i)(https?://[^\s<>\"'?#]*\?[^\s<>\"'#]*?\b(?:{flex(SECRETS + QUERY_SECRETS)}|[^\s<>\"'=&]*_(?:{flex(QUERY_ENDINGS)}))=)[^\s<>\"'&#]+", "1" + HIDDEN),
+        (rf"(?i)([\"']?\b(?:{names})[\"']?\s*[:=]\s*)(?:\"[^\"\n]*\"|'[^'\n]*')", '1"' + HIDDEN + '"'),
+        (rf"(?i)\b({names})(\s*[:=]\s*)(?:Bearer\s+)?[^\s,;}}\"']+", "12" + HIDDEN),
+    ]
+
+
 def redact(text: Column) -> Column:
-    """A text without values of key- and token-like assignments and without
-    credentials in addresses."""
-    t = F.regexp_replace(text, r"(?i)\b(api[_-]?key|token|secret|password)\b(\s*[:=]\s*)\S+", "$1$2[redacted]")
-    return F.regexp_replace(t, r"(?i)(https?://)[^/\s:@]+:[^/\s@]+@", "$1[redacted]@")
+    """A text without credentials in addresses and without the values of secret
+    parameters and assignments; null stays null. An address with several secret
+    parameters is passed over as often as there are kinds of them."""
+    for i, (pattern, stays) in enumerate(redaction_patterns()):
+        to = re.sub(r"^(\d)(\d?)", lambda m: f"${m[1]}" + (f"${m[2]}" if m[2] else ""), stays)
+        for _ in range(4 if i == 1 else 1):
+            text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+def redact_map(fields: Column) -> Column:
+    """A map of strings with the values of secret names hidden and the others redacted."""
+    hidden = lambda k: F.lower(k).isin(SECRETS)
+    return F.transform_values(fields, lambda k, v: F.when(hidden(k), HIDDEN).otherwise(redact(v)))
 
 
 def host(url: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.exact import ceiling, whole
+
 
 def sliding_windows(df: DataFrame, duration: str, width: int, hop: int, phase: int = 0) -> DataFrame:
     """`df` with `(start, end, is_tail)` a window: starts phase, phase + hop, ...
@@ -71,29 +71,42 @@ def admit(df: DataFrame, keys: list[str], order: list[str], cost: str, budget: s
     return df.groupBy(*keys).applyInPandas(run, f"{fields}, admitted boolean")
 
 
-def independent_trials(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Number of spans that fit without overlap, earliest finish first."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g[g[end] > g[start]].sort_values([end, start], kind="stable")
-        free, n = None, 0
-        for s, e in zip(g[start], g[end], strict=True):
-            if free is None or s >= free:
-                n, free = n + 1, e
-        return pd.DataFrame([[*key_of(g, keys), n]] if len(g) else [], columns=[*keys, "trials"])
+def independent_trials(df: DataFrame, keys: list[str], trial: str, provider: str, start: str, end: str, discounted: str | None = None) -> DataFrame:
+    """`(keys, trials_e4)`: how many trials fit without overlap, earliest finish
+    first, in ten-thousandths. A trial's span is the hull of its rows; one whose
+    rows are all of `discounted` providers (a flag) counts half.
 
-    types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, start, end).groupBy(*keys).applyInPandas(run, f"{types}, trials long")
+    The hulls of a group fold in the engine over a sorted array: a group is one
+    play's trials."""
+    light = F.min(F.col(discounted).cast("int")) if discounted else F.lit(0)
+    hull = df.where(F.col(end) > F.col(start)).groupBy(*keys, trial).agg(F.max(end).alias("e"), F.min(start).alias("s"), light.alias("half"))
+    spans = F.array_sort(F.collect_list(F.struct("e", "s", F.col(trial).alias("t"), "half")))
+    none = F.struct(F.lit(None).cast("long").alias("free"), F.lit(0).cast("long").alias("sum"))
 
+    def take(state: Column, x: Column) -> Column:
+        fits = state["free"].isNull() | (x["s"] >= state["free"])
+        more = F.when(x["half"] == 1, 5000).otherwise(10_000)
+        return F.struct(F.when(fits, x["e"].cast("long")).otherwise(state["free"]).alias("free"), F.when(fits, state["sum"] + more).otherwise(state["sum"]).alias("sum"))
 
-def key_of(g: pd.DataFrame, keys: list[str]) -> Iterator:
-    return (g[k].iloc[0] for k in keys)
+    return hull.groupBy(*keys).agg(F.aggregate(spans, none, take, lambda st: st["sum"]).alias("trials_e4"))
 
 
 def capacity(duration_ms: Column, clips_per_minute: int) -> Column:
-    return F.ceil(duration_ms * clips_per_minute / 60000).cast("long")
+    return ceiling(duration_ms * clips_per_minute, F.lit(60_000))
+
+
+def reserve(clips: Column, share_e4: int) -> Column:
+    """Clips held back of a capacity, rounded down."""
+    return whole(clips * share_e4, F.lit(10_000))
 
 
 def reservation_e6(planned: Column, unit_e6: Column) -> Column:
     """Micro-dollars to reserve: five per cent over, up to the next one."""
-    return F.ceil(planned * unit_e6 * 105 / 100).cast("long")
+    return ceiling(planned * unit_e6 * 105, F.lit(100))
+
+
+def reserved(planned: Column, unit_e6: Column, cap_e2: Column) -> Column:
+    """(cents, allowed): what to reserve in whole cents, rounded up, and whether
+    a cap of cents allows it."""
+    cents = ceiling(reservation_e6(planned, unit_e6), F.lit(10_000))
+    return F.struct(cents.alias("cents"), (cents <= cap_e2).alias("allowed"))

@@ -22,7 +22,7 @@ def q_hulls(spark, d):
 
 def q_discounted(spark, d):
     n = read_table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("votes"))
-    return ev.discounted(n, ["user_id"], "event_type", "votes")
+    return ev.discounted(n, ["user_id"], "event_type", "votes", ["click", "purchase", "view"])
 
 
 def _edges(spark, d, rows="l_linenumber = 7 and l_quantity >= 48"):
@@ -36,7 +36,9 @@ def q_components(spark, d):
 
 
 def _sizes(components):
-    return components.groupBy("component").agg(F.count("*").alias("members"), F.max("node").alias("last"))
+    """Groups of copies, named by the hash of their sorted members."""
+    members = F.array_sort(F.collect_list("node"))
+    return components.groupBy("component").agg(F.count("*").alias("members"), F.max("node").alias("last"), F.sha1(F.concat_ws("|", F.transform(members, lambda x: x.cast("string")))).alias("group_id"))
 
 
 def q_provenance(spark, d):
@@ -95,14 +97,16 @@ def q_tiers(spark, d):
 
 
 def q_isotonic(spark, d):
-    b = _scored(spark, d).withColumn("bin", F.least(F.floor(F.col("n_chars") / 300), F.lit(20))).groupBy("bin").agg(F.sum("quality").alias("good"), F.count("*").alias("total"))
-    return ev.isotonic(b, "bin", "good", "total")
+    b = _scored(spark, d).withColumn("bin", F.least(F.expr("n_chars div 300"), F.lit(20))).groupBy("lang", "bin").agg(F.sum("quality").alias("good"), F.count("*").alias("total"))
+    return ev.isotonic(b, ["lang"], "bin", "good", "total")
 
 
 def q_segment_scores(spark, d):
+    """Views against clicks, the label of either being its user's hour of day."""
     k = ["user_id", "label", "s", "e"]
-    p = supports(spark, d, HOUR, ["view"]).withColumn("label", F.lit("x")).select(*k)
-    t = supports(spark, d, HOUR, ["click"]).withColumn("label", F.lit("x")).select(*k)
+    hour = F.expr(f"s div {HOUR} % 24")
+    p = supports(spark, d, HOUR, ["view", "error"]).withColumn("label", F.col("event_type")).select(*k)
+    t = supports(spark, d, HOUR, ["view", "error"]).where("event_id % 3 <> 0").withColumn("label", F.when(hour % 5 == 0, "view").otherwise(F.col("event_type"))).select(*k)
     return ev.segment_confusion(p, t, ["user_id"], "label", "s", "e")
 
 
@@ -115,14 +119,20 @@ def q_ledger(spark, d):
 
 
 def q_resume(spark, d):
-    li = read_table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")).alias("ordinal"), "l_returnflag")
-    return ev.latest_action(li, ["l_orderkey"], "ordinal", "l_returnflag", {"R": "retry", "A": "settled", "N": "reuse"})
+    """What to do with each order's query, by its latest line as an attempt."""
+    li = read_table(spark, d, "lineitem")
+    ordinal = (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")).alias("ordinal")
+    outcome = F.when(F.col("l_linestatus") == "O", F.lit(None).cast("string")).otherwise(F.when(F.col("l_returnflag") == "R", "error").otherwise("match"))
+    x = li.select("l_orderkey", ordinal, (F.col("l_quantity") > 10).alias("dispatched"), outcome.alias("outcome"), (F.col("l_discount") > 0.02).alias("reusable"))
+    out = ev.resume(x, ["l_orderkey"], "ordinal", "dispatched", "outcome", "reusable", ["match"])
+    return read_table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")).join(out, "l_orderkey", "left").select("l_orderkey", F.coalesce("action", F.lit("fresh")).alias("action"))
 
 
 def q_usage(spark, d):
+    """Requests and billed cents per provider, egress and UTC day."""
     li = read_table(spark, d, "lineitem")
     unit = F.round(F.col("l_extendedprice") * 100).cast("long")
-    return li.groupBy("l_suppkey", F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("requests"), F.sum(F.when(F.col("l_returnflag") == "R", unit).otherwise(0)).alias("billed"))
+    return li.groupBy("l_suppkey", (F.col("l_partkey") % 4).alias("egress"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("requests"), F.sum(F.when(F.col("l_returnflag") == "R", unit).otherwise(0)).alias("billed"))
 
 
 def q_depth(spark, d):
@@ -130,13 +140,16 @@ def q_depth(spark, d):
 
 
 def q_settlement(spark, d):
-    x = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("amount"))
-    return x.groupBy("l_orderkey").agg(F.max("amount").alias("settled"), F.count("*").alias("updates"), F.sum("amount").alias("total"))
+    """One row an invocation: money as the running maximum, the rest from its last update."""
+    c = F.round(F.col("l_extendedprice") * 100).cast("long")
+    x = read_table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")).alias("seq"), "l_returnflag", c.alias("reserved"), (c - F.col("l_partkey") * 100).alias("spent"))
+    return ev.settled(x, ["l_orderkey"], "seq", ["reserved", "spent"], ["l_returnflag"])
 
 
 def q_breaker(spark, d):
+    """Failures of each user's trailing day, as of a provider's and egress's calls."""
     x = supports(spark, d).select("user_id", "event_id", "s", "event_type")
-    out = ev.failure_windows(x.withColumn("k", F.lit("all")), ["k"], "s", F.col("event_type") == "error", 6 * HOUR, 20, 30)
+    out = ev.failure_windows(x, ["user_id"], "s", F.col("event_type") == "error", 24 * HOUR, 4, 30)
     return out.select("event_id", "samples", "failures", "trips")
 
 
@@ -241,9 +254,9 @@ ORACLE_SQL = {
     "majority_trial_selection": """WITH n AS (SELECT l_suppkey, l_linenumber AS candidate, count(*) AS votes FROM lineitem GROUP BY 1, 2)
  SELECT l_suppkey, candidate, votes, CAST(total AS BIGINT) AS total FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY votes DESC, candidate) AS r, sum(votes) OVER (PARTITION BY l_suppkey) AS total FROM n) WHERE r = 1""",
     "trial_hulls": f"""SELECT user_id, s // {HOUR} AS trial, min(s) AS s, max(e) AS e, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS providers FROM ({_sp(600_000_000)}) GROUP BY user_id, s // {HOUR}""",
-    "second_engine_discount": "SELECT user_id, event_type, votes FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, event_type) AS r FROM (SELECT user_id, event_type, count(*) AS votes FROM events GROUP BY 1, 2)) WHERE r > 1",
+    "second_engine_discount": "SELECT user_id, event_type, votes FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, event_type) AS r FROM (SELECT user_id, event_type, count(*) AS votes FROM events WHERE event_type IN ('click', 'purchase', 'view') GROUP BY 1, 2)) WHERE r > 1",
     "connected_components": f"{_CC} SELECT node, component FROM k",
-    "provenance_groups": f"{_CC} SELECT component, count(*) AS members, max(node) AS last FROM k GROUP BY component",
+    "provenance_groups": f"{_CC} SELECT component, count(*) AS members, max(node) AS last, sha1(array_to_string(list(node ORDER BY node), '|')) AS group_id FROM k GROUP BY component",
     "answered_windows": "SELECT o_orderstatus, count(*) AS answered FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1",
     "unpicked_windows": "SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
     "precision_recall": f"""SELECT lang, CAST(tp AS BIGINT) AS tp, CAST(p AS BIGINT) AS predicted, CAST(t AS BIGINT) AS actual, CAST({_R4("tp", "p")} AS BIGINT) AS precision_e4, CAST({_R4("tp", "t")} AS BIGINT) AS recall_e4, CAST({_R4("2 * tp", "(p + t)")} AS BIGINT) AS f1_e4
@@ -256,23 +269,25 @@ ORACLE_SQL = {
  {_at("(n - 1) // 2")} AS median_low, {_at("(n - 1) // 2")} + {_at("n // 2")} AS median_x2 FROM o GROUP BY event_type""",
     "tier_ladder": f"""WITH t AS (SELECT CASE WHEN n_chars >= 3000 THEN 1 WHEN n_chars >= 1500 THEN 2 ELSE 3 END AS l, quality FROM {_SC}), c AS (SELECT m, sum(quality) AS k, count(*) AS n FROM t, (SELECT unnest([1, 2, 3]) AS m) WHERE l <= m GROUP BY m)
  SELECT ['verified', 'likely', 'possible'][m] AS tier, CAST(k AS BIGINT) AS correct, n AS total, CAST({_R4("k", "n")} AS BIGINT) AS precision_e4 FROM c""",
-    "isotonic_bins": f"""WITH b AS (SELECT least(n_chars // 300, 20) AS bin, sum(quality) AS g, count(*) AS t FROM {_SC} GROUP BY 1),
- m AS (SELECT lo.bin AS l, hi.bin AS h, (SELECT sum(g) / sum(t) FROM b WHERE b.bin BETWEEN lo.bin AND hi.bin) AS m FROM b lo JOIN b hi ON lo.bin <= hi.bin)
- SELECT bin, CAST(floor(max(x) * 10000 + 1e-9) AS BIGINT) AS fit_e4 FROM (SELECT b.bin, l, min(m) AS x FROM b JOIN m ON l <= b.bin AND h >= b.bin GROUP BY b.bin, l) GROUP BY bin""",
-    "segment_tp_fp_fn": f"""WITH p AS ({_sp(HOUR, "event_type = 'view'")}), q AS ({_sp(HOUR, "event_type = 'click'")}), ev AS (SELECT user_id, s AS t, 1 AS l, 0 AS r FROM p UNION ALL SELECT user_id, e, -1, 0 FROM p UNION ALL SELECT user_id, s, 0, 1 FROM q UNION ALL SELECT user_id, e, 0, -1 FROM q),
- g AS (SELECT user_id, t, sum(l) AS l, sum(r) AS r FROM ev GROUP BY user_id, t), x AS (SELECT user_id, lead(t) OVER w - t AS n, sum(l) OVER w AS l, sum(r) OVER w AS r FROM g WINDOW w AS (PARTITION BY user_id ORDER BY t))
+    "isotonic_bins": f"""WITH b AS (SELECT lang, least(n_chars // 300, 20) AS bin, sum(quality) AS g, count(*) AS t FROM {_SC} GROUP BY 1, 2),
+ m AS (SELECT lo.lang, lo.bin AS l, hi.bin AS h, (SELECT sum(g) / sum(t) FROM b WHERE b.lang = lo.lang AND b.bin BETWEEN lo.bin AND hi.bin) AS m FROM b lo JOIN b hi ON lo.lang = hi.lang AND lo.bin <= hi.bin)
+ SELECT lang, bin, CAST(floor(max(x) * 10000 + 1e-9) AS BIGINT) AS fit_e4 FROM (SELECT b.lang, b.bin, l, min(m) AS x FROM b JOIN m ON b.lang = m.lang AND l <= b.bin AND h >= b.bin GROUP BY ALL) GROUP BY lang, bin""",
+    "segment_tp_fp_fn": f"""WITH v AS ({_sp(HOUR, "event_type IN ('view', 'error')")}), p AS (SELECT user_id, event_type AS label, s, e FROM v), q AS (SELECT user_id, CASE WHEN s // {HOUR} % 24 % 5 = 0 THEN 'view' ELSE event_type END AS label, s, e FROM v WHERE event_id % 3 <> 0),
+ ev AS (SELECT user_id, label, s AS t, 1 AS l, 0 AS r FROM p UNION ALL SELECT user_id, label, e, -1, 0 FROM p UNION ALL SELECT user_id, label, s, 0, 1 FROM q UNION ALL SELECT user_id, label, e, 0, -1 FROM q),
+ g AS (SELECT user_id, label, t, sum(l) AS l, sum(r) AS r FROM ev GROUP BY ALL), x AS (SELECT user_id, lead(t) OVER w - t AS n, sum(l) OVER w AS l, sum(r) OVER w AS r FROM g WINDOW w AS (PARTITION BY user_id, label ORDER BY t))
  SELECT user_id, CAST(sum(CASE WHEN l > 0 AND r > 0 THEN n ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN l > 0 AND r = 0 THEN n ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN l = 0 AND r > 0 THEN n ELSE 0 END) AS BIGINT) AS fn FROM x GROUP BY user_id""",
     "ledger_fold": """WITH x AS (SELECT DISTINCT l_orderkey AS attempt, CASE WHEN l_linestatus = 'O' THEN 'prepared' ELSE 'resolved' END AS event, CASE WHEN l_returnflag = 'R' THEN 'billed' ELSE 'free' END AS outcome, CAST(round(l_extendedprice * 100) AS BIGINT) AS unit, l_shipdate FROM lineitem),
  p AS (SELECT attempt, event, count(*) AS n, max(outcome) AS outcome, max(unit) AS unit FROM x GROUP BY 1, 2)
  SELECT attempt, bool_or(event <> 'prepared') AS dispatched, max(CASE WHEN event = 'resolved' THEN outcome END) AS outcome, max(CASE WHEN event = 'resolved' AND outcome = 'billed' THEN unit ELSE 0 END) AS spent, max(n) > 1 AS conflict FROM p GROUP BY attempt""",
-    "resume_action": """WITH x AS (SELECT l_orderkey, l_returnflag AS state, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS ordinal FROM lineitem)
- SELECT l_orderkey, state, ordinal, CASE state WHEN 'R' THEN 'retry' WHEN 'A' THEN 'settled' WHEN 'N' THEN 'reuse' ELSE 'fresh' END AS action
- FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY ordinal DESC, state DESC) AS r FROM x) WHERE r = 1""",
-    "provider_usage": "SELECT l_suppkey, strftime(l_shipdate, '%Y-%m') AS month, count(*) AS requests, CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS billed FROM lineitem GROUP BY 1, 2",
+    "resume_action": """WITH x AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS ordinal, l_quantity > 10 AS d, CASE WHEN l_linestatus = 'O' THEN NULL WHEN l_returnflag = 'R' THEN 'error' ELSE 'match' END AS o, l_discount > 0.02 AS r FROM lineitem),
+ l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY ordinal DESC, d, coalesce(o, '') DESC, r) AS k FROM x) WHERE k = 1)
+ SELECT o_orderkey AS l_orderkey, CASE WHEN ordinal IS NULL THEN 'fresh' WHEN NOT d THEN 'reissue' WHEN o IS NULL THEN 'ambiguous' WHEN o <> 'match' THEN 'retry' WHEN r THEN 'reuse' ELSE 'settled' END AS action FROM orders LEFT JOIN l ON o_orderkey = l_orderkey""",
+    "provider_usage": "SELECT l_suppkey, l_partkey % 4 AS egress, strftime(l_shipdate, '%Y-%m-%d') AS day, count(*) AS requests, CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS billed FROM lineitem GROUP BY 1, 2, 3",
     "queue_depth_zero_filled": """SELECT p AS o_orderpriority, s AS state, count(o_orderkey) AS depth FROM (SELECT DISTINCT o_orderpriority AS p FROM orders) CROSS JOIN (SELECT unnest(['F', 'O', 'P', 'X']) AS s) LEFT JOIN orders ON o_orderpriority = p AND o_orderstatus = s GROUP BY 1, 2""",
-    "monotonic_settlement": "SELECT l_orderkey, max(c) AS settled, count(*) AS updates, CAST(sum(c) AS BIGINT) AS total FROM (SELECT l_orderkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS c FROM lineitem) GROUP BY 1",
-    "breaker_window_counts": f"""SELECT event_id, samples, CAST(failures AS BIGINT) AS failures, samples >= 20 AND failures * 100 > samples * 30 AS trips FROM (SELECT event_id, count(*) OVER w AS samples, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS failures
- FROM (SELECT *, epoch_us(ts) AS s FROM events) WINDOW w AS (ORDER BY s RANGE BETWEEN {6 * HOUR - 1} PRECEDING AND CURRENT ROW))""",
+    "monotonic_settlement": """WITH x AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS seq, l_returnflag, CAST(round(l_extendedprice * 100) AS BIGINT) AS c, l_partkey FROM lineitem)
+ SELECT l_orderkey, max(c) AS reserved, greatest(max(c - l_partkey * 100), 0) AS spent, arg_max(l_returnflag, (seq, l_returnflag)) AS l_returnflag, count(*) AS updates FROM x GROUP BY l_orderkey""",
+    "breaker_window_counts": f"""SELECT event_id, samples, CAST(failures AS BIGINT) AS failures, samples >= 4 AND failures * 100 > samples * 30 AS trips FROM (SELECT event_id, count(*) OVER w AS samples, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS failures
+ FROM (SELECT *, epoch_us(ts) AS s FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN {24 * HOUR - 1} PRECEDING AND CURRENT ROW))""",
     "heard_shares_fusion": """WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: least(1.0::DOUBLE, greatest(0.0::DOUBLE, x::DOUBLE)) ** 2) AS q FROM embeddings), h AS (SELECT vec_id, q, list_sum(q) AS s FROM q),
  r AS (SELECT vec_id, list_transform(q, lambda x: round(x / s, 9)) AS h FROM h WHERE s > 0) SELECT vec_id, list_max(h) AS top, CAST(list_position(h, list_max(h)) - 1 AS BIGINT) AS place, CAST(len(list_filter(h, lambda x: x >= 0.1)) AS BIGINT) AS heard FROM r""",
     "exact_rounding": """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(round(l_extendedprice * 100) AS BIGINT) - 3000000 AS c, CAST(l_quantity AS BIGINT) AS q FROM lineitem)

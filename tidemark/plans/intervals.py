@@ -53,12 +53,13 @@ def q_segments(spark, d):
 
 
 def q_agreements(spark, d):
+    """Overlaps of at least five minutes between the two families of each user's
+    supports: how many distinct ones, and whether two begin an hour apart."""
     fam = F.when(F.col("event_type").isin("view", "click"), "A").otherwise("B")
     x = supports(spark, d).withColumn("fam", fam)
-    a = x.where("fam = 'A'").select("user_id", F.col("event_id").alias("a_id"), F.col("s").alias("as"), F.col("e").alias("ae"))
-    b = x.where("fam = 'B'").select("user_id", F.col("event_id").alias("b_id"), F.col("s").alias("bs"), F.col("e").alias("be"))
-    j = iv.overlap_join(a, b, ["user_id"], "as", "ae", "bs", "be", HOUR)
-    return j.groupBy("user_id").agg(F.count("*").alias("pairs"), F.countDistinct("a_id").alias("agreed"), (F.max("as") - F.min("as")).alias("spread"))
+    a = x.where("fam = 'A'").select("user_id", F.col("s").alias("as"), F.col("e").alias("ae"))
+    b = x.where("fam = 'B'").select("user_id", F.col("s").alias("bs"), F.col("e").alias("be"))
+    return iv.agreements(a, b, ["user_id"], "as", "ae", "bs", "be", 300 * SEC, HOUR, HOUR)
 
 
 def q_starts_in_span(spark, d):
@@ -97,8 +98,8 @@ def q_runs_with_core(spark, d):
 
 
 def q_offset_mode(spark, d):
-    x = read_table(spark, d, "events").select("event_type", F.round("value").cast("long").alias("v"))
-    return iv.offset_mode(x, ["event_type"], "v", 100)
+    x = read_table(spark, d, "events").select("user_id", F.round("value").cast("long").alias("v"))
+    return iv.offset_cluster(x, ["user_id"], "v", 100, 7, 20)
 
 
 def q_clusters(spark, d):
@@ -125,16 +126,10 @@ def q_duration_partition(spark, d):
 
 
 def q_competing(spark, d):
-    """Per user and day, other users whose covered time overlaps at least half of theirs."""
-    x = supports(spark, d, HOUR).withColumn("day", F.floor((F.col("s") - LO) / DAY))
-    i = iv.islands(x, ["day", "user_id"], "s", "e").drop("n")
-    own = i.groupBy("day", "user_id").agg(F.sum(F.col("e") - F.col("s")).alias("own"))
-    a = i.select("day", F.col("user_id").alias("u"), F.col("s").alias("as"), F.col("e").alias("ae"))
-    b = i.select("day", F.col("user_id").alias("o"), F.col("s").alias("bs"), F.col("e").alias("be"))
-    j = iv.overlap_join(a, b, ["day"], "as", "ae", "bs", "be", HOUR).where("u <> o")
-    both = j.groupBy("day", "u", "o").agg(F.sum(F.least("ae", "be") - F.greatest("as", "bs")).alias("both"))
-    hit = both.withColumnRenamed("u", "user_id").join(own, ["day", "user_id"]).where("2 * both >= own").groupBy("day", "user_id").agg(F.count("*").alias("competing"))
-    return own.join(hit, ["day", "user_id"], "left").select("day", "user_id", "own", F.coalesce("competing", F.lit(0)).alias("competing"))
+    """Per user and kind of event, other kinds whose covered time overlaps at
+    least half of its own."""
+    i = iv.islands(supports(spark, d, 6 * HOUR), ["user_id", "event_type"], "s", "e").drop("n")
+    return iv.competing(i, ["user_id"], "event_type", "s", "e", 6 * HOUR)
 
 
 def _durations(spark, d):
@@ -172,7 +167,8 @@ def q_largest_remainder(spark, d):
 
 
 def q_independent(spark, d):
-    return sc.independent_trials(supports(spark, d, HOUR), ["user_id"], "s", "e")
+    x = supports(spark, d, HOUR).withColumns({"trial": F.expr(f"s div {HOUR // 2}"), "light": F.col("event_type") == "click"})
+    return sc.independent_trials(x, ["user_id"], "trial", "event_type", "s", "e", "light")
 
 
 def q_budget(spark, d):
@@ -185,7 +181,7 @@ def q_budget(spark, d):
 def q_occurrence(spark, d):
     w = Window.partitionBy("user_id", "event_type").orderBy("s", "event_id")
     x = supports(spark, d)
-    return x.select("user_id", "event_id", F.row_number().over(w).alias("occurrence"), (F.col("s") - F.lag("s").over(w)).alias("since"))
+    return x.select("user_id", "event_id", (F.row_number().over(w) - 1).alias("occurrence"), (F.col("s") - F.lag("s").over(w)).alias("since"))
 
 
 QUERIES = {
@@ -259,8 +255,9 @@ ORACLE_SQL = {
     "elementary_segments_multiplicity": f"""SELECT user_id, s, e, multiplicity FROM (SELECT user_id, t AS s, lead(t) OVER w AS e, CAST(sum(d) OVER w AS BIGINT) AS multiplicity FROM (
  SELECT user_id, t, sum(d) AS d FROM (SELECT user_id, s AS t, 1 AS d FROM ({_sp(HOUR)}) UNION ALL SELECT user_id, e, -1 FROM ({_sp(HOUR)})) GROUP BY user_id, t)
  WINDOW w AS (PARTITION BY user_id ORDER BY t)) WHERE multiplicity > 0 AND e IS NOT NULL""",
-    "cross_family_agreements": f"""WITH x AS ({_sp(TEN_MIN)}) SELECT a.user_id, count(*) AS pairs, count(DISTINCT a.event_id) AS agreed, max(a.s) - min(a.s) AS spread
- FROM x a JOIN x b ON a.user_id = b.user_id AND a.s < b.e AND b.s < a.e WHERE a.event_type IN ('view', 'click') AND b.event_type NOT IN ('view', 'click') GROUP BY a.user_id""",
+    "cross_family_agreements": f"""WITH x AS ({_sp(TEN_MIN)}), o AS (SELECT DISTINCT a.user_id, greatest(a.s, b.s) AS s, least(a.e, b.e) AS e FROM x a JOIN x b ON a.user_id = b.user_id AND a.s < b.e AND b.s < a.e
+ WHERE a.event_type IN ('view', 'click') AND b.event_type NOT IN ('view', 'click') AND least(a.e, b.e) - greatest(a.s, b.s) >= {300 * SEC})
+ SELECT user_id, count(*) AS agreements, count(*) >= 2 AND max(s) - min(s) >= {HOUR} AS separated FROM o GROUP BY user_id""",
     "starts_in_span": f"""WITH x AS ({_sp(HOUR)}) SELECT p.user_id, q.event_id AS span_id, count(*) AS points FROM x p JOIN x q ON p.user_id = q.user_id AND p.s >= q.s AND p.s < q.e
  WHERE q.event_type = 'purchase' GROUP BY p.user_id, q.event_id""",
     "asof_backward": f"WITH {_VC} SELECT user_id, click_id, view_id FROM ({_BACK})",
@@ -269,9 +266,12 @@ ORACLE_SQL = {
  CASE WHEN coalesce(b.t - b.vt <= f.vt - b.t, b.view_id IS NOT NULL) THEN b.view_id ELSE f.view_id END AS view_id,
  CASE WHEN coalesce(b.t - b.vt <= f.vt - b.t, b.view_id IS NOT NULL) THEN b.t - b.vt ELSE f.vt - b.t END AS gap FROM b JOIN f USING (click_id)""",
     "runs_with_core": f"SELECT user_id, s, e, n FROM ({_isl(_sp(TEN_MIN), gap=f's - pe >= {HOUR}')}) WHERE e - s >= {2 * TEN_MIN}",
-    "offset_mode": """WITH x AS (SELECT event_type, CAST(round(value) AS BIGINT) AS v FROM events),
- c AS (SELECT *, count(*) OVER (PARTITION BY event_type ORDER BY v RANGE BETWEEN CURRENT ROW AND 100 FOLLOWING) AS k, count(*) OVER (PARTITION BY event_type) AS total FROM x)
- SELECT event_type, v AS "offset", k AS support, total FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY k DESC, v) AS r FROM c) WHERE r = 1 AND 2 * k >= total""",
+    "offset_mode": """WITH x AS (SELECT user_id, CAST(round(value) AS BIGINT) AS v FROM events),
+ c AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY v RANGE BETWEEN CURRENT ROW AND 100 FOLLOWING) AS k, count(*) OVER (PARTITION BY user_id) AS total FROM x),
+ b AS (SELECT user_id, v AS lo, k, total FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC, v) AS r FROM c) WHERE r = 1 AND 2 * k >= total),
+ m AS (SELECT user_id, k, total, list(v ORDER BY v) AS l FROM x JOIN b USING (user_id) WHERE v BETWEEN lo AND lo + 100 GROUP BY ALL),
+ d AS (SELECT *, CASE WHEN k % 2 = 1 THEN l[k // 2 + 1] ELSE (l[k // 2] + l[k // 2 + 1] + 1) // 2 END AS mid FROM m)
+ SELECT user_id, mid - 7 AS anchor, greatest(list_max(list_transform(l, lambda x: abs(x - mid))), 20) AS uncertainty, k AS support, total FROM d""",
     "hint_clusters": f"SELECT user_id, s, e, n FROM ({_isl(_sp(HOUR, chr(101) + 'vent_type IN (' + chr(39) + 'view' + chr(39) + ', ' + chr(39) + 'purchase' + chr(39) + ')'), gap='s >= pe')})",
     "duration_partition": f"""WITH ev AS (SELECT user_id, event_type, s AS t, 1 AS d FROM ({_sp(HOUR)}) UNION ALL SELECT user_id, event_type, least(e, {HI}), -1 FROM ({_sp(HOUR)})),
  g AS (SELECT user_id, t, {", ".join(f"sum(CASE WHEN event_type = '{o}' THEN d ELSE 0 END) AS d{i}" for i, o in enumerate(_PART))} FROM ev GROUP BY user_id, t),
@@ -279,10 +279,9 @@ ORACLE_SQL = {
  k AS (SELECT user_id, u - t AS n, CASE {" ".join(f"WHEN c{i} > 0 THEN '{o}'" for i, o in enumerate(_PART))} END AS cls FROM seg WHERE u IS NOT NULL)
  SELECT user_id, {", ".join(f"CAST(sum(CASE WHEN cls = '{o}' THEN n ELSE 0 END) AS BIGINT) AS {o}" for o in _PART)},
  CAST({HI - LO} - sum(CASE WHEN cls IS NULL THEN 0 ELSE n END) AS BIGINT) AS idle FROM k GROUP BY user_id""",
-    "competing_candidates": f"""WITH x AS (SELECT *, (s - {LO}) // {DAY} AS day FROM ({_sp(HOUR)})), i AS ({_isl('SELECT * FROM x', 'day, user_id')}),
- own AS (SELECT day, user_id, sum(e - s) AS own FROM i GROUP BY day, user_id),
- b AS (SELECT p.day, p.user_id, q.user_id AS o, sum(least(p.e, q.e) - greatest(p.s, q.s)) AS n FROM i p JOIN i q ON p.day = q.day AND p.user_id <> q.user_id AND p.s < q.e AND q.s < p.e GROUP BY ALL)
- SELECT own.day, own.user_id, CAST(own AS BIGINT) AS own, count(o) AS competing FROM own LEFT JOIN b ON own.day = b.day AND own.user_id = b.user_id AND 2 * n >= own GROUP BY own.day, own.user_id, own""",
+    "competing_candidates": f"""WITH i AS ({_isl(_sp(6 * HOUR), 'user_id, event_type')}), own AS (SELECT user_id, event_type, sum(e - s) AS own FROM i GROUP BY ALL),
+ b AS (SELECT p.user_id, p.event_type, q.event_type AS o, sum(least(p.e, q.e) - greatest(p.s, q.s)) AS n FROM i p JOIN i q ON p.user_id = q.user_id AND p.event_type <> q.event_type AND p.s < q.e AND q.s < p.e GROUP BY ALL)
+ SELECT own.user_id, own.event_type, CAST(own AS BIGINT) AS own, count(o) AS competing FROM own LEFT JOIN b ON own.user_id = b.user_id AND own.event_type = b.event_type AND 2 * n >= own GROUP BY ALL""",
     "window_schedule": f"""WITH d AS ({_DUR}), r AS (SELECT user_id, dur, unnest(range(0, dur - 1200 + 1, 900)) AS s FROM d WHERE dur > 1200)
  SELECT user_id, s AS start, s + 1200 AS "end", false AS is_tail FROM r UNION ALL SELECT user_id, dur - 1200, dur, true FROM d WHERE dur > 1200 AND (dur - 1200) % 900 <> 0
  UNION ALL SELECT user_id, 0, dur, false FROM d WHERE dur > 0 AND dur <= 1200""",
@@ -296,9 +295,11 @@ ORACLE_SQL = {
     "largest_remainder": """WITH w AS (SELECT c_nationkey AS nation, count(*) AS w FROM customer GROUP BY 1), f AS (SELECT *, CAST(sum(w) OVER () AS BIGINT) AS t FROM w),
  g AS (SELECT *, w * 100 // t AS k, w * 100 % t AS r FROM f), h AS (SELECT *, 100 - sum(k) OVER () AS l, row_number() OVER (ORDER BY r DESC, nation) AS p FROM g)
  SELECT nation, w, CAST(k + (CASE WHEN p <= l THEN 1 ELSE 0 END) AS BIGINT) AS seats FROM h""",
-    "independent_trials": f"""WITH RECURSIVE x AS ({_sp(HOUR)}), g AS (SELECT user_id, min(e) AS e, 1 AS k FROM x GROUP BY user_id
- UNION ALL SELECT g.user_id, (SELECT min(x.e) FROM x WHERE x.user_id = g.user_id AND x.s >= g.e), k + 1 FROM g WHERE EXISTS (SELECT 1 FROM x WHERE x.user_id = g.user_id AND x.s >= g.e))
- SELECT user_id, CAST(max(k) AS BIGINT) AS trials FROM g GROUP BY user_id""",
-    "occurrence_index": """SELECT user_id, event_id, CAST(row_number() OVER w AS INTEGER) AS occurrence, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS since FROM events
+    "independent_trials": f"""WITH RECURSIVE h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY e, s, trial) AS r FROM (
+ SELECT user_id, s // {HOUR // 2} AS trial, min(s) AS s, max(e) AS e, CASE WHEN bool_and(event_type = 'click') THEN 5000 ELSE 10000 END AS w FROM ({_sp(HOUR)}) GROUP BY ALL)),
+ g AS (SELECT user_id, 1::BIGINT AS r FROM h WHERE r = 1 UNION ALL SELECT g.user_id, (SELECT min(n.r) FROM h n WHERE n.user_id = g.user_id AND n.s >= c.e) FROM g JOIN h c ON c.user_id = g.user_id AND c.r = g.r
+ WHERE EXISTS (SELECT 1 FROM h n WHERE n.user_id = g.user_id AND n.s >= c.e))
+ SELECT user_id, CAST(sum(w) AS BIGINT) AS trials_e4 FROM g JOIN h USING (user_id, r) GROUP BY user_id""",
+    "occurrence_index": """SELECT user_id, event_id, CAST(row_number() OVER w - 1 AS INTEGER) AS occurrence, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS since FROM events
  WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""",
 }

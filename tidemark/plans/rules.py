@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import rules as rl
@@ -11,14 +13,12 @@ from tidemark.plans.intervals import HOUR, _sp, supports
 from tidemark.runtime import read_table
 
 
-def _tier(n: str):
-    return F.when(F.col(n) >= 3000, "verified").when(F.col(n) >= 1500, "likely").otherwise("possible")
-
-
 def q_badges(spark, d):
-    x = _scored(spark, d).select("doc_id", _tier("n_chars").alias("work"), F.when(F.col("quality") == 1, "verified").otherwise("possible").alias("version"))
-    b = rl.badge(F.col("work"), F.col("version"))
-    return x.groupBy(b.alias("badge"), rl.tier_score(b).alias("score")).agg(F.count("*").alias("n"))
+    """Badges by tiers of work and version, and the scores of both tiers."""
+    n = F.col("n_chars")
+    tier = F.when(n >= 3000, "verified").when(n >= 1500, "likely").when(n >= 400, "possible").otherwise("unclear")
+    x = _scored(spark, d).select(tier.alias("work"), F.when(F.col("quality") == 1, "verified").otherwise("possible").alias("version"))
+    return x.groupBy("work", rl.badge(F.col("work"), F.col("version")).alias("badge"), rl.tier_score(F.col("work")).alias("score")).agg(F.count("*").alias("n"))
 
 
 def q_run_status(spark, d):
@@ -39,7 +39,7 @@ def q_parent_share(spark, d):
 
 
 def q_separate(spark, d):
-    return rl.separate_playing(supports(spark, d), ["user_id"], "event_type", "event_id", "s", "e", 24 * HOUR)
+    return rl.separate_playing(supports(spark, d), supports(spark, d), ["user_id"], "event_type", "event_id", "s", "e")
 
 
 def q_hosts(spark, d):
@@ -59,7 +59,8 @@ def q_region_keys(spark, d):
 
 def q_capacity(spark, d):
     x = supports(spark, d).groupBy("user_id").agg(F.expr("(max(s) - min(s)) div 1000").alias("ms"), F.count("*").alias("n"))
-    return x.select("user_id", sc.capacity(F.col("ms"), 2).alias("clips"), sc.reservation_e6(F.col("n"), F.lit(5000).cast("long")).alias("reserve_e6"))
+    clips, r = sc.capacity(F.col("ms"), 2), sc.reserved(F.col("n"), F.lit(5000).cast("long"), F.lit(40).cast("long"))
+    return x.select("user_id", clips.alias("clips"), sc.reserve(clips, 1500).alias("held"), r["cents"].alias("cents"), r["allowed"].alias("allowed"))
 
 
 def q_macro(spark, d):
@@ -94,22 +95,30 @@ QUERIES = {
     "star_join": q_star,
 }
 
+def _redact_sql(x: str) -> str:
+    for i, (pattern, stays) in enumerate(rl.redaction_patterns()):
+        to = re.sub(r"^(\d)(\d?)", lambda m: f"\\{m[1]}" + (f"\\{m[2]}" if m[2] else ""), stays)
+        for _ in range(4 if i == 1 else 1):
+            x = "regexp_replace({}, '{}', '{}', 'g')".format(x, pattern.replace("'", "''"), to.replace("'", "''"))
+    return x
+
+
 ORACLE_SQL = {
-    "badge_cap": f"""WITH x AS (SELECT CASE WHEN n_chars >= 3000 THEN 'verified' WHEN n_chars >= 1500 THEN 'likely' ELSE 'possible' END AS w, quality FROM {_SC}), b AS (SELECT CASE WHEN w = 'verified' AND quality <> 1 THEN 'likely' ELSE w END AS badge FROM x)
- SELECT badge, CASE badge WHEN 'verified' THEN 3 WHEN 'likely' THEN 2 ELSE 1 END AS score, count(*) AS n FROM b GROUP BY 1, 2""",
+    "badge_cap": f"""WITH x AS (SELECT CASE WHEN n_chars >= 3000 THEN 'verified' WHEN n_chars >= 1500 THEN 'likely' WHEN n_chars >= 400 THEN 'possible' ELSE 'unclear' END AS work, quality FROM {_SC})
+ SELECT work, CASE WHEN work = 'verified' AND quality <> 1 THEN 'likely' ELSE work END AS badge, map {{'likely': 8000, 'possible': 6000, 'unclear': 2500}}[work] AS score, count(*) AS n FROM x GROUP BY ALL""",
     "run_status": """WITH l AS (SELECT l_orderkey, count(*) AS p, count(*) FILTER (l_linestatus = 'F') AS r, bool_or(l_returnflag = 'R') AS f FROM lineitem GROUP BY 1)
  SELECT CASE WHEN f THEN 'partial (provider)' WHEN o_orderstatus = 'P' THEN 'partial (reservation)' WHEN r * 100 < 50 * p THEN 'partial (primary)' WHEN p < 3 THEN 'degraded' ELSE 'complete' END AS status, count(*) AS orders
  FROM orders JOIN l ON o_orderkey = l_orderkey GROUP BY 1""",
     "retention_fold": "SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'P') THEN -1 ELSE max(epoch_us(o_orderdate)) END AS due, count(*) AS runs FROM orders GROUP BY 1",
     "parent_share": """WITH s AS (SELECT c_mktsegment, n_regionkey, count(*) AS w FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
  SELECT c_mktsegment, n_regionkey, w AS weight, CAST(t AS BIGINT) AS total FROM (SELECT *, sum(w) OVER (PARTITION BY c_mktsegment) AS t, row_number() OVER (PARTITION BY c_mktsegment ORDER BY w DESC, n_regionkey) AS r FROM s) WHERE r = 1""",
-    "separate_playing": f"""WITH x AS ({_sp(600_000_000)}), g AS (SELECT *, max(e) OVER (PARTITION BY user_id, event_type ORDER BY s, e, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM x)
- SELECT user_id, event_type, event_id FROM g WHERE pe < s AND EXISTS (SELECT 1 FROM x WHERE x.user_id = g.user_id AND x.event_type <> g.event_type AND x.s >= g.pe AND x.e <= g.s)""",
+    "separate_playing": f"""WITH x AS ({_sp(600_000_000)}) SELECT user_id, event_type, event_id FROM x a WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.user_id = a.user_id AND b.event_type = a.event_type AND b.event_id <> a.event_id
+ AND NOT EXISTS (SELECT 1 FROM x c WHERE c.user_id = a.user_id AND c.event_type <> a.event_type AND ((b.s >= a.e AND c.s >= a.e AND c.e <= b.s) OR (a.s >= b.e AND c.s >= b.e AND c.e <= a.s))))""",
     "url_hosts": "SELECT regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]+)', 1)), '^www\\.', '') AS host, count(*) AS pages FROM pages GROUP BY 1",
-    "redacted_documents": r"""WITH r AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?i)\b(api[_-]?key|token|secret|password)\b(\s*[:=]\s*)\S+', '\1\2[redacted]', 'g'), '(?i)(https?://)[^/\s:@]+:[^/\s@]+@', '\1[redacted]@', 'g') AS t FROM documents)
- SELECT doc_id, t <> text AS changed, sha256(t) AS digest FROM r""",
+    "redacted_documents": f"WITH r AS (SELECT doc_id, text, {_redact_sql('text')} AS t FROM documents) SELECT doc_id, t <> text AS changed, sha256(t) AS digest FROM r",
     "region_keys": f"""SELECT DISTINCT user_id, event_type, slot, substr(sha256(concat_ws('|', user_id, event_type, slot)), 1, 16) AS key FROM (SELECT user_id, event_type, s // {6 * HOUR} AS slot FROM ({_sp(HOUR)}))""",
-    "capacity_reservation": """SELECT user_id, CAST(ceil((max(epoch_us(ts)) - min(epoch_us(ts))) // 1000 * 2 / 60000) AS BIGINT) AS clips, CAST(ceil(count(*) * 5000 * 105 / 100) AS BIGINT) AS reserve_e6 FROM events GROUP BY 1""",
+    "capacity_reservation": """WITH x AS (SELECT user_id, (max(epoch_us(ts)) - min(epoch_us(ts))) // 1000 AS ms, count(*) AS n FROM events GROUP BY 1), c AS (SELECT user_id, (ms * 2 + 59999) // 60000 AS clips, (n * 5000 * 105 + 99) // 100 AS e6 FROM x)
+ SELECT user_id, clips, clips * 1500 // 10000 AS held, (e6 + 9999) // 10000 AS cents, (e6 + 9999) // 10000 <= 40 AS allowed FROM c""",
     "macro_recall": f"""WITH r AS (SELECT lang, least(10000, (sum(guess * quality) * 20000 + sum(quality)) // (2 * sum(quality))) AS r FROM {_SC} GROUP BY lang) SELECT CAST((2 * sum(r) + count(*)) // (2 * count(*)) AS BIGINT) AS macro_e4 FROM r""",
     "star_join": """SELECT r_name, c_mktsegment, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""",

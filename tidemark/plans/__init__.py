@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.plans import episodes, evidence, intervals, rules, timeline
+from tidemark.plans import decisions, episodes, evidence, intervals, rules, timeline
 
-MODULES = [intervals, evidence, timeline, rules, episodes]
+MODULES = [intervals, evidence, timeline, rules, episodes, decisions]
 
 
 def queries() -> dict[str, Callable]:

@@ -48,7 +48,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Unlike texts that share an id stay. Equal rows are one; null and empty texts
     are near-duplicates of one another; an empty table gives none."""
-    keyed = _carried(docs).withColumn("_key", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    whole = F.xxhash64(*(F.col("text" if c == "text" else f"_row.`{c}`") for c in docs.columns))
+    keyed = _carried(docs).withColumn("_key", whole)
     fps = table(simhash.fingerprints(keyed, "_key").distinct(), "fingerprints")
     ids = keyed.select(F.col("_key").alias("id"), "doc_id").distinct()
     groups = ids.join(fps, "id").join(simhash.components(fps), "fp")

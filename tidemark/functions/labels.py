@@ -1,4 +1,4 @@
-"""Labels and comments: folding, near spellings, kinds, cues, splits."""
+"""Labels: folding, placeholders, near spellings, word sets."""
 
 from __future__ import annotations
 
@@ -79,38 +79,6 @@ def plausible_label(artist: Column, title: Column) -> Column:
     return F.coalesce(filled & clean & brief, F.lit(False))
 
 
-def comment_kind(text: Column) -> Column:
-    """question, correction, pointer, tracklist, answer or other, in that order
-    of precedence."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    return (
-        F.when(t.rlike(r"\b(track\s*id|id\s*\?|what('s| is) (this|the) (track|song|tune))|\?\s*$"), "question")
-        .when(t.rlike(r"^(no|actually|wrong)\b"), "correction")
-        .when(t.rlike(r"https?://"), "pointer")
-        .when(t.rlike(r"(\d{1,2}:\d{2}.*){2,}"), "tracklist")
-        .when(t.rlike(r" - | by "), "answer")
-        .otherwise("other")
-    )
-
-
-def cue_ms(text: Column) -> Column:
-    """The first h:mm:ss or mm:ss of a text in milliseconds; null if none."""
-    p = r"(?:(\d{1,2}):)?(\d{1,3}):([0-5]\d)"
-    g = lambda i: F.regexp_extract(text, p, i)
-    hours = F.when(g(1) == "", F.lit(0).cast("long")).otherwise(F.try_to_number(g(1), F.lit("999")).cast("long"))
-    num = lambda c: F.try_to_number(c, F.lit("999")).cast("long")
-    return F.when(g(3) != "", ((hours * 60 + num(g(2))) * 60 + num(g(3))) * 1000)
-
-
-def split_label(text: Column) -> tuple[Column, Column]:
-    """(artist, title) of "A - B" or "B by A"; nulls if neither."""
-    dash = F.split(text, r"\s+[-–—]\s+", 2)
-    by = F.split(text, r"(?i)\s+by\s+", 2)
-    artist = F.when(F.size(dash) == 2, F.trim(F.get(dash, F.lit(0)))).when(F.size(by) == 2, F.trim(F.get(by, F.lit(1))))
-    title = F.when(F.size(dash) == 2, F.trim(F.get(dash, F.lit(1)))).when(F.size(by) == 2, F.trim(F.get(by, F.lit(0))))
-    return artist, title
-
-
 def jaccard_e4(a: Column, b: Column) -> Column:
     """Shared share of two word arrays in ten-thousandths."""
     from tidemark.functions.exact import ratio_e4

@@ -172,16 +172,20 @@ def q_near_spelling(spark, d):
     return p.where(lb.near_spelling(F.col("a"), F.col("b")))
 
 
-def q_kinds(spark, d):
-    c = read_table(spark, d, "conversations")
-    return c.groupBy("role", lb.comment_kind(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
-
-
 def q_reply_parent(spark, d):
-    """Each assistant turn with the latest earlier user turn of its conversation."""
-    c = read_table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.max("role").alias("role"))
-    p = F.expr("max(case when role = 'user' then turn end) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding)")
-    return c.select("conv_id", "turn", "role", p.alias("parent")).where("role = 'assistant'").drop("role")
+    """Each assistant turn with the nearest earlier user turn of its conversation
+    at most three turns back (a sure reply), else with the only user who is
+    mentioned, being another turn's first word (a likely one)."""
+    c = read_table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.max("role").alias("role"), F.max("text").alias("text"))
+    p = F.expr("max(case when role = 'user' then turn end) over (partition by conv_id order by turn range between 3 preceding and 1 preceding)")
+    said = F.lower(F.regexp_extract("text", r"^([a-zA-Z]+)", 1))
+    r = c.withColumns({"parent": p, "_w": said})
+    users = r.where("role = 'user' and _w <> ''").select("conv_id", F.col("turn").alias("_t"), F.col("_w").alias("_u"))
+    open_ = r.where("role = 'assistant' and parent is null").select("conv_id", "turn", "_w")
+    only = open_.join(users, "conv_id").where("_w = _u and _t < turn").groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.min("_t").alias("_p")).where("n = 1")
+    out = r.where("role = 'assistant'").join(only, ["conv_id", "turn"], "left")
+    sure = F.when(F.col("parent").isNotNull(), 9500).when(F.col("_p").isNotNull(), 8000).otherwise(0)
+    return out.select("conv_id", "turn", F.coalesce("parent", "_p", F.lit(-1).cast("long")).alias("parent"), sure.alias("confidence"))
 
 
 def q_words(spark, d):
@@ -231,7 +235,6 @@ QUERIES = {
     "heard_shares_fusion": q_heard,
     "exact_rounding": q_rounding,
     "near_spelling_pairs": q_near_spelling,
-    "comment_kind": q_kinds,
     "reply_parent": q_reply_parent,
     "word_set_match": q_words,
     "theil_sen": q_theil_sen,
@@ -294,7 +297,10 @@ ORACLE_SQL = {
  SELECT l_orderkey, l_linenumber, l_partkey, CAST(sign(c) * ((2 * abs(c) + q) // (2 * q)) AS BIGINT) AS unit, CAST(least(10000, (q * 20000 + 37) // 74) AS BIGINT) AS share_e4 FROM x""",
     "near_spelling_pairs": """WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part UNION ALL SELECT lower(n_name) FROM nation) WHERE length(w) >= 4)
  SELECT x.w AS a, y.w AS b FROM w x JOIN w y ON x.w < y.w AND levenshtein(x.w, y.w) <= 1""",
-    "reply_parent": """WITH c AS (SELECT conv_id, turn, max(role) AS role FROM conversations GROUP BY 1, 2) SELECT conv_id, turn, parent FROM (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent FROM c) WHERE role = 'assistant'""",
+    "reply_parent": """WITH c AS (SELECT conv_id, turn, max(role) AS role, max(text) AS text FROM conversations GROUP BY 1, 2),
+ r AS (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING) AS parent, lower(regexp_extract(text, '^([a-zA-Z]+)', 1)) AS w FROM c),
+ o AS (SELECT a.conv_id, a.turn, min(u.turn) AS p FROM r a JOIN r u ON a.conv_id = u.conv_id AND a.w = u.w AND u.turn < a.turn WHERE a.role = 'assistant' AND a.parent IS NULL AND u.role = 'user' AND u.w <> '' GROUP BY 1, 2 HAVING count(*) = 1)
+ SELECT r.conv_id, r.turn, coalesce(parent, p, -1) AS parent, CASE WHEN parent IS NOT NULL THEN 9500 WHEN p IS NOT NULL THEN 8000 ELSE 0 END AS confidence FROM r LEFT JOIN o ON r.conv_id = o.conv_id AND r.turn = o.turn WHERE role = 'assistant'""",
     "word_set_match": f"""WITH p AS (SELECT p_partkey, list_distinct(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ')) AS a, list_distinct(string_split(trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')), ' ')) AS b FROM part),
  n AS (SELECT p_partkey, len(list_intersect(a, b)) AS i, len(list_distinct(list_concat(a, b))) AS u FROM p) SELECT p_partkey, CAST({_R4("i", "u")} AS BIGINT) AS jaccard_e4 FROM n""",
 }

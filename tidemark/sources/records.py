@@ -3,9 +3,9 @@ canonical writes, manifests of content hashes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructField, StructType
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -22,10 +22,27 @@ def read_journal(spark: SparkSession, path: str, schema: StructType) -> DataFram
     return df.where(F.col("_torn").isNull() & first.isNotNull()).drop("_torn")
 
 
+def _ordered(c: Column, t: DataType, name: str) -> Column:
+    """A value with the fields of all its structs in order; floats are refused."""
+    if isinstance(t, FloatType | DoubleType):
+        raise ValueError(f"{name}: a canonical record holds no floats")
+    if isinstance(t, StructType):
+        fields = sorted(t.fields, key=lambda f: f.name)
+        return F.when(c.isNotNull(), F.struct(*(_ordered(c[f.name], f.dataType, f"{name}.{f.name}").alias(f.name) for f in fields)))
+    if isinstance(t, ArrayType):
+        return F.transform(c, lambda x: _ordered(x, t.elementType, name))
+    if isinstance(t, MapType):
+        items = F.array_sort(F.map_entries(c))
+        return F.map_from_entries(F.transform(items, lambda e: F.struct(e["key"], _ordered(e["value"], t.valueType, name))))
+    return c
+
+
 def canonical(df: DataFrame) -> DataFrame:
-    """One `value` a row: compact JSON, keys in order, nulls written out."""
-    cols = sorted(df.columns)
-    return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))
+    """One `value` a row: compact JSON, keys in order at every depth, nulls
+    written out. Floats at any depth are an error."""
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    made = F.struct(*(_ordered(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in fields))
+    return df.select(F.to_json(made, {"ignoreNullFields": "false"}).alias("value"))
 
 
 def write_canonical(df: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from tidemark.llm import suffix_dedup
 from tidemark.llm.q_suffix import op8_suffix_dedup
@@ -46,7 +47,8 @@ def test_index_against_brute_force():
     assert sorted(ix.locate(p) for p in range(ix.n)) == list(range(ix.n))
 
 
-def test_rows_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("spread", [32, 1, 3])
+def test_rows_against_brute_force(spark, monkeypatch, spread):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7)))
     passage = [" ".join(word() for _ in range(25)) for _ in range(6)]
@@ -55,13 +57,29 @@ def test_rows_against_brute_force(spark, monkeypatch):
     rng.shuffle(rows)
     monkeypatch.setattr(suffix_dedup, "CHUNK", 3000)
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
-    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 500)
+    monkeypatch.setattr(suffix_dedup, "SPREAD", spread)
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as chunk", "3 as docs").repartition(3)
     got = suffix_dedup.repeated_spans(d).collect()
     have = sorted((-1 if r.id is None else r.id, r.n_bytes, sum(s.end - s.first for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got)
     assert have == sorted(digest(*x) for x in brute(rows))
     assert suffix_dedup.repeated_spans(d.where("false")).count() == 0
 
 
+def test_second_anchors_of_equal_windows():
+    rng = np.random.default_rng(5)
+    text = rng.integers(97, 100, 4000).astype(np.uint8)
+    text[2000:2400] = text[100:500]
+    at, n = np.array([90, 1990, 130]), np.array([64, 64, 7])
+    run, second, first, windows = suffix_dedup._finer(text, at, n)
+    assert [int(windows[run == k].sum()) for k in range(3)] == n.tolist()
+    key = {}
+    for k, h, a, m in zip(run, second, first, windows):
+        for w in range(a, a + m):
+            assert at[k] <= w < at[k] + n[k]
+            assert key.setdefault(text[w : w + 50].tobytes(), h) == h
+
+
 def test_query_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     want = sorted(digest(*x) for x in brute([(r.doc_id, r.text) for r in docs]))

@@ -5,7 +5,10 @@ smaller id. Every 50-byte window is filed under the least hash of its 24-byte
 substrings, so equal windows share an anchor. Only anchors of two documents or
 more can matter; for those the bytes around go to the anchor's block, where a
 run-length index over the distinct strings is built, the strings are streamed
-through it, and every window's least document comes back.
+through it, and every window's least document comes back. Anchors of very many
+chunks are no key: their windows are filed by a second anchor too, the greatest
+hash, which equal windows share as well, so a common phrase's contexts spread
+over all blocks.
 
 Documents travel in chunks. A chunk sends an anchor once, however many of its
 documents hold it, and a distinct string once, with the least id; so a passage
@@ -31,6 +34,9 @@ GRAM = 24
 CHUNK, SEGMENT, BLOCK = 4_000_000, 64_000, 2_000_000
 #: Windows in one string of an anchor at most (longer runs are cut, none lost).
 RUN = 64
+#: Chunks that an anchor is in above which its windows are filed by a second
+#: anchor too, and bytes of these that are looked at together.
+SPREAD, BATCH = 32, 1_000_000
 _NONE = (1 << 63) - 1
 
 
@@ -58,17 +64,37 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _least_hashes(b: np.ndarray) -> np.ndarray:
-    """For each LENGTH-byte window the least hash of its GRAM-byte substrings."""
+def _anchors(b: np.ndarray, pick: np.ufunc = np.minimum) -> np.ndarray:
+    """For each LENGTH-byte window the least hash of its GRAM-byte substrings (or
+    the greatest)."""
     w = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(b, 8)).view("<u8").ravel()
     a, m, z = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
     h = _mixed(w[: len(b) - 23] * a + w[8 : len(b) - 15] * m + w[16:] * z)
     span, width = 1, LENGTH - GRAM + 1
     while 2 * span <= width:
-        h = np.minimum(h[:-span], h[span:])
+        h = pick(h[:-span], h[span:])
         span *= 2
     rest = width - span
-    return np.minimum(h[:-rest], h[rest:]) if rest else h
+    return pick(h[:-rest], h[rest:]) if rest else h
+
+
+def _finer(text: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows cut where their second anchor, the greatest hash, changes:
+    (run, second anchor, first window, windows). Equal windows share it too."""
+    size = n + LENGTH - 1
+    out, i, upto = [], 0, np.cumsum(size)
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + BATCH, side="right")))
+        s, k, a = size[i:j], n[i:j], at[i:j]
+        start = np.cumsum(s) - s
+        own = text[np.repeat(a - start, s) + np.arange(int(s.sum()))]
+        run = np.repeat(np.arange(j - i), k)
+        w = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+        h = _anchors(own, np.maximum)[start[run] + w]
+        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (run[1:] != run[:-1])])
+        out.append((run[first] + i, h[first], a[run[first]] + w[first], np.diff(np.r_[first, len(h)])))
+        i = j
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def runs(size: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -88,7 +114,7 @@ def runs(size: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
         b = text[a : a + SEGMENT + LENGTH - 1]
         if len(b) < LENGTH:
             break
-        h = _least_hashes(b)
+        h = _anchors(b)
         ok = whole[a : a + len(h)]
         new = fresh[a : a + len(h)].copy()
         new[0] = True
@@ -149,9 +175,15 @@ def _contexts(docs: bytes, wanted: list[bytes], blocks: int):
     doc, size, text = unpack(docs, *_DOCS)
     h, d, at, n = runs(size, text)
     known, several = _several(h, doc[d])
-    dup = np.concatenate([known[several], *(unpack(w, "<u8")[0] for w in wanted)])
-    keep = np.isin(h, dup)
+    told = [unpack(w, "<u8", "<u8") for w in wanted]
+    keep = np.isin(h, np.concatenate([known[several], *(x for x, _ in told)]))
     h, d, at, n = h[keep], d[keep], at[keep], n[keep]
+    hot = np.isin(h, np.concatenate([np.zeros(0, np.uint64), *(x for _, x in told)]))
+    if hot.any():
+        run, second, first, windows = _finer(text, at[hot], n[hot])
+        cool = ~hot
+        h = np.r_[h[cool], _mixed(h[hot][run] + second)]
+        d, at, n = np.r_[d[cool], d[hot][run]], np.r_[at[cool], first], np.r_[n[cool], windows]
     block = (h % np.uint64(blocks)).astype(np.int64)
     raw = text.tobytes()
     number: dict[tuple[int, bytes], int] = {}
@@ -202,13 +234,16 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([chunk.as_py()] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], names=["block", "chunk", "blob"])
 
     def shared(t: pa.Table) -> pa.Table:
-        """For each chunk its anchors that another chunk has too."""
+        """For each chunk its anchors that another chunk has too, and which of
+        its anchors very many have."""
         chunk = t.column("chunk").to_pylist()
         both = [unpack(x.as_py(), "<u8", "<u8") for x in t.column("blob")]
         seen, n = np.unique(np.concatenate([x for p in both for x in (p[0], p[1], p[1])]), return_counts=True)
-        dup = seen[n > 1]
-        found = [(c, x) for c, p in zip(chunk, both, strict=True) if len(x := p[0][np.isin(p[0], dup, assume_unique=True)])]
-        return pa.table({"chunk": pa.array([c for c, _ in found], pa.int64()), "blob": pa.array([pack(x) for _, x in found], pa.binary())})
+        dup, hot = seen[n > 1], seen[n > SPREAD]
+        of = lambda x, y: x[np.isin(x, y, assume_unique=True)]
+        found = [(c, of(p[0], dup), of(np.r_[p[0], p[1]], hot)) for c, p in zip(chunk, both, strict=True)]
+        found = [(c, x, y) for c, x, y in found if len(x) or len(y)]
+        return pa.table({"chunk": pa.array([c for c, _, _ in found], pa.int64()), "blob": pa.array([pack(x, y) for _, x, y in found], pa.binary())})
 
     wide = packed.select("chunk", "docs").mapInArrow(anchors, "block long, chunk long, blob binary")
     survivors = table(wide.groupBy("block").applyInArrow(shared, "chunk long, blob binary"), "anchors")

@@ -22,6 +22,30 @@ def test_islands_touch_nest_and_skip_odd_spans(spark):
     assert sorted((r.k, r.s, r.e, r.n) for r in got) == [("a", 0, 20, 2), ("a", 30, 40, 2), ("b", 1, 2, 2)]
 
 
+def test_islands_by_slots_are_the_same(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), s := rng.randrange(2000), s + rng.randrange(-5, 90)) for _ in range(400)]
+    d = made(spark, rows)
+    for gap in (0, 7):
+        want = sorted(tuple(r) for r in intervals.islands(d, ["k"], "s", "e", gap=gap).collect())
+        for slot in (1, 50, 5000):
+            assert sorted(tuple(r) for r in intervals.islands(d, ["k"], "s", "e", gap=gap, slot=slot).collect()) == want
+
+
+def test_exact_beyond_doubles(spark):
+    n = 2**53 + 1
+    d = spark.range(1).select(half_up(F.lit(2 * n), F.lit(2)).alias("h"), ratio_e4(F.lit(450_359_962_737_049), F.lit(450_359_962_737_050)).alias("r"))
+    assert tuple(d.first()) == (n, 10_000)
+
+
+def test_isotonic_pools(spark):
+    d = spark.createDataFrame([("g", i, k, 10) for i, k in enumerate((1, 5, 3, 4, 9, 2))] + [("h", 0, 0, 0), ("h", 1, 1, 2)], "k string, x long, g long, t long")
+    got = [(r.k, r.x, r.fit_e4) for r in evidence.isotonic(d, ["k"], "x", "g", "t").orderBy("k", "x").collect()]
+    assert got == [("g", 0, 1000), ("g", 1, 4000), ("g", 2, 4000), ("g", 3, 4000), ("g", 4, 5500), ("g", 5, 5500), ("h", 0, 0), ("h", 1, 5000)]
+
+
 def test_subtract_and_intersect(spark):
     a, b = made(spark, SPANS), made(spark, [("a", 5, 32), ("c", 0, 9)])
     assert sorted((r.k, r.s, r.e) for r in intervals.subtract(a, b, ["k"], "s", "e").collect()) == [("a", 0, 5), ("a", 32, 40), ("b", 1, 2)]
@@ -59,13 +83,7 @@ def test_exact_arithmetic(spark):
     assert spark.range(1).select(iou_e4(*lit(0, 10, 5, 15)).alias("x")).first().x == 3333
 
 
-def test_labels(spark):
-    rows = [("Alpha - Beta",), ("Beta by Alpha",), ("no dash",), ("at 1:02:03 it is",), ("12:34 x",), ("what is this track?",), (None,)]
-    d = spark.createDataFrame(rows, "t string")
-    artist, title = labels.split_label(F.col("t"))
-    got = d.select(artist.alias("a"), title.alias("b"), labels.cue_ms(F.col("t")).alias("c"), labels.comment_kind(F.col("t")).alias("k")).collect()
-    assert [(r.a, r.b) for r in got[:3]] == [("Alpha", "Beta"), ("Alpha", "Beta"), (None, None)]
-    assert got[3].c == 3723000 and got[4].c == 754000 and got[5].k == "question" and got[6].k == "other"
+def test_label_folds(spark):
     fold = spark.createDataFrame([("  Ｃafé   ①\n",)], "t string").select(labels.display_fold("t").alias("d"), labels.score_fold("t").alias("s")).first()
     assert (fold.d, fold.s) == ("café 1", "cafe 1")
 
@@ -124,6 +142,12 @@ def test_session_stream(spark, feed):
     assert sorted((r.u, r.n) for r in got) == [("x", 60), ("y", 60)]
 
 
+def test_sliding_stream(spark, feed):
+    got = drain(spark, streams.hops(feed, "u", "at", "1 minute", "30 seconds", "1 minute"), "h", "complete")
+    # 60 events, each in two windows
+    assert sum(r.n for r in got if r.u == "x") == 120 and all((r.end - r.start).seconds == 60 for r in got)
+
+
 def test_ingest_once(spark, feed):
     twice = feed.unionByName(feed)
     assert len(drain(spark, streams.ingest_once(twice, ["u", "t"], "at", "1 hour"), "i")) == 120

@@ -195,9 +195,10 @@ def q_words(spark, d):
 
 
 def q_theil_sen(spark, d):
-    x = read_table(spark, d, "events").select("event_type", "user_id", F.unix_micros("ts").alias("t"), "value")
-    x = x.groupBy("event_type", F.floor(F.col("t") / (24 * HOUR)).alias("day")).agg(F.avg("value").alias("v"))
-    return ev.theil_sen(x, ["event_type"], "day", "v")
+    """A line through each user's values over minutes."""
+    x = read_table(spark, d, "events").select("user_id", F.expr("unix_micros(ts) div 60000000").alias("t"), "value")
+    r = ev.theil_sen(x, ["user_id"], "t", "value")
+    return r.select("user_id", F.round("slope", 9).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("residual", 2).alias("residual"))
 
 
 def q_clopper(spark, d):
@@ -297,6 +298,8 @@ ORACLE_SQL = {
  SELECT l_orderkey, l_linenumber, l_partkey, CAST(sign(c) * ((2 * abs(c) + q) // (2 * q)) AS BIGINT) AS unit, CAST(least(10000, (q * 20000 + 37) // 74) AS BIGINT) AS share_e4 FROM x""",
     "near_spelling_pairs": """WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part UNION ALL SELECT lower(n_name) FROM nation) WHERE length(w) >= 4)
  SELECT x.w AS a, y.w AS b FROM w x JOIN w y ON x.w < y.w AND levenshtein(x.w, y.w) <= 1""",
+    "theil_sen": """WITH x AS (SELECT user_id, event_id, epoch_us(ts) // 60000000 AS t, value AS y FROM events), s AS (SELECT a.user_id, median((b.y - a.y) / (b.t - a.t)) AS m FROM x a JOIN x b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.t <> b.t GROUP BY 1),
+ i AS (SELECT user_id, m, median(y - m * t) AS c FROM x JOIN s USING (user_id) GROUP BY ALL) SELECT user_id, round(m, 9) AS slope, round(c, 2) AS intercept, round(max(abs(y - m * t - c)), 2) AS residual FROM x JOIN i USING (user_id) GROUP BY user_id, m, c""",
     "reply_parent": """WITH c AS (SELECT conv_id, turn, max(role) AS role, max(text) AS text FROM conversations GROUP BY 1, 2),
  r AS (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING) AS parent, lower(regexp_extract(text, '^([a-zA-Z]+)', 1)) AS w FROM c),
  o AS (SELECT a.conv_id, a.turn, min(u.turn) AS p FROM r a JOIN r u ON a.conv_id = u.conv_id AND a.w = u.w AND u.turn < a.turn WHERE a.role = 'assistant' AND a.parent IS NULL AND u.role = 'user' AND u.w <> '' GROUP BY 1, 2 HAVING count(*) = 1)

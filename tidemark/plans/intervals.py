@@ -25,11 +25,11 @@ def supports(spark: SparkSession, sf_dir: str, width_us: int = TEN_MIN, kinds: l
 
 
 def q_islands_stats(spark, d):
-    return iv.island_stats(supports(spark, d), ["user_id"], "s", "e")
+    return iv.island_stats(supports(spark, d), ["user_id"], "s", "e", slot=DAY)
 
 
 def q_union(spark, d):
-    return iv.islands(supports(spark, d), ["user_id"], "s", "e")
+    return iv.islands(supports(spark, d), ["user_id"], "s", "e", slot=DAY)
 
 
 def q_subtract(spark, d):
@@ -300,6 +300,10 @@ ORACLE_SQL = {
  g AS (SELECT user_id, 1::BIGINT AS r FROM h WHERE r = 1 UNION ALL SELECT g.user_id, (SELECT min(n.r) FROM h n WHERE n.user_id = g.user_id AND n.s >= c.e) FROM g JOIN h c ON c.user_id = g.user_id AND c.r = g.r
  WHERE EXISTS (SELECT 1 FROM h n WHERE n.user_id = g.user_id AND n.s >= c.e))
  SELECT user_id, CAST(sum(w) AS BIGINT) AS trials_e4 FROM g JOIN h USING (user_id, r) GROUP BY user_id""",
+    "budget_plan": """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cost, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_custkey) AS BIGINT) // 2 AS budget, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS r FROM orders),
+ g AS (SELECT o_custkey, r, o_orderkey, cost, cost <= budget AS ok, budget - CASE WHEN cost <= budget THEN cost ELSE 0 END AS rest FROM o WHERE r = 1
+ UNION ALL SELECT o.o_custkey, o.r, o.o_orderkey, o.cost, o.cost <= g.rest, g.rest - CASE WHEN o.cost <= g.rest THEN o.cost ELSE 0 END FROM g JOIN o ON o.o_custkey = g.o_custkey AND o.r = g.r + 1)
+ SELECT o_custkey, o_orderkey, cost FROM g WHERE ok""",
     "occurrence_index": """SELECT user_id, event_id, CAST(row_number() OVER w - 1 AS INTEGER) AS occurrence, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS since FROM events
  WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""",
 }

@@ -50,12 +50,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a
-    temporary one only where that is unset (local runs and tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Where
+    that is unset a local session gets a temporary one; a cluster has none that
+    is shared, so there it is an error."""
     reachable(spark)
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="tidemark-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
@@ -72,6 +75,22 @@ def cut(df: DataFrame) -> DataFrame:
 def table(df: DataFrame, name: str = "t") -> DataFrame:
     """`df` written as Parquet in the shared folder and read back; for tables
     whose columns are read apart or more than once."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    _WRITTEN.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+
+#: Folders of the tables that this process wrote.
+_WRITTEN: list[str] = []
+
+
+def discard_tables(spark: SparkSession) -> int:
+    """Deletes the tables written so far and says how many; for the end of a job,
+    when nothing that was made from them is read any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.plans import decisions, episodes, evidence, intervals, rules, text, timeline
+from tidemark.plans import decisions, episodes, evidence, intervals, loops, rules, text, timeline
 
-MODULES = [intervals, evidence, timeline, rules, episodes, decisions, text]
+MODULES = [intervals, evidence, timeline, rules, episodes, decisions, text, loops]
 
 
 def queries() -> dict[str, Callable]:

@@ -170,6 +170,31 @@ def heard_shares(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return d.select(id_col, F.array_max("_h").alias("top"), (F.array_position("_h", F.array_max("_h")) - 1).alias("place"), F.size(F.filter("_h", lambda x: x >= 0.1)).cast("long").alias("heard"))
 
 
+def fused_shares(df: DataFrame, id_col: str, vector: str, lookup: str, weight: float, least: float) -> DataFrame:
+    """`(id, top, share, agreement)`: heard shares (squares of a clipped vector
+    over their sum) and the shares of a lookup, a map from places to shares, whose
+    entries count only where the vector has `least` or more, weighed together. The
+    agreement is `agree` where both name one place, `partial` where the lookup has
+    some of the heard one, `disagree`, or `heard-only` without a lookup."""
+    p = F.transform(vector, lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x.cast("double"))))
+    sum_ = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    d = df.withColumn("_q", F.transform(p, lambda x: x * x))
+    total = sum_("_q")
+    d = d.withColumn("_h", F.when(total > 0, F.transform("_q", lambda x: x / total)).otherwise(F.col("_q")))
+    entries = F.filter(F.map_entries(lookup), lambda e: F.get(vector, e["key"].cast("int")).cast("double") >= least)
+    d = d.withColumn("_e", F.coalesce(entries, F.array().cast("array<struct<key:int,value:double>>")))
+    sure = sum_(F.transform("_e", lambda e: e["value"]))
+    d = d.withColumn("_e", F.when(sure > 0, F.transform("_e", lambda e: F.struct(e["key"].alias("key"), (e["value"] / sure).alias("value")))).otherwise(F.array().cast("array<struct<key:int,value:double>>")))
+    w = F.when(F.size("_e") > 0, F.lit(weight)).otherwise(0.0)
+    at = lambda i: F.coalesce(F.get(F.filter("_e", lambda e: e["key"] == i), F.lit(0))["value"], F.lit(0.0))
+    d = d.withColumn("_f", F.transform("_h", lambda h, i: F.round((h + w * at(i)) / (1 + w), 9)))
+    place = lambda a: (F.array_position(a, F.array_max(a)) - 1).cast("int")
+    best = F.array_max(F.transform("_e", lambda e: F.struct(F.round(e["value"], 9).alias("v"), (-e["key"]).alias("k"))))
+    heard = place(F.transform("_h", lambda h: F.round(h, 9)))
+    kind = F.when(F.size("_e") == 0, "heard-only").when(-best["k"] == heard, "agree").when(at(heard) > 0, "partial").otherwise("disagree")
+    return d.select(id_col, place(F.col("_f")).alias("top"), F.array_max("_f").alias("share"), kind.alias("agreement"))
+
+
 def theil_sen(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Median of pairwise slopes, median intercept, largest residual per group
     (of up to a few thousand points: a group is one recording's anchors)."""

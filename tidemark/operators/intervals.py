@@ -13,6 +13,21 @@ def spans(df: DataFrame, start: str, end: str) -> DataFrame:
     return df.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) > F.col(start)))
 
 
+def clipped(df: DataFrame, start: str, end: str, limit: Column) -> DataFrame:
+    """Spans cut to [0, limit), without those that this leaves empty."""
+    return spans(df.withColumns({start: F.greatest(F.col(start), F.lit(0)), end: F.least(F.col(end), limit)}), start, end)
+
+
+def midpoint_labels(pieces: DataFrame, labelled: DataFrame, keys: list[str], start: str, end: str, label: str, width: int) -> DataFrame:
+    """Pieces with the sorted labels of the spans that hold their midpoint
+    (rounded down), start included and end not; an empty array if none does."""
+    p = pieces.withColumn("_at", F.floor((F.col(start) + F.col(end)) / 2).cast("long"))
+    sp = labelled.select(*keys, F.col(start).alias("_ls"), F.col(end).alias("_le"), F.col(label).alias("_l"))
+    hit = points_in_spans(p.select(*keys, start, end, "_at"), sp, keys, "_at", "_ls", "_le", width)
+    names = hit.groupBy(*keys, start, end).agg(F.array_sort(F.collect_set("_l")).alias("labels"))
+    return p.drop("_at").join(names, [*keys, start, end], "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
+
+
 def _island_id(keys: list[str], start: str, end: str, gap: int | Column = 0, strict: bool = False) -> Column:
     order = Window.partitionBy(*keys).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -29,6 +29,24 @@ def region_windows(df: DataFrame, start: str, end: str, width: int, hop: int, ph
     return d.withColumns({"w_start": F.col("_rs") + F.col("start"), "w_end": F.col("_rs") + F.col("end")}).drop("start", "end", "_d").withColumnsRenamed({"_rs": start, "_re": end})
 
 
+#: Window, hop and phase of a rescan by its trigger in milliseconds; triggers
+#: that aren't named use the base policy (fixed values).
+TRIGGERS = {"gap": (8_000, 4_000, 2_000), "question_cluster": (8_000, 4_000, 2_000), "hint_cluster": (8_000, 4_000, 2_000), "edge": (6_000, 3_000, 0), "novelty": (6_000, 3_000, 0)}
+BASE = (12_000, 9_000, 0)
+
+
+def trigger_windows(requests: DataFrame, base: tuple[int, int, int] = BASE) -> DataFrame:
+    """`requests` (trigger, s, e) with `(start, length)` of every window: from the
+    region's start and the trigger's phase by its hop, and one that ends with the
+    region; a region shorter than a window has one of its own length."""
+    of = lambda k: F.coalesce(F.create_map(*(F.lit(x) for t, g in TRIGGERS.items() for x in (t, (min(g[0], base[0]), min(g[1], base[0]), g[2] % min(g[1], base[0]))[k])))[F.col("trigger")], F.lit(base[k])).cast("long")
+    d = requests.where("e > s").withColumns({"_w": F.least(of(0), F.col("e") - F.col("s")), "_h": of(1), "_p": of(2)})
+    first, last = F.col("s") + F.col("_p"), F.col("e") - F.col("_w")
+    grid = F.when(first <= last, F.sequence(first, last, F.col("_h"))).otherwise(F.array().cast("array<bigint>"))
+    starts = F.array_sort(F.array_distinct(F.concat(grid, F.array(last))))
+    return d.withColumn("start", F.explode(starts)).withColumn("length", F.col("_w")).drop("_w", "_h", "_p")
+
+
 def every_nth(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """Rows 0, n, 2n, ... of each group in order."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where((F.col("_r") - 1) % n == 0).drop("_r")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import evidence as ev
+from tidemark.operators import intervals as iv
 from tidemark.operators import loops as lp
+from tidemark.operators import schedule as sc
 from tidemark.operators import scoring as sco
 from tidemark.plans import episodes as pe
 from tidemark.plans.evidence import _SC, _scored
@@ -77,7 +79,39 @@ def q_generations(spark, d):
     return fused.groupBy("candidate").agg(F.count("*").alias("plays"), F.sum("on_air").alias("on_air")).withColumn("stopped", F.lit(why))
 
 
+def q_trigger_windows(spark, d):
+    """Windows of requests in milliseconds, by triggers in turn."""
+    names = ("gap", "question_cluster", "contested", "hint_cluster", "edge", "novelty", "long_episode")
+    w = pe.windows(spark, d).where("id % 9 = 0")
+    r = w.select("id", F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 7 + 1).cast("int")).alias("trigger"), "s", (F.col("s") + (1 + F.col("id") % 40) * 1000).alias("e"))
+    return sc.trigger_windows(r)
+
+
+def q_clipped(spark, d):
+    w = pe.windows(spark, d).select("media", "id", (F.col("s") % 90_000_000 - 20_000_000).alias("s"))
+    return iv.clipped(w.withColumn("e", F.col("s") + 15_000_000), "s", "e", F.lit(60_000_000).cast("long"))
+
+
+def q_midpoints(spark, d):
+    w = pe.windows(spark, d)
+    pieces = iv.elementary_segments(w, ["media"], "s", "e").select("media", "s", "e")
+    m = iv.midpoint_labels(pieces, pe.ep.final_matches(w).select("media", "s", "e", "work"), ["media"], "s", "e", "work", pe.W)
+    return m.select("media", "s", "e", F.concat_ws(",", "labels").alias("labels"))
+
+
+def q_fused(spark, d):
+    """Vectors as style probabilities, and a lookup that names two places of some."""
+    v = read_table(spark, d, "embeddings")
+    i = F.col("vec_id")
+    lookup = F.when((i % 3 != 0) & (i % 64 != i * 7 % 64), F.map_from_arrays(F.array((i % 64).cast("int"), (i * 7 % 64).cast("int")), F.array(F.lit(0.6), F.lit(0.4))))
+    return ev.fused_shares(v.withColumn("lookup", lookup), "vec_id", "embedding", "lookup", 0.8, 0.05)
+
+
 QUERIES = {
+    "trigger_windows": q_trigger_windows,
+    "clipped_spans": q_clipped,
+    "midpoint_labels": q_midpoints,
+    "fused_shares": q_fused,
     "sampling_policies": q_sampled,
     "run_skips": q_skipped,
     "canonical_urls": q_urls,
@@ -94,6 +128,18 @@ _PLAYS = f"""v AS (SELECT *, CAST(sum(CASE WHEN s - pe > {pe.GAP} THEN 1 ELSE 0
  SELECT *, max(e) OVER (PARTITION BY media, candidate ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM m2))"""
 
 ORACLE_SQL = {
+    "trigger_windows": """WITH r AS (SELECT event_id AS id, ['gap', 'question_cluster', 'contested', 'hint_cluster', 'edge', 'novelty', 'long_episode'][event_id % 7 + 1] AS trigger, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + (1 + event_id % 40) * 1000 AS e FROM events WHERE event_id % 9 = 0),
+ g AS (SELECT *, least(CASE WHEN trigger IN ('gap', 'question_cluster', 'hint_cluster') THEN 8000 WHEN trigger IN ('edge', 'novelty') THEN 6000 ELSE 12000 END, e - s) AS length, CASE WHEN trigger IN ('gap', 'question_cluster', 'hint_cluster') THEN 4000 WHEN trigger IN ('edge', 'novelty') THEN 3000 ELSE 9000 END AS hop, CASE WHEN trigger IN ('gap', 'question_cluster', 'hint_cluster') THEN 2000 ELSE 0 END AS phase FROM r)
+ SELECT id, trigger, s, e, start, length FROM (SELECT *, unnest(range(s + phase, e - length + 1, hop)) AS start FROM g) UNION SELECT id, trigger, s, e, e - length, length FROM g""",
+    "clipped_spans": "SELECT * FROM (SELECT user_id AS media, event_id AS id, greatest(epoch_us(ts) // 1000 % 90000000 - 20000000, 0) AS s, least(epoch_us(ts) // 1000 % 90000000 - 5000000, 60000000) AS e FROM events) WHERE e > s",
+    "midpoint_labels": f"""WITH {pe._W}, t AS (SELECT media, s AS t, 1 AS d FROM w UNION ALL SELECT media, e, -1 FROM w), g AS (SELECT media, t, sum(d) AS d FROM t GROUP BY ALL), p AS (SELECT media, t AS s, lead(t) OVER x AS e, sum(d) OVER x AS n FROM g WINDOW x AS (PARTITION BY media ORDER BY t))
+ SELECT p.media, p.s, p.e, coalesce(string_agg(DISTINCT m.work, ',' ORDER BY m.work), '') AS labels FROM p LEFT JOIN m ON m.media = p.media AND (p.s + p.e) // 2 >= m.s AND (p.s + p.e) // 2 < m.e WHERE p.e IS NOT NULL AND n > 0 GROUP BY p.media, p.s, p.e""",
+    "fused_shares": """WITH v AS (SELECT vec_id, embedding AS e, list_transform(embedding, lambda x: least(1.0::DOUBLE, greatest(0.0::DOUBLE, x::DOUBLE)) ** 2) AS q, vec_id % 64 AS a, vec_id * 7 % 64 AS b, vec_id % 3 <> 0 AND vec_id % 64 <> vec_id * 7 % 64 AS has FROM embeddings),
+ h AS (SELECT *, CASE WHEN list_sum(q) > 0 THEN list_transform(q, lambda x: x / list_sum(q)) ELSE q END AS h, CASE WHEN has AND e[a + 1]::DOUBLE >= 0.05 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS wa, CASE WHEN has AND e[b + 1]::DOUBLE >= 0.05 THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END AS wb FROM v),
+ n AS (SELECT *, CASE WHEN wa + wb > 0 THEN wa / (wa + wb) ELSE 0.0::DOUBLE END AS sa, CASE WHEN wa + wb > 0 THEN wb / (wa + wb) ELSE 0.0::DOUBLE END AS sb, CASE WHEN wa + wb > 0 THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END AS w FROM h),
+ f AS (SELECT *, list_transform(range(64), lambda i: round((h[i + 1] + w * (CASE WHEN i = a THEN sa WHEN i = b THEN sb ELSE 0.0::DOUBLE END)) / (1 + w), 9)) AS f, list_transform(h, lambda x: round(x, 9)) AS hr FROM n),
+ t AS (SELECT *, list_position(hr, list_max(hr)) - 1 AS heard, CASE WHEN round(sa, 9) >= round(sb, 9) THEN a ELSE b END AS best FROM f)
+ SELECT vec_id, CAST(list_position(f, list_max(f)) - 1 AS INTEGER) AS top, list_max(f) AS share, CASE WHEN w = 0 THEN 'heard-only' WHEN best = heard THEN 'agree' WHEN (heard = a AND sa > 0) OR (heard = b AND sb > 0) THEN 'partial' ELSE 'disagree' END AS agreement FROM t""",
     "sampling_policies": f"""WITH {pe._W}, x AS (SELECT media, CASE WHEN status = 'match' THEN work ELSE '-' END AS a, row_number() OVER (PARTITION BY media ORDER BY s, id) - 1 AS i FROM w)
  SELECT x.media, count(*) FILTER (x.i % 4 = 0) AS asked, count(*) FILTER (x.i % 4 <> 0 AND b.a IS DISTINCT FROM coalesce(f.a, '-')) AS refined, count(*) AS windows FROM x LEFT JOIN x b ON b.media = x.media AND b.i = x.i // 4 * 4 LEFT JOIN x f ON f.media = x.media AND f.i = x.i // 4 * 4 + 4 GROUP BY 1""",
     "run_skips": f"""WITH RECURSIVE {pe._W}, x AS (SELECT media, id, CASE WHEN status = 'match' THEN work ELSE '' END AS a, row_number() OVER (PARTITION BY media ORDER BY s, id) AS i FROM w),

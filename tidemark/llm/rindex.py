@@ -30,7 +30,10 @@ class RunLengthIndex:
     """Index of strings, each with a value; `least` finds for every LENGTH-byte
     window of a member string the least value of a string that holds it."""
 
-    def __init__(self, strings: list[bytes], values: np.ndarray) -> None:
+    def __init__(self, strings: list[bytes], values: np.ndarray, depth: int | None = None) -> None:
+        """With `depth` suffixes are put in order by that many symbols at least
+        and no further; LENGTH + 1 is enough for `least`, as every step begins at
+        the first suffix that agrees on LENGTH; `locate` needs the whole order."""
         size = np.fromiter(map(len, strings), np.int64, len(strings))
         self.start = np.cumsum(size + 1) - size - 1
         # bytes count from 2, a string ends with 1 and the text with 0
@@ -47,7 +50,7 @@ class RunLengthIndex:
         rank = np.empty(n, np.int64)
         rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         ties, k, half = np.flatnonzero(~(new & np.r_[new[1:], True])), _FIRST, None
-        while len(ties) or half is None:
+        while (len(ties) and (depth is None or k < depth)) or half is None:
             if k == _HALF:
                 half = rank.copy()
             if len(ties):

@@ -36,7 +36,7 @@ CHUNK, SEGMENT, BLOCK = 4_000_000, 64_000, 2_000_000
 RUN = 64
 #: Chunks that an anchor is in above which its windows are filed by a second
 #: anchor too, and bytes of these that are looked at together.
-SPREAD, BATCH = 32, 1_000_000
+SPREAD, BATCH = 256, 1_000_000
 _NONE = (1 << 63) - 1
 
 
@@ -273,7 +273,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
                     least[s] = o
             lists.append(strings)
         strings = list(least)
-        found = dict(zip(strings, RunLengthIndex(strings, np.array(list(least.values()), np.int64)).least(), strict=True))
+        found = dict(zip(strings, RunLengthIndex(strings, np.array(list(least.values()), np.int64), LENGTH + 1).least(), strict=True))
         back = [pack(np.concatenate([found[s] for s in strings]).astype("<i8")) for strings in lists]
         return pa.table({"chunk": t.column("chunk"), "block": t.column("block"), "blob": pa.array(back, pa.binary())})
 

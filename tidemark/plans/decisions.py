@@ -78,7 +78,7 @@ def _labels(spark, d):
     """Parts' labels as works, and as hints with letters lost at times."""
     p = read_table(spark, d, "part")
     k = F.col("p_partkey")
-    lower = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""), "p_type")), " "))
+    lower = F.array_sort(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""), "p_type")), " ")))
     works = p.groupBy(lower.alias("words")).agg(F.min(k).alias("work"))
     first = F.get("_w", F.lit(0))
     h = F.col("hint")
@@ -290,7 +290,7 @@ QUERIES = {
 
 _R4 = lambda n, d: f"CASE WHEN {d} > 0 THEN least(10000, ({n} * 20000 + {d}) // (2 * {d})) ELSE 0 END"
 _MEM = "mb AS (SELECT c_custkey AS node, c_custkey // 7 AS component, c_custkey // 7 % 40 AS work FROM customer), cf AS (SELECT DISTINCT o_custkey AS a, o_custkey + o_orderkey % 9 - 4 AS b FROM orders WHERE o_orderkey % 9 <> 4 AND o_custkey % 5 = 0), bad AS (SELECT DISTINCT x.component FROM cf JOIN mb x ON x.node = cf.a JOIN mb y ON y.node = cf.b WHERE x.component = y.component)"
-_LOW = "list_distinct(string_split(lower(p_name || ' ' || regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') || ' ' || p_type), ' '))"
+_LOW = "list_sort(list_distinct(string_split(lower(p_name || ' ' || regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') || ' ' || p_type), ' ')))"
 _NEAR = "(x <> y AND ((length(x) >= 4 AND length(y) >= 4 AND levenshtein(x, y) <= 1) OR (regexp_full_match(x, '\\p{L}+') AND regexp_full_match(y, '\\p{L}+') AND ((length(x) >= 2 AND length(y) = length(x) + 1 AND starts_with(y, x)) OR (length(y) >= 2 AND length(x) = length(y) + 1 AND starts_with(x, y))))))"
 _LI = "SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, CAST(round(l_extendedprice * 100) AS BIGINT) AS proved, CAST(round(l_extendedprice * 100) AS BIGINT) - l_suppkey * 100 AS lo, CAST(round(l_extendedprice * 100) AS BIGINT) + l_partkey AS hi, CAST(round(l_extendedprice * 100) AS BIGINT) + l_partkey * 3 - 2000 AS t_lo, CAST(round(l_extendedprice * 100) AS BIGINT) + l_partkey * 3 AS t_hi FROM lineitem"
 _ENT = "SELECT user_id AS media, CASE WHEN event_id % 5 = 0 THEN 'id' ELSE 'track' END AS kind, event_type AS artist, 'T\"' || event_id AS title, (epoch_us(ts) - 1704067200000000) // 100000000 * 271 AS s FROM events WHERE event_id % 3 = 0"

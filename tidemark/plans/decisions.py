@@ -137,7 +137,8 @@ def q_indices(spark, d):
 
 def q_thresholds(spark, d):
     b = _scored(spark, d).withColumn("bin", F.least(F.expr("n_chars div 300"), F.lit(20))).groupBy("lang", "bin").agg(F.sum("quality").alias("good"), F.count("*").alias("total"))
-    return sco.tier_thresholds(ev.isotonic(b.where("lang = 'en'"), ["lang"], "bin", "good", "total"), "bin", "fit_e4")
+    t = sco.tier_thresholds(ev.isotonic(b.where("lang = 'en'"), ["lang"], "bin", "good", "total"), "bin", "fit_e4")
+    return t.fillna(-1, ["min_index", "achieved_e4"])
 
 
 def _bounds(spark, d):
@@ -332,7 +333,7 @@ ORACLE_SQL = {
  SELECT media, candidate, occurrence, work_index, work_index + CASE WHEN direct AND rivals = 0 THEN 30000 ELSE 0 END - CASE WHEN rivals > 0 THEN 40000 ELSE 0 END AS version_index, CASE WHEN aligned THEN 20000 ELSE 0 END + 10000 - least(on_air // 10000, 10000) + least(votes, 4) * 1000 AS boundary_index FROM wi""",
     "tier_thresholds": f"""WITH b AS (SELECT least(n_chars // 300, 20) AS bin, sum(quality) AS g, count(*) AS t FROM {_SC} WHERE lang = 'en' GROUP BY 1), m AS (SELECT lo.bin AS l, hi.bin AS h, (SELECT sum(g) / sum(t) FROM b WHERE bin BETWEEN lo.bin AND hi.bin) AS m FROM b lo JOIN b hi ON lo.bin <= hi.bin),
  f AS (SELECT bin, CAST(floor(max(x) * 10000 + 1e-9) AS BIGINT) AS fit FROM (SELECT b.bin, l, min(m) AS x FROM b JOIN m ON l <= b.bin AND h >= b.bin GROUP BY b.bin, l) GROUP BY bin)
- SELECT tier, target AS target_e4, min(bin) AS min_index, arg_min(fit, bin) AS achieved_e4 FROM (VALUES ('possible', 7000::BIGINT), ('likely', 9000), ('verified', 9900)) AS t(tier, target) LEFT JOIN f ON fit >= target GROUP BY ALL""",
+ SELECT tier, target AS target_e4, coalesce(min(bin), -1) AS min_index, coalesce(arg_min(fit, bin), -1) AS achieved_e4 FROM (VALUES ('possible', 7000::BIGINT), ('likely', 9000), ('verified', 9900)) AS t(tier, target) LEFT JOIN f ON fit >= target GROUP BY ALL""",
     "interval_scores": f"""WITH x AS (SELECT *, hi - lo AS w, greatest(t_lo - hi, lo - t_hi, 0) AS away, greatest(0, least(hi, t_hi) - greatest(lo, t_lo)) AS i FROM ({_LI}))
  SELECT l_returnflag, count(*) FILTER (lo <= t_hi AND hi >= t_lo) AS covered, CAST(sum(w) AS BIGINT) AS width, CAST(sum(w + (20000 * away + 500) // 1000) AS BIGINT) AS winkler, CAST(sum({_R4('i', '(w + 2000 - i)')}) AS BIGINT) AS iou_e4 FROM x GROUP BY 1""",
     "residual_intervals": f"""WITH x AS (SELECT *, t_lo - proved AS r FROM ({_LI})), o AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY r) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM x),

@@ -5,10 +5,11 @@ import time
 from collections import defaultdict
 from html.parser import HTMLParser
 
+import duckdb
 import pytest
 
 from tidemark.llm import html_text, license_scan, line_dedup
-from tidemark.llm.q_text import op4_license, op6_html, op10_line_dedup
+from tidemark.llm.q_text import ORACLE_SQL, op4_license, op6_html, op10_line_dedup
 
 SF = "/root/testdata/sf0.01"
 
@@ -239,31 +240,39 @@ def test_html_odd_rows(spark):
 
 
 def deduped(rows, least=5, keep_first=True):
-    """Every line's template by its leaf's tokens, and the texts without those in enough documents."""
+    """Every line's template by its leaf's tokens, made more general twice, and
+    the texts without those in enough documents."""
     leaves, tokens = defaultdict(int), defaultdict(int)
     parsed = {}
     for k, (_, t) in enumerate(rows):
         for pos, x in enumerate((t or "").split("\n")):
-            w = ["<*>" if re.search("[0-9]", x) else x for x in re.findall("[^\x20\x09-\x0d]+", x)]
+            w = ["<#>" if re.search("[0-9]", x) else x for x in re.findall("[^\x20\x09-\x0d]+", x)]
             if w:
-                lead = tuple(w[: len(w) if len(w) < 4 else min(2, len(w) // 3)])
-                parsed[k, pos] = (len(w), lead), w
-                leaves[len(w), lead] += 1
+                leaf = len(w), tuple(w[: min(2, len(w) // 3)])
+                parsed[k, pos] = leaf, w
+                leaves[leaf] += 1
                 for i, x in enumerate(w):
-                    tokens[len(w), lead, i, x] += 1
-    keys, held = {}, defaultdict(set)
+                    tokens[leaf, i, x] += 1
+    fits = lambda w: 10 * w.count("<*>") <= 3 * len(w) and 10 * (w.count("<*>") + w.count("<#>")) <= 5 * len(w)
+    first = {}
+    for at, (leaf, w) in parsed.items():
+        w = tuple(x if x == "<#>" or tokens[leaf, i, x] >= least else "<*>" for i, x in enumerate(w))
+        if leaves[leaf] >= least and fits(w):
+            first[at] = leaf, w
+    now = {p: p for p in first.values()}
+    for _ in range(2):
+        rest = defaultdict(set)
+        for leaf, w in set(now.values()):
+            for i, x in enumerate(w):
+                rest[leaf, i, w[:i] + w[i + 1 :]].add(x)
+        field = lambda g: len(g) >= least or len(g) > 1 and "<*>" in g
+        for p, (leaf, w) in now.items():
+            wider = tuple("<*>" if field(rest[leaf, i, w[:i] + w[i + 1 :]]) else x for i, x in enumerate(w))
+            now[p] = leaf, wider if fits(wider) else w
+    keys, held = {at: now[p] for at, p in first.items()}, defaultdict(set)
     me = [(1 << 62 if i is None else i, t) for i, t in rows]
-    for (k, pos), (leaf, w) in parsed.items():
-        digits = w.count("<*>")
-        if len(w) < 4:
-            ok, key = digits < len(w), (leaf, tuple(w))
-        else:
-            key = (leaf, tuple(x if tokens[*leaf, i, x] >= least else "<*>" for i, x in enumerate(w)))
-            words = key[1].count("<*>") - digits
-            ok = 10 * words <= 3 * len(w) and 10 * (words + digits) <= 5 * len(w)
-        if ok and leaves[leaf] >= least:
-            keys[k, pos] = key
-            held[key].add(me[k])
+    for (k, _), key in keys.items():
+        held[key].add(me[k])
     out = []
     for k, (i, t) in enumerate(rows):
         if t is None:
@@ -282,17 +291,35 @@ def test_line_query_against_brute_force(spark):
     assert got == sorted(deduped(docs)) and sum(r[3] for r in got) > 100
 
 
+@pytest.mark.parametrize("name", ["op4_license", "op10_line_dedup"])
+def test_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS FROM '{sf}/documents.parquet'")
+    rows = {"op4_license": op4_license, "op10_line_dedup": op10_line_dedup}[name](spark, sf)
+    want = c.sql(ORACLE_SQL[name]).project(", ".join(rows.columns)).fetchall()
+    assert sorted(map(tuple, rows.collect())) == sorted(want) and want
+
+
+@pytest.mark.parametrize("names", [10, 50, 200])
+def test_frequent_values_are_fields_too(spark, names):
+    line = lambda i: f"Posted by {'abcdefghij'[i % names % 10]}name{'klmnopqrstuvwxyz'[i % names // 10 % 16]}{'xy'[i % names // 160]} in the {'abcdefghij'[i // 10 % 10]}section section today"
+    rows = [(i, f"own {'pqrstuvw'[i % 8]}{'pqrstuvw'[i // 8 % 8]}{'pqrstuvw'[i // 64]} words\n{line(i)}") for i in range(200)]
+    out = line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in out} == {i: t if i == 0 else t.split("\n")[0] for i, t in rows}
+
+
 def test_line_odd_rows(spark):
     note = "This page was printed on day {} by the office for user {} only"
     rows = [(i, f"own words of {'abcdefghij'[i]} alone here now\n" + note.format(i, "pqrstuvwxy"[i])) for i in range(8)]
     rows += [(50, None), (51, ""), (52, "\n\n"), (53, "Of."), (54, note.format(9, "z")), (None, note.format(4, "k")), (55, "long line of many words " * 20_000)]
     rows += [(56, "same same same same\nsame same same same")] * 2
     rows += [(60 + i, "4 5 6 7\n8\n" + "Page 9\n" * (i % 2)) for i in range(12)]
-    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'c' as n_lines", "1 as line", "2 as key", "3 as _id")
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'c' as n_lines", "1 as line", "2 as key", "3 as _id", "4 as id", "5 as row", "6 as `_dk`", "7 as `a.b`")
     out = line_dedup.drop_recurring_lines(d).collect()
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out), key=key) == sorted(deduped(rows), key=key)
-    assert all(r.line == 1 and r.key == 2 and r._id == 3 for r in out)
+    assert all((r.line, r.key, r["_id"], r["id"], r["row"], r["_dk"], r["a.b"]) == (1, 2, 3, 4, 5, 6, 7) for r in out)
     assert {r.doc_id: r.text for r in out}[54] == "" and {r.doc_id: r.text for r in out}[63] == "4 5 6 7\n8\n"
     every = line_dedup.drop_recurring_lines(d, keep_first=False).collect()
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in every), key=key) == sorted(deduped(rows, keep_first=False), key=key)

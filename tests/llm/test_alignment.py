@@ -67,17 +67,18 @@ def test_groups_and_links_as_by_offsets(libraries):
         assert {(p >> 32, p & 0xFFFFFFFF): n for p, n in links.items()} == pairs, t
 
 
-def test_words_apart_encode_as_the_whole(libraries):
-    pieces = ta.Pieces(PIECE)
-    assert pieces.by_word
-    for t in [t for t in TEXTS if t and "▁" not in t] + random_texts(800):
-        assert pieces.encode(t) == libraries[1].encode(t), t
+def test_texts_in_one_piece_give_the_same(libraries):
+    both, whole = ta.Aligner(BYTE, PIECE), ta.Aligner(BYTE, PIECE)
+    assert both.by_word
+    whole.by_word = False
+    texts = TEXTS + random_texts(800) + ["a \n b", "a\n  b \t\u3000 c\x1f d\x85 e"]
+    assert both.align(texts) == whole.align(texts)
 
 
 def test_memos_may_be_emptied(monkeypatch):
     texts = random_texts(60)
     want = ta.Aligner(BYTE, PIECE).align(texts)
-    for name in ("MEMO", "GROUPS", "WORDS", "LONG_GROUP", "LONG_WORD"):
+    for name in ("MEMO", "WORDS", "GROUPS", "LONG_WORD"):
         monkeypatch.setattr(ta, name, 3)
     both = ta.Aligner(BYTE, PIECE)
     assert [r for t in texts for r in both.align([t])] == want

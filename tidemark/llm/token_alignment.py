@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +26,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe
 
-#: Transitions and groups kept in a worker; a full memo is emptied.
+#: Transitions kept in a worker; a full memo is emptied.
 MEMO = 2_000_000
-GROUPS = 500_000
-#: Words whose pieces are kept in a worker, none of more characters.
-WORDS = 500_000
-LONG_WORD = 64
-#: Groups of more tokens aren't kept in the memo.
-LONG_GROUP = 64
+#: Words whose walks and groups whose texts are kept in a worker, none of more
+#: characters or links than LONG_WORD.
+WORDS, GROUPS, LONG_WORD = 400_000, 200_000, 64
 #: Characters of text that are encoded and aligned together.
 CHARS = 1_000_000
 #: Id pairs that are broadcast at most; more are joined by shuffle.
 BROADCAST_PAIRS = 1_000_000
-_WORD = re.compile(" +[^ ]*")
+_WORD = re.compile(r" +[^ ]*(?:(?<=[^\S ]) +[^ ]*)*")
 
 
 class PlainCodec(bpe.Codec):
@@ -54,38 +52,6 @@ def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
 
-class Pieces:
-    """A piece model's ids of a text, with the words' ids kept.
-
-    Where no piece has a space after another character, no merge crosses from a
-    word into the spaces before the next one, so the ids of a text are those of
-    its words (each with the spaces before it) in order."""
-
-    def __init__(self, path: str) -> None:
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.bytes = piece_bytes(self.model)
-        self.space = self.model.piece_to_id("▁")
-        self.by_word = self.space != self.model.unk_id() and not any(b" " in p.lstrip(b" ") for p in self.bytes)
-        self.words: dict[str, list[int]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        if not self.by_word:
-            return self.model.encode(text, num_threads=1)
-        if len(self.words) >= WORDS:
-            self.words.clear()
-        words, found = self.words, _WORD.findall(" " + text)
-        try:
-            return list(chain.from_iterable([words[w] for w in found]))
-        except KeyError:
-            new = list({w for w in found if w not in words})
-            # the model adds the first space itself
-            own = dict(zip(new, self.model.encode([w[1:] for w in new], num_threads=1), strict=True))
-            if " " in own:
-                own[" "] = [self.space]  # it adds none to an empty text
-            words.update((w, v) for w, v in own.items() if len(w) <= LONG_WORD)
-            return list(chain.from_iterable([own[w] if w in own else words[w] for w in found]))
-
-
 class Mismatch(ValueError):
     """The bytes of the two sides differ."""
 
@@ -178,15 +144,48 @@ class Transducer:
         return out
 
 
+class Walk(NamedTuple):
+    """A word's walk from empty suffix to empty suffix."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    groups: str
+    links: list[int]
+
+
 class Aligner:
     """Encodes texts with a byte-level vocabulary (A, of a space and the text)
-    and a piece model (B, which adds the space itself) and aligns their tokens."""
+    and a piece model (B, which adds the space itself) and aligns their tokens.
+
+    A word is spaces and what follows up to the next ones. A cuts there, but
+    where other white space comes before them, and so does B if no piece of its
+    has a space after another character. The suffix is then empty at the end of
+    each word, whatever stands around it, so a word's walk is kept as one step;
+    for a model of other pieces a text is one word."""
 
     def __init__(self, byte_vocabulary: str, piece_model: str) -> None:
         self.codec = PlainCodec(byte_vocabulary)
-        self.pieces = Pieces(piece_model)
-        self.transducer = Transducer(self.codec.tokens, self.pieces.bytes)
-        self.known: dict[int | tuple, tuple[str, list[int]]] = {}
+        self.model = sentencepiece.SentencePieceProcessor(model_file=piece_model)
+        self.pieces = piece_bytes(self.model)
+        self.space = self.model.piece_to_id("▁")
+        self.by_word = self.space != self.model.unk_id() and not any(b" " in p.lstrip(b" ") for p in self.pieces)
+        self.transducer = Transducer(self.codec.tokens, self.pieces)
+        self.known: dict[str, Walk | None] = {}
+        self.groups: dict[int | tuple, tuple[str, list[int]]] = {}
+
+    def _walk(self, a: list[int], b: list[int]) -> Walk | None:
+        """None where the tokens' bytes differ."""
+        try:
+            keys = self.transducer.groups(a, b)
+        except Mismatch:
+            return None
+        text, links, known = [], [], self.groups.get
+        for k in keys:
+            g = known(k) or self._group(k)
+            text.append(g[0])
+            links += g[1]
+        return Walk(len(a), len(b), len(keys), ";".join(text), links)
 
     def _group(self, key: int | tuple) -> tuple[str, list[int]]:
         """A group's text, and its links."""
@@ -194,39 +193,50 @@ class Aligner:
             made = f"{key >> 32}|{key & 0xFFFFFFFF}", [key]
         else:
             made = ",".join(map(str, key[0])) + "|" + ",".join(map(str, key[1])), self.transducer.links(*key)
-            if len(key[0]) + len(key[1]) > LONG_GROUP:
-                return made
-        if len(self.known) >= GROUPS:
-            self.known.clear()
-        self.known[key] = made
+        if len(made[1]) <= LONG_WORD:
+            if len(self.groups) >= GROUPS:
+                self.groups.clear()
+            self.groups[key] = made
         return made
 
+    def _walks(self, words: set[str]) -> dict[str, Walk | None]:
+        """The walks of all `words`; new ones are kept unless they are long."""
+        if len(self.known) >= WORDS:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        # the model adds the first space, but none to an empty text
+        b_ids = self.model.encode([w[1:] for w in new], num_threads=1) if new else []
+        packed = self.codec.encode_many(new)
+        a_all, at = np.frombuffer(b"".join(packed), "<u4").tolist(), 0
+        made: dict[str, Walk | None] = {}
+        piece = self.pieces.__getitem__
+        for w, p, b in zip(new, packed, b_ids, strict=True):
+            b = b or [self.space]
+            a, at = a_all[at : at + len(p) // 4], at + len(p) // 4
+            made[w] = self._walk(a, b) if b"".join(map(piece, b)) == w.encode() else None
+        self.known.update((w, v) for w, v in made.items() if len(w) <= LONG_WORD)
+        return {w: made[w] if w in made else self.known[w] for w in words}
+
     def align(self, texts: list[str | None]) -> list[tuple[int, int, int, str, dict[int, int]]]:
         """For each text: numbers of A and B tokens and of groups, the groups'
         text, and how often each id pair (a << 32 | b) is linked."""
-        some = [t for t in texts if t]
-        packed = self.codec.encode_many([" " + t for t in some])
-        found = zip(some, packed, strict=True)
-        return [self._one(*next(found)) if t else (0, 0, 0, "", {}) for t in texts]
-
-    def _one(self, text: str, packed: bytes) -> tuple[int, int, int, str, dict[int, int]]:
-        none = 0, 0, 0, "", {}
-        b = self.pieces.encode(text)
-        if b"".join(map(self.pieces.bytes.__getitem__, b)) != b" " + text.encode():
-            return none
-        a = np.frombuffer(packed, "<u4").tolist()
-        try:
-            keys = self.transducer.groups(a, b)
-        except Mismatch:  # B's bytes are the text's, so A's aren't
-            return none
-        counts = Counter(keys)
-        own = {k: self.known.get(k) or self._group(k) for k in counts}
+        split = [(_WORD.findall(" " + t) if self.by_word else [" " + t]) if t else [] for t in texts]
+        walks = self._walks(set().union(*split))
+        return [self._one(words, walks) for words in split]
+
+    def _one(self, words: list[str], walks: dict[str, Walk | None]) -> tuple[int, int, int, str, dict[int, int]]:
+        n_a = n_b = n_groups = 0
         links: dict[int, int] = {}
-        for k, n in counts.items():
-            for pair in own[k][1]:
+        for w, n in Counter(words).items():
+            walk = walks[w]
+            if walk is None:
+                return 0, 0, 0, "", {}
+            n_a += n * walk.n_a
+            n_b += n * walk.n_b
+            n_groups += n * walk.n_groups
+            for pair in walk.links:
                 links[pair] = links.get(pair, 0) + n
-        text_of = {k: v[0] for k, v in own.items()}
-        return len(a), len(b), len(keys), ";".join(map(text_of.__getitem__, keys)), links
+        return n_a, n_b, n_groups, ";".join([walks[w].groups for w in words]), links
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}

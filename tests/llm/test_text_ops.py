@@ -3,7 +3,6 @@ import random
 import re
 import time
 from collections import defaultdict
-from html.parser import HTMLParser
 
 import duckdb
 import pytest
@@ -102,95 +101,60 @@ def test_main_text_searches_everywhere():
     assert html_text.main_text(f"<article>{links}</article><main>{body}</main>") == want
 
 
-class Tree(HTMLParser):
-    """Lines of a well-formed page: (text, characters outside links, in an article, in a main element, boilerplate)."""
-
-    def __init__(self, page):
-        super().__init__(convert_charrefs=False)
-        self.path, self.out, self.raw = [], [], []
-        self.feed(page)
-        self.end()
-
-    def end(self):
-        names = [n for n, _ in self.path]
-        text = " ".join(html_lib.unescape("".join(t for t, _ in self.raw)).split())
-        if text:
-            never = any(n in ("nav", "footer", "aside", "form", "head") or re.search("ad|comments|notice", c) for n, c in self.path)
-            self.out.append((text, sum(len(t) for t, link in self.raw if not link and t.strip()), "article" in names, "main" in names, never))
-        self.raw = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "br":
-            self.raw.append((" ", True))
-        elif tag in ("a", "b"):
-            self.path.append((tag, ""))
-        elif tag != "meta":
-            self.end()
-            self.path.append((tag, dict(attrs).get("class") or ""))
-
-    def handle_endtag(self, tag):
-        if tag not in ("a", "b"):
-            self.end()
-        while self.path.pop()[0] != tag:
-            pass
-
-    def handle_data(self, t):
-        if self.path and self.path[-1][0] not in ("script", "style", "title"):
-            self.raw.append((t, any(n == "a" for n, _ in self.path)))
-
-    def handle_entityref(self, t):
-        self.handle_data(f"&{t};")
-
-    def handle_charref(self, t):
-        self.handle_data(f"&#{t};")
-
-
-def by_hand(page):
-    """Lines that weigh something belong together unless three lines that weigh
-    nothing lie between; a group with 120 in three lines is text."""
-    rows = Tree(page).out
-    total = sum(r[1] for r in rows if not r[4])
-    known = next((k for k in (2, 3) if 0 < sum(r[1] for r in rows if r[k] and not r[4]) >= total / 4), None)
-    ls = []
-    for text, plain, art, main, never in rows:
-        if never:
-            if not (ls and ls[-1] == (None, 0)):
-                ls.append((None, 0))
-        elif known and not (art, main)[known - 2]:
-            ls.append(("", 0))
-        else:
-            ls.append((text, plain * (120 if known else 1)))
-    ls = [(None if t == "" else t, w) for t, w in ls]
-    heavy = [i for i, (_, w) in enumerate(ls) if w]
-    groups = []
-    for i in heavy:
-        if groups and i - groups[-1][-1] <= 3:
-            groups[-1].append(i)
-        else:
-            groups.append([i])
-    peak = lambda lo, hi: max(sum(w for _, w in ls[k : k + 3]) for k in range(max(0, lo - 2), hi + 1))
-    rise = min(120, max((peak(g[0], g[-1]) for g in groups), default=0))
-    return "\n".join(t for g in groups if peak(g[0], g[-1]) >= rise for t, _ in ls[g[0] : g[-1] + 1] if t is not None)
-
-
-def random_page(rng):
-    word = lambda: "".join(rng.choice("abcdefgé") for _ in range(rng.randint(1, 8)))
-    text = lambda n: " ".join(word() for _ in range(n)) + rng.choice(["", "&amp;", "&eacute;", "<br>x", " <b>y</b> "])
-    para = lambda: f"<p>{text(rng.choice([2, 5, 30, 80]))}</p>"
-    link = lambda: f'<div><a href="/{word()}">{text(4)}</a></div>'
-    extra = [lambda: f'<div class="ad">{text(6)}</div>', lambda: f"<aside>{para()}{para()}</aside>", lambda: f"<form><p>{text(3)}</p></form>", lambda: f'<section class="comments">{para()}</section>', link]
-    part = lambda: "".join(rng.choice([para, para, para, rng.choice(extra), lambda: link() * rng.randint(1, 5)])() for _ in range(rng.randint(0, 9)))
-    box = rng.choice(["div", "article", "article", "main"])
-    body = "".join(f"<{box}>{'<h1>' + text(5) + '</h1>' if k == 0 else ''}{part()}</{box}>{rng.choice(['', part()])}" for k in range(rng.choice([1, 1, 2, 3])))
-    return f"<html><head><title>t</title></head><body><nav>{link() * 4}</nav>{rng.choice(['', part()])}{body}<footer><p>{text(9)}</p></footer></body></html>"
-
-
-def test_main_text_against_brute_force():
+def story_page(rng):
+    """A page and the text that a reader would call its article."""
+    word = lambda: "".join(rng.choice("abcdefgé") for _ in range(rng.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    link = lambda: f'<a href="/{word()}">{text(4)}</a>'
+    want, body = [], []
+
+    def block(tag, n, wrap="{}"):
+        t = text(n)
+        want.append(t + rng.choice(["", " & é"]))
+        body.append(f"<{tag}>" + wrap.format(t) + want[-1][len(t) :].replace("&", "&amp;").replace("é", "&eacute;") + f"</{tag}>")
+
+    box = rng.choice(["article", "main", "div", 'div class="post"', "section"])
+    block("h1", 5)
+    noise = [lambda: f'<div class="ad-slot"><p>{text(30)}</p></div>', lambda: f"<aside><p>{text(40)}</p></aside>", lambda: f"<form><label>{text(3)}</label><button>{text(2)}</button></form>", lambda: f'<ul class="share">{"<li>" + link() + "</li>"}</ul>', lambda: f"<script>var a = '<p>{text(9)}</p>';</script>", lambda: f"<!-- <p>{text(9)}</p> -->"]
+    for _ in range(rng.randint(3, 9)):
+        block("p", rng.choice([3, 12, 30, 60, 90]), rng.choice(["{}", "{}", "<b>{}</b>", "{} ", "\n {}\n"]))
+        if rng.random() < 0.4:
+            body.append(rng.choice(noise)() * rng.randint(1, 3))
+    block("p", 40)
+    block("p", 50)
+    if rng.random() < 0.3:
+        body.append("".join(f"<div>{link()}</div>" for _ in range(4)))
+        block("p", rng.choice([2, 60]))
+    if box in ("article", "main") and rng.random() < 0.5:
+        block("p", 4, "<a href=/report>{}</a>")
+    if rng.random() < 0.5:
+        body.append(f'<section class="comments"><h2>{text(2)}</h2>{"".join(f"<p>{text(25)}</p>" for _ in range(5))}</section>')
+    nav = f"<nav><ul>{''.join(f'<li>{link()}</li>' for _ in range(6))}</ul></nav>"
+    before = rng.choice(["", f'<div class="cookie-notice"><p>{text(40)}</p></div>', f"<header><h2>{text(3)}</h2></header>", f"<div>{text(4)}</div>" + f"<div>{link()}</div>" * 3])
+    cards = "".join(f"<article><h3>{link()}</h3><p>{text(5)}</p></article>" for _ in range(4))
+    after = rng.choice(["", cards if box != "article" else "", f"<div>{cards}</div>", f'<div id="related-stories">{"<p>" + text(30) + "</p>"}</div>', f"<ul>{''.join(f'<li>{link()}</li>' for _ in range(7))}</ul>"])
+    page = f"<!DOCTYPE html><html><head><title>{text(4)}</title><style>p{{}}</style></head><body>{nav}{before}<{box}>{''.join(body)}</{box.split()[0]}>{after}<footer><p>&copy; {text(30)}</p></footer></body></html>"
+    return page, "\n".join(want)
+
+
+def test_articles_of_made_pages():
+    """Pages whose article is known, with what pages have around and in it."""
     rng = random.Random(5)
-    pages = [random_page(rng) for _ in range(600)]
-    assert sum("<article>" in p for p in pages) > 200
-    for p in pages:
-        assert html_text.main_text(p) == by_hand(p), p
+    for _ in range(600):
+        page, want = story_page(rng)
+        assert html_text.main_text(page) == want, page
+
+
+def test_story_beside_teasers():
+    story = "".join(f"<p>Sentence {i} of the story is told here in full.</p>" for i in range(8))
+    want = "\n".join(f"Sentence {i} of the story is told here in full." for i in range(8))
+    cards = "".join(f"<article><h3><a href=x>Other story {i}</a></h3><p>A teaser of story {i}.</p></article>" for i in range(4))
+    for page in (f"<div>{story}</div>{cards}", f"{cards}<div>{story}</div>", f"<main><div>{story}</div><div>{cards}</div></main>"):
+        assert html_text.main_text(f"<body>{page}</body>") == want
+    links = "<div><a href=/a>A link to something else</a></div>" * 3
+    assert html_text.main_text(f"<div>{story}{links}<p>The end.</p></div><div><p>Own.</p></div>") == want + "\nThe end."
+    assert html_text.main_text(f"<article>{story}<p><a href=/r>See the full report</a></p></article>") == want + "\nSee the full report"
+    assert html_text.main_text(f"<h1>Head</h1><article>{story}</article>") == "Head\n" + want
 
 
 def test_html_query(spark):

@@ -6,10 +6,13 @@ nothing a stretch of text ends (its dive point), and where it rises from nothing
 the next one begins (its surge point); a stretch whose window sums reach a rise
 is kept, from its first line that weighs something to its last.
 
-Elements only set weights. Lines of menus, adverts, forms and the like, known by
-name, role or class, weigh nothing and are never text; those in a row count as
-one. Where article elements (or else main elements) hold a fair share of the
-weight, lines outside them weigh nothing too, and any of theirs makes a rise.
+Elements only add weight: a line of an article or main element weighs up to twice
+as much, by the share of the page that the element holds, and a paragraph there
+that is all link weighs as text. No window reaches over an article's edge. Lines
+of menus, adverts, forms and the like, known by name, role or class, are no text
+and weigh nothing; those in a row count as one. What a kept stretch stands in
+comes along: the lines that weigh something of its articles and of those beside
+them, and, outside of articles, the paragraphs of the element that holds its own.
 A page is read in linear time, whatever it leaves unclosed.
 """
 
@@ -18,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -26,9 +30,6 @@ from pyspark.sql import functions as F
 
 #: Lines in a window, and the weight of a window that is a rise.
 WINDOW, RISE = 3, 120
-#: Share of a page's weight that article elements must hold to set weights.
-FAIR = 0.25
-
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"""(>)|=\s*(["'])""")
 _ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -66,9 +67,14 @@ class _Line(NamedTuple):
     text: str
     #: characters outside links
     plain: int
-    #: "": anywhere, "a": in an article, "m": in a main element, "x": never text
-    place: str
+    #: never text
+    never: bool
     heading: bool
+    paragraph: bool
+    #: number of the outermost article or main element, or -1
+    inside: int
+    #: what stands or falls with it: articles by what they are in, paragraphs too
+    group: tuple[str, int] | None
 
 
 def _tags(page: str) -> Iterator[_Tag]:
@@ -168,14 +174,25 @@ def _named(tag: _Tag, inside: bool) -> str:
     return ""
 
 
-def _excluded(tags: list[_Tag]) -> list[tuple[int, int]]:
-    """Numbers of the tags where an element without text begins and ends. Only
-    closed elements count: the name of one that isn't closed before what it
-    stands in says nothing about what follows."""
+class _Place(NamedTuple):
+    """What the text after a tag stands in."""
+
+    name: str
+    inside: int
+    group: tuple[str, int] | None
+
+
+def _structure(tags: list[_Tag]) -> tuple[list[tuple[int, int]], list[_Place]]:
+    """Numbers of the tags where an element without text begins and ends, and
+    the place after each tag. Only closed elements are without text: the name of
+    one that isn't closed before what it stands in says nothing of what follows."""
     out: list[tuple[int, int]] = []
+    places: list[_Place] = []
     stack: list[tuple[str, int, str, int]] = []  # name, number, why not text, cores before
     depth: dict[str, int] = {}
     articles = cores = 0
+    # the outermost article or main element, and what the outermost article is in
+    inside = outer = -1
 
     def pop(at: int, closed: bool) -> None:
         nonlocal articles
@@ -185,36 +202,50 @@ def _excluded(tags: list[_Tag]) -> list[tuple[int, int]]:
         if closed and (why == "name" or why == "class" and cores == before):
             out.append((first, at))
 
-    for i, t in enumerate(tags):
+    def take(i: int, t: _Tag) -> None:
+        nonlocal articles, cores, inside, outer
         if not t.name or t.name in _VOID:
-            continue
+            return
         if t.close:
             if depth.get(t.name):
                 while stack[-1][0] != t.name:
                     pop(i, stack[-1][0] in _OPTIONAL)
                 pop(i, True)
-            continue
+            return
         if stack and (stack[-1][0] in _SELF.get(t.name, ()) or (stack[-1][0] == "p" and t.name in _BLOCKS)):
             pop(i, True)
         why = _named(t, articles > 0)
         if t.name in _BLOCKS or why:
+            if t.name in ("article", "main") and not (articles or depth.get("main")):
+                inside = i
+            if t.name == "article" and not articles:
+                outer = stack[-1][1] if stack else -1
             stack.append((t.name, i, why, cores + (t.name in _CORE)))
             depth[t.name] = depth.get(t.name, 0) + 1
             articles += t.name == "article"
         cores += t.name in _CORE
-    return out
+
+    for i, t in enumerate(tags):
+        take(i, t)
+        name = stack[-1][0] if stack else ""
+        group = ("a", outer) if articles else ("p", stack[-2][1] if len(stack) > 1 else -1) if name == "p" else None
+        places.append(_Place(name, inside if articles or depth.get("main") else -1, group))
+    return out, places
 
 
 def lines(page: str) -> list[_Line]:
     """A page's lines; those that are never text in a row as one empty line."""
     tags = list(_tags(page))
     opens, ends = [0] * (len(tags) + 1), [0] * (len(tags) + 1)
-    for a, b in _excluded(tags):
+    excluded, places = _structure(tags)
+    for a, b in excluded:
         opens[a] += 1
         ends[b] += 1
     out: list[_Line] = []
     parts: list[str] = []
-    plain = links = articles = mains = never = at = 0
+    nowhere = _Place("", -1, None)
+    place = nowhere
+    plain = links = never = at = 0
     heading = False
 
     def flush() -> None:
@@ -222,12 +253,14 @@ def lines(page: str) -> list[_Line]:
         if parts:
             t = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if t:
-                out.append(_Line(t, plain, "a" if articles else "m" if mains else "", heading))
+                out.append(_Line(t, plain, False, heading, place.name == "p", place.inside, place.group))
         parts, plain = [], 0
 
     for i, t in enumerate([*tags, _Tag(len(page), len(page), "", False, "")]):
         text = page[at : t.start]
         if text and not never:
+            if not parts:
+                place = places[i - 1] if i else nowhere
             parts.append(text)
             if not links and not text.isspace():
                 plain += len(text)
@@ -235,17 +268,13 @@ def lines(page: str) -> list[_Line]:
         never += opens[i] - ends[i]
         if opens[i] and t.name in _BLOCKS:
             flush()
-            if not (out and out[-1].place == "x"):
-                out.append(_Line("", 0, "x", False))
+            if not (out and out[-1].never):
+                out.append(_Line("", 0, True, False, False, -1, None))
         if t.name == "a":
             links = max(0, links + (-1 if t.close else 1))
         elif t.name in _BLOCKS:
             flush()
             links = 0
-            if t.name == "article":
-                articles = max(0, articles + (-1 if t.close else 1))
-            elif t.name == "main":
-                mains = 0 if t.close else 1
             heading = not t.close and t.name in ("h1", "h2", "h3")
         elif t.name in ("br", "td", "th"):
             parts.append(" ")
@@ -253,28 +282,43 @@ def lines(page: str) -> list[_Line]:
     return out
 
 
-def weights(page_lines: list[_Line]) -> list[int]:
-    """What each line weighs; -1 for one that is never text."""
-    total = sum(x.plain for x in page_lines)
-    for place in "am":
-        held = sum(x.plain for x in page_lines if x.place == place)
-        if held and held >= FAIR * total:
-            return [x.plain * RISE if x.place == place else -1 for x in page_lines]
-    return [-1 if x.place == "x" else x.plain for x in page_lines]
+def weights(page_lines: list[_Line]) -> list[float]:
+    """What each line weighs."""
+    own = [x.plain or (len(x.text) if x.paragraph and x.inside >= 0 else 0) for x in page_lines]
+    held: dict[int, int] = {}
+    for x, w in zip(page_lines, own, strict=True):
+        held[x.inside] = held.get(x.inside, 0) + w
+    held[-1], total = 0, max(1, sum(own))
+    return [w * (1 + held[x.inside] / total) for x, w in zip(page_lines, own, strict=True)]
+
+
+def _windowed(page_lines: list[_Line]) -> list[int]:
+    """The lines' numbers in order, with a window of -1 wherever an article, or
+    a row of articles, begins or ends."""
+    out: list[int] = []
+    last = None
+    for k, x in enumerate(page_lines):
+        if not x.never:
+            article = x.group if x.group and x.group[0] == "a" else None
+            if out and article != last:
+                out += [-1] * WINDOW
+            last = article
+        out.append(k)
+    return out
 
 
 def main_text(page: str) -> str:
     """The main text of a page, its blocks joined by newlines; empty if none."""
     ls = lines(page)
-    weigh = weights(ls)
-    n = len(ls)
+    own = weights(ls)
+    at = _windowed(ls)
+    weigh = [own[k] if k >= 0 else 0 for k in at]
+    n = len(at)
     # sums over the window that begins with a line
-    upto = [0]
-    for w in weigh:
-        upto.append(upto[-1] + max(w, 0))
-    sums = [upto[min(i + WINDOW, n)] - upto[i] for i in range(n)]
-    rise = max(1, min(RISE, max(sums, default=0)))
-    kept: list[str] = []
+    upto = list(accumulate(weigh, initial=0))
+    sums = [upto[min(i + WINDOW, n)] - upto[i] if any(weigh[i : i + WINDOW]) else 0 for i in range(n)]
+    rise = min(RISE, max(sums, default=0))
+    kept: set[int] = set()
     i = 0
     while i < n:
         if not sums[i]:
@@ -286,15 +330,19 @@ def main_text(page: str) -> str:
         i = dive
         if max(sums[surge:dive]) < rise:
             continue
-        # trim what weighs nothing, but not a heading right before the text
-        while weigh[surge] <= 0:
+        while not weigh[surge]:
             surge += 1
-        while surge and weigh[surge - 1] == 0 and ls[surge - 1].heading:
-            surge -= 1
-        while weigh[dive - 1] <= 0:
+        while not weigh[dive - 1]:
             dive -= 1
-        kept += [ls[k].text for k in range(surge, dive) if weigh[k] >= 0]
-    return "\n".join(kept)
+        kept.update(k for k in at[surge:dive] if k >= 0)
+        # headings right before the text belong to it, also where they weigh nothing
+        k = at[surge]
+        while k and ls[k - 1].heading:
+            k -= 1
+            kept.add(k)
+    groups = {ls[k].group for k in kept if ls[k].group and own[k]}
+    kept.update(k for k, x in enumerate(ls) if own[k] and x.group in groups)
+    return "\n".join(ls[k].text for k in sorted(kept) if not ls[k].never)
 
 
 def extract(df: DataFrame, page: str = "html", out: str = "text") -> DataFrame:

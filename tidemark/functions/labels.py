@@ -42,10 +42,16 @@ def ascii_fold(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
+#: What a bracket says that is only a note (fixed values).
+NOTES = [r"unreleased\*?", "ur", r"forthcoming[^()\[\]]*", "dubplate", "free", r"free\s+dl", r"free\s+download"]
+NOTE_BRACKET = rf"[(\[]\s*({'|'.join(NOTES)})\s*[)\]]"
+
+
 def is_placeholder(c: Column) -> Column:
     """Whether a field names nothing: null, empty, or no other words than
-    placeholders outside brackets."""
-    words = F.filter(F.split(ascii_fold(F.regexp_replace(c, r"[(\[][^()\[\]]*[)\]]", " ")), " "), lambda w: w != "")
+    placeholders. Brackets that hold a mere note don't count, others do."""
+    rest = F.regexp_replace(F.lower(c), NOTE_BRACKET, " ")
+    words = F.regexp_extract_all(rest, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     return F.coalesce(F.size(F.array_except(words, F.array(*map(F.lit, PLACEHOLDERS)))) == 0, F.lit(True))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,37 +86,67 @@ def region_key(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256), 1, 16)
 
 
-#: Names of fields whose values are secret, and endings of such names in the
-#: query of an address (fixed values).
+#: Names of fields whose values are secret, names of secret
+#: parameters in the query of an address, and endings of such names.
 SECRETS = ["client_id", "oauth_token", "api_key", "api_token", "access_key", "access_secret", "client_secret", "authorization", "cookie", "access_token", "password", "secret", "token"]
-QUERY_SECRETS = ["apikey", "auth", "signature", "sig"]
-QUERY_ENDINGS = ["access_token", "api_key", "credential", "secret", "signature"]
+QUERY_SECRETS = [
+    *"access_token api_key apikey auth authorization client_id client_secret cookie credential key oauth_token policy sig signature token".split(),
+    *"x_amz_credential x_amz_security_token x_amz_signature x_goog_credential x_goog_signature password secret".split(),
+]
+QUERY_ENDINGS = ["_access_token", "_api_key", "_credential", "_secret", "_signature"]
 HIDDEN = "[REDACTED]"
+#: Stands for HIDDEN (a code point that is no character) until all is read.
+_MARK = "\ufdd0"
+
+ADDRESS = r"(?i)https?://[^\s<>\"']+"
+_PARTS = r"(?i)^(https?://)([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+_NAMES = "|".join(SECRETS)
+QUOTED = rf"(?i)([\"']?\b(?:{_NAMES})[\"']?\s*[:=]\s*)(?:\"[^\"\n]*\"|'[^'\n]*')"
+PLAIN = rf"(?i)\b({_NAMES})(\s*[:=]\s*)(?:Bearer\s+)?[^\s,;}}\"'{_MARK}]+"
+
+
+def secret_name(key: Column) -> Column:
+    """Whether a parameter's name, decoded, in lower case and with anything but
+    letters and digits as one underscore, tells of a secret."""
+    plain = F.lower(F.coalesce(F.try_url_decode(key), key))
+    name = F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "_"), "^_|_$", "")
+    found = name.isin(QUERY_SECRETS)
+    for e in QUERY_ENDINGS:
+        found = found | F.endswith(name, F.lit(e))
+    return found
+
+
+def _query(url: Column) -> Column:
+    """The parameters of an address's query."""
+    return F.split(F.substring(F.regexp_extract(url, _PARTS, 4), F.lit(2), F.length(url)), "&")
+
+
+def _name(parameter: Column) -> Column:
+    return F.get(F.split(parameter, "=", 2), F.lit(0))
+
+
+def has_credentials(url: Column) -> Column:
+    """Whether an address holds a user or a secret parameter."""
+    user = F.contains(F.regexp_extract(url, _PARTS, 2), F.lit("@"))
+    return user | F.exists(_query(url), lambda p: F.contains(p, F.lit("=")) & secret_name(_name(p)))
 
 
-def redaction_patterns() -> list[tuple[str, str]]:
-    """(pattern, what stays of it) in order: credentials of addresses, secret
-    parameters of their queries, quoted secrets, plain ones. They hold nothing
-    that Java's and RE2's syntax read differently."""
-    flex = lambda names: "|".join(n.replace("_", "[^a-z0-9=&]+") for n in names)
-    names = "|".join(SECRETS)
-    return [
-        (r"(?i)(https?://)[^\s<>\"'/?#@]*@", "1"),
-        (rf"(?i)(https?://[^\s<>\"'?#]*\?[^\s<>\"'#]*?\b(?:{flex(SECRETS + QUERY_SECRETS)}|[^\s<>\"'=&]*_(?:{flex(QUERY_ENDINGS)}))=)[^\s<>\"'&#]+", "1" + HIDDEN),
-        (rf"(?i)([\"']?\b(?:{names})[\"']?\s*[:=]\s*)(?:\"[^\"\n]*\"|'[^'\n]*')", '1"' + HIDDEN + '"'),
-        (rf"(?i)\b({names})(\s*[:=]\s*)(?:Bearer\s+)?[^\s,;}}\"']+", "12" + HIDDEN),
-    ]
+def _address_hidden(url: Column) -> Column:
+    """An address without its user and with marks for the values of secret
+    parameters, each looked at by itself, however many there are."""
+    part = lambda k: F.regexp_extract(url, _PARTS, k)
+    one = lambda p: F.when(F.contains(p, F.lit("=")) & secret_name(_name(p)), F.concat(_name(p), F.lit("=" + _MARK))).otherwise(p)
+    query = F.when(part(4) == "", "").otherwise(F.concat(F.lit("?"), F.array_join(F.transform(_query(url), one), "&")))
+    return F.when(part(2) == "", url).otherwise(F.concat(part(1), F.regexp_replace(part(2), "^.*@", ""), part(3), query, part(5)))
 
 
 def redact(text: Column) -> Column:
     """A text without credentials in addresses and without the values of secret
-    parameters and assignments; null stays null. An address with several secret
-    parameters is passed over as often as there are kinds of them."""
-    for i, (pattern, stays) in enumerate(redaction_patterns()):
-        to = re.sub(r"^(\d)(\d?)", lambda m: f"${m[1]}" + (f"${m[2]}" if m[2] else ""), stays)
-        for _ in range(4 if i == 1 else 1):
-            text = F.regexp_replace(text, pattern, to)
-    return text
+    parameters and assignments; null stays null."""
+    urls = F.transform(F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(0)), _address_hidden)
+    pieces = F.zip_with(F.split(text, ADDRESS, -1), urls, lambda gap, u: F.concat(gap, F.coalesce(u, F.lit(""))))
+    marked = F.regexp_replace(F.array_join(pieces, ""), QUOTED, '$1"' + _MARK + '"')
+    return F.replace(F.regexp_replace(marked, PLAIN, "$1$2" + _MARK), F.lit(_MARK), F.lit(HIDDEN))
 
 
 def redact_map(fields: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import functions as F
 
@@ -96,11 +95,17 @@ QUERIES = {
 }
 
 def _redact_sql(x: str) -> str:
-    for i, (pattern, stays) in enumerate(rl.redaction_patterns()):
-        to = re.sub(r"^(\d)(\d?)", lambda m: f"\\{m[1]}" + (f"\\{m[2]}" if m[2] else ""), stays)
-        for _ in range(4 if i == 1 else 1):
-            x = "regexp_replace({}, '{}', '{}', 'g')".format(x, pattern.replace("'", "''"), to.replace("'", "''"))
-    return x
+    """Addresses parameter by parameter, then quoted and plain assignments."""
+    q = lambda t: "'" + t.replace("'", "''") + "'"
+    part = lambda u, k: f"regexp_extract({u}, {q(rl._PARTS)}, {k})"
+    name = "regexp_replace(regexp_replace(lower(url_decode(split_part(p, '=', 1))), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g')"
+    secret = f"contains(p, '=') AND ({name} IN ({', '.join(map(q, rl.QUERY_SECRETS))}) OR {' OR '.join(f'ends_with({name}, {q(e)})' for e in rl.QUERY_ENDINGS)})"
+    query = f"list_transform(string_split(substr({part('u', 4)}, 2), '&'), lambda p: CASE WHEN {secret} THEN split_part(p, '=', 1) || '={rl._MARK}' ELSE p END)"
+    url = f"CASE WHEN {part('u', 2)} = '' THEN u ELSE {part('u', 1)} || regexp_replace({part('u', 2)}, '^.*@', '') || {part('u', 3)} || CASE WHEN {part('u', 4)} = '' THEN '' ELSE '?' || array_to_string({query}, '&') END || {part('u', 5)} END"
+    urls = f"list_transform(regexp_extract_all({x}, {q(rl.ADDRESS)}), lambda u: {url})"
+    joined = f"array_to_string(list_transform(list_zip(regexp_split_to_array({x}, {q(rl.ADDRESS)}), {urls}), lambda z: z[1] || coalesce(z[2], '')), '')"
+    quoted = f"regexp_replace({joined}, {q(rl.QUOTED)}, '\\1\"{rl._MARK}\"', 'g')"
+    return f"replace(regexp_replace({quoted}, {q(rl.PLAIN)}, '\\1\\2{rl._MARK}', 'g'), '{rl._MARK}', '{rl.HIDDEN}')"
 
 
 ORACLE_SQL = {

@@ -14,42 +14,51 @@ from tidemark.sources import records, responses
 
 
 def _comments(spark, d):
-    """Turns with what comments hold: a label, a question, a cue, a handle."""
-    i = F.col("conv_id") * 8 + F.col("turn")
-    text = F.substring("text", 1, 60)
-    shape = (
-        F.when(i % 11 == 0, F.concat(F.lit("@some_one: "), text, F.lit(" - "), F.reverse(text)))
-        .when(i % 11 == 1, F.concat(F.lit("what's this track at "), (i % 60).cast("string"), F.lit(":"), F.lpad((i * 7 % 60).cast("string"), 2, "0"), F.lit("?")))
-        .when(i % 11 == 2, F.concat(F.lit("id: "), text, F.lit(" by Somebody [Label Nine]")))
-        .when(i % 11 == 3, F.concat(F.lit("actually "), text, F.lit(" | Title (Club Remix)")))
-        .when(i % 11 == 4, F.concat((i % 3).cast("string"), F.lit(":"), F.lpad((i % 60).cast("string"), 2, "0"), F.lit(":09 A – B (vip mix)")))
-        .when(i % 11 == 5, F.concat(F.lit("see https://example.org/"), i.cast("string")))
-        .when(i % 11 == 6, F.lit("ID - ID"))
-        .when(i % 11 == 7, F.lit("unreleased bootleg w/ friends"))
-        .otherwise(text)
-    )
-    return read_table(spark, d, "conversations").select("conv_id", "turn", "role", i.alias("id"), shape.alias("text"))
+    """Whole turns of conversations, and parts' labels as listeners write them."""
+    turns = read_table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).cast("string").alias("id"), "text")
+    p = read_table(spark, d, "part")
+    k, label = F.col("p_partkey"), F.concat("p_brand", F.lit(" - "), "p_name")
+    cue = F.concat((k % 3).cast("string"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit(":09 "))
+    shapes = [
+        F.concat(F.lit("@some_one: "), label, F.lit(" ["), F.col("p_type"), F.lit("]")),
+        F.concat(F.lit("what's this track, "), F.col("p_name"), F.lit("?")),
+        F.concat(F.lit("Track ID: "), F.col("p_name"), F.lit(" (Club Mix) by "), F.col("p_brand")),
+        F.concat(F.lit("actually "), F.col("p_brand"), F.lit(" | "), F.col("p_name")),
+        F.concat(cue, F.lit("[x] "), label, F.lit(" (unreleased)")),
+        F.concat(F.lit("see https://www.mixesdb.com/w/"), k.cast("string"), F.lit(".")),
+        F.concat(F.lit("https://example.org/"), k.cast("string"), F.lit("?token=1")),
+        F.concat(F.col("p_brand"), F.lit(" - ID ("), F.col("p_name"), F.lit(" Remix)")),
+        F.concat(F.lit('"'), F.col("p_brand"), F.lit('" –  '), F.col("p_name"), F.lit(" w/ Friends bootleg")),
+        F.concat(F.lit("this is so good, "), F.col("p_name")),
+        F.concat(F.col("p_brand"), F.lit(" -"), F.col("p_name")),
+    ]
+    text = F.element_at(F.array(*shapes), (k % len(shapes) + 1).cast("int"))
+    return turns.unionByName(p.select(F.concat(F.lit("p"), k.cast("string")).alias("id"), text.alias("text")))
+
+
+def _parsed(spark, d):
+    c = _comments(spark, d)
+    return c.select("id", "text", cm.parsed(F.col("text"), cm.cue_ms(F.col("text")).isNotNull()).alias("p"))
 
 
 def q_kind(spark, d):
-    """Kinds of comments, with labels, cues and flags, counted."""
-    c = _comments(spark, d)
-    cue = cm.cue_ms(F.col("text"))
-    return c.groupBy(F.coalesce(cm.kind(F.col("text"), cue.isNotNull()), F.lit("none")).alias("kind")).agg(F.count("*").alias("n"), F.count(cue).alias("cues"), F.sum(F.coalesce(cue, F.lit(0))).alias("cue_ms"))
+    """What each comment is, with its label."""
+    return _parsed(spark, d).select("id", *(F.coalesce(f"p.{c}", F.lit("")).alias(c) for c in ("kind", "artist", "title")), F.coalesce("p.confidence", F.lit(0)).alias("confidence"))
 
 
 def q_split(spark, d):
-    a = cm.artist_title(F.col("text"))
-    return _comments(spark, d).groupBy("id").agg(F.max("text").alias("text")).select("id", F.coalesce(a["artist"], F.lit("")).alias("artist"), F.coalesce(a["title"], F.lit("")).alias("title"), a["confidence"].alias("confidence"))
+    """Artist and title as in an answer to a question."""
+    a = _comments(spark, d).select("id", cm.artist_title(F.col("text"), F.lit(True)).alias("a"))
+    return a.select("id", *(F.coalesce(f"a.{c}", F.lit("")).alias(c) for c in ("artist", "title")), "a.confidence")
 
 
 def q_flags(spark, d):
-    f = cm.flags(F.col("text"))
-    return _comments(spark, d).groupBy("id").agg(F.max("text").alias("text")).select("id", *(f[c].alias(c) for c in ("unreleased", "edit", "bootleg", "mashup", "unknown", "qualifier", "label")))
+    f = _comments(spark, d).select("id", cm.flags(F.col("text")).alias("f"))
+    return f.select("id", *(f"f.{c}" for c in ("unreleased", "edit", "bootleg", "mashup", "unknown", "qualifier", "label")))
 
 
 def q_mentions(spark, d):
-    return _comments(spark, d).groupBy("id").agg(F.max("text").alias("text")).select("id", cm.mentions_dropped(F.col("text")).alias("text"))
+    return _comments(spark, d).select("id", cm.mentions_dropped(cm.furniture_dropped(F.col("text"))).alias("text"))
 
 
 def q_positions(spark, d):
@@ -59,8 +68,9 @@ def q_positions(spark, d):
 
 
 def q_units(spark, d):
-    c = _comments(spark, d).groupBy("conv_id").agg(F.concat_ws("\n", F.array_sort(F.collect_list("text"))).alias("text"))
-    return cm.units(c.withColumn("duration", F.lit(7_200_000)), "text", "duration")
+    c = read_table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    text = F.array_join(F.transform("t", lambda t: F.concat_ws(" ", F.concat(t["turn"].cast("string"), F.lit(":30")), t["text"])), "\n")
+    return cm.units(c.select("conv_id", text.alias("text"), F.lit(7_200_000).alias("duration")), "text", "duration")
 
 
 def q_keys(spark, d):
@@ -74,7 +84,7 @@ def q_confidence(spark, d):
     """How well each part's label agrees with the next part's."""
     p = read_table(spark, d, "part")
     k = F.col("p_partkey")
-    title = F.concat_ws(" ", "p_name", F.when(k % 4 == 0, "remix").when(k % 4 == 1, "club mix"))
+    title = F.concat_ws(" ", "p_name", F.when(k % 4 == 0, "- remix").when(k % 4 == 1, "(club mix)"))
     a = p.select(k.alias("k"), "p_brand", title.alias("t"), (F.col("p_size").cast("long") * 1000).alias("ms"))
     b = a.select((F.col("k") - 1).alias("k"), F.col("p_brand").alias("b2"), F.col("t").alias("t2"), F.col("ms").alias("ms2"))
     j = a.join(b, "k")
@@ -88,9 +98,8 @@ def q_styles(spark, d):
 
 
 def q_plausible(spark, d):
-    a = cm.artist_title(F.col("text"))
-    c = _comments(spark, d).select("id", a["artist"].alias("artist"), a["title"].alias("title"))
-    c = c.groupBy("id").agg(F.max("artist").alias("artist"), F.max("title").alias("title"))
+    """Whether each comment's label is plausible, and its title a placeholder."""
+    c = _parsed(spark, d).select("id", F.col("p.artist").alias("artist"), F.col("p.title").alias("title"))
     return c.select("id", lb.plausible_label(F.col("artist"), F.col("title")).alias("plausible"), lb.is_placeholder(F.col("title")).alias("placeholder"))
 
 
@@ -253,31 +262,96 @@ QUERIES = {
     "recent_orders": q_recent,
 }
 
-_X = "conv_id * 8 + turn"
-_T = "substr(text, 1, 60)"
-_C = f"""c AS (SELECT conv_id, turn, {_X} AS id, CASE ({_X}) % 11 WHEN 0 THEN '@some_one: ' || {_T} || ' - ' || reverse({_T}) WHEN 1 THEN 'what''s this track at ' || ({_X}) % 60 || ':' || lpad(CAST(({_X}) * 7 % 60 AS VARCHAR), 2, '0') || '?'
- WHEN 2 THEN 'id: ' || {_T} || ' by Somebody [Label Nine]' WHEN 3 THEN 'actually ' || {_T} || ' | Title (Club Remix)' WHEN 4 THEN ({_X}) % 3 || ':' || lpad(CAST(({_X}) % 60 AS VARCHAR), 2, '0') || ':09 A – B (vip mix)'
- WHEN 5 THEN 'see https://example.org/' || ({_X}) WHEN 6 THEN 'ID - ID' WHEN 7 THEN 'unreleased bootleg w/ friends' ELSE {_T} END AS text FROM conversations), u AS (SELECT id, max(text) AS text FROM c GROUP BY id)"""
 _s = lambda x: x.replace("'", "''")
+_list = lambda x: "[" + ", ".join(f"'{_s(w)}'" for w in x) + "]"
 _has = lambda x, p: f"regexp_matches({x}, '{_s(p)}')"
-_drop = lambda x: f"trim(regexp_replace(regexp_replace({x}, '(^|[^a-zA-Z0-9_])@[a-zA-Z0-9_.-]+:?', '\\1 ', 'g'), '\\s+', ' ', 'g'))"
+_sub = lambda x, p, to="": f"regexp_replace({x}, '{_s(p)}', '{to}', 'g')"
+_LBL = "p_brand || ' - ' || p_name"
+_C = f"""c AS (SELECT CAST(conv_id * 100 + turn AS VARCHAR) AS id, text FROM conversations UNION ALL SELECT 'p' || p_partkey, CASE p_partkey % 11 WHEN 0 THEN '@some_one: ' || {_LBL} || ' [' || p_type || ']' WHEN 1 THEN 'what''s this track, ' || p_name || '?' WHEN 2 THEN 'Track ID: ' || p_name || ' (Club Mix) by ' || p_brand
+ WHEN 3 THEN 'actually ' || p_brand || ' | ' || p_name WHEN 4 THEN p_partkey % 3 || ':' || lpad(CAST(p_partkey % 60 AS VARCHAR), 2, '0') || ':09 [x] ' || {_LBL} || ' (unreleased)' WHEN 5 THEN 'see https://www.mixesdb.com/w/' || p_partkey || '.' WHEN 6 THEN 'https://example.org/' || p_partkey || '?token=1'
+ WHEN 7 THEN p_brand || ' - ID (' || p_name || ' Remix)' WHEN 8 THEN '"' || p_brand || '" –  ' || p_name || ' w/ Friends bootleg' WHEN 9 THEN 'this is so good, ' || p_name ELSE p_brand || ' -' || p_name END FROM part)"""
+_tokens = lambda x: f"(' ' || array_to_string(regexp_extract_all(lower({x}), '{_s(cm.TOKEN)}'), ' ') || ' ')"
+_says = lambda t, of: "(" + " OR ".join(f"contains({t}, ' {_s(p)} ')" for p in of) + ")"
+_one = lambda x: f"trim({_sub(x, r'\s+', ' ')})"
+_drop = lambda x: _one(_sub(_sub(_sub(x, r"(^|[^\p{L}\p{N}_])@[\p{L}\p{N}_.-]+:?", r"\1 "), r"([(\[])\s+", r"\1"), r"\s+([)\]])", r"\1"))
+_ITEMS = "|".join([r"[0-9]{1,3}[.)]\s+", r"\[\s*[xX✓•·*-]?\s*\]\s*", r"\(\s*\)\s*", r"[•·*–—-]\s+"])
+_lead = lambda x: f"trim({_sub(_sub(x, r'^(\s*[0-9]{1,3}[.)])\[', r'\1 ['), rf'^\s*({_ITEMS})+')})"
+_unq = lambda x: f"(CASE WHEN length({x}) > 2 AND left({x}, 1) || right({x}, 1) IN ({', '.join(chr(39) + _s(q) + chr(39) for q in cm.QUOTES)}) THEN trim(substr({x}, 2, length({x}) - 2)) ELSE {x} END)"
+_only = lambda x, *more: f"(lower(trim({_sub(x, r'\s*([(\[][^()\[\]]*[)\]]\s*)+$')})) IN ({', '.join(chr(39) + w + chr(39) for w in ('id', *more))}) OR {_has(f'lower(trim({x}))', r'^\?+$')})"
+_edges = lambda x: f"list_transform(string_split(lower({_one(x)}), ' '), lambda w: {_sub('w', r'^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_/]+$')})"
+
+
+def _flags_sql(x: str) -> dict[str, str]:
+    """Flags of a text `x`, whose tokens are in the column `k`."""
+    words = f"string_split(lower({_one(x)}), ' ')"
+    label = f"trim(regexp_extract({x}, '\\[([^\\[\\]]+)\\]\\s*$', 1))"
+    bracket = f"list_filter(regexp_extract_all({x}, '\\([^()]*\\)|\\[[^\\[\\]]*\\]'), lambda b: regexp_matches(lower(b), '{'|'.join(cm.VERSIONS)}'))[1]"
+    return {
+        **{n: _says("k", w) for n, w in cm.SAYS.items()},
+        "mashup": f"(list_contains({_edges(x)}, 'w/') OR {_says('k', ['vs'])} OR list_contains({words}[2:len({words}) - 1], 'x'))",
+        "unknown": _only(_unq(f"trim({x})"), "id - id", "id-id"),
+        "qualifier": f"coalesce(trim(substr({bracket}, 2, length({bracket}) - 2)), '')",
+        "label": f"CASE WHEN {_says(_tokens(label), cm.VERSIONS)} THEN '' ELSE {label} END",
+    }
+
+
+def _split_sql(t: str, reply: bool) -> str:
+    """(artist, title, confidence) of `t` as a struct."""
+    pair = lambda a, b, n: f"struct_pack(artist := {_unq(a)}, title := {_unq(b)}, confidence := {n})"
+    by = f"list_transform([1, 2], lambda n: CASE n WHEN 1 THEN regexp_extract({t}, '(?is)^(.+?)\\s+by\\s+(.+)$', 1) ELSE regexp_extract({t}, '(?is)^(.+?)\\s+by\\s+(.+)$', 2) END)"
+    cases = f"WHEN {_has(t, r'(?is)^(.+?)\s+by\s+(.+)$')} THEN {pair(by + '[2]', by + '[1]', 8500)}"
+    for s in cm.SEPARATORS:
+        left, right = f"trim(split_part({t}, '{s}', 1))", f"trim(substr({t}, strpos({t}, '{s}') + {len(s)}))"
+        cases += f" WHEN strpos({t}, '{s}') > 0 AND {left} <> '' AND {right} <> '' THEN {pair(left, right, 9000)}"
+    if reply:  # the only such comments have one word before the dash's word
+        d = r"^(.*?[^\s])\s+[-–—]([^-–—\s].*)$"
+        cases += f" WHEN {_has(t, d)} THEN {pair(f'''regexp_extract({t}, '{d}', 1)''', f'''regexp_extract({t}, '{d}', 2)''', 9000)}"
+    return f"CASE {cases} ELSE struct_pack(artist := NULL::VARCHAR, title := nullif({t}, ''), confidence := 3000) END"
+
+
+def _kind_sql() -> str:
+    begins = lambda t, of: "(" + " OR ".join(f"starts_with({t}, ' {_s(p)} ')" for p in of) + ")"
+    n = "CASE " + " ".join(f"WHEN starts_with(k, ' {_s(p)} ') THEN {len(p.split(' '))}" for p in reversed(cm.TELLS + cm.NAMES_ID)) + " ELSE 0 END"
+    stamp, last = r"^[\s\[(#]*[0-9]+:[0-9]{1,2}(:[0-9]{1,2})?[\s:.)\]–—-]*", r"[\s:.)\[–—-]*[0-9]+:[0-9]{1,2}(:[0-9]{1,2})?[\s\]).]*$"
+    rest = lambda x, m: f"trim({x[: 0]}regexp_replace({x}, '^(\\s*({_s(cm.TOKEN)})){{' || ({m}) || '}}', ''))"
+    f = _flags_sql("body")
+    words = "array_to_string(list_filter(string_split(trim(k), ' '), lambda w: regexp_matches(w, '^[\\p{L}\\p{N}_]')), ' ')"
+    host = "lower(regexp_extract(u, '(?i)^https://(?:[^/?#]*@)?([^/?#:@]*)', 1))"
+    clean = lambda x: f"CASE WHEN kind IN ('correction', 'tracklist_line', 'answer', 'keyword') THEN {_one(_no(_no(x, 'qualifier'), 'label'))} END"
+    return f"""WITH {_C}, m AS (SELECT id, text, {_drop('text')} AS t, regexp_matches(text, '^[0-9]:[0-9]{{2}}:09 ') AS cued FROM c), k AS (SELECT *, {_tokens('t')} AS k,
+ regexp_replace(list_filter(regexp_extract_all(text, '(?i)https://[^\\s<>()\\[\\]]+'), lambda u: list_contains({_list(cm.POINTER_HOSTS)}, {host}) AND NOT contains(u, 'token='))[1], '[.,;:]+$', '') AS pointer FROM m),
+ q AS (SELECT *, NOT ({begins('k', cm.NAMES_ID)}) AND (({_says(_sub('k', 'u+', 'u'), cm._NAMES)} AND (contains(k, '?') OR contains(k, ' id '))) OR (list_contains({_list(cm.BARE)}, {words}) AND starts_with(k, ' ' || {words} || ' ? ')) OR {_says('k', cm.ASKS_ID + cm.ASKS_TRACK)}) AS asks, {n} AS opens,
+  CASE WHEN cued THEN {_lead(f"trim({_sub(_lead(_sub(_lead('t'), stamp)), last)})")} ELSE {_lead('t')} END AS cut FROM k),
+ b AS (SELECT id, text, cued, k AS toks, pointer, asks, opens, CASE WHEN starts_with(k, ' actually ') THEN {rest('cut', '1')} WHEN asks OR cued OR opens = 0 THEN cut ELSE {rest('cut', 'opens')} END AS body FROM q),
+ a AS (SELECT *, {_tokens('body')} AS k, {_split_sql('body', False)} AS s FROM b),
+ g AS (SELECT *, {f['unreleased']} AS unreleased, {f['unknown']} OR coalesce(lower(s.artist) = 'id' AND starts_with(lower(s.title), 'id'), false) OR coalesce({_only('s.title')}, false) AS unknown, {f['qualifier']} AS qualifier, {f['label']} AS label, opens > 0 OR s.artist IS NOT NULL OR coalesce(regexp_matches(s.title, '\\S-\\S'), false) AS answers FROM a),
+ z AS (SELECT *, CASE WHEN pointer IS NOT NULL THEN 'pointer' WHEN asks THEN 'question' WHEN starts_with(toks, ' actually ') THEN 'correction' WHEN cued THEN 'tracklist_line' WHEN answers AND NOT {begins('k', cm.REACTIONS)} THEN 'answer' WHEN NOT answers AND (unreleased OR unknown) THEN 'keyword' END AS kind FROM g)
+ SELECT id, coalesce(kind, '') AS kind, coalesce({clean('s.artist')}, '') AS artist, coalesce(CASE WHEN kind = 'pointer' THEN pointer ELSE {clean('s.title')} END, '') AS title, CASE WHEN kind IS NULL THEN 0 WHEN kind = 'pointer' THEN 10000 WHEN kind = 'question' THEN 8000 WHEN kind = 'tracklist_line' THEN least(s.confidence, 7500) ELSE s.confidence END AS confidence FROM z"""
+
+
+def _no(x: str, extra: str) -> str:
+    return f"CASE WHEN {extra} = '' THEN {x} ELSE replace(replace({x}, '(' || {extra} || ')', ' '), '[' || {extra} || ']', ' ') END"
+
+
 _WORDS = lambda x: f"list_filter(string_split(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
-_VW = "[" + ", ".join(f"'{w}'" for w in tt.VERSION_WORDS) + "]"
-_ARTIST = lambda x: f"array_to_string({_WORDS(f'''replace(regexp_replace(regexp_replace(lower({x}), '\\([^()]*\\)|\\[[^\\[\\]]*\\]', ' ', 'g'), '{tt._FEATURING}', ''), '&', ' and ')''')}, ' ')"
-_BASE = lambda x: f"list_filter({_WORDS(f'''string_split_regex(regexp_replace(lower({x}), '[(\\[{{][^)\\]}}]*[)\\]}}]', ' ', 'g'), '\\s[-–—~]\\s')[1]''')}, lambda w: NOT list_contains({_VW}, w))"
-_VER = lambda x: f"list_sort(list_distinct(list_filter({_WORDS(f'lower({x})')}, lambda w: list_contains({_VW}, w))))"
+_GROUP = lambda x: f"list_filter(regexp_split_to_array(regexp_replace(replace({_sub(_sub(f'lower({x})', tt.BRACKETED, ' '), tt.GUESTS)}, '&', ' and '), '[^\\p{{L}}\\p{{N}}_\\s]+', ' ', 'g'), '\\s+'), lambda w: w <> '')"
+_JOINED = lambda x: f"array_to_string({x}, ' ')"
+_PARTS = lambda x: f"regexp_split_to_array({_sub(f'lower({x})', tt.BRACKETED, ' ')}, '{tt.SPACED_DASH}')"
+_ISVER = lambda x: f"(len({_PARTS(x)}) > 1 AND list_has_any({_WORDS(f'{_PARTS(x)}[-1]')}, {_list(tt.VERSION_WORDS)}))"
+_BASE = lambda x: f"CASE WHEN {_ISVER(x)} THEN {_WORDS(f'''array_to_string({_PARTS(x)}[1:len({_PARTS(x)}) - 1], ' ')''')} ELSE {_WORDS(f'''array_to_string({_PARTS(x)}, ' - ')''')} END"
+_VER = lambda x: f"list_sort(list_distinct(list_concat({_WORDS(f'''array_to_string(regexp_extract_all(lower({x}), '{tt.BRACKETED}', 1), ' ')''')}, CASE WHEN {_ISVER(x)} THEN {_WORDS(f'{_PARTS(x)}[-1]')} ELSE [] END)))"
 _JAC = lambda a, b: f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))::DOUBLE END"
-_CV = "CASE p_partkey % 4 WHEN 0 THEN p_name || ' remix' WHEN 1 THEN p_name || ' club mix' ELSE p_name END"
+_CV = "CASE p_partkey % 4 WHEN 0 THEN p_name || ' - remix' WHEN 1 THEN p_name || ' (club mix)' ELSE p_name END"
 
 ORACLE_SQL = {
-    "label_flags": f"""WITH {_C}, l AS (SELECT *, trim(regexp_extract(text, '{_s(cm.LABEL)}', 1)) AS lb FROM u) SELECT id, {", ".join(f"{_has('text', p)} AS {n}" for n, p in (("unreleased", cm.UNRELEASED), ("edit", cm.EDIT), ("bootleg", cm.BOOTLEG), ("mashup", cm.MASHUP), ("unknown", cm.UNKNOWN)))},
- trim(regexp_extract(text, '{_s(cm.QUALIFIER)}', 1)) AS qualifier, CASE WHEN {_has('lb', rf'(?i)\b({cm.VERSIONS})\b')} THEN '' ELSE lb END AS label FROM l""",
-    "mentions_dropped": f"WITH {_C} SELECT id, {_drop('text')} AS text FROM u",
+    "comment_kind": _kind_sql(),
+    "label_split": f"WITH {_C}, t AS (SELECT id, {_unq(_drop('text'))} AS t FROM c), s AS (SELECT id, {_split_sql('t', True)} AS s FROM t) SELECT id, coalesce(s.artist, '') AS artist, coalesce(s.title, '') AS title, s.confidence AS confidence FROM s",
+    "label_flags": f"WITH {_C}, l AS (SELECT *, {_tokens('text')} AS k FROM c) SELECT id, {', '.join(f'{x} AS {n}' for n, x in _flags_sql('text').items())} FROM l",
+    "mentions_dropped": f"WITH {_C} SELECT id, {_drop(_lead('text'))} AS text FROM c",
     "cue_positions": f"""WITH {pe._W}, x AS (SELECT id, s % 4000000 AS tp, ['cue', 'minute', 'question'][id % 3 + 1] AS k FROM w), r AS (SELECT *, greatest(least(CASE k WHEN 'question' THEN tp - 120000 WHEN 'minute' THEN tp ELSE tp - 5000 END, 3900000), 0) AS a, greatest(least(CASE k WHEN 'question' THEN tp + 15000 WHEN 'minute' THEN tp + 60000 ELSE tp + 5000 END, 3900000), 0) AS b FROM x)
  SELECT id, CASE WHEN b <= a THEN least(a, 3899999) ELSE a END AS s, CASE WHEN b <= a THEN least(a + 1, 3900000) ELSE b END AS e, tp // 3600000 || ':' || lpad(CAST(tp // 1000 % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(tp // 1000 % 60 AS VARCHAR), 2, '0') AS stamp FROM r""",
-    "title_keys": f"""WITH t AS (SELECT p_partkey, p_brand, p_name || CASE p_partkey % 3 WHEN 0 THEN ' (Extended Mix)' WHEN 1 THEN ' VIP feat. X & Y' ELSE ' & Co - Live' END AS t FROM part), k AS (SELECT *, {_ARTIST('t')} AS tk, string_split({_ARTIST('t')}, ' ') AS ws FROM t)
- SELECT p_partkey, {_ARTIST('p_brand')} || '|' || CASE WHEN len(list_filter(ws, lambda w: NOT list_contains({_VW}, w))) > 0 THEN array_to_string(list_filter(ws, lambda w: NOT list_contains({_VW}, w)), ' ') ELSE tk END AS work_key,
- array_to_string({_WORDS("regexp_replace(lower(t), '\\([^()]*remix[^()]*\\)', ' ', 'g')")}, ' ') AS hint_key, array_to_string({_BASE('t')}, ' ') AS base, array_to_string({_VER('t')}, ' ') AS version FROM k""",
+    "title_keys": f"""WITH t AS (SELECT p_partkey, p_brand, p_name || CASE p_partkey % 3 WHEN 0 THEN ' (Extended Mix)' WHEN 1 THEN ' VIP feat. X & Y' ELSE ' & Co - Live' END AS t FROM part), k AS (SELECT *, {_GROUP('t')} AS ws, list_filter({_GROUP('t')}, lambda w: NOT list_contains({_list(tt.GROUPING_WORDS)}, w)) AS rest FROM t)
+ SELECT p_partkey, {_JOINED(_GROUP('p_brand'))} || '|' || {_JOINED('CASE WHEN len(rest) > 0 THEN rest ELSE ws END')} AS work_key, array_to_string({_WORDS("regexp_replace(lower(t), '\\([^()]*remix[^()]*\\)', ' ', 'g')")}, ' ') AS hint_key, {_JOINED(_BASE('t'))} AS base, {_JOINED(_VER('t'))} AS version FROM k""",
     "match_confidence": f"""WITH a AS (SELECT p_partkey AS k, {_WORDS('lower(p_brand)')} AS w, {_BASE(_CV)} AS b, {_VER(_CV)} AS v, list_distinct({_WORDS(f'lower({_CV})')}) AS q, CAST(p_size AS BIGINT) * 1000 AS ms FROM part),
  j AS (SELECT x.k, x.ms AS m1, y.ms AS m2, abs(x.ms - y.ms) AS off, x.q AS q1, y.q AS q2, CASE WHEN len(x.w) > 0 AND x.w = y.w THEN 1.0::DOUBLE ELSE {_JAC('x.w', 'y.w')} END AS ar, CASE WHEN len(x.b) > 0 AND x.b = y.b THEN 1.0::DOUBLE ELSE {_JAC('x.b', 'y.b')} END AS ba,
  CASE WHEN x.v = y.v THEN 1.0::DOUBLE WHEN len(x.v) = 0 OR len(y.v) = 0 THEN 0.4::DOUBLE ELSE {_JAC('x.v', 'y.v')} END AS ve FROM a x JOIN a y ON y.k = x.k + 1),

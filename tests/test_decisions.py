@@ -37,13 +37,6 @@ def test_association(spark):
     assert sorted((r.pred, r.truth) for r in sco.associate(p, t, ["k"], 3).collect()) == [(7, 1), (9, 2)]
 
 
-def test_bootstrap(spark):
-    d = spark.createDataFrame([(f"c{i}", 8, 10, 9, 10) for i in range(20)], "c string, g0 long, n0 long, g1 long, n1 long")
-    assert sco.paired_bootstrap(d, "c", ("g0", "n0"), ("g1", "n1"), 100) == (1000, 1000, True)
-    assert sco.paired_bootstrap(d, "c", ("g1", "n1"), ("g0", "n0"), 100) == (-1000, -1000, False)
-    assert sco.paired_bootstrap(d.where("false"), "c", ("g0", "n0"), ("g1", "n1"), 100) == (0, 0, False)
-
-
 def test_prior_components_and_contest(spark):
     links = spark.createDataFrame([(1, 1, 2), (2, 3, 4), (3, 2, 3)], "id long, a long, b long")
     bad = spark.createDataFrame([(1, 4), (5, 6)], "a long, b long")

@@ -94,8 +94,6 @@ def test_statistics(spark):
     assert r.slope == 2 and r.intercept == 1 and r.residual == 459
     k = spark.createDataFrame([(10, 10), (0, 5), (0, 0)], "k long, n long").select(evidence.clopper_pearson_e4(F.col("k"), F.col("n")).alias("b")).collect()
     assert [x.b for x in k] == [math.floor(0.05**0.1 * 10000), 0, 0]
-    c = spark.createDataFrame([(i, 3, 4) for i in range(12)], "c long, a long, b long")
-    assert evidence.cluster_bootstrap(c, "c", "a", "b") == (7500, 7500)
 
 
 def test_ledger_conflicts(spark):

@@ -234,16 +234,3 @@ def clopper_pearson_e4(k: Column, n: Column, alpha: float = 0.05) -> Column:
         return pd.Series([one(int(a), int(b)) for a, b in zip(ks, ns, strict=True)])
 
     return bound(k, n)
-
-
-def cluster_bootstrap(df: DataFrame, cluster: str, num: str, den: str, replicates: int = 2000, seed: int = 7) -> tuple[int, int]:
-    """(pooled share, its lower 5 % bound) in ten-thousandths, clusters drawn
-    with replacement. Clusters are summed in the engine; the driver draws from
-    one row a cluster, which must be few (recordings of a benchmark)."""
-    rows = df.groupBy(cluster).agg(F.sum(num).alias("a"), F.sum(den).alias("b")).orderBy(cluster).collect()
-    a, b = np.array([r["a"] for r in rows], float), np.array([r["b"] for r in rows], float)
-    if not len(rows) or b.sum() <= 0:
-        return 0, 0
-    pick = np.random.default_rng(seed).integers(0, len(rows), (replicates, len(rows)))
-    low = np.sort(a[pick].sum(1) / np.maximum(b[pick].sum(1), 1e-12))
-    return int(a.sum() / b.sum() * 10000), int(low[int(0.05 * replicates)] * 10000)

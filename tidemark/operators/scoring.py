@@ -1,10 +1,8 @@
 """Scores: matching predictions to truth, agreement, features and indices,
-intervals, bootstrap."""
+intervals."""
 
 from __future__ import annotations
 
-import random
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,24 +133,3 @@ def latency_curve(cases: DataFrame) -> DataFrame:
     d = cases.select("duration").distinct().join(at, "duration", "left").withColumn("k", F.coalesce(F.sum("k").over(w), F.lit(0)))
     d = d.crossJoin(F.broadcast(total))
     return d.select("duration", "positions", (F.col("positions") - F.col("k")).alias("censored"), ratio_e4(F.col("k"), F.col("positions")).alias("recognised_e4"))
-
-
-def paired_bootstrap(df: DataFrame, cluster: str, base: tuple[str, str], other: tuple[str, str], margin_e4: int, replicates: int = 2000, seed: int = 7) -> tuple[int, int, bool]:
-    """(pooled difference, its lower 5 per cent bound, whether that is above
-    -margin) of two shares (good, all) in ten-thousandths, clusters drawn with
-    replacement, both arms with the same draws. Clusters (recordings of a
-    benchmark, so few) are summed by the engine; a driver draws from their sums."""
-    cols = [*base, *other]
-    rows = df.groupBy(cluster).agg(*(F.sum(c).alias(c) for c in cols)).orderBy(cluster).select(*cols).collect()
-    share = lambda k, n: min(10_000, (k * 20_000 + n) // (2 * n)) if n else 0
-
-    def gain(picked) -> int:
-        g0, n0, g1, n1 = (sum(int(r[i]) for r in picked) for i in range(4))
-        return share(g1, n1) - share(g0, n0)
-
-    if not rows:
-        return 0, 0, False
-    rng = random.Random(seed)
-    draws = sorted(gain([rows[rng.randrange(len(rows))] for _ in rows]) for _ in range(replicates))
-    low = draws[max(0, (5 * replicates + 99) // 100 - 1)]
-    return gain(rows), low, low >= -margin_e4

@@ -164,15 +164,6 @@ def q_latency(spark, d):
     return sco.latency_curve(e.select(F.col("user_id").alias("position"), (F.floor("value") % 10).alias("duration"), (F.col("event_type") == "purchase").alias("success")))
 
 
-def q_bootstrap(spark, d):
-    """Two rules' precision over languages and sources, and whether the second is no worse."""
-    s = _scored(spark, d).withColumn("c", F.concat_ws("/", "lang", "source"))
-    s = s.select("c", (F.col("guess") * F.col("quality")).alias("g0"), F.col("guess").alias("n0"), F.when(F.col("n_chars") >= 800, F.col("quality")).otherwise(0).alias("g1"), (F.col("n_chars") >= 800).cast("int").alias("n1"))
-    gain, low, fine = sco.paired_bootstrap(s, "c", ("g0", "n0"), ("g1", "n1"), 100)
-    pooled, bound = ev.cluster_bootstrap(s, "c", "g0", "n0")
-    return spark.createDataFrame([(gain, low, fine, pooled, bound)], "gain_e4 long, low_e4 long, no_worse boolean, precision_e4 long, precision_low_e4 long")
-
-
 def _ranked(spark, d):
     w = pe.windows(spark, d).select("media", "id", "s", "e", (F.col("id") * 31 % 97).alias("energy"))
     c = read_table(spark, d, "events").where("event_id % 6 = 0").select(F.col("user_id").alias("media"), F.col("event_id").alias("cand"), F.expr("unix_micros(ts) div 1000").alias("cs"), F.element_at(F.array(*map(F.lit, tg.PRIORITY)), (F.col("event_id") % 4 + 1).cast("int")).alias("class"))
@@ -275,7 +266,6 @@ QUERIES = {
     "interval_scores": q_winkler,
     "residual_intervals": q_residuals,
     "latency_curve": q_latency,
-    "paired_bootstrap": q_bootstrap,
     "ranked_windows": q_ranked,
     "secondary_allocation": q_allocate,
     "confirmation_windows": q_confirm,

@@ -1,12 +1,10 @@
 from datetime import datetime
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import comments as cm
 from tidemark.functions import labels as lb
-from tidemark.functions import signal as sg
 from tidemark.functions import titles as tt
 from tidemark.operators import rules as rl
 
@@ -158,17 +156,6 @@ def test_label_readings(spark):
     assert one(spark, cases, p["base"], p["version"]) == list(cases.values())
 
 
-def test_sound():
-    t = np.arange(sg.RATE * 6)
-    beat = np.where(t % (sg.RATE // 2) < 1500, 12_000 * np.sin(2 * np.pi * 220 * t / sg.RATE), 0)
-    assert abs(sg.tempo_of(beat) - 120) <= 2 and sg.tempo_of(np.zeros(9000)) == 0 and sg.tempo_of(np.zeros(3)) == 0
-    chord = sum(np.sin(2 * np.pi * f * t / sg.RATE) for f in (261.63, 329.63, 392.0)) * 5000
-    assert sg.key_of(chord) == "C major" and sg.key_of(np.zeros(9000)) is None
-    assert len(sg.flux_of(beat)) == (len(beat) - sg.FRAME) // sg.HOP and (sg.flux_of(beat) >= 0).all()
-    assert sg.audible_of([0, 9, 0, 9, 9, 9, 5, 5, 2, 2, 2], 8, 4) == [False] * 2 + [True] * 6 + [False] * 3
-    assert sg.audible_of([], 1, 1) == [] and sg.mel_filters().shape == (40, 513)
-
-
 def test_stamps_and_windows(spark):
     d = spark.createDataFrame([(datetime(2024, 1, 1), 3_725_000)], "t timestamp, ms long")
     assert d.select(cm.stamp(F.col("ms"))).first()[0] == "1:02:05"

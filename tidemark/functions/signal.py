@@ -1,16 +1,9 @@
-"""Features of sound: energy, mel flux, tempo, loudness. Samples are 16-bit
-mono at 16 kHz, an array a row; the heavy ones run in Arrow batches."""
+"""Energy of sampled sound."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType
-
-RATE, FRAME, HOP, BANDS = 16_000, 1024, 512, 40
 
 
 def rms(samples: Column) -> Column:
@@ -18,108 +11,3 @@ def rms(samples: Column) -> Column:
     n = F.size(samples)
     total = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     return F.when(n > 0, F.sqrt(total / n)).otherwise(0.0)
-
-
-def mel_filters(bands: int = BANDS, frame: int = FRAME, rate: int = RATE) -> np.ndarray:
-    """Triangles evenly spaced in mel over the bins of a frame's spectrum."""
-    top = 2595 * np.log10(1 + rate / 2 / 700)
-    edges = 700 * (10 ** (np.linspace(0, top, bands + 2) / 2595) - 1)
-    f = np.arange(frame // 2 + 1) * rate / frame
-    up = (f - edges[:-2, None]) / np.diff(edges)[:-1, None]
-    down = (edges[2:, None] - f) / np.diff(edges)[1:, None]
-    return np.maximum(0, np.minimum(up, down))
-
-
-def log_mel(x: np.ndarray) -> np.ndarray:
-    """Log energies of mel bands, a row a frame."""
-    if len(x) < FRAME:
-        return np.zeros((0, BANDS))
-    frames = np.lib.stride_tricks.sliding_window_view(x / 32768.0, FRAME)[::HOP]
-    power = np.abs(np.fft.rfft(frames * np.hanning(FRAME), axis=1)) ** 2
-    return np.log(power @ mel_filters().T + 1e-10)
-
-
-def flux_of(x: np.ndarray) -> np.ndarray:
-    """Sum of rises between adjacent frames; one less than the frames."""
-    m = log_mel(x)
-    return np.maximum(np.diff(m, axis=0), 0).sum(axis=1)
-
-
-def _samples(v) -> np.ndarray:
-    return np.zeros(0) if v is None else np.asarray(v, float)
-
-
-@pandas_udf(ArrayType(DoubleType()))
-def flux(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: flux_of(_samples(v)).round(6).tolist())
-
-
-def tempo_of(x: np.ndarray, low: int = 60, high: int = 180) -> int:
-    """Beats a minute whose lag (with twice and thrice of it) the flux agrees
-    with best; 0 for sound that is too short or still."""
-    f = flux_of(x)
-    f = f - f.mean() if len(f) else f
-    if len(f) < 4 or not (f != 0).any():
-        return 0
-    spectrum = np.fft.rfft(f, 2 * len(f))
-    alike = np.fft.irfft(np.abs(spectrum) ** 2)[: len(f)]
-    best, at = -np.inf, 0
-    for bpm in range(low, high + 1):
-        lags = [int(round(k * 60 * RATE / HOP / bpm)) for k in (1, 2, 3)]
-        score = np.mean([alike[k] for k in lags if k < len(f)] or [-np.inf])
-        if score > best + 1e-9:
-            best, at = score, bpm
-    return at
-
-
-@pandas_udf(LongType())
-def tempo(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: tempo_of(_samples(v)))
-
-
-#: Pitch classes that a major and a minor key stress (fixed values).
-MAJOR = [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]
-MINOR = [6.33, 2.68, 3.52, 5.38, 2.6, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17]
-NOTES = "C C# D D# E F F# G G# A A# B".split()
-
-
-def key_of(x: np.ndarray) -> str | None:
-    """The key whose profile the energies of pitch classes go with best; null for silence."""
-    if len(x) < 4096:
-        return None
-    power = np.abs(np.fft.rfft(x * np.hanning(len(x)))) ** 2
-    f = np.fft.rfftfreq(len(x), 1 / RATE)
-    use = (f >= 55) & (f <= 2000)
-    classes = np.bincount(np.round(12 * np.log2(f[use] / 440) + 9).astype(int) % 12, power[use], 12)
-    if not classes.any() or np.ptp(classes) == 0:
-        return None
-    score = lambda p, k: np.corrcoef(np.roll(p, k), classes)[0, 1]
-    k, mode = max(((k, m) for m in ("major", "minor") for k in range(12)), key=lambda c: score(MAJOR if c[1] == "major" else MINOR, c[0]))
-    return f"{NOTES[k]} {mode}"
-
-
-@pandas_udf(StringType())
-def musical_key(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: key_of(_samples(v)))
-
-
-def audible_of(levels: list[float], on: float, off: float) -> list[bool]:
-    """Whether each frame is heard: the median of it and its neighbours turns on
-    at `on` and stays until it falls below `off`."""
-    v = np.asarray(levels, float)
-    if not len(v):
-        return []
-    calm = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(v, 1, mode="edge"), 3), axis=1)
-    state, out = False, []
-    for x in calm:
-        state = x >= (off if state else on)
-        out.append(bool(state))
-    return out
-
-
-def audible(on: float, off: float):
-    @pandas_udf(ArrayType(BooleanType()))
-    def heard(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: audible_of([] if v is None else list(v), on, off))
-
-    return heard

@@ -1,5 +1,5 @@
 """What runs over generations and orders: the fuse-and-rescan loop, hint-only
-rows, copies and mirrors of hints, sampling policies, calibrated tiers."""
+rows, copies and mirrors of hints, calibrated tiers."""
 
 from __future__ import annotations
 
@@ -116,38 +116,6 @@ def mirror_agreements(source: DataFrame, mirror: DataFrame, near: int = 60_000)
     return both.groupBy("media").applyInPandas(run, f"media {source.schema['media'].dataType.simpleString()}, agreements long")
 
 
-def sampled(windows: DataFrame, keys: list[str], order: list[str], answer: str, n: int) -> DataFrame:
-    """Windows with `asked`: every n-th, then (`refined`) those between two of
-    them whose answers differ, nulls being an answer; what a policy that bisects
-    no further would send."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    d = windows.withColumn("_i", F.row_number().over(w) - 1)
-    d = d.withColumn("asked", F.col("_i") % n == 0)
-    seen = F.when(F.col("asked"), F.struct(F.col(answer).alias("v")))
-    before = F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(seen, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    d = d.withColumns({"_b": before, "_a": after})
-    return d.withColumn("refined", ~F.col("asked") & ~F.col("_b.v").eqNullSafe(F.col("_a.v"))).drop("_i", "_a", "_b")
-
-
-def run_skipped(windows: DataFrame, keys: list[str], order: list[str], answer: str, least: int, skip: int) -> DataFrame:
-    """Windows with `skipped`: after `least` equal answers in a row that were
-    asked for, the next `skip` windows aren't. What is skipped decides what comes
-    after, so a recording folds in order, in the engine."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.coalesce(F.col(answer).cast("string"), F.lit("")).alias("_v"))))
-    zero = F.struct(F.lit("").alias("v"), F.lit(0).alias("run"), F.lit(0).alias("rest"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        off = s["rest"] > 0
-        run = F.when(off, F.lit(0)).when(x["_v"] == s["v"], s["run"] + 1).otherwise(F.lit(1))
-        full = ~off & (run >= least)
-        return F.struct(F.when(off, s["v"]).otherwise(x["_v"]).alias("v"), F.when(full, 0).otherwise(run).alias("run"), F.when(off, s["rest"] - 1).when(full, F.lit(skip)).otherwise(F.lit(0)).alias("rest"), F.concat(s["out"], F.array(off)).alias("out"))
-
-    d = windows.groupBy(*keys).agg(rows.alias("_r")).withColumn("_o", F.aggregate("_r", zero, step, lambda s: s["out"]))
-    z = F.explode(F.zip_with("_r", "_o", lambda r, o: F.struct(*(r[c].alias(c) for c in order), o.alias("skipped"))))
-    return d.select(*keys, z.alias("_z")).select(*keys, *(F.col(f"_z.{c}").alias(c) for c in order), F.col("_z.skipped").alias("skipped"))
-
-
 def calibrated_tiers(rows: DataFrame, index: str, thresholds: DataFrame) -> DataFrame:
     """`rows` with `tier`: the best one whose least index a row reaches, else
     unclear. `thresholds` are of a few tiers."""

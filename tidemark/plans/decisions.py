@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exact import iou_e4
+from tidemark.operators import admission as adm
 from tidemark.operators import evidence as ev
 from tidemark.operators import identity as idn
 from tidemark.operators import projection as pj
@@ -240,12 +241,22 @@ def q_covered(spark, d):
     return total.join(listed, "media").select("media", "covered", "runs", ratio_e4(F.col("covered"), F.col("total")).alias("share_e4"))
 
 
+LIMIT, LIMIT_MS = 2, 12 * HOUR
+#: Seconds and counts of the breaker over events: window, samples, per cent, cooldown, opens to latch, samples a day.
+BREAKER = {"window_s": 10_800, "least": 3, "percent": 30, "cooldown_s": 7200, "latch": 3, "daily": 40}
+
+
 def q_ip_limit(spark, d):
-    """Admissions of a sliding limit: which of a user's events have fewer than
-    three admitted-or-not before them within an hour."""
-    w = Window.partitionBy("user_id").orderBy("t").rangeBetween(-12 * HOUR, -1)
+    """Which of a user's events a limit of two in twelve hours admits, refused
+    ones not counting, and how long the others would have to wait."""
     e = read_table(spark, d, "events").select("user_id", "event_id", F.expr("unix_micros(ts) div 1000").alias("t"))
-    return e.select("event_id", (F.count("*").over(w) < 2).alias("admitted"))
+    return adm.limited(e, ["user_id"], "t", "event_id", LIMIT, LIMIT_MS).select("event_id", "admitted", "wait")
+
+
+def q_breaker_states(spark, d):
+    """What ten breakers do as users' events arrive, low values being failures."""
+    e = read_table(spark, d, "events").select((F.col("user_id") % 10).alias("egress"), "event_id", F.expr("unix_micros(ts) div 1000000").alias("t"), (F.col("value") < 20).alias("failed"))
+    return adm.breakers(e, ["egress"], "t", "event_id", "failed", **BREAKER).where("opened is not null or over_budget").select("event_id", "opened", "over_budget")
 
 
 QUERIES = {
@@ -277,6 +288,7 @@ QUERIES = {
     "m3u_lists": q_m3u,
     "covered_time": q_covered,
     "sliding_limit": q_ip_limit,
+    "breaker_states": q_breaker_states,
 }
 
 _R4 = lambda n, d: f"CASE WHEN {d} > 0 THEN least(10000, ({n} * 20000 + {d}) // (2 * {d})) ELSE 0 END"
@@ -347,5 +359,17 @@ ORACLE_SQL = {
  SELECT media, '#EXTM3U' || chr(10) || string_agg('#EXTINF:-1,' || CASE WHEN kind = 'id' THEN 'ID - no evidence through ' || CASE WHEN z >= 3600 THEN z // 3600 || ':' || {_T2('z % 3600 // 60')} ELSE CAST(z // 60 AS VARCHAR) END || ':' || {_T2('z % 60')} ELSE artist || ' - ' || title END || chr(10) || '#EXTVLCOPT:start-time=' || s // 1000 || chr(10) || 'mix-' || media, chr(10) ORDER BY no) || chr(10) AS sheet FROM x GROUP BY media""",
     "covered_time": f"""WITH {pe._W}, t AS (SELECT media, max(e) - min(s) AS total FROM w GROUP BY 1), i AS ({pe._islands('SELECT * FROM m', 'media')}), c AS (SELECT media, CAST(sum(e - s) AS BIGINT) AS covered, count(*) AS runs FROM i GROUP BY 1)
  SELECT media, covered, runs, CAST({_R4('covered', 'total')} AS BIGINT) AS share_e4 FROM t JOIN c USING (media)""",
-    "sliding_limit": f"SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 RANGE BETWEEN {12 * HOUR} PRECEDING AND 1 PRECEDING) < 2 AS admitted FROM events",
+    "sliding_limit": f"""WITH RECURSIVE x AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+ r AS (SELECT user_id, event_id, i, t, [t] AS held, true AS admitted, 0::BIGINT AS wait FROM x WHERE i = 1 UNION ALL
+ SELECT user_id, event_id, i, t, CASE WHEN len(w) < {LIMIT} THEN list_append(w, t) ELSE w END, len(w) < {LIMIT}, CASE WHEN len(w) < {LIMIT} THEN 0 ELSE greatest(1, w[len(w) - {LIMIT - 1}] + {LIMIT_MS} - t) END
+  FROM (SELECT x.user_id, x.event_id, x.i, x.t, list_filter(r.held, lambda h: h > x.t - {LIMIT_MS}) AS w FROM r JOIN x ON x.user_id = r.user_id AND x.i = r.i + 1))
+ SELECT event_id, admitted, wait FROM r""",
+    "breaker_states": f"""WITH RECURSIVE x AS (SELECT user_id % 10 AS k, event_id, epoch_us(ts) // 1000000 AS t, CAST(value < 20 AS INT) AS f, row_number() OVER (PARTITION BY user_id % 10 ORDER BY epoch_us(ts) // 1000000, event_id) AS i FROM events),
+ r AS (SELECT k, 0::BIGINT AS event_id, 0::BIGINT AS i, []::STRUCT(t BIGINT, f INT)[] AS w, 0::BIGINT AS until, -1::BIGINT AS day, 0 AS opens, 0 AS seen, NULL::VARCHAR AS opened, false AS over_budget FROM (SELECT DISTINCT k FROM x) UNION ALL
+ SELECT k, event_id, i, CASE WHEN trips THEN [] ELSE w END, CASE WHEN trips THEN t + {BREAKER["cooldown_s"]} ELSE until END, t // 86400, opens + CAST(trips AS INT), seen, CASE WHEN trips THEN CASE WHEN opens + 1 >= {BREAKER["latch"]} THEN 'latched' ELSE 'open' END END, seen = {BREAKER["daily"]} + 1
+  FROM (SELECT *, NOT quiet AND len(w) >= {BREAKER["least"]} AND list_sum(list_transform(w, lambda z: z.f)) * 100 > {BREAKER["percent"]} * len(w) AS trips
+   FROM (SELECT *, CASE WHEN quiet THEN h ELSE list_filter(list_append(h, struct_pack(t := t, f := f)), lambda z: z.t > t - {BREAKER["window_s"]}) END AS w
+    FROM (SELECT *, opens >= {BREAKER["latch"]} OR t < until AS quiet
+     FROM (SELECT x.k, x.event_id, x.i, x.t, x.f, r.w AS h, r.until, CASE WHEN x.t // 86400 = r.day THEN r.opens ELSE 0 END AS opens, CASE WHEN x.t // 86400 = r.day THEN r.seen ELSE 0 END + 1 AS seen FROM r JOIN x ON x.k = r.k AND x.i = r.i + 1)))))
+ SELECT event_id, opened, over_budget FROM r WHERE opened IS NOT NULL OR over_budget""",
 }

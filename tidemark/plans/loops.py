@@ -1,4 +1,4 @@
-"""Queries over loops, sampling, copies and calibrated tiers."""
+"""Queries over loops, copies and calibrated tiers."""
 
 from __future__ import annotations
 
@@ -14,18 +14,6 @@ from tidemark.plans.evidence import _SC, _scored
 from tidemark.runtime import read_table
 
 
-def q_sampled(spark, d):
-    """Windows that sampling every fourth sends, and those that it then adds."""
-    w = pe.windows(spark, d).withColumn("answer", F.when(F.col("status") == "match", F.col("work")))
-    s = lp.sampled(w, ["media"], ["s", "id"], "answer", 4)
-    return s.groupBy("media").agg(F.count_if("asked").alias("asked"), F.count_if("refined").alias("refined"), F.count("*").alias("windows"))
-
-
-def q_skipped(spark, d):
-    w = pe.windows(spark, d).withColumn("answer", F.when(F.col("status") == "match", F.col("work")))
-    return lp.run_skipped(w, ["media"], ["s", "id"], "answer", 2, 3).select("media", "id", "skipped")
-
-
 def q_urls(spark, d):
     p = read_table(spark, d, "pages").select("page_id", "url")
     odd = F.when(F.col("page_id") % 4 == 0, F.concat(F.upper("url"), F.lit("/?utm_source=a&b=1#x"))).when(F.col("page_id") % 4 == 1, F.concat("url", F.lit("?si=1"))).when(F.col("page_id") % 4 == 2, F.lit("ftp://x/y")).otherwise(F.col("url"))
@@ -112,8 +100,6 @@ QUERIES = {
     "clipped_spans": q_clipped,
     "midpoint_labels": q_midpoints,
     "fused_shares": q_fused,
-    "sampling_policies": q_sampled,
-    "run_skips": q_skipped,
     "canonical_urls": q_urls,
     "calibrated_tiers": q_tiers,
     "hint_copies": q_copies,
@@ -140,12 +126,6 @@ ORACLE_SQL = {
  f AS (SELECT *, list_transform(range(64), lambda i: round((h[i + 1] + w * (CASE WHEN i = a THEN sa WHEN i = b THEN sb ELSE 0.0::DOUBLE END)) / (1 + w), 9)) AS f, list_transform(h, lambda x: round(x, 9)) AS hr FROM n),
  t AS (SELECT *, list_position(hr, list_max(hr)) - 1 AS heard, CASE WHEN round(sa, 9) >= round(sb, 9) THEN a ELSE b END AS best FROM f)
  SELECT vec_id, CAST(list_position(f, list_max(f)) - 1 AS INTEGER) AS top, list_max(f) AS share, CASE WHEN w = 0 THEN 'heard-only' WHEN best = heard THEN 'agree' WHEN (heard = a AND sa > 0) OR (heard = b AND sb > 0) THEN 'partial' ELSE 'disagree' END AS agreement FROM t""",
-    "sampling_policies": f"""WITH {pe._W}, x AS (SELECT media, CASE WHEN status = 'match' THEN work ELSE '-' END AS a, row_number() OVER (PARTITION BY media ORDER BY s, id) - 1 AS i FROM w)
- SELECT x.media, count(*) FILTER (x.i % 4 = 0) AS asked, count(*) FILTER (x.i % 4 <> 0 AND b.a IS DISTINCT FROM coalesce(f.a, '-')) AS refined, count(*) AS windows FROM x LEFT JOIN x b ON b.media = x.media AND b.i = x.i // 4 * 4 LEFT JOIN x f ON f.media = x.media AND f.i = x.i // 4 * 4 + 4 GROUP BY 1""",
-    "run_skips": f"""WITH RECURSIVE {pe._W}, x AS (SELECT media, id, CASE WHEN status = 'match' THEN work ELSE '' END AS a, row_number() OVER (PARTITION BY media ORDER BY s, id) AS i FROM w),
- g AS (SELECT media, id, i, a AS v, 1 AS run, 0 AS rest, false AS skipped FROM x WHERE i = 1 UNION ALL
- SELECT x.media, x.id, x.i, CASE WHEN g.rest > 0 THEN g.v ELSE x.a END, CASE WHEN g.rest > 0 THEN 0 WHEN x.a = g.v AND g.run + 1 >= 2 THEN 0 WHEN x.a = g.v THEN g.run + 1 ELSE 1 END, CASE WHEN g.rest > 0 THEN g.rest - 1 WHEN x.a = g.v AND g.run + 1 >= 2 THEN 3 ELSE 0 END, g.rest > 0
- FROM g JOIN x ON x.media = g.media AND x.i = g.i + 1) SELECT media, id, skipped FROM g""",
     "canonical_urls": f"""WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN upper(url) || '/?utm_source=a&b=1#x' WHEN 1 THEN url || '?si=1' WHEN 2 THEN 'ftp://x/y' ELSE url END AS u FROM pages),
  q AS (SELECT *, list_filter(string_split(substr({_U(6)}, 2), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '(?i)^(utm_[a-z]+|fbclid|gclid|si|feature)(=|$)')) AS q FROM u)
  SELECT page_id, CASE WHEN regexp_matches(u, '{_P}') THEN lower({_U(1)}) || '://' || lower({_U(3)}) || CASE WHEN (lower({_U(1)}) = 'http' AND {_U(4)} = ':80') OR (lower({_U(1)}) = 'https' AND {_U(4)} = ':443') THEN '' ELSE {_U(4)} END || regexp_replace({_U(5)}, '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END ELSE '' END AS url FROM q""",

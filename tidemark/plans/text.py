@@ -1,4 +1,4 @@
-"""Queries over comments, labels, saved answers, sound and nested values."""
+"""Queries over comments, labels, saved answers and nested values."""
 
 from __future__ import annotations
 
@@ -164,12 +164,6 @@ def q_contract(spark, d):
     return responses.validated(li, rules)
 
 
-def q_synthetic(spark, d):
-    w = pe.windows(spark, d).select("media", "id", "s", "e")
-    t = w.where("id % 5 = 0").select("media", F.col("id").alias("work"), (F.col("s") - pe.HOUR).alias("ts"), (F.col("e") + pe.HOUR).alias("te"), (F.lit(9900) + F.col("id") % 200).alias("rate_e4"))
-    return responses.synthetic_answers(w, t, 80).groupBy("status").agg(F.count("*").alias("n"), F.sum(F.coalesce("offset_ms", F.lit(0))).alias("offset_ms"))
-
-
 def q_canonical(spark, d):
     li = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.struct(F.col("l_returnflag").alias("z"), F.col("l_partkey").alias("a")).alias("b"), F.when(F.col("l_linenumber") > 3, F.col("l_linestatus")).alias("n"))
     return records.canonical(li).select(F.sha2("value", 256).alias("digest")).groupBy("digest").agg(F.count("*").alias("n"))
@@ -179,23 +173,6 @@ def q_rms(spark, d):
     return read_table(spark, d, "embeddings").select("vec_id", F.round(sg.rms(F.col("embedding")), 6).alias("rms"))
 
 
-def _sound(spark, d):
-    """A beat of a user's own pace with a chord, two seconds each."""
-    n = F.transform(F.sequence(F.lit(0), F.lit(63_999)), lambda i: F.when(i % (F.lit(6000) + F.col("user_id") * 200) < 800, F.sin(i * (F.lit(0.1) + F.col("user_id") / 500)) * 20_000).otherwise(F.sin(i * 0.05) * 500))
-    return read_table(spark, d, "events").where("user_id < 8").select("user_id").distinct().select("user_id", F.transform(n, lambda x: x.cast("int")).alias("samples"))
-
-
-def q_sound(spark, d):
-    x = _sound(spark, d)
-    return x.select("user_id", sg.tempo("samples").alias("tempo"), sg.musical_key("samples").alias("key"), F.round(F.aggregate(sg.flux("samples"), F.lit(0.0), lambda a, v: a + v), 3).alias("flux"))
-
-
-def q_audible(spark, d):
-    e = read_table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda v: v["value"]).alias("levels"))
-    heard = sg.audible(60.0, 30.0)
-    return e.select("user_id", F.size(F.filter(heard("levels"), lambda b: b)).alias("heard"), F.size("levels").alias("frames"))
-
-
 def q_json(spark, d):
     """A key of JSON properties read, set and written back, by its value."""
     e = read_table(spark, d, "events")
@@ -251,11 +228,8 @@ QUERIES = {
     "recogniser_answers": q_shazam,
     "pointer_pages": q_pages,
     "contract_violations": q_contract,
-    "synthetic_answers": q_synthetic,
     "canonical_records": q_canonical,
     "rms_energy": q_rms,
-    "sound_features": q_sound,
-    "audible_frames": q_audible,
     "json_fields": q_json,
     "map_counters": q_maps,
     "array_values": q_arrays,
@@ -365,8 +339,6 @@ ORACLE_SQL = {
  CASE WHEN event_id % 4 = 0 OR event_id % 9 = 0 THEN -1 ELSE CAST(CAST(round(value, 3) AS DECIMAL(12,3)) * 1000 AS BIGINT) END AS offset_ms, CASE WHEN event_id % 4 = 0 OR event_id % 9 = 0 THEN -1 ELSE event_id % 10 * 100 END AS skew_e6 FROM events""",
     "pointer_pages": "SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, CAST(len(regexp_extract_all(html, '(?i)<a\\s')) AS BIGINT) AS links FROM pages",
     "contract_violations": "SELECT unnest(['quantity', 'discount', 'flags', 'ordered']) AS rule, unnest([count(*) FILTER (NOT l_quantity BETWEEN 1 AND 49), count(*) FILTER (NOT l_discount * 100 <= 9), count(*) FILTER (l_returnflag NOT IN ('A', 'N')), count(*) FILTER (NOT l_extendedprice > l_tax)]) AS violations FROM lineitem",
-    "synthetic_answers": f"""WITH {pe._W}, j AS (SELECT a.media, a.id, t.id AS work, CAST(floor(((a.s + a.e) / 2 - (t.s - {pe.HOUR})) * (9900 + t.id % 200) / 10000) AS BIGINT) AS o FROM w a JOIN w t ON a.media = t.media AND a.s >= t.s - {pe.HOUR} AND a.e <= t.e + {pe.HOUR} WHERE t.id % 5 = 0 AND abs(9900 + t.id % 200 - 10000) <= 80),
- hh AS (SELECT media, id, arg_min(o, (work, o)) AS o FROM j GROUP BY ALL) SELECT CASE WHEN hh.o IS NULL THEN 'no_match' ELSE 'match' END AS status, count(*) AS n, CAST(sum(coalesce(hh.o, 0)) AS BIGINT) AS offset_ms FROM w LEFT JOIN hh USING (media, id) GROUP BY 1""",
     "canonical_records": """SELECT digest, count(*) AS n FROM (SELECT sha256('{"b":{"a":' || l_partkey || ',"z":"' || l_returnflag || '"},"l_linenumber":' || l_linenumber || ',"l_orderkey":' || l_orderkey || ',"n":' || CASE WHEN l_linenumber > 3 THEN '"' || l_linestatus || '"' ELSE 'null' END || '}') AS digest FROM lineitem) GROUP BY 1""",
     "rms_energy": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) / len(embedding)), 6) AS rms FROM embeddings",
     "json_fields": """WITH k AS (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT k, '{"k":' || k + 1 || ',"seen":true}' AS props, count(*) AS n FROM k GROUP BY ALL""",

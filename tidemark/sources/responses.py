@@ -138,17 +138,3 @@ def validated(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     n = df.agg(*(F.count_if(~F.coalesce(c, F.lit(False))).alias(k) for k, c in rules.items()))
     names = ", ".join(f"'{k}', `{k}`" for k in rules)
     return n.selectExpr(f"stack({len(rules)}, {names}) AS (rule, violations)")
-
-
-def synthetic_answers(windows: DataFrame, truth: DataFrame, tolerance_e4: int) -> DataFrame:
-    """Recorded answers for generated mixes: every window that lies in a truth
-    span gets its work, at the offset of its middle, if the span's rate is within
-    the tolerance; others no match. `windows` are `(media, id, s, e)`, `truth`
-    `(media, work, ts, te, rate_e4)`."""
-    from tidemark.operators.intervals import overlap_join
-
-    j = overlap_join(windows, truth, ["media"], "s", "e", "ts", "te", 60_000).where((F.col("s") >= F.col("ts")) & (F.col("e") <= F.col("te")) & (F.abs(F.col("rate_e4") - 10_000) <= tolerance_e4))
-    at = F.floor(((F.col("s") + F.col("e")) / 2 - F.col("ts")) * F.col("rate_e4") / 10_000).cast("long")
-    hit = j.groupBy("media", "id").agg(F.min(F.struct("work", at.alias("offset_ms"))).alias("h"))
-    d = windows.join(hit, ["media", "id"], "left")
-    return d.select("media", "id", F.when(F.col("h").isNull(), "no_match").otherwise("match").alias("status"), "h.work", "h.offset_ms")

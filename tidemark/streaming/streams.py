@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.admission import Breaker, BreakerState
+
 
 def sessions(events: DataFrame, key: str, at: str, gap: str, late: str) -> DataFrame:
     """Sessions of events at most `gap` apart per key; events later than `late`
@@ -36,29 +38,16 @@ def breaker(events: DataFrame, key: str, at: str, failed: str, window_s: int = 3
     State per key is at most one window of samples. Seconds since the epoch.
     """
 
+    rule = Breaker(window_s, least, percent, cooldown_s, latch, daily)
+
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, fails, until, day, opens, seen = state.get if state.exists else ([], [], 0, -1, 0, 0)
-        times, fails, out = list(times), list(fails), []
+        held = BreakerState(*(list(x) if hasattr(x, "__len__") else x for x in state.get)) if state.exists else rule.start()
+        out = []
         rows = pd.concat(list(batches)).sort_values(["_at"], kind="stable")
         for t, f in zip(rows["_at"].astype(int), rows["_failed"].astype(bool), strict=True):
-            if t // 86400 != day:
-                day, opens, seen = t // 86400, 0, 0
-            seen += 1
-            if seen == daily + 1:
-                out.append((k[0], t, "over_budget"))
-            if opens >= latch or t < until:
-                continue
-            times.append(t)
-            fails.append(int(f))
-            while times and times[0] <= t - window_s:
-                times.pop(0)
-                fails.pop(0)
-            if len(times) >= least and sum(fails) * 100 > percent * len(times):
-                opens += 1
-                until = t + cooldown_s
-                times, fails = [], []
-                out.append((k[0], t, "latched" if opens >= latch else "open"))
-        state.update((times, fails, until, day, opens, seen))
+            opened, over = rule.step(held, t, f)
+            out += [(k[0], t, "over_budget")] * over + [(k[0], t, opened)] * bool(opened)
+        state.update(tuple(held))
         yield pd.DataFrame(out, columns=[key, "at", "action"])
 
     kind = events.schema[key].dataType.simpleString()

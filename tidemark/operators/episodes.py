@@ -14,6 +14,9 @@ from tidemark.functions.exact import overlap_length
 from tidemark.operators import evidence as ev
 from tidemark.operators import intervals as iv
 from tidemark.operators import schedule as sc
+from tidemark.operators import timeline as tl
+from tidemark.operators.rules import badge
+from tidemark.runtime import table
 
 PLAY = ["media", "candidate", "occurrence"]
 
@@ -66,6 +69,37 @@ def plays(votes: DataFrame, gap: int) -> DataFrame:
     return d.withColumn("occurrence", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def aligned_plays(votes: DataFrame, centre: str, mix: str, ref: str, rate: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """(votes with `occurrence`, lines): plays by the alignment of a candidate's
+    anchors. A replay begins a play; a vote without an anchor goes to the last play
+    with an anchor of its trial, else to that of the anchor nearest to its `centre`
+    (the earlier play of two); a candidate without anchors has one play.
+
+    `lines` are `(media, candidate, occurrence, aligned, segments, outliers)`: a
+    play is aligned if a segment of it covers 8,000 ten-thousandths of what all
+    anchors of the candidate support."""
+    keys = ["media", "candidate"]
+    points = anchored(votes).where(F.col(ref).isNotNull())
+    found = table(tl.align(points, keys, "id", mix, ref, rate), "aligned")
+    share = tl.covered_e4(points, found, keys, "id", "s", "e")
+    each = found.join(share, [*keys, "segment"], "left").withColumnRenamed("play", "occurrence")
+    lines = each.groupBy(*PLAY).agg((F.coalesce(F.max("covered_e4"), F.lit(0)) >= 8000).alias("aligned"), F.countDistinct("segment").alias("segments"), F.count_if(F.col("decision") == "outlier").alias("outliers"))
+    own = found.select(*keys, "id", F.col("play").alias("_own"))
+    at = points.select(*keys, "id", "trial", F.col(mix).alias("_mix")).join(own, [*keys, "id"])
+    trial = at.groupBy(*keys, "trial").agg(F.max("_own").alias("_trial"))
+    d = votes.join(own, [*keys, "id"], "left").join(trial, [*keys, "trial"], "left")
+    placed, loose = (d.where(f"coalesce(_own, _trial) is {x} null") for x in ("not", ""))
+    near = at.groupBy(*keys, "_mix").agg(F.min("_own").alias("_play"))
+    for name, forward in (("_b", False), ("_f", True)):
+        loose = iv.asof(loose, near, keys, centre, "_mix", "_play", out=name, forward=forward)
+        loose = loose.withColumn(f"{name}_off", F.abs(F.col(centre) - F.col(f"{name}_t"))).drop(f"{name}_t")
+    pick = F.least(*(F.when(F.col(n).isNotNull(), F.struct(F.col(f"{n}_off").alias("off"), F.col(n).alias("play"))) for n in ("_b", "_f")))["play"]
+    placed = placed.withColumn("occurrence", F.coalesce("_own", "_trial"))
+    loose = loose.withColumn("occurrence", F.coalesce(pick, F.lit(0).cast("long")))
+    names = [*votes.columns, "occurrence"]
+    return placed.select(*names).unionByName(loose.select(*names)), lines
+
+
 def proved_bounds(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """The latest that each group can have begun and the earliest that it can
     have ended; for a single span the two cross, which is meant."""
@@ -143,14 +177,27 @@ def tier(trials_e4: Column, span: Column, rivals: Column, aligned: Column, likel
     return F.when((trials_e4 >= 40_000) & (span >= likely) & free & aligned, "likely").when((trials_e4 >= 20_000) & (span >= possible) & free, "possible").otherwise("unclear")
 
 
-def episodes(votes: DataFrame, hints: DataFrame, commercial: list[str], gap: int, floor: int, apart: int, likely: int, possible: int, lead: int, trail: int, width: int) -> DataFrame:
+def mostly_ambiguous(played: DataFrame, run_gap: int, core: int) -> DataFrame:
+    """The plays of which over half of the votes are `vague` and no run of the
+    others, with holes under `run_gap`, lasts for `core`."""
+    half = played.groupBy(*PLAY).agg((2 * F.count_if("vague") > F.count("*")).alias("_half")).where("_half").select(*PLAY)
+    runs = iv.islands(played.where("not vague"), PLAY, "s", "e", gap=run_gap - 1).where(F.col("e") - F.col("s") >= core)
+    return half.join(runs.select(*PLAY).distinct(), PLAY, "left_anti")
+
+
+def episodes(votes: DataFrame, lines: DataFrame, hints: DataFrame, identity: DataFrame, commercial: list[str], floor: int, apart: int, likely: int, possible: int, lead: int, trail: int, run_gap: int, core: int, width: int) -> DataFrame:
     """One row a play: hull, covered time, proved bounds, votes, trials, rivals,
-    agreements, hints and tiers (of the audio alone, and with one trial more for
-    hints). A play is aligned if four fifths of its votes are."""
-    v = plays(votes, gap)
+    agreements, hints, tiers of work (of the audio alone, and with one trial more
+    for hints), version and boundary, the badge, and flags.
+
+    `votes` have their play (aligned_plays); `identity` tells for `(media,
+    candidate)` whether its recording is `supported` and whether it is `contested`.
+    A version is as sure as the audio where the recording is supported and not
+    contested, a boundary possible where the play is aligned."""
+    v = votes
     sup = supports(v)
     hull = hulls(sup)
-    own = v.groupBy(*PLAY).agg(F.min("e").alias("start_bound"), F.max("s").alias("end_bound"), F.count("*").alias("votes"), (F.count_if("reliable") * 10 >= 8 * F.count("*")).alias("aligned"))
+    own = v.groupBy(*PLAY).agg(F.min("e").alias("start_bound"), F.max("s").alias("end_bound"), F.count("*").alias("votes"))
     light = ev.discounted(v.groupBy(*PLAY, "provider").agg(F.count("*").alias("n")), PLAY, "provider", "n", commercial).select(*PLAY, "provider", F.lit(True).alias("light"))
     trials = sc.independent_trials(v.join(light, [*PLAY, "provider"], "left").withColumn("light", F.coalesce("light", F.lit(False))), PLAY, "trial", "provider", "s", "e", "light")
     rivals = _rivals(sup, v, width)
@@ -161,14 +208,21 @@ def episodes(votes: DataFrame, hints: DataFrame, commercial: list[str], gap: int
     met = met.agg(F.count("*").alias("agreements"), ((F.count("*") >= 2) & (F.max("_bs") - F.min("_bs") >= apart)).alias("separated"))
     back = backed_plays(hints, sup, lead, trail).groupBy(*PLAY).agg(F.count("*").alias("hints"), F.max("direct").alias("direct"))
     d = hull.join(own, PLAY).join(trials, PLAY)
-    for more in (rivals, met, back):
+    vague = mostly_ambiguous(v, run_gap, core).withColumn("ambiguous", F.lit(True))
+    for more in (lines, rivals, met, back, vague):
         d = d.join(more, PLAY, "left")
-    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("rivals", "agreements", "hints")}
-    d = d.withColumns(zero | {c: F.coalesce(c, F.lit(False)) for c in ("separated", "direct")})
+    d = d.join(identity, ["media", "candidate"], "left")
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("rivals", "agreements", "hints", "segments", "outliers")}
+    d = d.withColumns(zero | {c: F.coalesce(c, F.lit(False)) for c in ("aligned", "separated", "direct", "ambiguous", "supported", "contested")})
     span = F.col("e") - F.col("s")
     with_hint = F.col("trials_e4") + F.when(F.col("hints") > 0, 10_000).otherwise(0)
     tiers = {n: tier(t, span, F.col("rivals"), F.col("aligned"), likely, possible) for n, t in (("audio_tier", F.col("trials_e4")), ("tier", with_hint))}
-    return d.withColumns(tiers)
+    d = d.withColumns(tiers)
+    d = d.withColumn("version_tier", F.when(F.col("supported") & ~F.col("contested"), F.col("audio_tier")).otherwise("unclear")).withColumn("boundary_tier", F.when(F.col("aligned"), "possible").otherwise("unclear"))
+    said = {"contested_identity": "contested", "alignment_outlier": "outliers > 0", "hint_supported": "hints > 0", "engine_corroborated": "agreements > 0", "engine_corroborated_separated": "separated", "ambiguous_evidence": "ambiguous"}
+    flags = F.array_compact(F.array(*(F.when(F.expr(c), f) for f, c in said.items())))
+    status = F.when(F.col("contested"), "contested").when(F.col("version_tier") == "verified", "verified").otherwise("unverified")
+    return d.withColumns({"flags": flags, "version_status": status, "badge": badge(F.col("tier"), F.col("version_tier"))}).drop("ambiguous", "supported", "contested")
 
 
 def _rivals(sup: DataFrame, v: DataFrame, width: int) -> DataFrame:
@@ -181,35 +235,52 @@ def _rivals(sup: DataFrame, v: DataFrame, width: int) -> DataFrame:
     return n.join(own, PLAY).where("2 * _n >= _own").groupBy(*PLAY).agg(F.count("*").alias("rivals"))
 
 
-def suppressed(ep: DataFrame, sup: DataFrame, answers: DataFrame, run_gap: int, scatter: int, times: int, edge: int, width: int) -> DataFrame:
-    """`ep` with `suppressed`: `scatter` where a hull of `scatter` or more is
-    `times` the covered time; `contradicted` where an answer names another work
-    inside the hull less `edge` on either side; `buried` where the runs of immune
-    episodes of other hulls cover three fifths of it; else null. Strong tiers,
-    separated agreement and direct hints make immune.
+def suppressed(ep: DataFrame, sup: DataFrame, answers: DataFrame, run_gap: int, core: int, scatter: int, times: int, edge: int, edge_least: int, width: int) -> DataFrame:
+    """`ep` with `suppressed`: `ambiguous` where mostly ambiguous votes have neither
+    hint nor agreement, whatever the tier; `scatter` where a hull of `scatter` or
+    more is `times` the covered time; `contradicted` where an answer names another
+    work inside the hull (of `edge_least` covered time or more: less `edge` on
+    either side, but for corrections); `buried` where the runs of immune episodes of
+    other hulls cover three fifths of it; else null.
 
-    A run is covered time with holes under `run_gap`."""
+    Immune are strong tiers not owed to a hint beside the play (scattered ones only
+    with an unbroken `core`), separated agreement, direct hints, and other hints on
+    a play without a fault of its own. A run is covered time with holes under
+    `run_gap`."""
     span = F.col("e") - F.col("s")
-    immune = (F.col("tier") == "likely") | F.col("separated") | F.col("direct")
-    d = ep.withColumn("_immune", immune)
+    has = lambda flag: F.array_contains("flags", flag)
+    longest = sup.groupBy(*PLAY).agg(F.max(F.col("e") - F.col("s")).alias("_core"))
+    me = ep.select(*PLAY, "work", "on_air", F.col("s").alias("_s"), F.col("e").alias("_e"))
+    cut = F.when(F.col("on_air") >= edge_least, edge).otherwise(0)
+    said = answers.where("s is not null").select("media", F.col("work").alias("_w"), F.col("s").alias("_as"), F.col("e").alias("_ae"), (F.col("kind") == "correction").alias("_corr"))
+    met = iv.overlap_join(me, said, ["media"], "_s", "_e", "_as", "_ae", width).where("work <> _w")
+    inner = (F.col("_ae") > F.col("_s") + cut) & (F.col("_as") < F.col("_e") - cut) & (F.col("_s") + cut < F.col("_e") - cut)
+    other = met.where(F.col("_corr") | inner).select(*PLAY).distinct().withColumn("_no", F.lit(True))
+    d = ep.join(longest, PLAY, "left").join(other, PLAY, "left")
+    scattered = (span >= scatter) & (span >= times * F.col("on_air"))
+    d = d.withColumn("_fault", F.when(scattered, "scatter").when(F.col("_no"), "contradicted"))
+    owed = (F.col("hints") > 0) & ~F.col("direct") & (F.col("audio_tier") != "likely")
+    strong = (F.col("tier") == "likely") & ~owed & ((F.col("_core") >= core) | ~scattered)
+    hinted = (F.col("hints") > 0) & (F.col("direct") | F.col("_fault").isNull())
+    vague = has("ambiguous_evidence") & ~has("hint_supported") & ~has("engine_corroborated")
+    d = table(d.withColumns({"_immune": strong | F.col("separated") | hinted, "_vague": vague}), "judged")
     runs = iv.islands(sup, PLAY, "s", "e", gap=run_gap - 1).select(*PLAY, F.col("s").alias("_rs"), F.col("e").alias("_re"))
-    cover = runs.join(d.where("_immune").select(*PLAY, F.col("s").alias("_os"), F.col("e").alias("_oe")), PLAY).select("media", "_rs", "_re", "_os", "_oe")
-    me = d.where("not _immune").select(*PLAY, F.col("s").alias("_s"), F.col("e").alias("_e"), "work")
-    j = iv.overlap_join(me, cover, ["media"], "_s", "_e", "_rs", "_re", width).where("_s <> _os or _e <> _oe")
+    cover = runs.join(d.where("_immune and not _vague").select(*PLAY, F.col("s").alias("_os"), F.col("e").alias("_oe")), PLAY).select("media", "_rs", "_re", "_os", "_oe")
+    open_ = d.where("not _immune and not _vague and _fault is null").select(*PLAY, F.col("s").alias("_s"), F.col("e").alias("_e"))
+    j = iv.overlap_join(open_, cover, ["media"], "_s", "_e", "_rs", "_re", width).where("_s <> _os or _e <> _oe")
     part = j.select(*PLAY, F.greatest("_s", "_rs").alias("s"), F.least("_e", "_re").alias("e"))
     hid = iv.islands(part, PLAY, "s", "e").groupBy(*PLAY).agg(F.sum(F.col("e") - F.col("s")).alias("_hid"))
-    inner = me.withColumns({"_s": F.col("_s") + edge, "_e": F.col("_e") - edge})
-    said = answers.where("s is not null").select("media", F.col("work").alias("_w"), F.col("s").alias("_as"), F.col("e").alias("_ae"))
-    other = iv.overlap_join(inner, said, ["media"], "_s", "_e", "_as", "_ae", width).where("work <> _w").select(*PLAY).distinct().withColumn("_no", F.lit(True))
-    d = d.join(hid, PLAY, "left").join(other, PLAY, "left")
-    why = F.when((span >= scatter) & (span >= times * F.col("on_air")), "scatter").when(F.col("_no"), "contradicted").when(10 * F.col("_hid") >= 6 * span, "buried")
-    return d.withColumn("suppressed", F.when(~F.col("_immune"), why)).drop("_immune", "_hid", "_no")
-
-
-def gaps(windows: DataFrame, listed: DataFrame, hints: DataFrame, least: int, width: int) -> DataFrame:
-    """`(media, s, e, prior, next, n_windows, n_no_match, n_error, n_hints)`: the
-    scanned time that no listed episode's hull covers, of `least` or more, with the
-    episodes that end last before and begin first after it, and what lies in it."""
+    d = d.join(hid, PLAY, "left")
+    why = F.when(F.col("_vague"), "ambiguous").when(~F.col("_immune"), F.coalesce("_fault", F.when(10 * F.col("_hid") >= 6 * span, "buried")))
+    return d.withColumn("suppressed", why).drop("_immune", "_hid", "_no", "_fault", "_core", "_vague")
+
+
+def gaps(windows: DataFrame, listed: DataFrame, hints: DataFrame, unclear: DataFrame, novelty: DataFrame, least: int, width: int) -> DataFrame:
+    """`(media, s, e, prior, next, n_windows, n_no_match, n_error, n_hints,
+    n_unclear, n_novelty)`: the scanned time that no listed episode's hull covers,
+    of `least` or more, with the episodes that end last before and begin first
+    after it, and what lies in it; of `unclear` plays' supports the plays, of
+    `novelty` the distinct points, ends included."""
     hull = listed.select("media", "id", "s", "e")
     g = iv.subtract(windows.select("media", "s", "e"), hull.select("media", "s", "e"), ["media"], "s", "e")
     g = g.where(F.col("e") - F.col("s") >= least)
@@ -224,8 +295,14 @@ def gaps(windows: DataFrame, listed: DataFrame, hints: DataFrame, least: int, wi
 
     w = inside(windows.select("media", "s", "e", "status"), F.count("*").alias("n_windows"), F.count_if(F.col("status") == "no_match").alias("n_no_match"), F.count_if(F.col("status") == "error").alias("n_error"))
     h = inside(hints.where("s is not null").select("media", "s", "e"), F.count("*").alias("n_hints"))
-    g = g.join(w, ["media", "s", "e"], "left").join(h, ["media", "s", "e"], "left")
-    return g.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_windows", "n_no_match", "n_error", "n_hints")})
+    u = inside(unclear.select("media", "s", "e", *PLAY[1:]), F.countDistinct(*PLAY[1:]).alias("n_unclear"))
+    n = inside(novelty.select("media", F.col("at").alias("s"), (F.col("at") + 1).alias("e")).distinct(), F.count("*").alias("n_novelty"))
+    edge = g.join(novelty.select("media", F.col("at").alias("e")).distinct(), ["media", "e"]).select("media", "s", "e", F.lit(1).alias("_at_end"))
+    for more in (w, h, u, n, edge):
+        g = g.join(more, ["media", "s", "e"], "left")
+    counts = ("n_windows", "n_no_match", "n_error", "n_hints", "n_unclear", "n_novelty")
+    g = g.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in counts})
+    return g.withColumn("n_novelty", F.col("n_novelty") + F.coalesce("_at_end", F.lit(0))).drop("_at_end")
 
 
 def novelty_regions(points: DataFrame, keys: list[str], at: str, duration: str, pad: int) -> DataFrame:
@@ -234,23 +311,35 @@ def novelty_regions(points: DataFrame, keys: list[str], at: str, duration: str,
     return iv.islands(p, keys, "s", "e").drop("n")
 
 
-def rescan_requests(ep: DataFrame, gap_rows: DataFrame, novelty: DataFrame, loose_hints: DataFrame, edge: int, long: int) -> DataFrame:
+def question_clusters(hints: DataFrame, reach: int, least: int) -> DataFrame:
+    """`(media, s, e)` of `least` or more questions whose middles lie at most
+    `reach` after the first one's."""
+    q = hints.where("kind = 'question' and verified and s is not null").select("media", "s", "e", F.expr("(s + e) div 2").alias("at"))
+    c = tl.bursts(q, ["media"], "at", reach, least).select("media", F.col("first").alias("_a"), F.col("last").alias("_z"))
+    met = iv.points_in_spans(q, c.withColumn("_y", F.col("_z") + 1), ["media"], "at", "_a", "_y", reach)
+    return met.groupBy("media", "_a", "_z").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("media", "s", "e")
+
+
+def rescan_requests(ep: DataFrame, gap_rows: DataFrame, novelty: DataFrame, loose_hints: DataFrame, questions: DataFrame, edge: int, long: int) -> DataFrame:
     """`(media, trigger, s, e)`, distinct: gaps, both edges of each episode, whole
-    long ones, novelty regions, and hints that back nothing."""
+    long ones and those of a contested identity, novelty regions, hints that back
+    nothing, and clusters of questions."""
     around = lambda c: (F.greatest(F.col(c) - edge, F.lit(0)).alias("s"), (F.col(c) + edge).alias("e"))
     of = lambda d, name, s=F.col("s"), e=F.col("e"): d.select("media", F.lit(name).alias("trigger"), s, e)
     parts = [
         of(gap_rows, "gap"),
+        of(ep.where(F.array_contains("flags", "contested_identity")), "contested"),
         of(ep, "edge", *around("start_bound")),
         of(ep, "edge", *around("end_bound")),
         of(ep.where(F.col("e") - F.col("s") > long), "long_episode"),
         of(novelty, "novelty"),
         of(loose_hints.where("s is not null"), "hint_cluster"),
+        of(questions, "question_cluster"),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.distinct()
+    return out.where("e > s").distinct()
 
 
 def unscanned(requests: DataFrame, window: int, hop: int, scanned: DataFrame) -> DataFrame:

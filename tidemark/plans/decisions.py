@@ -127,7 +127,7 @@ def q_features(spark, d):
 
 
 def q_indices(spark, d):
-    e = pe._fused(spark, d)
+    e = pe._episodes(spark, d)
     hint, agree = F.when(F.col("hints") > 0, 10_000).otherwise(0), F.when(F.col("agreements") > 0, 10_000).otherwise(0)
     span, rival = F.expr("(e - s) div 1000"), F.col("rivals") > 0
     w = sco.work_index(F.col("trials_e4"), span, hint, agree, F.col("aligned"), rival)
@@ -207,7 +207,7 @@ def q_transforms(spark, d):
 
 def _rows(spark, d, keep, shift):
     """Episodes as rows of one pass."""
-    e = pe._fused(spark, d).where(keep)
+    e = pe._episodes(spark, d).where(keep)
     label = F.concat_ws("-", "work", F.when(F.col("votes") > 3, "x").otherwise("y"))
     return e.select("media", F.concat_ws("/", "candidate", "occurrence").alias("id"), "work", label.alias("label"), (F.col("s") + shift).alias("s"), (F.col("e") + shift).alias("e"), "tier", (F.col("on_air") >= 12 * HOUR).alias("listed"), F.when(F.col("hints") > 0, F.array(F.col("hints") % 3)).otherwise(F.array().cast("array<bigint>")).alias("hints"))
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.plans import decisions, episodes, evidence, intervals, loops, resampling, rules, text, timeline
+from tidemark.plans import corpus, decisions, episodes, evidence, intervals, loops, resampling, rules, text, timeline
 
-MODULES = [intervals, evidence, timeline, rules, episodes, decisions, text, loops, resampling]
+MODULES = [intervals, evidence, timeline, rules, episodes, decisions, text, loops, resampling, corpus]
 
 
 def queries() -> dict[str, Callable]:

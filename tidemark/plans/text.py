@@ -8,8 +8,9 @@ from tidemark.functions import comments as cm
 from tidemark.functions import labels as lb
 from tidemark.functions import signal as sg
 from tidemark.functions import titles as tt
+from tidemark.operators import crowd as cr
 from tidemark.plans import episodes as pe
-from tidemark.runtime import read_table
+from tidemark.runtime import read_table, table
 from tidemark.sources import records, responses
 
 
@@ -110,13 +111,33 @@ def q_corroborate(spark, d):
     return p.select("p_partkey", lb.words_corroborate(a, b).alias("same"))
 
 
-def q_tolerances(spark, d):
-    """Label pairs of parts with letters changed, by the tolerance that joins them."""
+def _crowd(spark, d):
+    """Labels of parts as a crowd writes them."""
     p = read_table(spark, d, "part")
     k, t = F.col("p_partkey"), F.col("p_name")
-    other = F.when(k % 6 == 0, F.concat(F.lit("i think "), t)).when(k % 6 == 1, F.replace(t, F.lit(" "), F.lit(""))).when(k % 6 == 2, F.concat(t, F.lit(" live"))).when(k % 6 == 3, F.replace(t, F.lit("e"), F.lit("ee"))).when(k % 6 == 4, F.concat(t, F.lit(" / x"))).otherwise(t)
-    brand = F.when(k % 10 == 5, F.concat("p_brand", F.lit("x"))).otherwise(F.col("p_brand"))
-    return p.groupBy(F.coalesce(tt.tolerances(F.col("p_brand"), t, brand, other), F.lit("none")).alias("tolerance")).agg(F.count("*").alias("n"))
+    other = F.when(k % 7 == 0, F.concat(F.lit("i think "), t)).when(k % 7 == 1, F.replace(t, F.lit(" "), F.lit(""))).when(k % 7 == 2, F.concat(t, F.lit(" live"))).when(k % 7 == 3, F.replace(t, F.lit("e"), F.lit("ee"))).when(k % 7 == 4, F.concat(t, F.lit(" / x"))).when(k % 7 == 5, F.concat(t, F.lit("s")))
+    title = F.coalesce(other, t)
+    brand = F.replace(F.col("p_brand"), F.lit("#"), F.lit(""))
+    brand = F.when(k % 10 == 5, F.concat(brand, F.lit("x"))).when(k % 10 == 6, F.concat(F.lit("b"), F.substring("p_brand", 7, 2))).when(k % 10 == 7, F.concat(F.lit("brand house "), F.substring("p_brand", 7, 2))).otherwise(brand)
+    return p.select("p_partkey", brand.alias("artist"), title.alias("title"))
+
+
+def _first_ids(links, labels):
+    of = lambda side: labels.select(F.col("label").alias(side), F.element_at("ids", 1).alias(f"id_{side}"))
+    d = links.join(of("a"), "a").join(of("b"), "b")
+    return d.withColumns({"a": F.least("id_a", "id_b"), "b": F.greatest("id_a", "id_b")}).drop("id_a", "id_b")
+
+
+def q_tolerances(spark, d):
+    """Labels of a crowd that a tolerance joins, by their smallest parts."""
+    labels = table(cr.labels_of(_crowd(spark, d), "p_partkey", "artist", "title"), "labels")
+    return _first_ids(cr.tolerant_pairs(labels), labels)
+
+
+def q_crowd(spark, d):
+    """Labels of a crowd that name one work."""
+    labels = table(cr.labels_of(_crowd(spark, d), "p_partkey", "artist", "title"), "labels")
+    return _first_ids(cr.crowd_links(labels), labels)
 
 
 def q_read(spark, d):
@@ -222,6 +243,7 @@ QUERIES = {
     "plausible_labels": q_plausible,
     "words_corroborate": q_corroborate,
     "label_tolerances": q_tolerances,
+    "crowd_links": q_crowd,
     "label_readings": q_read,
     "work_left": q_cache,
     "shared_queries": q_shared,
@@ -317,8 +339,60 @@ _VER = lambda x: f"list_sort(list_distinct(list_concat({_WORDS(f'''array_to_stri
 _JAC = lambda a, b: f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))::DOUBLE END"
 _CV = "CASE p_partkey % 4 WHEN 0 THEN p_name || ' - remix' WHEN 1 THEN p_name || ' (club mix)' ELSE p_name END"
 
+_LW = lambda x: f"list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'), lambda w: w NOT IN ('feat', 'featuring', 'ft'))"
+_CROWD = f"""cw AS (SELECT p_partkey AS id, CASE p_partkey % 10 WHEN 5 THEN replace(p_brand, '#', '') || 'x' WHEN 6 THEN 'b' || substr(p_brand, 7, 2) WHEN 7 THEN 'brand house ' || substr(p_brand, 7, 2) ELSE replace(p_brand, '#', '') END AS artist,
+ CASE p_partkey % 7 WHEN 0 THEN 'i think ' || p_name WHEN 1 THEN replace(p_name, ' ', '') WHEN 2 THEN p_name || ' live' WHEN 3 THEN replace(p_name, 'e', 'ee') WHEN 4 THEN p_name || ' / x' WHEN 5 THEN p_name || 's' ELSE p_name END AS title FROM part),
+ lb AS (SELECT a, t, parts, min(id) AS id FROM (SELECT id, {_LW('artist')} AS a, {_LW('title')} AS t, list_sort(list_distinct(list_transform(string_split(title, ' / '), lambda p: array_to_string({_LW('p')}, ' ')))) AS parts FROM cw) GROUP BY ALL)"""
+_STEM = lambda w: f"CASE WHEN length({w}) > 4 THEN regexp_replace({w}, '({'|'.join(cr.ENDINGS)})$', '') ELSE {w} END"
+_ALL = lambda x, f: f"list_transform({x}, lambda w: {f('w')})"
+
+
+def _sound_sql(w: str) -> str:
+    for a, b in cr.SOUNDS:
+        w = f"replace({w}, '{a}', '{b}')"
+    letters = f"string_split(substr({w}, 1, 1) || regexp_replace(substr({w}, 2), '[aeiouhw]', '', 'g'), '')"
+    return f"array_to_string(list_filter({letters}, lambda c, i: i = 1 OR c <> {letters}[i - 1]), '')"
+
+
+_NEARQ = lambda x, y: f"({x} = {y} OR (length({x}) >= 4 AND length({y}) >= 4 AND levenshtein({x}, {y}) <= 1))"
+_ZIP = lambda x, y, f: f"len(list_filter(range(1, len({x}) + 1), lambda i: NOT {f(f'{x}[i]', f'{y}[i]')})) = 0"
+_J = lambda x, s="": f"array_to_string({x}, '{s}')"
+
+
+def _tolerance_sql() -> str:
+    """The first tolerance that joins x and y, either way round."""
+    both = lambda f: f"({f('x', 'y')} OR {f('y', 'x')})"
+    lead = lambda x, y: "(" + " OR ".join(f"{_J(f'{x}.t', ' ')} = '{k} ' || {_J(f'{y}.t', ' ')}" for k in cr.LEADS) + ")"
+    sound = _ALL("{0}.t", _sound_sql)
+    stem = _ALL("{0}.t", _STEM)
+    cases = [
+        ("", "x.a = y.a AND x.t = y.t"),
+        ("swapped", "x.a = y.t AND x.t = y.a"),
+        ("alt_title", "x.a = y.a AND list_has_any(x.parts, y.parts)"),
+        ("lead_in", f"x.a = y.a AND {both(lead)}"),
+        ("spaced", f"x.a = y.a AND len(x.t) <> len(y.t) AND {_J('x.t')} = {_J('y.t')}"),
+        ("joined", f"x.a = y.a AND (len(x.t) = 1) <> (len(y.t) = 1) AND {_NEARQ(_J('x.t'), _J('y.t'))}"),
+        ("descriptor", "x.a = y.a AND " + both(lambda x, y: f"(len({x}.t) >= 2 AND len({y}.t) > len({x}.t) AND {y}.t[1:len({x}.t)] = {x}.t)")),
+        ("stem", f"x.a = y.a AND len(x.t) = len(y.t) AND {stem.format('x')} = {stem.format('y')}"),
+        ("phonetic", f"x.a = y.a AND len(x.t) = len(y.t) AND {_ZIP('x.t', 'y.t', lambda p, q: f'(length({p}) > 3 OR {p} = {q})')} AND {sound.format('x')} = {sound.format('y')}"),
+        ("artist_slip", f"x.t = y.t AND len(x.a) = len(y.a) AND {_ZIP('x.a', 'y.a', _NEARQ)}"),
+        ("initials", "x.t = y.t AND " + both(lambda x, y: f"(len({x}.a) = 1 AND len({y}.a) > 1 AND {x}.a[1] = {_J(_ALL(f'{y}.a', lambda w: f'substr({w}, 1, 1)'))})")),
+    ]
+    return "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in cases) + " END"
+
+
+_TOL = f"""tp AS (SELECT * FROM (SELECT x.id AS a, y.id AS b, {_tolerance_sql()} AS tolerance FROM lb x JOIN lb y ON x.id < y.id AND (x.a = y.a OR x.t = y.t OR x.a = y.t)) WHERE tolerance IS NOT NULL)"""
+_SPELL = "(p <> q AND ((length(p) >= 4 AND length(q) >= 4 AND levenshtein(p, q) <= 1) OR (regexp_full_match(p, '\\p{L}+') AND regexp_full_match(q, '\\p{L}+') AND ((length(p) >= 2 AND length(q) = length(p) + 1 AND starts_with(q, p)) OR (length(q) >= 2 AND length(p) = length(q) + 1 AND starts_with(p, q))))))"
+_SURE = f"""ws AS (SELECT id, list_distinct(list_concat(a, t)) AS w FROM lb), wp AS (SELECT x.id AS a, y.id AS b, len(x.w) AS nx, len(y.w) AS ny, list_filter(x.w, lambda v: NOT list_contains(y.w, v)) AS ox, list_filter(y.w, lambda v: NOT list_contains(x.w, v)) AS oy FROM ws x JOIN ws y ON x.id < y.id AND list_has_any(x.w, y.w)),
+ su AS (SELECT a, b FROM (SELECT a, b, nx, ny, len(ox) AS lx, len(oy) AS ly, ox[1] AS p, oy[1] AS q FROM wp) WHERE least(nx, ny) >= 2 AND (lx = 0 OR ly = 0 OR (lx = 1 AND ly = 1 AND {_SPELL})) UNION SELECT a, b FROM tp WHERE tolerance IN ('', 'swapped')),
+ ed AS (SELECT a, b FROM su UNION SELECT b, a FROM su), rc AS (SELECT id AS node, id AS r FROM lb UNION SELECT ed.b, rc.r FROM rc JOIN ed ON ed.a = rc.node), gr AS (SELECT node, min(r) AS g FROM rc GROUP BY node),
+ lo AS (SELECT tp.*, x.g AS ga, y.g AS gb FROM tp JOIN gr x ON x.node = tp.a JOIN gr y ON y.node = tp.b WHERE tolerance NOT IN ('', 'swapped') AND x.g <> y.g), pr AS (SELECT ga AS g, gb AS o FROM lo UNION SELECT gb, ga FROM lo), on_ AS (SELECT g, min(o) AS o FROM pr GROUP BY g HAVING count(*) = 1),
+ mu AS (SELECT l.g AS ga, l.o AS gb FROM on_ l JOIN on_ r ON l.o = r.g AND r.o = l.g)"""
+
 ORACLE_SQL = {
     "comment_kind": _kind_sql(),
+    "label_tolerances": f"WITH {_CROWD}, {_TOL} SELECT a, b, tolerance FROM tp",
+    "crowd_links": f"""WITH RECURSIVE {_CROWD}, {_TOL}, {_SURE} SELECT a, b, 6000 AS confidence, '' AS tolerance FROM su UNION ALL SELECT a, b, 5500, tolerance FROM lo JOIN mu USING (ga, gb)""",
     "label_split": f"WITH {_C}, t AS (SELECT id, {_unq(_drop('text'))} AS t FROM c), s AS (SELECT id, {_split_sql('t', True)} AS s FROM t) SELECT id, coalesce(s.artist, '') AS artist, coalesce(s.title, '') AS title, s.confidence AS confidence FROM s",
     "label_flags": f"WITH {_C}, l AS (SELECT *, {_tokens('text')} AS k FROM c) SELECT id, {', '.join(f'{x} AS {n}' for n, x in _flags_sql('text').items())} FROM l",
     "mentions_dropped": f"WITH {_C} SELECT id, {_drop(_lead('text'))} AS text FROM c",

@@ -40,7 +40,7 @@ TITLE_TOLERANCES = (
     ("joined", lambda a, b: any(len(x) == 1 and len(y) > 1 and _near(x[0], "".join(y)) for x, y in ((a, b), (b, a)))),
     ("descriptor", lambda a, b: any(len(x) >= 2 and len(y) > len(x) and y[: len(x)] == x for x, y in ((a, b), (b, a)))),
     ("stem", lambda a, b: len(a) == len(b) and [_stem(x) for x in a] == [_stem(y) for y in b]),
-    ("phonetic", lambda a, b: len(a) == len(b) and all(len(x) > 3 or x == y for x, y in zip(a, b, strict=True)) and [_sound(x) for x in a] == [_sound(y) for y in b]),
+    ("phonetic", lambda a, b: len(a) == len(b) and all(min(len(x), len(y)) > 3 or x == y for x, y in zip(a, b, strict=True)) and [_sound(x) for x in a] == [_sound(y) for y in b]),
 )
 #: And two artists: one letter off in a word of each; initials for words.
 ARTIST_TOLERANCES = (

@@ -133,7 +133,7 @@ def _holds(kind: str, x: str, y: str) -> Column:
         "joined": same_a & (n(x) == 1) & (n(y) > 1) & near(F.array_join(c(x, "t"), ""), F.array_join(c(y, "t"), "")),
         "descriptor": same_a & (n(x) >= 2) & (n(y) > n(x)) & (F.slice(c(y, "t"), F.lit(1), n(x)) == c(x, "t")),
         "stem": same_a & sizes & (each(x, stem) == each(y, stem)),
-        "phonetic": same_a & sizes & zip_all(c(x, "t"), c(y, "t"), lambda p, q: (F.length(p) > 3) | (p == q)) & (each(x, sound) == each(y, sound)),
+        "phonetic": same_a & sizes & zip_all(c(x, "t"), c(y, "t"), lambda p, q: ((F.length(p) > 3) & (F.length(q) > 3)) | (p == q)) & (each(x, sound) == each(y, sound)),
         "artist_slip": same_t & (F.size(c(x, "a")) == F.size(c(y, "a"))) & zip_all(c(x, "a"), c(y, "a"), near),
         "initials": same_t & (F.size(c(x, "a")) == 1) & (F.size(c(y, "a")) > 1) & (c(x, "a")[0] == F.array_join(F.transform(c(y, "a"), lambda w: F.substring(w, 1, 1)), "")),
     }[kind]

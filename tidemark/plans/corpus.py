@@ -21,7 +21,9 @@ def q_scores(spark, d):
     truth = t.select("set", "stratum", "id", "work", "s", "e", (F.col("s") - HOUR).alias("s_lo"), (F.col("s") + HOUR).alias("s_hi"), (F.col("e") - HOUR).alias("e_lo"), (F.col("e") + HOUR).alias("e_hi"), (F.col("n") > 1).alias("repeat"), (F.col("id") % 3 == 0).alias("overlapped"), (F.col("candidate") == "error").alias("component"))
     tier = F.when(F.col("id") % 4 == 1, "likely").when(F.col("id") % 3 == 0, "possible").otherwise("unclear")
     pred = p.select("set", "stratum", "id", "work", tier.alias("tier"), "s", "e", F.col("e").alias("start_bound"), F.col("s").alias("end_bound"), (F.col("status") == "error").alias("component"))
-    return co.scored(co.facts(truth, pred, pairs))
+    out = co.scored(co.facts(truth, pred, pairs))
+    names = {c: F.coalesce(c, F.lit("")) for c in ("set", "stratum", "tier")}
+    return out.withColumns(names | {c: F.coalesce(c, F.lit(-1)) for c in out.columns if c.startswith(("macro_", "start_error", "end_error"))})
 
 
 QUERIES = {"corpus_scores": q_scores}
@@ -49,5 +51,5 @@ ORACLE_SQL = {
  b AS (SELECT CASE g WHEN 1 THEN 'set' WHEN 5 THEN 'stratum' WHEN 6 THEN 'tier' ELSE 'overall' END AS level, * EXCLUDE (g), {_PRF('work', 'work_correct', 'work_predicted', 'work_truth')}, {_PRF('occurrence', 'occurrence_correct', 'occurrence_predicted', 'occurrence_truth')}, {_PRF('segment', 'tp_ms', '(tp_ms + fp_ms)', '(tp_ms + fn_ms)')},
   {_R('repeat_correct', 'repeat_truth')} AS repeat_recall_e4, {_R('overlap_correct', 'overlap_truth')} AS overlap_recall_e4, CASE WHEN occurrence_truth > 0 THEN iou_e4 // occurrence_truth ELSE 0 END AS mean_iou_e4 FROM a WHERE g <> 6 OR tier IS NOT NULL),
  mc AS (SELECT CASE WHEN grouping(stratum) = 1 THEN 'overall' ELSE 'stratum' END AS level, stratum, CAST(sum(segment_precision_e4) // count(*) AS BIGINT) AS macro_segment_precision_e4, CAST(sum(segment_recall_e4) // count(*) AS BIGINT) AS macro_segment_recall_e4 FROM b WHERE level = 'set' GROUP BY GROUPING SETS ((stratum), ()))
- SELECT b.* EXCLUDE (set_), set_ AS "set", macro_segment_precision_e4, macro_segment_recall_e4 FROM b LEFT JOIN mc ON mc.level = b.level AND mc.stratum IS NOT DISTINCT FROM b.stratum""",
+ SELECT b.* EXCLUDE (set_) REPLACE (coalesce(b.stratum, '') AS stratum, coalesce(tier, '') AS tier, {', '.join(f'coalesce({c}_p{n}, -1) AS {c}_p{n}' for c in co.ERRORS for n in (50, 90))}), coalesce(set_, '') AS "set", coalesce(macro_segment_precision_e4, -1) AS macro_segment_precision_e4, coalesce(macro_segment_recall_e4, -1) AS macro_segment_recall_e4 FROM b LEFT JOIN mc ON mc.level = b.level AND mc.stratum IS NOT DISTINCT FROM b.stratum""",
 }

@@ -374,7 +374,7 @@ def _tolerance_sql() -> str:
         ("joined", f"x.a = y.a AND (len(x.t) = 1) <> (len(y.t) = 1) AND {_NEARQ(_J('x.t'), _J('y.t'))}"),
         ("descriptor", "x.a = y.a AND " + both(lambda x, y: f"(len({x}.t) >= 2 AND len({y}.t) > len({x}.t) AND {y}.t[1:len({x}.t)] = {x}.t)")),
         ("stem", f"x.a = y.a AND len(x.t) = len(y.t) AND {stem.format('x')} = {stem.format('y')}"),
-        ("phonetic", f"x.a = y.a AND len(x.t) = len(y.t) AND {_ZIP('x.t', 'y.t', lambda p, q: f'(length({p}) > 3 OR {p} = {q})')} AND {sound.format('x')} = {sound.format('y')}"),
+        ("phonetic", f"x.a = y.a AND len(x.t) = len(y.t) AND {_ZIP('x.t', 'y.t', lambda p, q: f'(least(length({p}), length({q})) > 3 OR {p} = {q})')} AND {sound.format('x')} = {sound.format('y')}"),
         ("artist_slip", f"x.t = y.t AND len(x.a) = len(y.a) AND {_ZIP('x.a', 'y.a', _NEARQ)}"),
         ("initials", "x.t = y.t AND " + both(lambda x, y: f"(len({x}.a) = 1 AND len({y}.a) > 1 AND {x}.a[1] = {_J(_ALL(f'{y}.a', lambda w: f'substr({w}, 1, 1)'))})")),
     ]

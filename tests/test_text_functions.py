@@ -117,6 +117,10 @@ def test_comments(spark):
     lists = spark.createDataFrame([(1, "TRACKLIST:\n0:00 A - B 1:00 C - D\n\n2:00 - 3:00 E - F\n(12) G (13) H\nTLC - No Scrubs\nTracklisting - X\nThe full track list so far - 4:00 Y", 3_600_000), (2, None, 1), (3, "  \n", 1)], "i long, t string, d long")
     got = [(r.i, r.number, r.unit) for r in cm.units(lists, "t", "d").collect()]
     assert got == [(1, n, u) for n, u in enumerate(["0:00 A - B", "1:00 C - D", "2:00 - 3:00 E - F", "(12) G", "(13) H", "TLC - No Scrubs", "Tracklisting - X", "4:00 Y"])]
+    lists.createOrReplaceTempView("pasted")
+    spark.udtf.register("comment_units", cm.CommentUnits)
+    rows = spark.sql("SELECT i, number, unit FROM pasted, LATERAL comment_units(t, d) ORDER BY i, number").collect()
+    assert [tuple(r) for r in rows] == got
 
 
 TOLERANCES = [

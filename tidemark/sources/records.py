@@ -3,6 +3,9 @@ canonical writes, manifests of content hashes."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructField, StructType
@@ -63,6 +66,61 @@ def verify(df: DataFrame, keys: list[str], expected: DataFrame) -> DataFrame:
     return a.join(b, keys, "full_outer").where(~F.col("digest").eqNullSafe(F.col("expected_digest")))
 
 
+class TornPublish(ValueError):
+    """What was published isn't there in whole."""
+
+
+#: The sidecar's folder within a published one; Spark reads no names that begin so.
+SIDECAR = "_sidecar"
+
+
+def _digest(df: DataFrame) -> dict[str, str]:
+    """Number, hash and schema of the records of a table."""
+    r = manifest(df, []).first()
+    return {"records": str(r["records"]), "digest": r["digest"] or "0", "schema": df.schema.json()}
+
+
+def publish(df: DataFrame, path: str, upstream: dict[str, str] | None = None) -> dict[str, str]:
+    """Writes a table so that it appears at once and in whole, or not at all:
+    files go to a folder beside `path`, are read back, and described by a sidecar
+    (number, hash and schema of the records, and the digests of what they were
+    made from); then one rename publishes both. A path that exists is refused."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(conf)
+    if fs.exists(to):
+        raise FileExistsError(path)
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    df.write.parquet(staged)
+    told = _digest(spark.read.parquet(staged)) | {f"upstream.{k}": v for k, v in (upstream or {}).items()}
+    spark.createDataFrame(sorted(told.items()), "name string, value string").coalesce(1).write.json(f"{staged}/{SIDECAR}")
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staged), to):
+        raise TornPublish(f"{path}: the rename failed")
+    return told
+
+
+def sidecar(spark: SparkSession, path: str) -> dict[str, str]:
+    """The sidecar of a published table."""
+    try:
+        rows = spark.read.schema("name string, value string").json(f"{path}/{SIDECAR}").collect()
+    except AnalysisException as e:
+        raise TornPublish(f"{path}: no sidecar") from e
+    return {r["name"]: r["value"] for r in rows}
+
+
+def read_published(spark: SparkSession, path: str, upstream: dict[str, str] | None = None) -> DataFrame:
+    """A published table, after its records were counted and hashed anew; refused
+    where they, its schema, or the digests of what it was made from aren't those
+    of the sidecar."""
+    told, df = sidecar(spark, path), spark.read.parquet(path)
+    want = _digest(df) | {f"upstream.{k}": v for k, v in (upstream or {}).items()}
+    unlike = sorted(k for k, v in want.items() if told.get(k) != v)
+    if unlike:
+        raise TornPublish(f"{path}: {', '.join(unlike)} differ from the sidecar")
+    return df
+
+
 #: Columns of the fingerprint matcher's separated output (fixed values).
 MATCH_COLUMNS = ["index", "total", "query_path", "query_start_s", "query_stop_s", "match_path", "match_id", "match_start_s", "match_stop_s", "match_score", "time_factor_pct", "frequency_factor_pct", "seconds_with_match_pct"]
 

@@ -85,8 +85,10 @@ STAGES = [
     ("encoding", encode),
 ]
 
-#: Robust estimates, fingerprints, Newton steps and merges aren't SQL; the tests
-#: hold every stage against a brute-force version.
+#: Robust estimates, fingerprints, Newton steps and merges aren't SQL. The tests
+#: hold line dedup, near dedup and encoding against brute-force versions, quality
+#: rules to the labels and mixing to its targets; the operators behind these two
+#: have numerical versions in tests of their own.
 ORACLE_SQL = None
 
 

@@ -1,3 +1,4 @@
+import math
 from collections import defaultdict
 
 from tidemark.llm import mixing
@@ -68,3 +69,36 @@ def test_many_equal_sizes(spark):
         taken[r.source] += r.copies * r.size
         target[r.source] = r.target
     assert all(abs(taken[s] - target[s]) <= 5 for s in taken)
+
+
+def test_rates_are_the_exponential_tilt(spark):
+    """Multipliers by bisection, without the operator's steps: from the longest
+    texts down, what is taken stays within one text of what the rates say."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source")
+    rows = defaultdict(list)
+    for r in op7_mixing(spark, "/root/testdata/sf0.01").join(docs, "doc_id").collect():
+        rows[r.source].append(r)
+    tilted = 0
+    for own in rows.values():
+        total, target = sum(r.size for r in own), own[0].target
+        mean = total / len(own)
+        rate = lambda lam, size: 2 / (1 + math.exp(-max(-700.0, min(700.0, lam * size / mean))))  # noqa: E731, B023
+        lo, hi = -1e4, 1e4
+        for _ in range(200):
+            lam = (lo + hi) / 2
+            if sum(r.size * rate(lam, r.size) for r in own) < target:  # noqa: B023
+                lo = lam
+            else:
+                hi = lam
+        capped = target >= 2 * total * (1 - 1e-9)
+        tilted += not capped
+        taken = expected = 0.0
+        cells = defaultdict(list)
+        for r in own:
+            cells[r.size].append(r)
+        for size in sorted(cells, reverse=True):
+            if size:
+                taken += sum(r.taken for r in cells[size])
+                expected += len(cells[size]) * size * (2 if capped else rate(lam, size))
+                assert abs(taken - expected) <= size
+    assert tilted > 3

@@ -32,7 +32,7 @@ def test_no_sidecar_and_no_rows(spark, tmp_path):
         records.read_published(spark, f"{tmp_path}/plain")
     records.publish(d.where("id > 9"), f"{tmp_path}/none")
     assert records.read_published(spark, f"{tmp_path}/none").count() == 0
-    d.selectExpr("id", "'y' AS y").write.mode("overwrite").parquet(f"{tmp_path}/none/extra")
+    d.coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/none/extra")
     os.rename(glob.glob(f"{tmp_path}/none/extra/part-*.parquet")[0], f"{tmp_path}/none/part-9.parquet")
     with pytest.raises(records.TornPublish):
         records.read_published(spark, f"{tmp_path}/none")

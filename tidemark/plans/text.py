@@ -223,10 +223,13 @@ def q_recent(spark, d):
     of the lowest priority, with the customer's market."""
     for t in ("orders", "customer"):
         read_table(spark, d, t).createOrReplaceTempView(f"recent_{t}")
+    # what a customer paid before is looked up for the ten orders alone
     return spark.sql(
-        """SELECT o.o_orderkey, c.c_custkey, coalesce((SELECT max(p.o_totalprice) FROM recent_orders p WHERE p.o_custkey = c.c_custkey AND p.o_orderkey < o.o_orderkey), 0D) AS before_most
- FROM recent_orders o JOIN recent_customer c ON o.o_custkey = c.c_custkey WHERE EXISTS (SELECT 1 FROM recent_orders x WHERE x.o_custkey = c.c_custkey AND x.o_orderstatus = 'O')
- AND NOT EXISTS (SELECT 1 FROM recent_orders x WHERE x.o_custkey = c.c_custkey AND x.o_orderpriority LIKE '5%') ORDER BY o.o_orderdate DESC, o.o_orderkey LIMIT 10"""
+        """WITH latest AS (SELECT o.o_orderkey, c.c_custkey, o.o_orderdate FROM recent_orders o JOIN recent_customer c ON o.o_custkey = c.c_custkey WHERE EXISTS (SELECT 1 FROM recent_orders x WHERE x.o_custkey = c.c_custkey AND x.o_orderstatus = 'O')
+ AND NOT EXISTS (SELECT 1 FROM recent_orders x WHERE x.o_custkey = c.c_custkey AND x.o_orderpriority LIKE '5%') ORDER BY o.o_orderdate DESC, o.o_orderkey LIMIT 10),
+ ten AS (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS no FROM latest)
+ SELECT t.o_orderkey, t.c_custkey, coalesce(max(p.o_totalprice), 0D) AS before_most FROM ten t LEFT JOIN recent_orders p ON p.o_custkey = t.c_custkey AND p.o_orderkey < t.o_orderkey
+ GROUP BY t.no, t.o_orderkey, t.c_custkey ORDER BY t.no"""
     )
 
 

@@ -1,5 +1,8 @@
 """What must not grow with copies, repeats or long groups."""
 
+import time
+
+from tidemark.operators import scoring as sco
 from tidemark.plans import text as pt
 
 SF = "/root/testdata/sf0.001"
@@ -8,3 +11,12 @@ SF = "/root/testdata/sf0.001"
 def test_recent_orders_compares_no_order_with_all(spark):
     plan = pt.q_recent(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_closest_label_of_many_copies(spark):
+    words = "array(cast(id % 3 as string), 'x', 'x')"
+    left = spark.range(30_000).selectExpr("id", "'k' as key", f"{words} as words")
+    right = spark.range(30_000).selectExpr("id + 100000 as id", "'k' as key", f"if(id % 3 = 2, array('x', '7'), {words}) as words")
+    t = time.time()
+    got = {(r.left % 3, r.right, r.apart) for r in sco.closest_label(left, right).collect()}
+    assert got == {(0, 100_000, 0), (1, 100_001, 0), (2, 100_000, 2)} and time.time() - t < 40

@@ -35,10 +35,18 @@ def associate(pred: DataFrame, truth: DataFrame, keys: list[str], slack: int) ->
 
 def closest_label(left: DataFrame, right: DataFrame) -> DataFrame:
     """`(left, right, apart)`: for every left label the right one of the same key
-    that differs in fewest words, ties by id. Rows are `(id, key, words)`."""
-    j = left.select(F.col("id").alias("left"), "key", F.col("words").alias("_l")).join(right.select(F.col("id").alias("right"), "key", F.col("words").alias("_r")), "key")
+    that differs in fewest words, ties by id. Rows are `(id, key, words)`.
+
+    Labels of the same words are one before they are compared, so what meets are
+    a key's distinct sets of words."""
+    bag = F.array_sort(F.array_distinct("words"))
+    l_ = left.select(F.col("id").alias("left"), "key", bag.alias("_l"))
+    r_ = right.select(F.col("id").alias("right"), "key", bag.alias("_r")).groupBy("key", "_r").agg(F.min("right").alias("right"))
+    j = l_.select("key", "_l").distinct().join(r_, "key")
     apart = F.size(F.array_except("_l", "_r")) + F.size(F.array_except("_r", "_l"))
-    best = j.groupBy("left").agg(F.min(F.struct(apart.alias("apart"), "right")).alias("b"))
+    near = j.groupBy("key", "_l").agg(F.min(F.struct(apart.alias("apart"), "right")).alias("b"))
+    near = near.withColumnsRenamed({"key": "_k", "_l": "_m"})
+    best = l_.join(near, (F.col("key") == F.col("_k")) & F.col("_l").eqNullSafe(F.col("_m"))).groupBy("left").agg(F.min("b").alias("b"))
     return best.select("left", "b.right", "b.apart")
 
 

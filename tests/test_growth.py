@@ -2,7 +2,10 @@
 
 import time
 
+import numpy as np
+
 from tidemark.operators import scoring as sco
+from tidemark.operators import timeline as tl
 from tidemark.plans import text as pt
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +23,23 @@ def test_closest_label_of_many_copies(spark):
     t = time.time()
     got = {(r.left % 3, r.right, r.apart) for r in sco.closest_label(left, right).collect()}
     assert got == {(0, 100_000, 0), (1, 100_001, 0), (2, 100_000, 2)} and time.time() - t < 40
+
+
+def test_alignment_of_a_long_candidate():
+    mix = np.arange(20_000) * 7 + 85_000_000
+    t = time.time()
+    got = list(tl._decided(mix, mix % 100_000 + np.where(np.arange(20_000) % 31 == 30, 7000, 0), np.full(20_000, 10_000)))
+    assert time.time() - t < 20
+    assert [d[0] for d in got[:31]] == ["start"] + ["continuation"] * 29 + ["outlier"]
+    assert [i for i, d in enumerate(got) if d[0] not in ("start", "continuation", "outlier")] == [14286]
+
+
+def test_slopes_of_a_play_are_all_of_them():
+    r = np.random.default_rng(4)
+    mix, ref = np.sort(r.integers(0, 400, 60)), np.arange(60) * 3
+    line = tl._begun(int(mix[0]), int(ref[0]), 10_000)
+    for n in range(1, 60):
+        line = (line if isinstance(line, tl._Play) else tl._Play(mix[:n], ref[:n], np.full(n, 10_000))).grown(int(mix[n]), int(ref[n]), 10_000)
+    i, j = np.triu_indices(60, 1)
+    i, j = i[mix[i] != mix[j]], j[mix[i] != mix[j]]
+    assert line.often.sum() == len(i) and line._middle() == np.median((ref[j] - ref[i]) * 10_000 / (mix[j] - mix[i]))

@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 
+from tidemark.operators import identity as idn
 from tidemark.operators import scoring as sco
 from tidemark.operators import timeline as tl
 from tidemark.plans import text as pt
@@ -25,6 +26,21 @@ def test_closest_label_of_many_copies(spark):
     assert got == {(0, 100_000, 0), (1, 100_001, 0), (2, 100_000, 2)} and time.time() - t < 40
 
 
+def test_named_works_of_many_copies(spark):
+    hints = spark.range(30_000).selectExpr("id as hint", "array('x', 'common', concat('word', id % 2)) as words")
+    works = spark.createDataFrame([(i, ["x", "common", f"other{i}"]) for i in range(3000)] + [(9000, ["word0", "common", "x"])], "work long, words array<string>")
+    t = time.time()
+    got = {(r.hint % 2, r.work) for r in idn.named_works(hints, works).collect()}
+    # both spellings fit the one work: equal, and an edit apart
+    assert got == {(0, 9000), (1, 9000)} and time.time() - t < 40
+
+
+def test_named_works_of_two_words(spark):
+    hints = spark.createDataFrame([(1, ["blue", "light"]), (2, ["blue"]), (3, ["blue", "lights", "extra"]), (4, ["blues", "dark"])], "hint long, words array<string>")
+    works = spark.createDataFrame([(7, ["blue", "lights"]), (8, ["dark", "blues"]), (8, ["dark", "blue"]), (9, ["blue"])], "work long, words array<string>")
+    assert dict(idn.named_works(hints, works).collect()) == {1: 7, 3: 7}
+
+
 def test_alignment_of_a_long_candidate():
     mix = np.arange(20_000) * 7 + 85_000_000
     t = time.time()

@@ -59,13 +59,36 @@ def solid_names(credits: DataFrame) -> DataFrame:
 
 
 def named_works(hints: DataFrame, works: DataFrame) -> DataFrame:
-    """`(hint, work)` where a hint's words name one work and no other: pairs are
-    met by a shared word, of which a label has few, and decided by their words. A
-    label that fits two works or more names none. `words` are distinct."""
-    h = hints.select("hint", F.col("words").alias("_h"), F.explode("words").alias("w"))
-    k = works.select("work", F.col("words").alias("_k"), F.explode("words").alias("w"))
-    fit = h.join(k, "w").select("hint", "work", "_h", "_k").distinct().where(words_corroborate(F.col("_h"), F.col("_k")))
-    return fit.groupBy("hint").agg(F.min("work").alias("work"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    """`(hint, work)` where a hint's words name one work and no other. A label
+    that fits two works or more names none. `words` are distinct.
+
+    Labels of the same words are one before they meet. Two that differ in a word
+    each are met by all their other words, a label of fewer words by its two
+    rarest, which lie in the other; rare is what few distinct labels have."""
+    bag = F.array_sort("words")
+    h = hints.select("hint", bag.alias("_h"))
+    k = works.select("work", bag.alias("_k")).groupBy("_k").agg(F.min("work").alias("work"), F.countDistinct("work").alias("_n"))
+    sides = {"_h": h.select("_h").distinct().where("size(_h) >= 2"), "_k": k.select("_k").where("size(_k) >= 2")}
+    at = lambda s: sides[s].select(s, F.explode(s).alias("w"))
+    often = at("_h").select("w").unionByName(at("_k").select("w")).groupBy("w").agg(F.count("*").alias("n"))
+    two = lambda ws: F.flatten(F.transform(ws, lambda x, i: F.transform(F.slice(ws, i + 2, F.size(ws)), lambda y: F.array(F.least(x, y), F.greatest(x, y)))))
+
+    def rarest(s: str) -> DataFrame:
+        r = at(s).join(often, "w").groupBy(s).agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "w"))), 1, 2)["w"].alias("_r"))
+        return r.select(s, F.array_sort("_r").alias("by"))
+
+    pairs = lambda s: sides[s].select(s, F.explode(two(F.col(s))).alias("by"))
+    others = lambda s: sides[s].select(s, F.explode(F.transform(s, lambda w: F.filter(s, lambda x: x != w))).alias("by"))
+    fits = words_corroborate(F.col("_h"), F.col("_k"))
+    same = sides["_h"].join(sides["_k"], F.col("_h") == F.col("_k"))
+    near = others("_h").join(others("_k"), "by").where(F.col("_h") != F.col("_k")).where(fits)
+    within = rarest("_h").join(pairs("_k"), "by").where("size(_h) < size(_k)").where(fits)
+    around = pairs("_h").join(rarest("_k"), "by").where("size(_k) < size(_h)").where(fits)
+    fit = same
+    for more in (near, within, around):
+        fit = fit.unionByName(more.select("_h", "_k"))
+    one = fit.distinct().join(k, "_k").groupBy("_h").agg(F.min("work").alias("work"), F.sum("_n").alias("_n"))
+    return h.distinct().join(one, "_h").groupBy("hint").agg(F.min("work").alias("work"), F.sum("_n").alias("_n")).where("_n = 1").drop("_n")
 
 
 def mutual(pairs: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ import time
 
 import numpy as np
 
+from tidemark.operators import episodes as ep
 from tidemark.operators import identity as idn
 from tidemark.operators import scoring as sco
 from tidemark.operators import timeline as tl
+from tidemark.plans import decisions as pd_
 from tidemark.plans import text as pt
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +61,15 @@ def test_slopes_of_a_play_are_all_of_them():
     i, j = np.triu_indices(60, 1)
     i, j = i[mix[i] != mix[j]], j[mix[i] != mix[j]]
     assert line.often.sum() == len(i) and line._middle() == np.median((ref[j] - ref[i]) * 10_000 / (mix[j] - mix[i]))
+
+
+def alignments(monkeypatch, query, spark):
+    """How often a query aligns all votes."""
+    made, real = [], ep.aligned_plays
+    monkeypatch.setattr(ep, "aligned_plays", lambda *a: made.append(1) or real(*a))
+    query(spark, SF)
+    return len(made)
+
+
+def test_merged_passes_share_their_episodes(spark, monkeypatch):
+    assert alignments(monkeypatch, pd_.q_merge, spark) == 1

@@ -205,15 +205,16 @@ def q_transforms(spark, d):
     return r.select("rate", tg.source_span(F.lit(12_000).cast("long"), F.col("rate")).alias("span_ms"), tg.source_samples(F.lit(12_000).cast("long"), F.col("rate")).alias("samples"))
 
 
-def _rows(spark, d, keep, shift):
+def _rows(episodes, keep, shift):
     """Episodes as rows of one pass."""
-    e = pe._episodes(spark, d).where(keep)
+    e = episodes.where(keep)
     label = F.concat_ws("-", "work", F.when(F.col("votes") > 3, "x").otherwise("y"))
     return e.select("media", F.concat_ws("/", "candidate", "occurrence").alias("id"), "work", label.alias("label"), (F.col("s") + shift).alias("s"), (F.col("e") + shift).alias("e"), "tier", (F.col("on_air") >= 12 * HOUR).alias("listed"), F.when(F.col("hints") > 0, F.array(F.col("hints") % 3)).otherwise(F.array().cast("array<bigint>")).alias("hints"))
 
 
 def q_merge(spark, d):
-    return pj.additive_merge(_rows(spark, d, "occurrence % 2 = 0", 0), _rows(spark, d, "occurrence % 2 = 1 or candidate in ('view', 'error')", -HOUR))
+    e = pe._episodes(spark, d)
+    return pj.additive_merge(_rows(e, "occurrence % 2 = 0", 0), _rows(e, "occurrence % 2 = 1 or candidate in ('view', 'error')", -HOUR))
 
 
 def _entries(spark, d):

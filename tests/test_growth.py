@@ -9,6 +9,7 @@ from tidemark.operators import identity as idn
 from tidemark.operators import scoring as sco
 from tidemark.operators import timeline as tl
 from tidemark.plans import decisions as pd_
+from tidemark.plans import episodes as pe
 from tidemark.plans import text as pt
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +74,7 @@ def alignments(monkeypatch, query, spark):
 
 def test_merged_passes_share_their_episodes(spark, monkeypatch):
     assert alignments(monkeypatch, pd_.q_merge, spark) == 1
+
+
+def test_requests_share_their_alignment(spark, monkeypatch):
+    assert alignments(monkeypatch, pe.q_requests, spark) == 1

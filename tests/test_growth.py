@@ -3,18 +3,29 @@
 import time
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import episodes as ep
+from tidemark.operators import evidence as ev
 from tidemark.operators import identity as idn
+from tidemark.operators import intervals as iv
+from tidemark.operators import schedule as sc
 from tidemark.operators import scoring as sco
+from tidemark.operators import targeting as tg
 from tidemark.operators import timeline as tl
 from tidemark.plans import decisions as pd_
 from tidemark.plans import episodes as pe
+from tidemark.plans import intervals as pi
 from tidemark.plans import text as pt
 
 SF = "/root/testdata/sf0.001"
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_recent_orders_compares_no_order_with_all(spark):
     plan = pt.q_recent(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
@@ -78,3 +89,14 @@ def test_merged_passes_share_their_episodes(spark, monkeypatch):
 
 def test_requests_share_their_alignment(spark, monkeypatch):
     assert alignments(monkeypatch, pe.q_requests, spark) == 1
+
+
+def test_budget_makes_no_frame_a_customer(spark):
+    assert "InPandas" not in plan_of(pi.q_budget(spark, SF))
+
+
+def test_admission_of_very_many_groups(spark):
+    d = spark.range(200_000).selectExpr("id div 2 as k", "id as o", "3L as cost", "4L as all")
+    t = time.time()
+    assert sc.admit(d, ["k"], ["o"], "cost", "all").where("admitted").agg(F.count("*"), F.max("o")).first()[:] == (100_000, 199_998)
+    assert time.time() - t < 40

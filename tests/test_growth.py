@@ -100,3 +100,13 @@ def test_admission_of_very_many_groups(spark):
     t = time.time()
     assert sc.admit(d, ["k"], ["o"], "cost", "all").where("admitted").agg(F.count("*"), F.max("o")).first()[:] == (100_000, 199_998)
     assert time.time() - t < 40
+
+
+def test_offset_mode_gathers_no_group(spark):
+    assert "collect_list" not in plan_of(pi.q_offset_mode(spark, SF))
+
+
+def test_offsets_of_a_long_group(spark):
+    d = spark.range(60_000).selectExpr("1 as k", "case when id < 40000 then id % 101 else 1000 + id end as v")
+    t = time.time()
+    assert iv.offset_cluster(d, ["k"], "v", 100, 7, 20).first()[:] == (1, 43, 50, 40_000, 60_000) and time.time() - t < 40

@@ -110,3 +110,11 @@ def test_offsets_of_a_long_group(spark):
     d = spark.range(60_000).selectExpr("1 as k", "case when id < 40000 then id % 101 else 1000 + id end as v")
     t = time.time()
     assert iv.offset_cluster(d, ["k"], "v", 100, 7, 20).first()[:] == (1, 43, 50, 40_000, 60_000) and time.time() - t < 40
+
+
+def test_association_of_a_long_work(spark):
+    pred = spark.range(30_000).selectExpr("1 as k", "id", "id * 10 as s", "id * 10 + 1 as e")
+    truth = spark.range(30_000).selectExpr("1 as k", "id", "400000 + id as s", "400001 + id as e")
+    t = time.time()
+    assert sco.associate(pred, truth, ["k"], 3).count() == 0 and time.time() - t < 20
+    assert "InPandas" not in plan_of(pd_.q_associate(spark, SF))

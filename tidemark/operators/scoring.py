@@ -3,11 +3,15 @@ intervals."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.exact import ratio_e4, whole
+from tidemark.operators.admission import in_groups
 
 #: What a tier must reach, in ten-thousandths (fixed values).
 TARGETS = {"possible": 7000, "likely": 9000, "verified": 9900}
@@ -18,19 +22,22 @@ def associate(pred: DataFrame, truth: DataFrame, keys: list[str], slack: int) ->
     first unused prediction of the same keys (a set and a work) whose hull comes
     within `slack` of theirs. Rows are `(keys, id, s, e)`; the order makes a
     group one task, and a group is one work's occurrences in one recording."""
-    both = pred.select(*keys, "id", "s", "e", F.lit(0).alias("side")).unionByName(truth.select(*keys, "id", "s", "e", F.lit(1).alias("side")))
+    both = pred.select(*keys, "id", "s", "e", F.lit(0).alias("side")).unionByName(truth.select(*keys, "id", "s", "e", F.lit(1).alias("side"))).where("s is not null and e is not null")
+    n = len(keys)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["s", "id"], kind="stable")
-        free, out = g[g["side"] == 0][["id", "s", "e"]].values.tolist(), []
-        for t, s, e in g[g["side"] == 1][["id", "s", "e"]].itertuples(index=False):
-            k = next((k for k, (_, ps, pe) in enumerate(free) if ps <= e + slack and s - slack <= pe), None)
-            if k is not None:
-                out.append([*(g[c].iloc[0] for c in keys), int(free.pop(k)[0]), t])
-        return pd.DataFrame(out, columns=[*keys, "pred", "truth"])
+    def run(g: Iterator[tuple]) -> Iterator[tuple]:
+        free, truths = deque(), []
+        for r in g:
+            (truths if r[-1] else free).append(r)
+        for t in truths:
+            # starts rise: what ended too early for one truth did for all later ones
+            while free and free[0][n + 2] < t[n + 1] - slack:
+                free.popleft()
+            if free and free[0][n + 1] <= t[n + 2] + slack:
+                yield *t[:n], free.popleft()[n], t[n]
 
-    types = ", ".join(f"`{k}` {pred.schema[k].dataType.simpleString()}" for k in keys)
-    return both.groupBy(*keys).applyInPandas(run, f"{types}, pred long, truth long")
+    out = T.StructType([*(T.StructField(k, pred.schema[k].dataType) for k in keys), T.StructField("pred", T.LongType()), T.StructField("truth", T.LongType())])
+    return in_groups(both, keys, ["s", "id"], run, out)
 
 
 def closest_label(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -120,7 +127,8 @@ def residual_interval(df: DataFrame, keys: list[str], proved: str, truth_lo: str
 
     d = df.withColumn("_r", F.col(truth_lo) - F.col(proved))
     q = quantiles(d, keys, "_r", [(5, 100), (95, 100)]).select(*keys, F.col("tr_5").alias("q_lo"), F.col("tr_95").alias("q_hi"))
-    j = d.join(q, keys)
+    # a row a group, of which a calibration has few
+    j = d.join(F.broadcast(q), keys)
     lo = F.greatest(F.lit(0), F.col(proved) + F.col("q_lo"))
     hi = F.greatest(lo, F.col(proved) + F.col("q_hi"))
     ok = (lo <= F.col(truth_hi)) & (hi >= F.col(truth_lo))

@@ -141,3 +141,17 @@ def test_allocation_of_many_candidates(spark):
     t = time.time()
     got = tg.allocate(d, "quota")
     assert got.count() == got.select("id").distinct().count() == 50_000 and time.time() - t < 30
+
+
+def test_quantiles_sort_ranges_not_keys(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    rows = [(k, int(v)) for k, n in (("a", 501), ("b", 1), (None, 40), ("c", 200)) for v in (r.integers(-9, 9, n) ** 5 if k != "c" else np.full(n, 7))]
+    d = spark.createDataFrame(rows, "k string, v long")
+    monkeypatch.setattr(ev, "_BINS", 5)
+    q = ev.quantiles(d, ["k"], "v", [(5, 100), (50, 100), (100, 100)])
+    for x in q.collect():
+        v = sorted(b for a, b in rows if a == x.k)
+        n = len(v)
+        assert (x.n, x.median_low, x.median_x2) == (n, v[(n - 1) // 2], v[(n - 1) // 2] + v[n // 2])
+        assert all((x[f"nr_{p}"], x[f"tr_{p}"]) == (v[max(-(-n * p // 100) - 1, 0)], v[min(n - 1, n * p // 100)]) for p in (5, 50, 100))
+    assert q.count() == 4

@@ -155,3 +155,15 @@ def test_quantiles_sort_ranges_not_keys(spark, monkeypatch):
         assert (x.n, x.median_low, x.median_x2) == (n, v[(n - 1) // 2], v[(n - 1) // 2] + v[n // 2])
         assert all((x[f"nr_{p}"], x[f"tr_{p}"]) == (v[max(-(-n * p // 100) - 1, 0)], v[min(n - 1, n * p // 100)]) for p in (5, 50, 100))
     assert q.count() == 4
+
+
+def test_alternatives_of_a_large_work(spark):
+    members = spark.range(6000).selectExpr("id as node", "id div 2 as component", "0 as work")
+    bad = spark.createDataFrame([(0, 1), (2, 5)], "a long, b long")
+    d = idn.candidates(members, bad)
+    assert "array_except" not in plan_of(d)
+    got = d.selectExpr("component", "contested", "size(alternatives) as n", "alternatives[0] as first", "array_contains(alternatives, canonical) as own").collect()
+    assert len(got) == 3000 and {r.n for r in got} == {2999} and not any(r.own for r in got)
+    assert [r.component for r in got if r.contested] == [0] and {r.first for r in got} == {0, 2}
+    # a work's components are met by many tasks
+    assert d.groupBy(F.spark_partition_id()).count().count() > 8

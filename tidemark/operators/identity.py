@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.labels import words_corroborate
 
 
+#: Parts of a work's components, and of what meets their lists.
+_SPREAD = 96
+
+
 def eligible_links(assertions: DataFrame, specific: Column, privileged: Column) -> DataFrame:
     """`(id, a, b)`, ends in order, of the same-recording assertions that may
     merge: their pair names a recording and two independent sources assert it, or
@@ -29,12 +33,15 @@ def contested(components: DataFrame, conflicts: DataFrame) -> DataFrame:
 def candidates(members: DataFrame, conflicts: DataFrame) -> DataFrame:
     """One row a component of `(node, component, work)`: its canonical (least)
     node, its number of nodes, the canonical nodes of the other components of its
-    work, and whether it holds a conflict; a component's work is its least."""
+    work, and whether it holds a conflict; a component's work is its least.
+
+    A work's list is sorted once, and copied into `_SPREAD` parts, so that works of
+    very many components fill as many tasks."""
     c = members.groupBy("component").agg(F.min("node").alias("canonical"), F.count("*").alias("nodes"), F.min("work").alias("work"))
-    of = c.groupBy("work").agg(F.collect_set("canonical").alias("_all"))
+    of = c.groupBy("work").agg(F.array_sort(F.collect_list("canonical")).alias("_all")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))))
     bad = contested(members, conflicts).withColumn("_bad", F.lit(True))
-    d = c.join(of, "work").join(bad, "component", "left")
-    return d.select("component", "work", "canonical", "nodes", F.array_sort(F.array_except("_all", F.array("canonical"))).alias("alternatives"), F.coalesce("_bad", F.lit(False)).alias("contested"))
+    d = c.join(bad, "component", "left").withColumn("_part", F.pmod(F.xxhash64("component"), F.lit(_SPREAD)).cast("int")).repartition(_SPREAD, "work", "_part").join(of.hint("merge"), ["work", "_part"])
+    return d.select("component", "work", "canonical", "nodes", F.array_remove("_all", F.col("canonical")).alias("alternatives"), F.coalesce("_bad", F.lit(False)).alias("contested"))
 
 
 def first_known(rows: DataFrame, key: str, sources: list[DataFrame], value: str) -> DataFrame:

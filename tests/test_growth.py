@@ -167,3 +167,7 @@ def test_alternatives_of_a_large_work(spark):
     assert [r.component for r in got if r.contested] == [0] and {r.first for r in got} == {0, 2}
     # a work's components are met by many tasks
     assert d.groupBy(F.spark_partition_id()).count().count() > 8
+
+
+def test_comments_are_read_by_all_cores(spark):
+    assert pt._comments(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

@@ -34,7 +34,9 @@ def _comments(spark, d):
         F.concat(F.col("p_brand"), F.lit(" -"), F.col("p_name")),
     ]
     text = F.element_at(F.array(*shapes), (k % len(shapes) + 1).cast("int"))
-    return turns.unionByName(p.select(F.concat(F.lit("p"), k.cast("string")).alias("id"), text.alias("text")))
+    both = turns.unionByName(p.select(F.concat(F.lit("p"), k.cast("string")).alias("id"), text.alias("text")))
+    # a small file is one task's scan, but reading comments is work for all cores
+    return both.repartition(4 * spark.sparkContext.defaultParallelism, "id")
 
 
 def _parsed(spark, d):

@@ -171,3 +171,13 @@ def test_alternatives_of_a_large_work(spark):
 
 def test_comments_are_read_by_all_cores(spark):
     assert pt._comments(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_spread_spans_are_not_broadcast(spark, tmp_path):
+    for n, c in (("a", "a"), ("b", "b")):
+        spark.range(500).selectExpr("id % 5 as k", f"id as {c}s", f"id + 400 as {c}e").write.parquet(f"{tmp_path}/{n}")
+    a, b = (spark.read.parquet(f"{tmp_path}/{n}") for n in "ab")
+    j = iv.overlap_join(a, b, ["k"], "as", "ae", "bs", "be", 10)
+    p = iv.points_in_spans(a, b, ["k"], "as", "bs", "be", 10)
+    assert j.count() == sum(abs(x - y) < 400 for x in range(500) for y in range(500) if x % 5 == y % 5)
+    assert "Broadcast" not in plan_of(j) and "Broadcast" not in plan_of(p)

@@ -181,3 +181,11 @@ def test_spread_spans_are_not_broadcast(spark, tmp_path):
     p = iv.points_in_spans(a, b, ["k"], "as", "bs", "be", 10)
     assert j.count() == sum(abs(x - y) < 400 for x in range(500) for y in range(500) if x % 5 == y % 5)
     assert "Broadcast" not in plan_of(j) and "Broadcast" not in plan_of(p)
+
+
+def test_vetoed_merges_pass_one_by_one(spark):
+    links = spark.range(60_000).selectExpr("id", "id % 300 as a", "1000 + id % 200 as b")
+    merged = tl.merge_with_veto(links, spark.createDataFrame([(0, 1000)], "a long, b long"))
+    assert "InPandas" not in plan_of(merged)
+    got = dict(merged.collect())
+    assert len(got) == 500 and got[0] != got[1000] and len(set(got.values())) == 101

@@ -1,7 +1,7 @@
 """Suffix dedup: removes bytes of long strings that an earlier document holds.
 
 A byte goes if a 50-byte string that covers it also starts in a document of
-smaller id. Every 50-byte window is filed under the least hash of its 24-byte
+smaller id. Every 50-byte window is filed under the least hash of its 20-byte
 substrings, so equal windows share an anchor. Only anchors of two documents or
 more can matter; for those the bytes around go to the anchor's block, where a
 run-length index over the distinct strings is built, the strings are streamed
@@ -27,26 +27,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.rindex import LENGTH, RunLengthIndex
+from tidemark.llm.runs import bounds
 from tidemark.runtime import table
 
-GRAM = 24
+GRAM = 20
 #: Bytes of text in a chunk, windows of a text hashed at a time, bytes a block.
-CHUNK, SEGMENT, BLOCK = 4_000_000, 64_000, 2_000_000
+CHUNK, SEGMENT, BLOCK = 4_000_000, 32_000, 2_000_000
 #: Windows in one string of an anchor at most (longer runs are cut, none lost).
 RUN = 64
 #: Chunks that an anchor is in above which its windows are filed by a second
 #: anchor too, and bytes of these that are looked at together.
 SPREAD, BATCH = 256, 1_000_000
 _NONE = (1 << 63) - 1
+#: Kept, because blobs are many and small.
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def pack(*arrays: np.ndarray) -> bytes:
     raw = [a.tobytes() for a in arrays]
-    return zstandard.compress(struct.pack(f"<{len(raw)}q", *map(len, raw)) + b"".join(raw), 3)
+    return _ZIP.compress(struct.pack(f"<{len(raw)}q", *map(len, raw)) + b"".join(raw))
 
 
 def unpack(blob: bytes, *types: str) -> list[np.ndarray]:
-    raw = zstandard.decompress(blob)
+    raw = _UNZIP.decompress(blob)
     size, at, out = struct.unpack_from(f"<{len(types)}q", raw), 8 * len(types), []
     for n, t in zip(size, types, strict=True):
         out.append(np.frombuffer(raw, t, n // np.dtype(t).itemsize, at))
@@ -69,7 +72,7 @@ def _anchors(b: np.ndarray, pick: np.ufunc = np.minimum) -> np.ndarray:
     the greatest)."""
     w = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(b, 8)).view("<u8").ravel()
     a, m, z = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-    h = _mixed(w[: len(b) - 23] * a + w[8 : len(b) - 15] * m + w[16:] * z)
+    h = _mixed(w[: len(b) - 19] * a + w[8 : len(b) - 11] * m + w[12:] * z)
     span, width = 1, LENGTH - GRAM + 1
     while 2 * span <= width:
         h = pick(h[:-span], h[span:])
@@ -125,16 +128,13 @@ def runs(size: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
         new, n = stop[good], n[good]
         if not len(new):
             continue
-        at = np.arange(a, a + len(h))
-        doc = np.zeros(len(h), np.int64)
-        doc[new] = np.searchsorted(ends, new + a, side="right")
+        where = np.searchsorted(ends, new + a, side="right")
         cuts = -(-n // RUN)
         first = np.repeat(new, cuts)
         k = np.arange(len(first)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        where = doc[first]
         first += k * RUN
         n = np.minimum(np.repeat(n, cuts) - k * RUN, RUN)
-        out.append((h[first], where, at[first], n))
+        out.append((h[first], np.repeat(where, cuts), first + a, n))
     if not out:
         z = np.zeros(0, np.int64)
         return z.astype(np.uint64), z, z, z
@@ -151,6 +151,11 @@ def _several(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new)
 
 
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each range, n numbers long, in one array."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents as chunk rows."""
     for b in batches:
@@ -169,9 +174,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(docs: bytes, wanted: list[bytes], blocks: int):
-    """What a chunk sends: per block its distinct strings with their least
-    document, and for every run that matters (block, string number, document
-    number, first window, windows). The same for the same chunk and anchors."""
+    """What a chunk sends: its distinct strings by block, with block, size and
+    least document of each, and for every run that matters (string number,
+    document number, first window, windows). The same for the same chunk and
+    anchors."""
     doc, size, text = unpack(docs, *_DOCS)
     h, d, at, n = runs(size, text)
     known, several = _several(h, doc[d])
@@ -185,23 +191,17 @@ def _contexts(docs: bytes, wanted: list[bytes], blocks: int):
         h = np.r_[h[cool], _mixed(h[hot][run] + second)]
         d, at, n = np.r_[d[cool], d[hot][run]], np.r_[at[cool], first], np.r_[n[cool], windows]
     block = (h % np.uint64(blocks)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    block, d, at, n = block[order], d[order], at[order], n[order]
     raw = text.tobytes()
-    number: dict[tuple[int, bytes], int] = {}
-    sent: dict[int, tuple[list[bytes], list[int]]] = {}
-    which = np.empty(len(h), np.int64)
+    # equal strings begin with the same window, so they are in one block
+    number: dict[bytes, int] = {}
     stop = at + n + LENGTH - 1
-    for i, (b, s, e, o) in enumerate(zip(block.tolist(), at.tolist(), stop.tolist(), doc[d].tolist(), strict=True)):
-        own = raw[s:e]
-        k = number.get((b, own))
-        strings, least = sent.setdefault(b, ([], []))
-        if k is None:
-            k = number[b, own] = len(strings)
-            strings.append(own)
-            least.append(o)
-        elif o < least[k]:
-            least[k] = o
-        which[i] = k
-    return doc, size, raw, sent, (block, which, d, at, n)
+    which = np.fromiter((number.setdefault(raw[s:e], len(number)) for s, e in zip(at.tolist(), stop.tolist(), strict=True)), np.int64, len(at))
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1))
+    least = np.full(len(first), _NONE, np.int64)
+    np.minimum.at(least, which, doc[d])
+    return doc, size, raw, (list(number), block[first], (n + LENGTH - 1)[first], least), (which, d, at, n)
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,30 +251,29 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     def send(docs: pa.Table, wanted: pa.Table) -> pa.Table:
         out: dict[str, list] = {"block": [], "chunk": [], "blob": []}
         for chunk in docs.column("chunk").to_pylist()[:1]:
-            sent = _contexts(docs.column("docs")[0].as_py(), wanted.column("blob").to_pylist(), blocks)[3]
-            for b, (strings, least) in sent.items():
-                out["block"].append(b)
+            strings, block, size, least = _contexts(docs.column("docs")[0].as_py(), wanted.column("blob").to_pylist(), blocks)[3]
+            start, count = bounds(block)
+            for i, j in zip(start.tolist(), (start + count).tolist(), strict=True):
+                out["block"].append(int(block[i]))
                 out["chunk"].append(chunk)
-                out["blob"].append(pack(np.array(least, "<i8"), np.array([len(s) for s in strings], "u1"), np.frombuffer(b"".join(strings), np.uint8)))
+                out["blob"].append(pack(least[i:j].astype("<i8"), size[i:j].astype("u1"), np.frombuffer(b"".join(strings[i:j]), np.uint8)))
         return pa.table(out, schema=pa.schema([("block", pa.int64()), ("chunk", pa.int64()), ("blob", pa.binary())]))
 
     def look_up(t: pa.Table) -> pa.Table:
         """The least document of every window of every string of a block."""
-        least: dict[bytes, int] = {}
-        lists = []
+        number: dict[bytes, int] = {}
+        owner, lists = [], []
         for x in t.column("blob"):
             own, size, raw = unpack(x.as_py(), "<i8", "u1", "u1")
-            raw, at, strings = raw.tobytes(), 0, []
-            for o, n in zip(own.tolist(), size.tolist(), strict=True):
-                s = raw[at : at + n]
-                at += n
-                strings.append(s)
-                if least.get(s, _NONE) >= o:
-                    least[s] = o
-            lists.append(strings)
-        strings = list(least)
-        found = dict(zip(strings, RunLengthIndex(strings, np.array(list(least.values()), np.int64), LENGTH + 1).least(), strict=True))
-        back = [pack(np.concatenate([found[s] for s in strings]).astype("<i8")) for strings in lists]
+            raw, stop = raw.tobytes(), np.cumsum(size, dtype=np.int64)
+            lists.append(np.fromiter((number.setdefault(raw[s:e], len(number)) for s, e in zip((stop - size).tolist(), stop.tolist(), strict=True)), np.int64, len(size)))
+            owner.append(own)
+        least = np.full(len(number), _NONE, np.int64)
+        np.minimum.at(least, np.concatenate(lists), np.concatenate(owner))
+        index = RunLengthIndex(list(number), least, LENGTH + 1)
+        found, n = index.windows(), index.size - LENGTH + 1
+        start = np.cumsum(n) - n
+        back = [pack(found[_ranges(start[k], n[k])].astype("<i8")) for k in lists]
         return pa.table({"chunk": t.column("chunk"), "block": t.column("block"), "blob": pa.array(back, pa.binary())})
 
     by_chunk = packed.select("chunk", "docs").groupBy("chunk")
@@ -284,31 +283,19 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     def apply(docs: pa.Table, told: pa.Table) -> pa.Table:
         rows: list[tuple] = []
-        back = dict(zip(told.column("block").to_pylist(), told.column("blob").to_pylist(), strict=True)) if told.num_rows else {}
-        wanted = [x for b, x in zip(told.column("block").to_pylist(), told.column("blob").to_pylist(), strict=True) if b < 0]
+        back = sorted(zip(told.column("block").to_pylist(), told.column("blob").to_pylist(), strict=True), key=lambda x: x[0]) if told.num_rows else []
+        wanted = [x for b, x in back if b < 0]
         for blob in docs.column("docs").to_pylist():
-            doc, size, raw, sent, (block, which, d, at, n) = _contexts(blob, wanted, blocks)
+            doc, size, raw, (_, _, long, _), (which, d, at, n) = _contexts(blob, wanted, blocks)
             # windows that an earlier document has
-            offset, least, base = {}, [], 0
-            for b, (strings, _) in sent.items():
-                mine = unpack(back[b], "<i8")[0]
-                count = np.array([len(s) - LENGTH + 1 for s in strings])
-                offset[b] = base + np.cumsum(count) - count
-                base += len(mine)
-                least.append(mine)
-            gone = np.zeros(len(raw) + LENGTH + 1, np.int32)
-            if len(block):
-                all_ = np.concatenate(least)
-                go = np.empty(len(block), np.int64)
-                for b in sent:
-                    own = block == b
-                    go[own] = offset[b][which[own]]
-                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                hit = all_[np.repeat(go, n) + step] < np.repeat(doc[d], n)
-                w = (np.repeat(at, n) + step)[hit]
-                np.add.at(gone, w, 1)
-                np.add.at(gone, w + LENGTH, -1)
-            covered = np.cumsum(gone)[: len(raw)] > 0
+            hit = np.zeros(len(raw) + LENGTH, bool)
+            if len(which):
+                least = np.concatenate([unpack(x, "<i8")[0] for b, x in back if b >= 0])
+                start = np.cumsum(long - LENGTH + 1) - (long - LENGTH + 1)
+                hit[_ranges(at, n)] = least[_ranges(start[which], n)] < np.repeat(doc[d], n)
+            covered = np.cumsum(hit, dtype=np.int32)
+            covered[LENGTH:] -= covered[:-LENGTH].copy()
+            covered = covered[: len(raw)] > 0
             text, end = np.frombuffer(raw, np.uint8), 0
             for i, m in zip(doc.tolist(), size.tolist(), strict=True):
                 c = covered[end : end + m]

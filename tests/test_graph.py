@@ -1,4 +1,9 @@
+import random
+
+import pyarrow as pa
+
 from tidemark import plans
+from tidemark.operators import graph
 from tidemark.operators.graph import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +63,27 @@ def test_veto_query_takes_every_row(spark):
             group.update(dict.fromkeys(y, x))
     got = dict(plans.queries()["recording_merge_veto"](spark, SF).collect())
     assert got == {n: min(m) for n, m in group.items()}
+
+
+def test_dense_links_are_contracted_before_the_rounds(spark, monkeypatch):
+    links = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_partkey as a", "l_suppkey + 1000000000 as b").distinct()
+    sizes, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda d: (sizes.append(d.count()), cut(d))[1])
+    want = union_find((r.a, r.b) for r in links.collect())
+    assert dict(connected_components(links).collect()) == want
+    # before, the rounds began with every distinct link
+    assert sizes[0] < links.count() / 2
+
+
+def test_contracted_links_reach_the_same_nodes(monkeypatch):
+    rng = random.Random(3)
+    for batch in (1, 40, 10_000):
+        monkeypatch.setattr(graph, "BATCH", batch)
+        links = [(rng.randrange(-50, 400), rng.randrange(-50, 400)) for _ in range(250)] + [(k, k + 1) for k in range(600, 660)] + [(900, 900), (901, 901)]
+        rng.shuffle(links)
+        parts = [pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in links[i : i + 30]]) for i in range(0, len(links), 30)]
+        got = [(r["u"], r["v"]) for b in graph._contracted(iter([*parts, parts[0].slice(0, 0)])) for r in b.to_pylist()]
+        assert union_find(got) == union_find(links)
+        if batch == 10_000:
+            assert len(got) == len(dict(got)) <= len(union_find(links))
+    assert list(graph._contracted(iter([]))) == []

@@ -189,3 +189,13 @@ def test_vetoed_merges_pass_one_by_one(spark):
     assert "InPandas" not in plan_of(merged)
     got = dict(merged.collect())
     assert len(got) == 500 and got[0] != got[1000] and len(set(got.values())) == 101
+
+
+def test_alignment_of_very_many_candidates(spark):
+    # forty thousand candidates of three anchors: the third is off, then on the line
+    d = spark.range(120_000).selectExpr("id div 3 as media", "'c' as candidate", "id", "id % 3 * 9000 as mix", "20000 + id % 3 * 9000 + if(id % 6 = 4, 400000, 0) as ref", "10000 as rate")
+    t = time.time()
+    a = tl.align(d, ["media", "candidate"], "id", "mix", "ref", "rate")
+    assert "InPandas" not in plan_of(a)
+    assert dict(a.groupBy("decision").count().collect()) == {"start": 40_000, "continuation": 60_000, "outlier": 20_000}
+    assert time.time() - t < 30

@@ -10,6 +10,7 @@ from tidemark.operators import episodes as ep
 from tidemark.operators import evidence as ev
 from tidemark.operators import identity as idn
 from tidemark.operators import intervals as iv
+from tidemark.operators import loops as lp
 from tidemark.operators import schedule as sc
 from tidemark.operators import scoring as sco
 from tidemark.operators import targeting as tg
@@ -17,6 +18,7 @@ from tidemark.operators import timeline as tl
 from tidemark.plans import decisions as pd_
 from tidemark.plans import episodes as pe
 from tidemark.plans import intervals as pi
+from tidemark.plans import loops as pl
 from tidemark.plans import text as pt
 
 SF = "/root/testdata/sf0.001"
@@ -199,3 +201,39 @@ def test_alignment_of_very_many_candidates(spark):
     assert "InPandas" not in plan_of(a)
     assert dict(a.groupBy("decision").count().collect()) == {"start": 40_000, "continuation": 60_000, "outlier": 20_000}
     assert time.time() - t < 30
+
+
+def test_hint_only_shares_its_episodes(spark, monkeypatch):
+    assert alignments(monkeypatch, pl.q_hint_only, spark) == 1
+
+
+def test_hint_only_of_many_and_of_long_recordings(spark):
+    # a recording of 20,000 clusters and 4,000 short ones; only walls let a cluster in
+    c = spark.range(20_000).selectExpr("0L as media", "id as cluster", "'a' as work", "1 as rank", "id * 10 as s", "id * 10 + 2 as e")
+    c = c.unionByName(spark.range(8000).selectExpr("1 + id div 2 as media", "id % 2 as cluster", "'a' as work", "1 as rank", "id % 2 * 10 as s", "id % 2 * 10 + 2 as e"))
+    z = spark.range(10_000).selectExpr("0L as media", "'b' as work", "id * 20 + 5 as s", "id * 20 + 6 as e")
+    t = time.time()
+    got = lp.hint_only(c, z.where("false"), z)
+    assert "InPandas" not in plan_of(got)
+    n = dict(got.groupBy(F.col("media") > 0).count().collect())
+    assert n == {False: 10_001, True: 4000} and time.time() - t < 30
+
+
+def test_hint_only_against_all_spans():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        on, walls = lp._Spans(), [(int(s), int(s + n), w) for s, n, w in zip(r.integers(0, 60, 8), r.integers(1, 6, 8), r.choice(list("ab"), 8), strict=True)]
+        spans = []
+        for s, n in zip(r.integers(0, 60, 4), r.integers(1, 30, 4), strict=True):
+            on.add(int(s), int(s + n))
+            spans.append((s, s + n))
+        for s in range(0, 60, 3):
+            e = s + 2
+            want = all(not (a < e and s < b) and any(w != "a" and (e if a >= e else b) <= x and y <= (a if a >= e else s) for x, y, w in walls) for a, b in spans)
+            before, after = on.around(e)
+            between = lp._Walls(walls)
+            assert want == ((before <= s and between.other("a", before, s) if before is not None else True) and (after is None or between.other("a", e, after)))
+
+
+def test_mirrors_make_no_frame_a_recording(spark):
+    assert "InPandas" not in plan_of(pl.q_mirrors(spark, SF))

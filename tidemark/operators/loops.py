@@ -3,14 +3,17 @@ rows, copies and mirrors of hints, calibrated tiers."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import DoubleType
 
+from tidemark.operators.admission import in_groups
 from tidemark.operators.intervals import overlap_join
 from tidemark.runtime import table
 
@@ -44,33 +47,79 @@ def hint_only(clusters: DataFrame, spans: DataFrame, separators: DataFrame) -> D
     work each names that isn't on already: every span of that work, those added
     by earlier clusters too, must have a separator (a listed span of another work)
     wholly between it and the cluster. `clusters` are `(media, cluster, work, rank,
-    s, e)`, the others `(media, work, s, e)`. What is added counts for what comes
-    after, so one recording is one task."""
-    tag = lambda d, kind: d.select("media", "work", "s", "e", F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("cluster"), F.lit(0).alias("rank"))
-    both = clusters.select("media", "work", "s", "e", F.lit("c").alias("kind"), F.col("cluster").cast("long"), F.col("rank").cast("int")).unionByName(tag(spans, "p")).unionByName(tag(separators, "z"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        on = {w: list(zip(x["s"], x["e"], strict=True)) for w, x in g[g["kind"] == "p"].groupby("work")}
-        walls = g[g["kind"] == "z"][["work", "s", "e"]].values.tolist()
-        out = []
-
-        def apart(work, s, e) -> bool:
-            for a, b in on.get(work, ()):
-                lo, hi = (e, a) if a >= e else (b, s)
-                if (a < e and s < b) or not any(w != work and lo <= x and y <= hi for w, x, y in walls):
-                    return False
-            return True
-
-        for cluster, c in g[g["kind"] == "c"].groupby("cluster"):
-            for r in c.sort_values("rank").to_dict("records"):
-                if apart(r["work"], r["s"], r["e"]):
-                    on.setdefault(r["work"], []).append((r["s"], r["e"]))
-                    out.append((r["media"], int(cluster), r["work"], r["s"], r["e"]))
-                    break
-        return pd.DataFrame(out, columns=["media", "cluster", "work", "s", "e"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in clusters.schema}
-    return both.groupBy("media").applyInPandas(run, f"media {kinds['media']}, cluster long, work {kinds['work']}, s long, e long")
+    s, e)`, the others `(media, work, s, e)`; rows without ends are left out. What
+    is added counts for what comes after, so one recording is one task, whose rows
+    pass in order; of a work's spans only the nearest on either side are asked."""
+    tag = lambda d, kind: d.select("media", F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("cluster"), F.lit(0).alias("rank"), "work", "s", "e")
+    named = clusters.select("media", F.lit(2).alias("kind"), F.col("cluster").cast("long"), F.col("rank").cast("int"), "work", "s", "e").where("cluster is not null")
+    both = tag(spans.where("work is not null"), 0).unionByName(tag(separators, 1)).unionByName(named).where("s is not null and e is not null")
+
+    def run(g: Iterator[tuple]) -> Iterator[tuple]:
+        on: dict = {}
+        walls: list[tuple] = []
+        between, done = None, None
+        for media, kind, cluster, _, work, s, e in g:
+            if kind < 2:
+                if kind:
+                    walls.append((s, e, work))
+                else:
+                    on.setdefault(work, _Spans()).add(s, e)
+                continue
+            between = between or _Walls(walls)
+            if cluster == done:
+                continue
+            own = on.setdefault(work, _Spans())
+            before, after = own.around(e)
+            if (before is None or (before <= s and between.other(work, before, s))) and (after is None or between.other(work, e, after)):
+                own.add(s, e)
+                done = cluster
+                yield media, cluster, work, s, e
+
+    kinds = clusters.schema
+    out = T.StructType([T.StructField(c, T.LongType() if c in ("cluster", "s", "e") else kinds[c].dataType) for c in ("media", "cluster", "work", "s", "e")])
+    return in_groups(both, ["media"], ["kind", "cluster", "rank", "work", "s", "e"], run, out)
+
+
+class _Spans:
+    """Spans of one work by their start, with the latest end so far of each."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.reach: list[int] = []
+
+    def add(self, s: int, e: int) -> None:
+        i = bisect_right(self.starts, s)
+        self.starts.insert(i, s)
+        self.reach.insert(i, max(e, self.reach[i - 1]) if i else e)
+        for k in range(i + 1, len(self.reach)):
+            if self.reach[k] >= e:
+                break
+            self.reach[k] = e
+
+    def around(self, e: int) -> tuple[int | None, int | None]:
+        """The latest end of those that begin before `e`, the next start from then on."""
+        i = bisect_left(self.starts, e)
+        return (self.reach[i - 1] if i else None), (self.starts[i] if i < len(self.starts) else None)
+
+
+class _Walls:
+    """Separators by their start, each with the two earliest ends, of unlike
+    works, from there on."""
+
+    def __init__(self, walls: list[tuple]) -> None:
+        walls = sorted(walls, key=lambda x: x[0])
+        self.starts = [x[0] for x in walls]
+        self.first: list[tuple] = [()] * len(walls)
+        best: tuple = ()
+        for i in range(len(walls) - 1, -1, -1):
+            _, e, w = walls[i]
+            ends = sorted([(e, w), *best], key=lambda x: x[0])
+            self.first[i] = best = tuple(x for k, x in enumerate(ends) if all(x[1] != y[1] for y in ends[:k]))[:2]
+
+    def other(self, work, lo: int, hi: int) -> bool:
+        """Whether one of another work lies within [lo, hi]."""
+        i = bisect_left(self.starts, lo)
+        return i < len(self.starts) and any(e <= hi for e, w in self.first[i] if w != work)
 
 
 @F.pandas_udf(DoubleType())
@@ -98,22 +147,29 @@ def mirror_agreements(source: DataFrame, mirror: DataFrame, near: int = 60_000)
     """`(media, agreements)`: how many hints of a mirrored timeline say what one
     of the source's says at most `near` away, in order, each provenance group and
     each mirror position used once. Hints are `(media, id, grp, key, at)`."""
-    a = source.select("media", F.col("grp").alias("grp"), "key", "at", F.lit(0).alias("side"))
-    both = a.unionByName(mirror.select("media", "grp", "key", "at", F.lit(1).alias("side")))
+    tag = lambda d, side: d.select("media", F.lit(side).alias("side"), "at", "key", "grp")
+    both = tag(source, 0).unionByName(tag(mirror, 1))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["at", "key", "grp"], kind="stable")
+    def run(g: Iterator[tuple]) -> Iterator[tuple]:
         used, places, n = set(), set(), 0
-        src = g[g["side"] == 0][["grp", "key", "at"]].values.tolist()
-        for grp, key, at in g[g["side"] == 1][["grp", "key", "at"]].values.tolist():
-            hit = next((x for x in src if x[1] == key and abs(x[2] - at) <= near and x[0] not in used), None)
-            if hit and at not in places:
-                used.add(hit[0])
+        said: dict = {}
+        for media, side, at, key, grp in g:  # noqa: B007
+            if at is None:
+                continue
+            if side == 0:
+                said.setdefault(key, []).append((at, grp))
+                continue
+            src = said.get(key, [])
+            near_by = range(bisect_left(src, at - near, key=lambda x: x[0]), bisect_right(src, at + near, key=lambda x: x[0]))
+            hit = next((src[i][1] for i in near_by if src[i][1] not in used), used)
+            if hit is not used and at not in places:
+                used.add(hit)
                 places.add(at)
                 n += 1
-        return pd.DataFrame([(g["media"].iloc[0], n)], columns=["media", "agreements"])
+        yield media, n
 
-    return both.groupBy("media").applyInPandas(run, f"media {source.schema['media'].dataType.simpleString()}, agreements long")
+    out = T.StructType([T.StructField("media", source.schema["media"].dataType), T.StructField("agreements", T.LongType())])
+    return in_groups(both, ["media"], ["side", "at", "key", "grp"], run, out)
 
 
 def calibrated_tiers(rows: DataFrame, index: str, thresholds: DataFrame) -> DataFrame:

@@ -44,8 +44,9 @@ def q_mirrors(spark, d):
 
 
 def q_hint_only(spark, d):
-    c = pe.q_clusters(spark, d).withColumn("e", F.col("s") + pe.HOUR)
-    listed = pe._listed(spark, d).select("media", "work", "s", "e")
+    listed = pe._listed(spark, d)
+    c = pe._clusters(spark, d, listed).withColumn("e", F.col("s") + pe.HOUR)
+    listed = listed.select("media", "work", "s", "e")
     return lp.hint_only(c, listed, listed)
 
 

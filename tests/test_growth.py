@@ -237,3 +237,39 @@ def test_hint_only_against_all_spans():
 
 def test_mirrors_make_no_frame_a_recording(spark):
     assert "InPandas" not in plan_of(pl.q_mirrors(spark, SF))
+
+
+def test_bursts_make_no_frame_a_recording(spark):
+    d = spark.range(120_000).selectExpr("id div 6 as k", "id % 6 * 10 + if(id % 6 > 3, 900, 0) as t")
+    t = time.time()
+    got = tl.bursts(d, ["k"], "t", 25, 2)
+    assert "InPandas" not in plan_of(got)
+    assert sorted(got.where("k = 19999").collect()) == [(19_999, 0, 20, 3), (19_999, 940, 950, 2)]
+    assert got.count() == 40_000 and time.time() - t < 30
+
+
+def test_votes_are_placed_without_joins(spark):
+    votes, _ = ep.aligned_plays(ep.final_matches(pe.windows(spark, SF)), "mix", "mix", "ref", "rate", 1)
+    assert "Join" not in plan_of(votes) and "Window" not in plan_of(votes)
+
+
+def test_votes_of_a_candidate_over_many_batches(spark):
+    # three candidates of 25,000 votes, every tenth without an anchor; one play each
+    d = spark.range(75_000).selectExpr("'m' as media", "id div 25000 as candidate", "id", "id as trial", "id % 25000 * 10 as mix", "if(id % 10 = 3, null, id % 25000 * 10) as ref", "10000 as rate", "id % 25000 as s", "id % 25000 + 5 as e", "true as is_final", "'match' as status", "true as reliable")
+    votes, lines = ep.aligned_plays(d, "mix", "mix", "ref", "rate", 1)
+    assert votes.groupBy("candidate").agg(F.count("*"), F.countDistinct("id"), F.max("occurrence")).orderBy("candidate").collect() == [(k, 25_000, 25_000, 0) for k in range(3)]
+    assert [(r.aligned, r.segments, r.outliers) for r in lines.collect()] == [(True, 1, 0)] * 3
+
+
+def test_unscanned_windows_are_counted_not_listed(spark):
+    # regions of up to a year of ten-minute windows, off the grid and with a tail
+    r = spark.range(2000).selectExpr("id % 3 as media", "'x' as trigger", "id * 7 as s", "id * 7 + if(id % 2 = 0, 50, 52000 * id) as e")
+    seen = spark.range(60_000).selectExpr("id % 2 as media", "id * 13 as at")
+    t = time.time()
+    got = {(x.media, x.s, x.e): x.planned for x in ep.unscanned(r, 20, 10, seen).collect()}
+    assert time.time() - t < 30
+    at = {(i % 2, i * 13) for i in range(60_000)}
+    for i in [*range(0, 2000, 2), 1, 3]:
+        m, s, e = i % 3, i * 7, i * 7 + (50 if i % 2 == 0 else 52_000 * i)
+        starts = {*range(s, e - 19, 10), e - 20}
+        assert got.get((m, s, e), 0) == sum((m, x) not in at for x in starts), i

@@ -273,3 +273,12 @@ def test_unscanned_windows_are_counted_not_listed(spark):
         m, s, e = i % 3, i * 7, i * 7 + (50 if i % 2 == 0 else 52_000 * i)
         starts = {*range(s, e - 19, 10), e - 20}
         assert got.get((m, s, e), 0) == sum((m, x) not in at for x in starts), i
+
+
+def test_links_that_are_conflicts_are_read_once(spark):
+    links = spark.createDataFrame([(1, 1, 2), (2, 2, 3), (2, 2, 3), (3, 1, 3), (4, 7, 8), (5, 9, 9), (6, 2, None)], "id long, a long, b long")
+    bad = spark.createDataFrame([(1, 3), (7, 8), (2, None), (None, 1), (50, 60)], "a long, b long")
+    merged = tl.merge_with_veto(links, bad)
+    # pairs and conflicts meet in one aggregate, partial and final, not in one each
+    assert plan_of(merged).count("keys=[a#") == 2
+    assert dict(merged.collect()) == {1: 1, 2: 1, 3: 3, 7: 7, 8: 8, 9: 9}
